@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dpmine.operators import groups as G
 from dpmine.operators import metrics as M
 from dpmine.operators import search as S
 from dpmine.sources import testbed as T
@@ -19,6 +20,10 @@ DIGITS = 6
 TOPK = 10
 EVAL_RUN_K = 100
 MINING_RUN_K = 200
+DEPTH = 100
+SEED = 42
+N_NEG = 8
+N_NEG_PADDED = 150
 
 
 def _r(col: str, name: str | None = None):
@@ -80,6 +85,74 @@ def q_duplicate_check(spark, sf):
     return M.duplicate_check(fused_run(spark, sf))
 
 
+def q_ranked_array(spark, sf):
+    return G.ranked_array(run_k(spark, sf, EVAL_RUN_K), EVAL_RUN_K)
+
+
+# ---------------------------------------------------------------- mining
+def _mining_inputs(spark, sf):
+    return T.qrels(spark, sf), run_k(spark, sf, MINING_RUN_K), T.query_texts(spark, sf)
+
+
+def mined(spark, sf):
+    qr, run, qt = _mining_inputs(spark, sf)
+    return G.hard_negatives(qr, run, qt, depth=DEPTH, max_rank=MINING_RUN_K)
+
+
+def q_collect_positives(spark, sf):
+    return G.collect_positives(T.qrels(spark, sf))
+
+
+def q_mining_queries(spark, sf):
+    return G.mining_queries(*_mining_inputs(spark, sf))
+
+
+def q_exclude_positives(spark, sf):
+    qr, run, _ = _mining_inputs(spark, sf)
+    return G.exclude_positives(run, qr).select("qid", "pid", "rank", _r("score"))
+
+
+def q_hard_negatives(spark, sf):
+    return mined(spark, sf)
+
+
+def q_explode_groups(spark, sf):
+    return G.explode_groups(G.to_nested(mined(spark, sf)))
+
+
+def q_mining_report(spark, sf):
+    qr, run, qt = _mining_inputs(spark, sf)
+    return G.mining_report(qr, run, qt, depth=DEPTH, max_rank=MINING_RUN_K)
+
+
+def q_sample_positive(spark, sf):
+    return G.sample_positive(mined(spark, sf), SEED)
+
+
+def q_sample_negatives(spark, sf):
+    return G.sample_negatives(mined(spark, sf), N_NEG, SEED)
+
+
+def q_sample_negatives_padded(spark, sf):
+    return G.sample_negatives(mined(spark, sf), N_NEG_PADDED, SEED)
+
+
+def q_train_groups(spark, sf):
+    return G.train_groups(mined(spark, sf), T.query_texts(spark, sf), N_NEG, SEED)
+
+
+def q_lookup_passages(spark, sf):
+    g = G.assemble_groups(mined(spark, sf), N_NEG, SEED)
+    return G.lookup_passages(g, T.corpus(spark, sf)).select("qid", "slot", "pid", "title", "contents")
+
+
+def q_preview(spark, sf):
+    nested = G.to_nested(mined(spark, sf), T.query_texts(spark, sf))
+    flat = nested.select("qid", "query", F.col("positives.doc_id").alias("pos_ids"),
+                         F.col("negatives.doc_id").alias("neg_ids"))
+    return G.preview(flat, 3, SEED)
+
+
 QUERIES = {
     "score_matrix": q_score_matrix,
     "mips_topk": q_mips_topk,
@@ -89,4 +162,17 @@ QUERIES = {
     "eval_all": q_eval_all,
     "metric_report": q_metric_report,
     "duplicate_check": q_duplicate_check,
+    "ranked_array": q_ranked_array,
+    "collect_positives": q_collect_positives,
+    "mining_queries": q_mining_queries,
+    "exclude_positives": q_exclude_positives,
+    "hard_negatives": q_hard_negatives,
+    "explode_groups": q_explode_groups,
+    "mining_report": q_mining_report,
+    "sample_positive": q_sample_positive,
+    "sample_negatives": q_sample_negatives,
+    "sample_negatives_padded": q_sample_negatives_padded,
+    "train_groups": q_train_groups,
+    "lookup_passages": q_lookup_passages,
+    "preview": q_preview,
 }

@@ -2,61 +2,153 @@
 
 Plain brute force over the driver's views: cross products and
 ``list_dot_product`` are fine here, this is the check, not the engine.
+Named CTEs are declared once with their dependencies; ``sql(body, *ctes)``
+pulls in what a query needs, in dependency order.
 """
 
 from __future__ import annotations
 
-# shared CTEs, written once
-Q = "q AS (SELECT vec_id AS qid, CAST(embedding AS DOUBLE[]) AS vec, label FROM embeddings WHERE vec_id < 50)"
-P = "p AS (SELECT vec_id AS pid, CAST(embedding AS DOUBLE[]) AS vec, label FROM embeddings WHERE vec_id >= 50)"
-PG = ("pg AS (SELECT pid, vec AS mean, list_transform(vec, lambda x: CASE WHEN x < 10 THEN ln(1 + exp(x)) ELSE x END) "
-      "AS var FROM p)")
-
-
-def run_cte(name: str, k: int) -> str:
-    return (f"{name} AS (SELECT qid, pid, CAST(rank AS INTEGER) AS rank, score FROM ("
-            f"SELECT q.qid, p.pid, list_dot_product(q.vec, p.vec) AS score, row_number() OVER ("
-            f"PARTITION BY q.qid ORDER BY round(list_dot_product(q.vec, p.vec), 6) DESC, p.pid) AS rank "
-            f"FROM q, p) WHERE rank <= {k})")
-
-
-GAUSS = ("gs AS (SELECT q.qid, pg.pid, -0.5 * list_sum(list_transform(list_zip(q.vec, pg.mean, pg.var), "
-         "lambda t: ln(t[3]) + (t[1] - t[2]) * (t[1] - t[2]) / t[3])) AS score FROM q, pg)")
-GAUSS_RUN = ("grun AS (SELECT qid, pid, CAST(rank AS INTEGER) AS rank, score FROM ("
-             "SELECT qid, pid, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, pid) AS rank "
-             "FROM gs) WHERE rank <= 10)")
-QRELS_EVAL = ("qe AS (SELECT a.vec_id AS qid, b.vec_id AS pid, 1 AS rel FROM embeddings a, embeddings b "
-              "WHERE a.vec_id < 60 AND b.vec_id >= 60 AND (a.vec_id * 31 + b.vec_id) % 41 = 0)")
-EVAL = (f"WITH {Q}, {P}, {run_cte('run', 100)}, {QRELS_EVAL}, "
-        "fh AS (SELECT run.qid, min(run.rank) AS first_rank FROM run JOIN (SELECT DISTINCT qid, pid FROM qe) j "
-        "USING (qid, pid) GROUP BY run.qid), "
-        "nj AS (SELECT count(DISTINCT qid) AS n FROM qe), "
-        "m AS (SELECT "
-        "(SELECT coalesce(sum(CASE WHEN first_rank <= 10 THEN 1.0 / first_rank ELSE 0 END), 0) FROM fh) / nj.n AS mrr_at_10, "
-        "(SELECT count(*) FILTER (WHERE first_rank <= 1) FROM fh) / nj.n AS recall_at_1, "
-        "(SELECT count(*) FILTER (WHERE first_rank <= 50) FROM fh) / nj.n AS recall_at_50, "
-        "(SELECT count(*) FROM fh) / nj.n AS recall_at_all, "
-        "(SELECT count(DISTINCT qid) FROM run) AS queries_ranked, "
-        "(SELECT count(*) FROM (SELECT DISTINCT qid FROM run WHERE qid IN (SELECT qid FROM qe))) AS queries_evaluated, "
-        "nj.n AS queries_judged FROM nj) ")
+
+def _run(k: int, src: str = "q, p", score: str = "list_dot_product(q.vec, p.vec)", ids: str = "q.qid, p.pid") -> str:
+    return (f"SELECT qid, pid, CAST(rank AS INTEGER) AS rank, score FROM ("
+            f"SELECT {ids}, {score} AS score, row_number() OVER (PARTITION BY qid ORDER BY round({score}, 6) DESC, "
+            f"pid) AS rank FROM {src}) WHERE rank <= {k}")
+
+
+def _hn(run: str, depth: int) -> str:
+    return (f"WITH mq AS (SELECT qid, query FROM qt WHERE qid IN (SELECT qid FROM qr) AND qid IN (SELECT qid FROM {run})), "
+            f"ng AS (SELECT r.qid, r.pid, r.rank FROM {run} r WHERE r.qid IN (SELECT qid FROM mq) "
+            f"AND NOT EXISTS (SELECT 1 FROM qr WHERE qr.qid = r.qid AND qr.pid = r.pid)), "
+            f"ng2 AS (SELECT qid, pid, row_number() OVER (PARTITION BY qid ORDER BY rank, pid) - 1 AS pos, "
+            f"count(*) OVER (PARTITION BY qid) AS n_neg FROM ng), "
+            f"nr AS (SELECT qid, 'neg' AS role, CAST(pos AS INTEGER) AS pos, pid, 0.0 AS score FROM ng2 "
+            f"WHERE n_neg >= {depth} AND pos < {depth}), "
+            f"pr AS (SELECT qid, 'pos' AS role, CAST(row_number() OVER (PARTITION BY qid ORDER BY pid) - 1 AS INTEGER) AS pos, "
+            f"pid, 1.0 AS score FROM qr WHERE qid IN (SELECT qid FROM nr)) "
+            f"SELECT * FROM pr UNION ALL SELECT * FROM nr")
+
+
+def _key(*cols: str, seed: int = 42, epoch: int = 0) -> str:
+    parts = ", ".join(f"CAST({c} AS VARCHAR)" for c in cols)
+    return f"md5(concat_ws(':', '{seed}', '{epoch}', {parts}))"
+
+
+def _negs(src: str, n: int) -> str:
+    """Seeded draw of n negatives after replicate padding."""
+    return (f"SELECT qid, CAST(slot AS INTEGER) AS slot, pid, score FROM ("
+            f"SELECT qid, pid, score, row_number() OVER (PARTITION BY qid ORDER BY {_key('qid', 'pid', 'pos', 'cp')}) AS slot "
+            f"FROM (SELECT x.*, unnest(range(0, CASE WHEN len < {n} THEN 1 + {n} // len ELSE 1 END)) AS cp FROM ("
+            f"SELECT *, count(*) OVER (PARTITION BY qid) AS len FROM {src} WHERE role = 'neg') x)) WHERE slot <= {n}")
+
+
+def _pos(src: str) -> str:
+    return (f"SELECT qid, pid, score FROM (SELECT qid, pid, score, row_number() OVER (PARTITION BY qid ORDER BY "
+            f"{_key('qid', 'pid', 'pos', '0')}) AS rn FROM {src} WHERE role = 'pos') WHERE rn = 1")
+
+
+def _groups(src: str, n: int) -> str:
+    return (f"SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY qid) AS size FROM ("
+            f"SELECT qid, 0 AS slot, pid, score FROM ({_pos(src)}) UNION ALL {_negs(src, n)})) WHERE size = {n + 1}")
+
+
+# name -> (dependencies, body)
+CTES: dict[str, tuple[tuple[str, ...], str]] = {
+    "q": ((), "SELECT vec_id AS qid, CAST(embedding AS DOUBLE[]) AS vec, label FROM embeddings WHERE vec_id < 50"),
+    "p": ((), "SELECT vec_id AS pid, CAST(embedding AS DOUBLE[]) AS vec, label FROM embeddings WHERE vec_id >= 50"),
+    "pg": (("p",), "SELECT pid, vec AS mean, list_transform(vec, lambda x: CASE WHEN x < 10 THEN ln(1 + exp(x)) "
+                   "ELSE x END) AS var FROM p"),
+    "qr": (("q", "p"), "SELECT q.qid, p.pid, 1 AS rel FROM q JOIN p ON q.label = p.label AND q.qid % 7 = p.pid % 7"),
+    "qe": ((), "SELECT a.vec_id AS qid, b.vec_id AS pid, 1 AS rel FROM embeddings a, embeddings b "
+               "WHERE a.vec_id < 60 AND b.vec_id >= 60 AND (a.vec_id * 31 + b.vec_id) % 41 = 0"),
+    "qt": ((), "SELECT item_id AS qid, text AS query FROM benchmark"),
+    "corpus": ((), "SELECT doc_id AS pid, source AS title, text AS contents FROM documents"),
+    "run10": (("q", "p"), _run(10)),
+    "run100": (("q", "p"), _run(100)),
+    "run200": (("q", "p"), _run(200)),
+    "grun": (("q", "pg"), _run(10, "q, pg", "-0.5 * list_sum(list_transform(list_zip(q.vec, pg.mean, pg.var), "
+                                           "lambda t: ln(t[3]) + (t[1] - t[2]) * (t[1] - t[2]) / t[3]))",
+                               "q.qid, pg.pid")),
+    "hn": (("qt", "qr", "run200"), _hn("run200", 100)),
+    "fh": (("run100", "qe"), "SELECT r.qid, min(r.rank) AS first_rank FROM run100 r "
+                             "JOIN (SELECT DISTINCT qid, pid FROM qe) j USING (qid, pid) GROUP BY r.qid"),
+    "m": (("fh", "qe", "run100"),
+          "SELECT (SELECT coalesce(sum(CASE WHEN first_rank <= 10 THEN 1.0 / first_rank ELSE 0 END), 0) FROM fh) / nj.n "
+          "AS mrr_at_10, (SELECT count(*) FILTER (WHERE first_rank <= 1) FROM fh) / nj.n AS recall_at_1, "
+          "(SELECT count(*) FILTER (WHERE first_rank <= 50) FROM fh) / nj.n AS recall_at_50, "
+          "(SELECT count(*) FROM fh) / nj.n AS recall_at_all, (SELECT count(DISTINCT qid) FROM run100) AS queries_ranked, "
+          "(SELECT count(DISTINCT qid) FROM run100 WHERE qid IN (SELECT qid FROM qe)) AS queries_evaluated, "
+          "nj.n AS queries_judged FROM (SELECT count(DISTINCT qid) AS n FROM qe) nj"),
+    "ga8": (("hn",), _groups("hn", 8)),
+}
+
+
+def sql(body: str, *names: str) -> str:
+    seen: list[str] = []
+
+    def visit(n):
+        if n in seen:
+            return
+        for d in CTES[n][0]:
+            visit(d)
+        seen.append(n)
+
+    for n in names:
+        visit(n)
+    if not seen:
+        return body
+    return "WITH " + ", ".join(f"{n} AS ({CTES[n][1]})" for n in seen) + " " + body
+
+
+R = "round({0}, 6) AS {0}".format
 
 SQL = {
-    "score_matrix": f"WITH {Q}, {P} SELECT q.qid, p.pid, round(list_dot_product(q.vec, p.vec), 6) AS score FROM q, p",
-    "mips_topk": f"WITH {Q}, {P}, {run_cte('run', 10)} SELECT qid, pid, rank, round(score, 6) AS score FROM run",
-    "gaussian_topk": f"WITH {Q}, {P}, {PG}, {GAUSS}, {GAUSS_RUN} SELECT qid, pid, rank, round(score, 6) AS score FROM grun",
-    "eval_mrr": EVAL + "SELECT round(mrr_at_10, 6) AS mrr_at_10 FROM m",
-    "eval_recall": EVAL + "SELECT round(recall_at_1, 6) AS recall_at_1, round(recall_at_50, 6) AS recall_at_50, "
-                          "round(recall_at_all, 6) AS recall_at_all FROM m",
-    "eval_all": EVAL + "SELECT round(mrr_at_10, 6) AS mrr_at_10, round(recall_at_1, 6) AS recall_at_1, "
-                       "round(recall_at_50, 6) AS recall_at_50, round(recall_at_all, 6) AS recall_at_all, "
-                       "CAST(queries_ranked AS BIGINT) AS queries_ranked, "
-                       "CAST(queries_evaluated AS BIGINT) AS queries_evaluated, "
-                       "CAST(queries_judged AS BIGINT) AS queries_judged FROM m",
-    "metric_report": EVAL + "SELECT metric, round(value, 6) AS value FROM (UNPIVOT (SELECT mrr_at_10 AS \"MRR @10\", "
-                            "recall_at_1 AS \"recall@1\", recall_at_50 AS \"recall@50\", recall_at_all AS \"recall@all\", "
-                            "CAST(queries_ranked AS DOUBLE) AS \"QueriesRanked\" FROM m) ON COLUMNS(*) "
-                            "INTO NAME metric VALUE value) ORDER BY metric",
-    "duplicate_check": f"WITH {Q}, {P}, {PG}, {run_cte('run', 10)}, {GAUSS}, {GAUSS_RUN}, "
-                       "fused AS (SELECT qid, pid, rank FROM run UNION ALL SELECT qid, pid, rank + 10 FROM grun) "
-                       "SELECT qid, pid, count(*) AS n FROM fused WHERE pid <> 0 GROUP BY qid, pid HAVING count(*) > 1",
+    # search
+    "score_matrix": sql("SELECT q.qid, p.pid, round(list_dot_product(q.vec, p.vec), 6) AS score FROM q, p", "q", "p"),
+    "mips_topk": sql(f"SELECT qid, pid, rank, {R('score')} FROM run10", "run10"),
+    "gaussian_topk": sql(f"SELECT qid, pid, rank, {R('score')} FROM grun", "grun"),
+    # evaluation
+    "eval_mrr": sql(f"SELECT {R('mrr_at_10')} FROM m", "m"),
+    "eval_recall": sql(f"SELECT {R('recall_at_1')}, {R('recall_at_50')}, {R('recall_at_all')} FROM m", "m"),
+    "eval_all": sql(f"SELECT {R('mrr_at_10')}, {R('recall_at_1')}, {R('recall_at_50')}, {R('recall_at_all')}, "
+                    "CAST(queries_ranked AS BIGINT) AS queries_ranked, "
+                    "CAST(queries_evaluated AS BIGINT) AS queries_evaluated, "
+                    "CAST(queries_judged AS BIGINT) AS queries_judged FROM m", "m"),
+    "metric_report": sql("SELECT metric, round(value, 6) AS value FROM (UNPIVOT (SELECT mrr_at_10 AS \"MRR @10\", "
+                         "recall_at_1 AS \"recall@1\", recall_at_50 AS \"recall@50\", recall_at_all AS \"recall@all\", "
+                         "CAST(queries_ranked AS DOUBLE) AS \"QueriesRanked\" FROM m) ON COLUMNS(*) "
+                         "INTO NAME metric VALUE value) ORDER BY metric", "m"),
+    "duplicate_check": sql("SELECT qid, pid, count(*) AS n FROM (SELECT qid, pid, rank FROM run10 UNION ALL "
+                           "SELECT qid, pid, rank + 10 FROM grun) WHERE pid <> 0 GROUP BY qid, pid HAVING count(*) > 1",
+                           "run10", "grun"),
+    "ranked_array": sql("SELECT s.qid, list(coalesce(r.pid, 0) ORDER BY s.i) AS pids FROM "
+                        "(SELECT DISTINCT qid, unnest(range(1, 101)) AS i FROM run100) s "
+                        "LEFT JOIN run100 r ON r.qid = s.qid AND r.rank = s.i GROUP BY s.qid", "run100"),
+    # mining
+    "collect_positives": sql("SELECT qid, list(pid ORDER BY pid) AS doc_ids FROM qr GROUP BY qid", "qr"),
+    "mining_queries": sql("SELECT qid, query FROM qt WHERE qid IN (SELECT qid FROM qr) "
+                          "AND qid IN (SELECT qid FROM run200)", "qt", "qr", "run200"),
+    "exclude_positives": sql(f"SELECT qid, pid, rank, {R('score')} FROM run200 r WHERE NOT EXISTS "
+                             "(SELECT 1 FROM qr WHERE qr.qid = r.qid AND qr.pid = r.pid)", "run200", "qr"),
+    "hard_negatives": sql("SELECT * FROM hn", "hn"),
+    "explode_groups": sql("SELECT * FROM hn", "hn"),
+    "mining_report": sql(
+        "SELECT (SELECT count(DISTINCT qid) FROM qr) AS n_qrels_queries, "
+        "(SELECT count(DISTINCT qid) FROM run200) AS n_run_queries, (SELECT count(DISTINCT qid) FROM qt) AS n_text_queries, "
+        "count(*) AS n_candidates, count(*) FILTER (WHERE n_neg >= 100) AS n_mined, "
+        "count(*) FILTER (WHERE n_neg < 100) AS n_short FROM (SELECT mq.qid, (SELECT count(*) FROM run200 r "
+        "WHERE r.qid = mq.qid AND NOT EXISTS (SELECT 1 FROM qr WHERE qr.qid = r.qid AND qr.pid = r.pid)) AS n_neg "
+        "FROM (SELECT qid FROM qt WHERE qid IN (SELECT qid FROM qr) AND qid IN (SELECT qid FROM run200)) mq)",
+        "qt", "qr", "run200"),
+    # sampling and assembly
+    "sample_positive": sql(_pos("hn"), "hn"),
+    "sample_negatives": sql(_negs("hn", 8), "hn"),
+    "sample_negatives_padded": sql(_negs("hn", 150), "hn"),
+    "train_groups": sql("SELECT g.qid, qt.query, list(pid ORDER BY slot) AS doc_ids, list(score ORDER BY slot) AS scores "
+                        "FROM ga8 g LEFT JOIN qt USING (qid) GROUP BY g.qid, qt.query", "ga8", "qt"),
+    "lookup_passages": sql("SELECT g.qid, g.slot, g.pid, c.title, c.contents FROM ga8 g LEFT JOIN corpus c USING (pid)",
+                           "ga8", "corpus"),
+    "preview": sql("SELECT qid, query, pos_ids, neg_ids FROM (SELECT h.qid, qt.query, "
+                   "list(pid ORDER BY pos) FILTER (WHERE role = 'pos') AS pos_ids, "
+                   "list(pid ORDER BY pos) FILTER (WHERE role = 'neg') AS neg_ids FROM hn h LEFT JOIN qt USING (qid) "
+                   f"GROUP BY h.qid, qt.query) ORDER BY {_key('qid')}, qid LIMIT 3", "hn", "qt"),
 }
