@@ -115,3 +115,64 @@ def duplicate_check(run: DataFrame) -> DataFrame:
     """Every ``(qid, pid)`` ranked more than once (pid 0 exempt) → ``qid, pid, n``."""
     return (run.filter(F.col("pid") != 0).groupBy("qid", "pid")
             .agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1))
+
+
+# ---------------------------------------------------------------- group losses
+def group_log_softmax(df: DataFrame, score: str, by=("qid",), name: str | None = None) -> DataFrame:
+    """``score - max - ln Σ exp(score - max)`` inside each group (stable log-softmax)."""
+    w = Window.partitionBy(*by)
+    d = df.withColumn("_m", F.max(score).over(w))
+    d = d.withColumn("_lse", F.log(F.sum(F.exp(F.col(score) - F.col("_m"))).over(w)))
+    return d.withColumn(name or f"{score}_logp", F.col(score) - F.col("_m") - F.col("_lse")).drop("_m", "_lse")
+
+
+def own_group_scores(groups: DataFrame, qvecs: DataFrame, pvecs: DataFrame) -> DataFrame:
+    """Student scores of each query against its own group's passages → ``qid, slot, pid, student``.
+
+    These are the columns ``i·(n+1) … i·(n+1)+n`` of the in-batch matrix,
+    fetched by key instead of by position: two equi-joins, no matrix.
+    """
+    from dpmine.functions.vectors import dot
+    q = qvecs.select("qid", F.col("vec").alias("_qv"))
+    p = pvecs.select("pid", F.col("vec").alias("_pv"))
+    return (groups.join(q, "qid").join(p, "pid")
+            .select("qid", "slot", "pid", dot("_qv", "_pv").alias("student"), *[
+                c for c in groups.columns if c not in ("qid", "slot", "pid")]))
+
+
+def distill_kl(scored: DataFrame, batch: str = "batch", student: str = "student", teacher: str = "score") -> DataFrame:
+    """Listwise distillation loss per batch → ``batch, n_queries, kl``.
+
+    Per query ``Σ eᵗ (t − s)`` over its group, with ``s``/``t`` the
+    log-softmaxed student/teacher scores; averaged over the batch's queries
+    (``batchmean`` with log targets).
+    """
+    d = group_log_softmax(scored, student, ("qid",), "_s")
+    d = group_log_softmax(d, teacher, ("qid",), "_t")
+    per_q = d.groupBy(batch, "qid").agg(F.sum(F.exp("_t") * (F.col("_t") - F.col("_s"))).alias("kl_q"))
+    return per_q.groupBy(batch).agg(F.count(F.lit(1)).alias("n_queries"), F.avg("kl_q").alias("kl"))
+
+
+def in_batch_accuracy(groups: DataFrame, qvecs: DataFrame, pvecs: DataFrame, group_size: int,
+                      batch: str = "batch", digits: int = 6) -> DataFrame:
+    """Share of queries whose best passage over the *whole batch* is their own positive.
+
+    ``groups``: ``batch, qid, slot, pid`` with slot 0 the positive.  Column
+    of a passage in the batch matrix = query position in batch × group_size +
+    slot; ties go to the lower column (argmax).  The pairing is an equi-join
+    on the batch id, so work per batch is bounded by the batch size.
+    """
+    from dpmine.functions.vectors import dot
+    qpos = groups.select(batch, "qid").distinct().withColumn(
+        "_qi", F.dense_rank().over(Window.partitionBy(batch).orderBy("qid")) - 1)
+    cols = (groups.join(qpos, [batch, "qid"])
+            .select(batch, (F.col("_qi") * group_size + F.col("slot")).alias("_col"), "pid")
+            .join(pvecs.select("pid", F.col("vec").alias("_pv")), "pid"))
+    rows = qpos.join(qvecs.select("qid", F.col("vec").alias("_qv")), "qid")
+    pairs = rows.join(cols, batch).select(batch, "qid", "_qi", "_col", F.round(dot("_qv", "_pv"), digits).alias("_s"))
+    w = Window.partitionBy(batch, "qid").orderBy(F.col("_s").desc(), F.col("_col").asc())
+    best = pairs.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == 1)
+    return best.groupBy(batch).agg(
+        F.count(F.lit(1)).alias("n_queries"),
+        F.count(F.when(F.col("_col") == F.col("_qi") * group_size, True)).alias("n_correct")).withColumn(
+        "accuracy", F.col("n_correct") / F.col("n_queries"))

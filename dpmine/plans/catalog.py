@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 
 from dpmine.operators import groups as G
 from dpmine.operators import metrics as M
+from dpmine.operators import ordinal as O
+from dpmine.operators import scoring as SC
+from dpmine.operators import text as TX
+from dpmine.functions import text as TF
 from dpmine.operators import search as S
 from dpmine.sources import testbed as T
 
@@ -24,6 +28,14 @@ DEPTH = 100
 SEED = 42
 N_NEG = 8
 N_NEG_PADDED = 150
+CAP = 100
+PREV_RUN_K, PREV_DEPTH = 100, 50     # the previous round whose scores fill the cache
+OTHER_K = 20                        # second negative set: Gaussian top-20 minus positives
+BATCH_QUERIES = 5
+NGRAM_N = 2
+QUERY_LEN, PASSAGE_LEN, PAIR_RESERVE = 32, 144, 3
+SHARDS = 3
+HEAD_N = 10
 
 
 def _r(col: str, name: str | None = None):
@@ -153,6 +165,190 @@ def q_preview(spark, sf):
     return G.preview(flat, 3, SEED)
 
 
+# ---------------------------------------------------------------- scoring
+def teacher(spark, sf):
+    return SC.vector_teacher(T.query_vectors(spark, sf), T.passage_vectors(spark, sf))
+
+
+def score_cache(spark, sf):
+    """Teacher scores of the previous (shallower) round's mined pairs."""
+    qr, qt = T.qrels(spark, sf), T.query_texts(spark, sf)
+    prev = G.hard_negatives(qr, run_k(spark, sf, PREV_RUN_K), qt, depth=PREV_DEPTH, max_rank=PREV_RUN_K)
+    return SC.score_pairs(SC.unscored_pairs(prev, None), teacher(spark, sf))
+
+
+def other_negatives(spark, sf):
+    """Second negative set in long form: Gaussian top-20 without the judged passages."""
+    q = T.query_vectors(spark, sf).select("qid", F.col("vec").alias("mean"))
+    g = S.gaussian_topk(q, T.passage_gaussians(spark, sf), OTHER_K)
+    g = G.exclude_positives(g, T.qrels(spark, sf))
+    from pyspark.sql import Window
+    return g.select("qid", F.lit(G.NEG).alias("role"),
+                    (F.row_number().over(Window.partitionBy("qid").orderBy("rank")) - 1).cast("int").alias("pos"),
+                    "pid", "score")
+
+
+def q_cap_candidates(spark, sf):
+    merged = SC.merge_negatives(mined(spark, sf), other_negatives(spark, sf))
+    return G.cap_candidates(merged, CAP).select("qid", "role", "pos", "pid", _r("score"))
+
+
+def q_unscored_pairs(spark, sf):
+    return SC.unscored_pairs(G.cap_candidates(mined(spark, sf), CAP), score_cache(spark, sf))
+
+
+def q_score_pairs(spark, sf):
+    pairs = SC.unscored_pairs(mined(spark, sf), None)
+    scorer = SC.overlap_scorer(T.query_texts(spark, sf), T.corpus(spark, sf))
+    return SC.score_pairs(pairs, scorer).select("qid", "pid", _r("score"))
+
+
+def _new_scores(spark, sf):
+    todo = SC.unscored_pairs(G.cap_candidates(mined(spark, sf), CAP), score_cache(spark, sf))
+    return SC.score_pairs(todo, teacher(spark, sf))
+
+
+def q_score_upsert(spark, sf):
+    return SC.score_upsert(score_cache(spark, sf), _new_scores(spark, sf)).select("qid", "pid", _r("score"))
+
+
+def q_attach_scores(spark, sf):
+    g = mined(spark, sf)
+    scores = SC.score_pairs(SC.unscored_pairs(g, None),
+                            SC.overlap_scorer(T.query_texts(spark, sf), T.corpus(spark, sf)))
+    return SC.attach_scores(g, scores).select("qid", "role", "pos", "pid", _r("score"))
+
+
+def scored_groups(spark, sf):
+    scored, _, _ = SC.score_groups(mined(spark, sf), score_cache(spark, sf), teacher(spark, sf), CAP)
+    return scored
+
+
+def q_score_groups(spark, sf):
+    return scored_groups(spark, sf).select("qid", "role", "pos", "pid", _r("score"))
+
+
+def q_cache_stats(spark, sf):
+    _, _, stats = SC.score_groups(mined(spark, sf), score_cache(spark, sf), teacher(spark, sf), CAP)
+    return stats.select("total", "new", "skip", _r("skip_rate"))
+
+
+def q_merge_negatives(spark, sf):
+    merged = SC.merge_negatives(scored_groups(spark, sf), other_negatives(spark, sf))
+    return merged.select("qid", "role", "pos", "pid", _r("score"))
+
+
+# ---------------------------------------------------------------- losses
+def batched_groups(spark, sf):
+    """Training groups of the scored set, n = 8, with batches of five queries in qid order."""
+    g = G.assemble_groups(scored_groups(spark, sf), N_NEG, SEED)
+    qb = O.batches(g.select("qid").distinct(), BATCH_QUERIES, ["qid"]).select("qid", "batch")
+    return g.join(qb, "qid")
+
+
+def q_batches(spark, sf):
+    return O.batches(G.assemble_groups(scored_groups(spark, sf), N_NEG, SEED).select("qid").distinct(),
+                     BATCH_QUERIES, ["qid"]).select("qid", "ordinal", "batch")
+
+
+def q_own_group_scores(spark, sf):
+    g = batched_groups(spark, sf)
+    o = M.own_group_scores(g, T.query_vectors(spark, sf), T.passage_vectors(spark, sf))
+    return o.select("qid", "slot", "pid", _r("student"))
+
+
+def q_group_log_softmax(spark, sf):
+    g = batched_groups(spark, sf)
+    return M.group_log_softmax(g, "score", ("qid",), "logp").select("qid", "slot", "pid", _r("logp"))
+
+
+def q_distill_kl(spark, sf):
+    g = batched_groups(spark, sf)
+    o = M.own_group_scores(g, T.query_vectors(spark, sf), T.passage_vectors(spark, sf))
+    return M.distill_kl(o, "batch", "student", "score").select("batch", "n_queries", _r("kl"))
+
+
+def q_in_batch_accuracy(spark, sf):
+    g = batched_groups(spark, sf)
+    acc = M.in_batch_accuracy(g, T.query_vectors(spark, sf), T.passage_vectors(spark, sf), N_NEG + 1)
+    return acc.select("batch", "n_queries", "n_correct", _r("accuracy"))
+
+
+# ---------------------------------------------------------------- text
+def _docs(spark, sf):
+    return T.documents(spark, sf)
+
+
+def q_tokenize(spark, sf):
+    return TX.tokenize_docs(_docs(spark, sf))
+
+
+def q_words_uncased(spark, sf):
+    return TX.tokenize_docs(_docs(spark, sf), uncased=True)
+
+
+def q_token_count(spark, sf):
+    return _docs(spark, sf).select("doc_id", TF.token_count("text").cast("int").alias("n_tokens"))
+
+
+def q_token_offsets(spark, sf):
+    return TX.token_table(_docs(spark, sf)).select("doc_id", "i", "token", "start", "end")
+
+
+def q_untokenize(spark, sf):
+    return TX.untokenize_rows(TX.token_table(_docs(spark, sf)))
+
+
+def q_token_slice(spark, sf):
+    return TX.untokenize_rows(TX.token_table(_docs(spark, sf)), lo=2, hi=-2)
+
+
+def _punct(gram):
+    return F.exists(gram, lambda w: ~w.rlike(r"^[\p{L}\p{N}\p{M}]"))
+
+
+def q_ngrams(spark, sf):
+    return TX.ngram_rows(_docs(spark, sf), NGRAM_N, True, _punct)
+
+
+def q_ngram_counts(spark, sf):
+    return TX.ngram_counts(_docs(spark, sf), NGRAM_N, True, _punct)
+
+
+def q_entity_groups(spark, sf):
+    return TX.entity_groups(TX.capital_tags(TX.token_table(_docs(spark, sf))))
+
+
+def q_truncate_query(spark, sf):
+    t = T.query_texts(spark, sf).select("qid", TX.truncate_tokens(TF.words("query"), QUERY_LEN).alias("t"))
+    return t.select("qid", F.size("t").alias("n_tokens"), F.array_join("t", " ").alias("text"))
+
+
+def q_truncate_pair(spark, sf):
+    c = T.corpus(spark, sf).select("pid", TF.words("title").alias("a"), TF.words("contents").alias("b"))
+    a, b = TX.truncate_pair("a", "b", PASSAGE_LEN, PAIR_RESERVE)
+    c = c.select("pid", a.alias("a"), b.alias("b"))
+    return c.select("pid", F.size("a").alias("len_a"), F.size("b").alias("len_b"),
+                    F.array_join("a", " ").alias("text_a"), F.array_join("b", " ").alias("text_b"))
+
+
+def q_passage_text(spark, sf):
+    return T.corpus(spark, sf).select("pid", TF.passage_text("title", "contents").alias("text"))
+
+
+# ---------------------------------------------------------------- ordinals
+def q_with_ordinal(spark, sf):
+    return O.with_ordinal(_docs(spark, sf).select("doc_id"), ["doc_id"])
+
+
+def q_head_sample(spark, sf):
+    return O.head_sample(_docs(spark, sf).select("doc_id", "text"), HEAD_N, ["doc_id"])
+
+
+def q_contiguous_shard(spark, sf):
+    return O.contiguous_shard(_docs(spark, sf).select("doc_id"), SHARDS, ["doc_id"])
+
+
 QUERIES = {
     "score_matrix": q_score_matrix,
     "mips_topk": q_mips_topk,
@@ -175,4 +371,32 @@ QUERIES = {
     "train_groups": q_train_groups,
     "lookup_passages": q_lookup_passages,
     "preview": q_preview,
+    "cap_candidates": q_cap_candidates,
+    "unscored_pairs": q_unscored_pairs,
+    "score_pairs": q_score_pairs,
+    "score_upsert": q_score_upsert,
+    "attach_scores": q_attach_scores,
+    "score_groups": q_score_groups,
+    "cache_stats": q_cache_stats,
+    "merge_negatives": q_merge_negatives,
+    "batches": q_batches,
+    "own_group_scores": q_own_group_scores,
+    "group_log_softmax": q_group_log_softmax,
+    "distill_kl": q_distill_kl,
+    "in_batch_accuracy": q_in_batch_accuracy,
+    "tokenize": q_tokenize,
+    "words_uncased": q_words_uncased,
+    "token_count": q_token_count,
+    "token_offsets": q_token_offsets,
+    "untokenize": q_untokenize,
+    "token_slice": q_token_slice,
+    "ngrams": q_ngrams,
+    "ngram_counts": q_ngram_counts,
+    "entity_groups": q_entity_groups,
+    "truncate_query": q_truncate_query,
+    "truncate_pair": q_truncate_pair,
+    "passage_text": q_passage_text,
+    "with_ordinal": q_with_ordinal,
+    "head_sample": q_head_sample,
+    "contiguous_shard": q_contiguous_shard,
 }

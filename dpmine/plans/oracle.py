@@ -51,6 +51,34 @@ def _groups(src: str, n: int) -> str:
             f"SELECT qid, 0 AS slot, pid, score FROM ({_pos(src)}) UNION ALL {_negs(src, n)})) WHERE size = {n + 1}")
 
 
+TEACH = "-list_sum(list_transform(list_zip(q.vec, p.vec), lambda t: (t[1] - t[2]) * (t[1] - t[2])))"
+TOKEN = r"[\p{L}\p{N}\p{M}]+|[^\p{Z}\p{C}]"
+PIECE = r"(?:[\p{L}\p{N}\p{M}]+|[^\p{Z}\p{C}])[\p{Z}\p{C}]*"
+PY_SPACE = r"[\t\n\x0B\f\r\x1C-\x1F\x85\p{Z}]"
+
+
+def _toks(col: str, lower: bool = False) -> str:
+    t = f"regexp_extract_all(coalesce({col}, ''), '{TOKEN}')"
+    return f"list_transform({t}, lambda w: lower(w))" if lower else t
+
+
+def _strip(col: str) -> str:
+    return f"regexp_replace({col}, '^{PY_SPACE}+|{PY_SPACE}+$', '', 'g')"
+
+
+def _merge(own: str) -> str:
+    return (f"SELECT qid, role, pos, pid, score FROM {own} UNION ALL SELECT o.qid, 'neg' AS role, "
+            f"CAST(o.pos + coalesce(c.n_own, 0) AS INTEGER) AS pos, o.pid, o.score FROM other o LEFT JOIN "
+            f"(SELECT qid, count(*) AS n_own FROM {own} WHERE role = 'neg' GROUP BY qid) c USING (qid) "
+            f"WHERE o.qid IN (SELECT qid FROM {own})")
+
+
+def _jac(a: str, b: str) -> str:
+    da, db = f"list_distinct({a})", f"list_distinct({b})"
+    inter = f"len(list_intersect({da}, {db}))"
+    return f"CAST({inter} AS DOUBLE) / NULLIF(len({da}) + len({db}) - {inter}, 0)"
+
+
 # name -> (dependencies, body)
 CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "q": ((), "SELECT vec_id AS qid, CAST(embedding AS DOUBLE[]) AS vec, label FROM embeddings WHERE vec_id < 50"),
@@ -79,6 +107,49 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
           "(SELECT count(DISTINCT qid) FROM run100 WHERE qid IN (SELECT qid FROM qe)) AS queries_evaluated, "
           "nj.n AS queries_judged FROM (SELECT count(DISTINCT qid) AS n FROM qe) nj"),
     "ga8": (("hn",), _groups("hn", 8)),
+    "run100b": (("q", "p"), _run(100)),
+    "hnprev": (("qt", "qr", "run100"), _hn("run100", 50)),
+    "cache": (("hnprev", "q", "p"), f"SELECT x.qid, x.pid, {TEACH} AS score FROM (SELECT DISTINCT qid, pid FROM hnprev) x "
+                                     "JOIN q USING (qid) JOIN p USING (pid)"),
+    "unsc": (("hn", "cache"), "SELECT DISTINCT qid, pid FROM hn WHERE pos < 100 EXCEPT SELECT qid, pid FROM cache"),
+    "newsc": (("unsc", "q", "p"), f"SELECT u.qid, u.pid, {TEACH} AS score FROM unsc u JOIN q USING (qid) JOIN p USING (pid)"),
+    "tbl": (("cache", "newsc"), "SELECT * FROM cache UNION ALL SELECT * FROM newsc"),
+    "scored": (("hn", "tbl"), "SELECT h.qid, h.role, h.pos, h.pid, t.score FROM hn h LEFT JOIN tbl t USING (qid, pid) "
+                              "WHERE h.pos < 100"),
+    "grun20": (("q", "pg"), _run(20, "q, pg", "-0.5 * list_sum(list_transform(list_zip(q.vec, pg.mean, pg.var), "
+                                              "lambda t: ln(t[3]) + (t[1] - t[2]) * (t[1] - t[2]) / t[3]))",
+                                  "q.qid, pg.pid")),
+    "other": (("grun20", "qr"), "SELECT qid, 'neg' AS role, CAST(row_number() OVER (PARTITION BY qid ORDER BY rank) - 1 "
+                                "AS INTEGER) AS pos, pid, score FROM grun20 g WHERE NOT EXISTS "
+                                "(SELECT 1 FROM qr WHERE qr.qid = g.qid AND qr.pid = g.pid)"),
+    "jac": (("hn", "qt", "corpus"), "SELECT x.qid, x.pid, " + _jac(_toks("qt.query", True),
+                                    _toks("coalesce(c.title, '') || ': ' || coalesce(c.contents, '')", True)) +
+            " AS score FROM (SELECT DISTINCT qid, pid FROM hn) x JOIN qt USING (qid) JOIN corpus c USING (pid)"),
+    "ga8s": (("scored",), _groups("scored", 8)),
+    "qb": (("ga8s",), "SELECT qid, CAST(o AS BIGINT) AS ordinal, CAST(o // 5 AS BIGINT) AS batch FROM "
+                      "(SELECT qid, row_number() OVER (ORDER BY qid) - 1 AS o FROM (SELECT DISTINCT qid FROM ga8s))"),
+    "bg": (("ga8s", "qb"), "SELECT g.*, qb.batch FROM ga8s g JOIN qb USING (qid)"),
+    "own": (("bg", "q", "p"), "SELECT g.qid, g.slot, g.pid, g.batch, g.score, list_dot_product(q.vec, p.vec) AS student "
+                              "FROM bg g JOIN q USING (qid) JOIN p USING (pid)"),
+    "lsm": (("own",), "SELECT *, score - ms - ln(sum(exp(score - ms)) OVER (PARTITION BY qid)) AS t, "
+                      "student - mst - ln(sum(exp(student - mst)) OVER (PARTITION BY qid)) AS s FROM "
+                      "(SELECT *, max(score) OVER (PARTITION BY qid) AS ms, max(student) OVER (PARTITION BY qid) AS mst "
+                      "FROM own)"),
+    "tok": ((), "SELECT doc_id, CAST(i AS INTEGER) AS i, piece, n, lead FROM (SELECT doc_id, "
+                f"unnest(generate_series(0, len(pieces) - 1)) AS i, unnest(pieces) AS piece, len(pieces) AS n, lead FROM ("
+                f"SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{PIECE}') AS pieces, "
+                f"length(regexp_extract(coalesce(text, ''), '^[\\p{{Z}}\\p{{C}}]*')) AS lead FROM documents) "
+                "WHERE len(pieces) > 0)"),
+    "toks": (("tok",), f"SELECT doc_id, i, regexp_extract(piece, '^(?:{TOKEN})') AS token, "
+                       f"CASE WHEN i = n - 1 THEN regexp_extract(piece, '^(?:{TOKEN})') ELSE piece END AS token_ws, "
+                       "CAST(lead + coalesce(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN "
+                       "UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS start, n FROM tok"),
+    "grams": ((), "SELECT doc_id, s, L, array_to_string(list_slice(w, s + 1, s + L), ' ') AS gram, "
+                  "list_slice(w, s + 1, s + L) AS ws FROM (SELECT doc_id, w, unnest(generate_series(0, len(w) - 1)) AS s "
+                  f"FROM (SELECT doc_id, {_toks('text', True)} AS w FROM documents) WHERE len(w) > 0) "
+                  "CROSS JOIN (SELECT unnest([1, 2]) AS L) WHERE s + L <= len(w)"),
+    "keptgrams": (("grams",), "SELECT * FROM grams WHERE NOT list_bool_or(list_transform(ws, lambda x: "
+                              "NOT regexp_matches(x, '^[\\p{L}\\p{N}\\p{M}]')))"),
 }
 
 
@@ -151,4 +222,72 @@ SQL = {
                    "list(pid ORDER BY pos) FILTER (WHERE role = 'pos') AS pos_ids, "
                    "list(pid ORDER BY pos) FILTER (WHERE role = 'neg') AS neg_ids FROM hn h LEFT JOIN qt USING (qid) "
                    f"GROUP BY h.qid, qt.query) ORDER BY {_key('qid')}, qid LIMIT 3", "hn", "qt"),
+    # scoring
+    "cap_candidates": sql("SELECT qid, role, pos, pid, round(score, 6) AS score FROM (" + _merge("hn") + ") WHERE pos < 100",
+                          "hn", "other"),
+    "unscored_pairs": sql("SELECT * FROM unsc", "unsc"),
+    "score_pairs": sql("SELECT qid, pid, round(score, 6) AS score FROM jac", "jac"),
+    "score_upsert": sql("SELECT qid, pid, round(score, 6) AS score FROM tbl", "tbl"),
+    "attach_scores": sql("SELECT h.qid, h.role, h.pos, h.pid, round(j.score, 6) AS score FROM hn h "
+                         "LEFT JOIN jac j USING (qid, pid)", "hn", "jac"),
+    "score_groups": sql("SELECT qid, role, pos, pid, round(score, 6) AS score FROM scored", "scored"),
+    "cache_stats": sql("SELECT CAST(t AS BIGINT) AS total, CAST(n AS BIGINT) AS new, CAST(t - n AS BIGINT) AS skip, "
+                       "round((t - n) / t, 6) AS skip_rate FROM (SELECT (SELECT count(*) FROM hn WHERE pos < 100) AS t, "
+                       "(SELECT count(*) FROM newsc) AS n)", "hn", "newsc"),
+    "merge_negatives": sql("SELECT qid, role, pos, pid, round(score, 6) AS score FROM (" + _merge("scored") + ")",
+                           "scored", "other"),
+    # losses
+    "batches": sql("SELECT * FROM qb", "qb"),
+    "own_group_scores": sql("SELECT qid, slot, pid, round(student, 6) AS student FROM own", "own"),
+    "group_log_softmax": sql("SELECT qid, slot, pid, round(t, 6) AS logp FROM lsm", "lsm"),
+    "distill_kl": sql("SELECT batch, count(*) AS n_queries, round(avg(kl_q), 6) AS kl FROM (SELECT batch, qid, "
+                      "sum(exp(t) * (t - s)) AS kl_q FROM lsm GROUP BY batch, qid) GROUP BY batch", "lsm"),
+    "in_batch_accuracy": sql(
+        "SELECT batch, count(*) AS n_queries, count(*) FILTER (WHERE col = qi * 9) AS n_correct, "
+        "round(count(*) FILTER (WHERE col = qi * 9) / count(*), 6) AS accuracy FROM ("
+        "SELECT *, row_number() OVER (PARTITION BY batch, qid ORDER BY sc DESC, col) AS r FROM ("
+        "SELECT a.batch, a.qid, a.qi, b.col, round(list_dot_product(q.vec, p.vec), 6) AS sc FROM "
+        "(SELECT batch, qid, dense_rank() OVER (PARTITION BY batch ORDER BY qid) - 1 AS qi FROM "
+        "(SELECT DISTINCT batch, qid FROM bg)) a JOIN "
+        "(SELECT g.batch, x.qi * 9 + g.slot AS col, g.pid FROM bg g JOIN (SELECT batch, qid, dense_rank() OVER "
+        "(PARTITION BY batch ORDER BY qid) - 1 AS qi FROM (SELECT DISTINCT batch, qid FROM bg)) x USING (batch, qid)) b "
+        "USING (batch) JOIN q ON q.qid = a.qid JOIN p ON p.pid = b.pid)) WHERE r = 1 GROUP BY batch", "bg", "q", "p"),
+    # text
+    "tokenize": f"SELECT doc_id, {_toks('text')} AS tokens FROM documents",
+    "words_uncased": f"SELECT doc_id, {_toks('text', True)} AS tokens FROM documents",
+    "token_count": f"SELECT doc_id, CAST(len({_toks('text')}) AS INTEGER) AS n_tokens FROM documents",
+    "token_offsets": sql("SELECT doc_id, i, token, start, CAST(start + length(token) AS INTEGER) AS \"end\" FROM toks",
+                         "toks"),
+    "untokenize": sql(f"SELECT doc_id, {_strip('string_agg(token_ws, \'\' ORDER BY i)')} AS text FROM toks "
+                      "GROUP BY doc_id", "toks"),
+    "token_slice": sql(f"SELECT doc_id, {_strip('string_agg(token_ws, \'\' ORDER BY i)')} AS text FROM toks "
+                       "WHERE i >= least(2, n) AND i < greatest(n - 2, 0) GROUP BY doc_id", "toks"),
+    "ngrams": sql("SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY s, L) - 1 AS INTEGER) AS g, gram "
+                  "FROM keptgrams", "keptgrams"),
+    "ngram_counts": sql("SELECT gram, count(*) AS n FROM keptgrams GROUP BY gram", "keptgrams"),
+    "entity_groups": sql(
+        f"SELECT doc_id, CAST(min(i) AS INTEGER) AS first_i, CAST(max(i) AS INTEGER) AS last_i, "
+        f"{_strip('string_agg(token_ws, \'\' ORDER BY i)')} AS text, tag FROM ("
+        "SELECT *, i - row_number() OVER (PARTITION BY doc_id, tag ORDER BY i) AS grp FROM ("
+        "SELECT doc_id, i, token_ws, CASE WHEN regexp_matches(token, '^\\p{Lu}') THEN 'CAP' ELSE 'O' END AS tag "
+        "FROM toks) WHERE tag <> 'O') GROUP BY doc_id, tag, grp", "toks"),
+    "truncate_query": f"SELECT qid, CAST(len(t) AS INTEGER) AS n_tokens, array_to_string(t, ' ') AS text FROM ("
+                      f"SELECT item_id AS qid, list_slice({_toks('text')}, 1, 32) AS t FROM benchmark)",
+    "truncate_pair": (
+        "SELECT pid, CAST(len(a2) AS INTEGER) AS len_a, CAST(len(b2) AS INTEGER) AS len_b, "
+        "array_to_string(a2, ' ') AS text_a, array_to_string(b2, ' ') AS text_b FROM ("
+        "SELECT pid, list_slice(a, 1, CASE WHEN la + lb <= 141 THEN la WHEN la <= lb THEN least(la, 70) "
+        "ELSE 141 - least(lb, 70) END) AS a2, list_slice(b, 1, CASE WHEN la + lb <= 141 THEN lb WHEN la <= lb "
+        "THEN 141 - least(la, 70) ELSE least(lb, 70) END) AS b2 FROM ("
+        f"SELECT doc_id AS pid, {_toks('source')} AS a, {_toks('text')} AS b, len({_toks('source')}) AS la, "
+        f"len({_toks('text')}) AS lb FROM documents))"),
+    "passage_text": "SELECT doc_id AS pid, coalesce(source, '') || ': ' || coalesce(text, '') AS text FROM documents",
+    # ordinals
+    "with_ordinal": "SELECT doc_id, CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS ordinal FROM documents",
+    "head_sample": "SELECT doc_id, text FROM documents ORDER BY doc_id LIMIT 10",
+    "contiguous_shard": (
+        "SELECT doc_id, ordinal, CAST(CASE WHEN ordinal < extra * (base + 1) THEN ordinal // (base + 1) "
+        "ELSE extra + (ordinal - extra * (base + 1)) // greatest(base, 1) END AS INTEGER) AS shard FROM ("
+        "SELECT doc_id, CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS ordinal, "
+        "count(*) OVER () // 3 AS base, count(*) OVER () % 3 AS extra FROM documents)"),
 }
