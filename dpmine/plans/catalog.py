@@ -38,13 +38,22 @@ SHARDS = 3
 HEAD_N = 10
 
 
+def stage(df: DataFrame) -> DataFrame:
+    """Materialise a pipeline stage (run, mined groups, scores) and cut its lineage.
+
+    ``checkpoint`` writes to the shared folder named by ``spark.checkpoint.dir``,
+    so a lost executor costs a re-read, not a re-run of the upstream search.
+    """
+    return df.checkpoint(eager=True)
+
+
 def _r(col: str, name: str | None = None):
     return F.round(F.col(col), DIGITS).alias(name or col)
 
 
 # ---------------------------------------------------------------- search
 def run_k(spark, sf, k):
-    return S.mips_topk(T.query_vectors(spark, sf), T.passage_vectors(spark, sf), k)
+    return stage(S.mips_topk(T.query_vectors(spark, sf), T.passage_vectors(spark, sf), k))
 
 
 def q_score_matrix(spark, sf):
@@ -108,7 +117,7 @@ def _mining_inputs(spark, sf):
 
 def mined(spark, sf):
     qr, run, qt = _mining_inputs(spark, sf)
-    return G.hard_negatives(qr, run, qt, depth=DEPTH, max_rank=MINING_RUN_K)
+    return stage(G.hard_negatives(qr, run, qt, depth=DEPTH, max_rank=MINING_RUN_K))
 
 
 def q_collect_positives(spark, sf):
@@ -174,14 +183,14 @@ def score_cache(spark, sf):
     """Teacher scores of the previous (shallower) round's mined pairs."""
     qr, qt = T.qrels(spark, sf), T.query_texts(spark, sf)
     prev = G.hard_negatives(qr, run_k(spark, sf, PREV_RUN_K), qt, depth=PREV_DEPTH, max_rank=PREV_RUN_K)
-    return SC.score_pairs(SC.unscored_pairs(prev, None), teacher(spark, sf))
+    return stage(SC.score_pairs(SC.unscored_pairs(prev, None), teacher(spark, sf)))
 
 
 def other_negatives(spark, sf):
     """Second negative set in long form: Gaussian top-20 without the judged passages."""
     q = T.query_vectors(spark, sf).select("qid", F.col("vec").alias("mean"))
     g = S.gaussian_topk(q, T.passage_gaussians(spark, sf), OTHER_K)
-    g = G.exclude_positives(g, T.qrels(spark, sf))
+    g = G.exclude_positives(stage(g), T.qrels(spark, sf))
     from pyspark.sql import Window
     return g.select("qid", F.lit(G.NEG).alias("role"),
                     (F.row_number().over(Window.partitionBy("qid").orderBy("rank")) - 1).cast("int").alias("pos"),
@@ -221,7 +230,7 @@ def q_attach_scores(spark, sf):
 
 def scored_groups(spark, sf):
     scored, _, _ = SC.score_groups(mined(spark, sf), score_cache(spark, sf), teacher(spark, sf), CAP)
-    return scored
+    return stage(scored)
 
 
 def q_score_groups(spark, sf):
@@ -243,7 +252,7 @@ def batched_groups(spark, sf):
     """Training groups of the scored set, n = 8, with batches of five queries in qid order."""
     g = G.assemble_groups(scored_groups(spark, sf), N_NEG, SEED)
     qb = O.batches(g.select("qid").distinct(), BATCH_QUERIES, ["qid"]).select("qid", "batch")
-    return g.join(qb, "qid")
+    return stage(g.join(qb, "qid"))
 
 
 def q_batches(spark, sf):
