@@ -72,14 +72,16 @@ def ngrams(tokens, n: int = 2, drop: Callable[[Column], Column] | None = None) -
 def ngram_rows(docs: DataFrame, n: int = 2, uncased: bool = True, drop=None, id_col: str = "doc_id",
                text_col: str = "text") -> DataFrame:
     """``id, g, gram`` — every kept n-gram of every document as a space-joined string."""
-    grams = ngrams(words(text_col, uncased), n, drop)
-    out = docs.select(id_col, F.posexplode_outer(grams).alias("g", "words"))
+    # tokens first, as a column: an expression referenced inside the lambdas would be re-run per start
+    toks = docs.select(id_col, words(text_col, uncased).alias("_w"))
+    out = toks.select(id_col, F.posexplode_outer(ngrams("_w", n, drop)).alias("g", "words"))
     return out.filter(F.col("words").isNotNull()).select(id_col, "g", F.array_join("words", " ").alias("gram"))
 
 
 def ngram_spans(docs: DataFrame, n: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, s, e``: n-grams as token index spans ``[s, e)`` (the non-string form)."""
-    size = F.size(words(text_col))
+    docs = docs.select(id_col, F.size(words(text_col)).alias("_n"))
+    size = F.col("_n")
     spans = F.flatten(F.transform(F.sequence(F.lit(0), size - 1), lambda s: F.transform(
         F.sequence(F.lit(1), F.least(F.lit(n), size - s)), lambda L: F.struct(s.alias("s"), (s + L).alias("e")))))
     spans = F.when(size > 0, spans)
