@@ -16,6 +16,12 @@ from dpmine.operators import metrics as M
 from dpmine.operators import ordinal as O
 from dpmine.operators import scoring as SC
 from dpmine.operators import text as TX
+from dpmine.operators import pooling as PL
+from dpmine.operators import encode as EN
+from dpmine.functions import vectors as V
+from dpmine.sources import io as IO
+from dpmine.plans import jobs as J
+from dpmine.session import scratch_path
 from dpmine.functions import text as TF
 from dpmine.operators import search as S
 from dpmine.sources import testbed as T
@@ -36,6 +42,8 @@ NGRAM_N = 2
 QUERY_LEN, PASSAGE_LEN, PAIR_RESERVE = 32, 144, 3
 SHARDS = 3
 HEAD_N = 10
+HASH_DIM = 64
+SEQ_MASK_MOD = 5
 
 
 def stage(df: DataFrame) -> DataFrame:
@@ -358,6 +366,123 @@ def q_contiguous_shard(spark, sf):
     return O.contiguous_shard(_docs(spark, sf).select("doc_id"), SHARDS, ["doc_id"])
 
 
+# ---------------------------------------------------------------- vectors
+def _explode_vec(df, id_col, vec_col):
+    return df.select(id_col, F.posexplode(vec_col).alias("i", "x")).select(id_col, "i", _r("x"))
+
+
+def q_fold_query(spark, sf):
+    p = T.passage_vectors(spark, sf)
+    return _explode_vec(p.select("pid", V.fold_query("vec").alias("v")), "pid", "v")
+
+
+def q_fold_passage(spark, sf):
+    g = T.passage_gaussians(spark, sf)
+    return _explode_vec(g.select("pid", V.fold_passage("mean", "var").alias("v")), "pid", "v")
+
+
+def q_softplus(spark, sf):
+    return _explode_vec(T.passage_vectors(spark, sf).select("pid", V.softplus("vec").alias("v")), "pid", "v")
+
+
+def token_sequences(spark, sf):
+    """Passage vectors of one label, in id order, as one token sequence; every fifth id masked."""
+    p = T.passage_vectors(spark, sf)
+    return p.select(F.col("label").alias("seq"), F.col("pid").alias("pos"), "vec",
+                    (F.col("pid") % SEQ_MASK_MOD != 0).alias("mask"))
+
+
+def q_first_token_pool(spark, sf):
+    return _explode_vec(PL.first_token_pool(token_sequences(spark, sf)), "seq", "vec")
+
+
+def q_attention_pool(spark, sf):
+    return PL.attention_pool(token_sequences(spark, sf)).select("seq", "i", _r("x"))
+
+
+def q_embeddings_store(spark, sf):
+    path = scratch_path(spark, "embeddings")
+    IO.write_embeddings(T.passage_vectors(spark, sf), path, "pid", "vec")
+    return _explode_vec(IO.read_embeddings(spark, path).withColumnRenamed("id", "pid"), "pid", "vec")
+
+
+def q_encode_hashed(spark, sf):
+    return EN.hashed_bag(_docs(spark, sf), dim=HASH_DIM).select("doc_id", F.col("bucket").cast("int"), "n")
+
+
+# ---------------------------------------------------------------- file formats
+def q_read_corpus(spark, sf):
+    path = scratch_path(spark, "corpus")
+    IO.write_corpus(T.corpus(spark, sf), path)
+    return IO.read_corpus(spark, path)
+
+
+def query_file_rows(spark, sf):
+    """Benchmark texts as a query file holds them: one line each, line breaks flattened."""
+    q = T.query_texts(spark, sf)
+    return q.select("qid", F.regexp_replace("query", "[\\t\\r\\n]", " ").alias("query"))
+
+
+def q_read_queries(spark, sf):
+    path = scratch_path(spark, "queries")
+    IO.write_queries(query_file_rows(spark, sf), path)
+    return IO.read_queries(spark, path)
+
+
+def q_read_qrels(spark, sf):
+    path = scratch_path(spark, "qrels")
+    IO.write_qrels(T.qrels_eval(spark, sf), path)
+    return IO.read_qrels(spark, path)
+
+
+def q_read_run(spark, sf):
+    path = scratch_path(spark, "run")
+    IO.write_run(run_k(spark, sf, EVAL_RUN_K), path)
+    return IO.read_run(spark, path, max_rank=1000, over="error")
+
+
+def q_write_run(spark, sf):
+    path = scratch_path(spark, "run10")
+    IO.write_run(run_k(spark, sf, TOPK), path, ordered=True)
+    return IO.read_run(spark, path, max_rank=TOPK, over="skip")
+
+
+def _groups_file(spark, sf):
+    path = scratch_path(spark, "groups")
+    IO.write_groups(mined(spark, sf), T.query_texts(spark, sf), path)
+    return path
+
+
+def q_read_groups(spark, sf):
+    g = IO.read_groups(spark, _groups_file(spark, sf))
+    return g.select("qid", "query", F.col("positives.doc_id").alias("pos_ids"), F.col("positives.score").alias("pos_scores"),
+                    F.col("negatives.doc_id").alias("neg_ids"), F.col("negatives.score").alias("neg_scores"))
+
+
+def q_write_groups(spark, sf):
+    return IO.read_groups_long(spark, _groups_file(spark, sf))
+
+
+# ---------------------------------------------------------------- the round
+def round_inputs(spark, sf):
+    qv = T.query_vectors(spark, sf)
+    return dict(train_queries=qv, dev_queries=qv, passages=T.passage_vectors(spark, sf), qrels=T.qrels(spark, sf),
+                dev_qrels=T.qrels_eval(spark, sf), query_texts=T.query_texts(spark, sf))
+
+
+def q_mining_round(spark, sf):
+    cfg = J.RoundConfig(train_k=MINING_RUN_K, dev_k=EVAL_RUN_K, depth=DEPTH, cap=CAP)
+    out = J.mining_round(spark, round_id=1, scorer=teacher(spark, sf), cache=score_cache(spark, sf),
+                         other=other_negatives(spark, sf), cfg=cfg, **round_inputs(spark, sf))
+    s = out["summary"]
+    return s.select("round", F.col("mined_queries").cast("long"), "total", "new", "skip", _r("skip_rate"),
+                    _r("mrr_at_10"), _r("recall_at_1"), _r("recall_at_50"), _r("recall_at_all"), "queries_ranked")
+
+
+def flagship(spark, sf):
+    return q_mining_round(spark, sf)
+
+
 QUERIES = {
     "score_matrix": q_score_matrix,
     "mips_topk": q_mips_topk,
@@ -408,4 +533,19 @@ QUERIES = {
     "with_ordinal": q_with_ordinal,
     "head_sample": q_head_sample,
     "contiguous_shard": q_contiguous_shard,
+    "fold_query": q_fold_query,
+    "fold_passage": q_fold_passage,
+    "softplus": q_softplus,
+    "first_token_pool": q_first_token_pool,
+    "attention_pool": q_attention_pool,
+    "embeddings_store": q_embeddings_store,
+    "encode_hashed": q_encode_hashed,
+    "read_corpus": q_read_corpus,
+    "read_queries": q_read_queries,
+    "read_qrels": q_read_qrels,
+    "read_run": q_read_run,
+    "write_run": q_write_run,
+    "read_groups": q_read_groups,
+    "write_groups": q_write_groups,
+    "mining_round": q_mining_round,
 }

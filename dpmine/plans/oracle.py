@@ -79,6 +79,12 @@ def _jac(a: str, b: str) -> str:
     return f"CAST({inter} AS DOUBLE) / NULLIF(len({da}) + len({db}) - {inter}, 0)"
 
 
+
+def _explode(src: str, id_col: str, vec: str) -> str:
+    return (f"SELECT {id_col}, CAST(i AS INTEGER) AS i, round(x, 6) AS x FROM (SELECT {id_col}, "
+            f"unnest(generate_series(0, len({vec}) - 1)) AS i, unnest({vec}) AS x FROM {src})")
+
+
 # name -> (dependencies, body)
 CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "q": ((), "SELECT vec_id AS qid, CAST(embedding AS DOUBLE[]) AS vec, label FROM embeddings WHERE vec_id < 50"),
@@ -150,6 +156,11 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
                   "CROSS JOIN (SELECT unnest([1, 2]) AS L) WHERE s + L <= len(w)"),
     "keptgrams": (("grams",), "SELECT * FROM grams WHERE NOT list_bool_or(list_transform(ws, lambda x: "
                               "NOT regexp_matches(x, '^[\\p{L}\\p{N}\\p{M}]')))"),
+    "seqs": (("p",), "SELECT label AS seq, pid AS pos, vec, pid % 5 <> 0 AS mask FROM p"),
+    "attn": (("seqs",), "SELECT seq, vec, w FROM (SELECT seq, vec, e / sum(e) OVER (PARTITION BY seq) AS w FROM ("
+                        "SELECT seq, vec, exp(a - max(a) OVER (PARTITION BY seq)) AS e FROM ("
+                        "SELECT t.seq, t.vec, list_dot_product(fq.q, t.vec) / sqrt(len(fq.q)) AS a FROM seqs t JOIN "
+                        "(SELECT seq, arg_min(vec, pos) AS q FROM seqs GROUP BY seq) fq USING (seq) WHERE t.mask)))"),
 }
 
 
@@ -290,4 +301,40 @@ SQL = {
         "ELSE extra + (ordinal - extra * (base + 1)) // greatest(base, 1) END AS INTEGER) AS shard FROM ("
         "SELECT doc_id, CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS ordinal, "
         "count(*) OVER () // 3 AS base, count(*) OVER () % 3 AS extra FROM documents)"),
+    # vectors
+    "fold_query": sql(_explode("(SELECT pid, [1.0] || list_transform(vec, lambda x: x * x) || vec || [1.0] AS v FROM p)",
+                               "pid", "v"), "p"),
+    "fold_passage": sql(_explode("(SELECT pid, [-0.5 * list_sum(list_transform(var, lambda x: ln(x)))] || list_transform(var, lambda x: -0.5 / x) || list_transform(list_zip(mean, var), lambda t: t[1] / t[2]) || [-0.5 * list_sum(list_transform(list_zip(mean, var), lambda t: t[1] * t[1] / t[2]))] AS v FROM pg)", "pid", "v"), "pg"),
+    "softplus": sql(_explode("pg", "pid", "var"), "pg"),
+    "first_token_pool": sql(_explode("(SELECT seq, arg_min(vec, pos) AS vec FROM seqs GROUP BY seq)", "seq", "vec"),
+                            "seqs"),
+    "attention_pool": sql("SELECT seq, CAST(i AS INTEGER) AS i, round(sum(w * x), 6) AS x FROM (SELECT seq, w, "
+                          "unnest(generate_series(0, len(vec) - 1)) AS i, unnest(vec) AS x FROM attn) GROUP BY seq, i",
+                          "attn"),
+    "embeddings_store": sql(_explode("p", "pid", "vec"), "p"),
+    "encode_hashed": (f"SELECT doc_id, CAST(bucket AS INTEGER) AS bucket, count(*) AS n FROM (SELECT doc_id, "
+                      f"('0x' || substr(md5(t), 1, 8))::BIGINT % 64 AS bucket FROM (SELECT doc_id, "
+                      f"unnest({_toks('text', True)}) AS t FROM documents)) GROUP BY doc_id, bucket"),
+    # file formats
+    "read_corpus": ("SELECT CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS pid, source AS title, "
+                    "text AS contents FROM documents"),
+    "read_queries": ("SELECT item_id AS qid, " + _strip("regexp_replace(text, '[\\t\\r\\n]', ' ', 'g')") +
+                     " AS query FROM benchmark"),
+    "read_qrels": sql("SELECT qid, pid, rel FROM qe", "qe"),
+    "read_run": sql("SELECT qid, pid, rank FROM run100", "run100"),
+    "write_run": sql("SELECT qid, pid, rank FROM run10", "run10"),
+    "read_groups": sql("SELECT h.qid, qt.query, list(pid ORDER BY pos) FILTER (WHERE role = 'pos') AS pos_ids, "
+                       "list(score ORDER BY pos) FILTER (WHERE role = 'pos') AS pos_scores, "
+                       "list(pid ORDER BY pos) FILTER (WHERE role = 'neg') AS neg_ids, "
+                       "list(score ORDER BY pos) FILTER (WHERE role = 'neg') AS neg_scores "
+                       "FROM hn h LEFT JOIN qt USING (qid) GROUP BY h.qid, qt.query", "hn", "qt"),
+    "write_groups": sql("SELECT * FROM hn", "hn"),
+    # the round
+    "mining_round": sql(
+        "SELECT 1 AS round, CAST((SELECT count(DISTINCT qid) FROM hn) AS BIGINT) AS mined_queries, "
+        "CAST(t AS BIGINT) AS total, CAST(n AS BIGINT) AS new, CAST(t - n AS BIGINT) AS skip, "
+        "round((t - n) / t, 6) AS skip_rate, round(m.mrr_at_10, 6) AS mrr_at_10, round(m.recall_at_1, 6) AS recall_at_1, "
+        "round(m.recall_at_50, 6) AS recall_at_50, round(m.recall_at_all, 6) AS recall_at_all, "
+        "CAST(m.queries_ranked AS BIGINT) AS queries_ranked FROM (SELECT (SELECT count(*) FROM hn WHERE pos < 100) AS t, "
+        "(SELECT count(*) FROM newsc) AS n) x, m", "hn", "newsc", "m"),
 }
