@@ -134,7 +134,18 @@ def _block_plan(queries: DataFrame, passages: DataFrame, *, qid: str, pid: str,
     n, d = _vector_dim(queries, vec)
     if n == 0:
         return spark.createDataFrame([], _CAND_SCHEMA)
-    nblocks = max(1, math.ceil(1.5 * n * d * 8 / block_bytes))
+    if d * 8 > block_bytes:
+        raise ValueError(f"one {d}-dim query vector does not fit the {block_bytes} byte block budget")
+    nblocks = max(1, math.ceil(n * d * 8 / block_bytes))
+    while nblocks > 1:
+        # one small job: rows per hash block; double the blocks until the largest fits the budget
+        sizes = (queries.groupBy(F.pmod(F.xxhash64(F.col(qid).cast("long")), F.lit(nblocks)).alias("b"))
+                 .agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0])
+        if sizes * d * 8 <= block_bytes:
+            break
+        if nblocks > 4 * n:
+            raise ValueError("query blocks cannot be split further: repeated query ids")
+        nblocks *= 2
     pas = (passages.select(F.col(pid).cast("long").alias(pid), as_double_vector(vec).alias(vec))
            .filter(F.size(vec) == d))
     parts = []
