@@ -53,7 +53,9 @@ def bucket_of(token, dim: int):
 def hashed_bag(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dim: int = 64) -> DataFrame:
     """Sparse hashed bag of words ``id, bucket, n`` (lower-cased tokens)."""
     # explode_outer: a plain explode makes Catalyst add a size() filter that re-runs the tokeniser
-    toks = docs.select(id_col, F.explode_outer(words(text_col, True)).alias("_t")).filter(F.col("_t").isNotNull())
+    from dpmine.operators.text import spread
+    toks = spread(docs).select(id_col, F.explode_outer(words(text_col, True)).alias("_t")).filter(
+        F.col("_t").isNotNull())
     return toks.groupBy(id_col, bucket_of(F.col("_t"), dim).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 

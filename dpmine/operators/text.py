@@ -25,6 +25,17 @@ PY_SPACE = r"[\t\n\x0B\f\r\x1C-\x1F\x85\p{Z}]"
 NON_ENTITY = "O"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give CPU-heavy per-document work at least one input partition per core.
+
+    A scan of few large row groups yields fewer tasks than cores; then the
+    documents are spread round-robin (one exchange of the text).  A scan that
+    already has enough splits — any large input — is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def strip_py(col: Column) -> Column:
     return F.regexp_replace(col, f"^{PY_SPACE}+|{PY_SPACE}+$", "")
 
@@ -32,7 +43,7 @@ def strip_py(col: Column) -> Column:
 # ---------------------------------------------------------------- array form
 def tokenize_docs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", uncased: bool = False) -> DataFrame:
     """``id, tokens`` (token texts in order)."""
-    return docs.select(id_col, words(text_col, uncased).alias("tokens"))
+    return spread(docs).select(id_col, words(text_col, uncased).alias("tokens"))
 
 
 def py_bound(i, n: Column) -> Column:
@@ -69,11 +80,51 @@ def ngrams(tokens, n: int = 2, drop: Callable[[Column], Column] | None = None) -
     return grams
 
 
+def _gram_strings(toks: DataFrame, id_col: str, n: int, drop_word) -> DataFrame:
+    """Per length L, the L-gram strings and drop flags as parallel arrays (``zip_with`` of shifted slices).
+
+    No array is allocated per gram: O(tokens · n) string concatenations.
+    """
+    w = F.col("_w")
+    size = F.size(w)
+    flags = F.transform(w, lambda x: drop_word(x)) if drop_word is not None else F.transform(w, lambda x: F.lit(False))
+    cols = [id_col, w.alias("_w"), flags.alias("_f1")]
+    d = toks.select(*cols)
+    d = d.withColumn("_g1", F.col("_w"))
+    for L in range(2, n + 1):
+        tail_w = F.slice("_w", L, F.greatest(size - L + 1, F.lit(0)))
+        tail_f = F.slice("_f1", L, F.greatest(size - L + 1, F.lit(0)))
+        d = d.withColumn(f"_g{L}", F.zip_with(F.slice(f"_g{L - 1}", 1, F.greatest(size - L + 1, F.lit(0))), tail_w,
+                                              lambda a, b: F.concat(a, F.lit(" "), b)))
+        d = d.withColumn(f"_f{L}", F.zip_with(F.slice(f"_f{L - 1}", 1, F.greatest(size - L + 1, F.lit(0))), tail_f,
+                                              lambda a, b: a | b))
+    return d
+
+
 def ngram_rows(docs: DataFrame, n: int = 2, uncased: bool = True, drop=None, id_col: str = "doc_id",
-               text_col: str = "text") -> DataFrame:
-    """``id, g, gram`` — every kept n-gram of every document as a space-joined string."""
+               text_col: str = "text", drop_word=None) -> DataFrame:
+    """``id, g, gram`` — every kept n-gram of every document as a space-joined string.
+
+    ``drop(gram_words)`` is a predicate on the word array of a gram;
+    ``drop_word(word)`` the common special case "drop a gram when any of its
+    words matches", which needs no per-gram arrays.  ``g`` is the gram's place
+    among the kept grams (by start, then length).
+    """
     # tokens first, as a column: an expression referenced inside the lambdas would be re-run per start
-    toks = docs.select(id_col, words(text_col, uncased).alias("_w"))
+    toks = spread(docs).select(id_col, words(text_col, uncased).alias("_w"))
+    if drop is None:
+        d = _gram_strings(toks, id_col, n, drop_word)
+        size = F.size("_w")
+
+        def at(s):
+            return F.transform(F.sequence(F.lit(1), F.least(F.lit(n), size - s)), lambda L: F.struct(
+                F.element_at(F.array(*[F.col(f"_g{i}") for i in range(1, n + 1)]), L)[s].alias("gram"),
+                F.element_at(F.array(*[F.col(f"_f{i}") for i in range(1, n + 1)]), L)[s].alias("drop")))
+
+        items = F.filter(F.flatten(F.transform(F.sequence(F.lit(0), size - 1), at)), lambda x: ~x["drop"])
+        items = F.when(size > 0, items)
+        out = d.select(id_col, F.posexplode_outer(items).alias("g", "it"))
+        return out.filter(F.col("it").isNotNull()).select(id_col, "g", F.col("it.gram").alias("gram"))
     out = toks.select(id_col, F.posexplode_outer(ngrams("_w", n, drop)).alias("g", "words"))
     return out.filter(F.col("words").isNotNull()).select(id_col, "g", F.array_join("words", " ").alias("gram"))
 
@@ -89,8 +140,16 @@ def ngram_spans(docs: DataFrame, n: int = 2, id_col: str = "doc_id", text_col: s
         id_col, "sp.s", "sp.e")
 
 
-def ngram_counts(docs: DataFrame, n: int = 2, uncased: bool = True, drop=None, text_col: str = "text") -> DataFrame:
+def ngram_counts(docs: DataFrame, n: int = 2, uncased: bool = True, drop=None, text_col: str = "text",
+                 drop_word=None) -> DataFrame:
     """``gram, n``: corpus frequency of every kept gram (partial counts map-side, so hot grams do not skew)."""
+    if drop is None:
+        toks = spread(docs).select(words(text_col, uncased).alias("_w"), F.lit(0).alias("_d"))
+        d = _gram_strings(toks, "_d", n, drop_word)
+        kept = [F.filter(F.arrays_zip(F.col(f"_g{L}").alias("g"), F.col(f"_f{L}").alias("f")), lambda x: ~x["f"])
+                for L in range(1, n + 1)]
+        rows = d.select(F.explode_outer(F.concat(*kept)).alias("it")).filter(F.col("it").isNotNull())
+        return rows.groupBy(F.col("it.g").alias("gram")).agg(F.count(F.lit(1)).alias("n"))
     rows = ngram_rows(docs.select(F.lit(0).alias("_d"), text_col), n, uncased, drop, "_d", text_col)
     return rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
 

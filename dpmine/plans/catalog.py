@@ -320,16 +320,17 @@ def q_token_slice(spark, sf):
     return TX.untokenize_rows(TX.token_table(_docs(spark, sf)), lo=2, hi=-2)
 
 
-def _punct(gram):
-    return F.exists(gram, lambda w: ~w.rlike(r"^[\p{L}\p{N}\p{M}]"))
+def _punct_word(w):
+    """n-gram filter: drop a gram when one of its words does not start with a letter, digit or mark."""
+    return ~w.rlike(r"^[\p{L}\p{N}\p{M}]")
 
 
 def q_ngrams(spark, sf):
-    return TX.ngram_rows(_docs(spark, sf), NGRAM_N, True, _punct)
+    return TX.ngram_rows(_docs(spark, sf), NGRAM_N, True, drop_word=_punct_word)
 
 
 def q_ngram_counts(spark, sf):
-    return TX.ngram_counts(_docs(spark, sf), NGRAM_N, True, _punct)
+    return TX.ngram_counts(_docs(spark, sf), NGRAM_N, True, drop_word=_punct_word)
 
 
 def q_entity_groups(spark, sf):
