@@ -484,6 +484,20 @@ def flagship(spark, sf):
     return q_mining_round(spark, sf)
 
 
+# ---------------------------------------------------------------- streaming
+def q_score_stream(spark, sf):
+    """The mined groups written as two group files, scored by the incremental stream from an empty cache."""
+    from dpmine.streaming.scoring import read_scored, score_group_stream
+    root = scratch_path(spark, "stream")
+    g = mined(spark, sf)
+    IO.write_groups(g.filter(F.col("qid") % 2 == 0), T.query_texts(spark, sf), f"{root}/groups/round=0")
+    IO.write_groups(g.filter(F.col("qid") % 2 == 1), T.query_texts(spark, sf), f"{root}/groups/round=1")
+    q = score_group_stream(spark, f"{root}/groups/*", f"{root}/cache", f"{root}/scored", teacher(spark, sf),
+                           f"{root}/checkpoint", cap=CAP)
+    q.awaitTermination()
+    return read_scored(spark, f"{root}/scored").select("qid", "role", "pos", "pid", _r("score"))
+
+
 QUERIES = {
     "score_matrix": q_score_matrix,
     "mips_topk": q_mips_topk,
@@ -549,4 +563,5 @@ QUERIES = {
     "read_groups": q_read_groups,
     "write_groups": q_write_groups,
     "mining_round": q_mining_round,
+    "score_stream": q_score_stream,
 }

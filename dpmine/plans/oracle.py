@@ -337,4 +337,6 @@ SQL = {
         "round(m.recall_at_50, 6) AS recall_at_50, round(m.recall_at_all, 6) AS recall_at_all, "
         "CAST(m.queries_ranked AS BIGINT) AS queries_ranked FROM (SELECT (SELECT count(*) FROM hn WHERE pos < 100) AS t, "
         "(SELECT count(*) FROM newsc) AS n) x, m", "hn", "newsc", "m"),
+    "score_stream": sql(f"SELECT h.qid, h.role, h.pos, h.pid, round({TEACH}, 6) AS score FROM hn h "
+                        "JOIN q USING (qid) JOIN p USING (pid) WHERE h.pos < 100", "hn", "q", "p"),
 }
