@@ -117,16 +117,26 @@ def hard_negatives(qrels: DataFrame, run: DataFrame, queries: DataFrame, depth:
     judged for the query, first ``depth`` by rank; queries with fewer
     survivors are dropped (see ``mining_report``).  Positives are all judged
     passages.  Scores are 1.0 for positives and 0.0 for negatives.
+
+    One pass: positives and surviving negatives are unioned and every
+    per-query window (list position, negative count) runs on the same
+    ``qid`` exchange.
     """
-    mq, negs = _mine(qrels, run, queries, depth, max_rank, zero_pad)
-    neg_rows = (negs.filter((F.col("n_neg") >= depth) & (F.col("pos") < depth))
-                .select("qid", F.lit(NEG).alias("role"), F.col("pos").cast("int"), "pid",
-                        F.lit(0.0).alias("score")))
-    kept = neg_rows.select("qid").distinct()
-    pos_rows = (qrels.join(kept, "qid", "left_semi")
-                .withColumn("pos", (F.row_number().over(_wq(qrels_order, "pid")) - 1).cast("int"))
-                .select("qid", F.lit(POS).alias("role"), "pos", "pid", F.lit(1.0).alias("score")))
-    return pos_rows.unionByName(neg_rows)
+    r = run.filter(F.col("rank").between(1, max_rank)).select("qid", "pid", "rank")
+    if zero_pad:
+        r = pad_run(r, max_rank)
+    mq = mining_queries(qrels, r, queries).select("qid")
+    negs = exclude_positives(r.join(mq, "qid", "left_semi"), qrels).select(
+        "qid", "pid", F.lit(NEG).alias("role"), F.col("rank").cast("long").alias("_o"))
+    pos = qrels.join(mq, "qid", "left_semi").select(
+        "qid", "pid", F.lit(POS).alias("role"), F.col(qrels_order).cast("long").alias("_o"))
+    u = pos.unionByName(negs)
+    u = (u.withColumn("pos", (F.row_number().over(Window.partitionBy("qid", "role").orderBy("_o", "pid")) - 1)
+                      .cast("int"))
+         .withColumn("_n_neg", F.count(F.when(F.col("role") == NEG, True)).over(_wq())))
+    kept = u.filter((F.col("_n_neg") >= depth) & ((F.col("role") == POS) | (F.col("pos") < depth)))
+    return kept.select("qid", "role", "pos", "pid",
+                       F.when(F.col("role") == POS, F.lit(1.0)).otherwise(F.lit(0.0)).alias("score"))
 
 
 def mining_report(qrels: DataFrame, run: DataFrame, queries: DataFrame, depth: int = 100,
