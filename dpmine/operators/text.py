@@ -180,13 +180,65 @@ def truncate_pair(a, b, n: int, reserve: int = 0) -> tuple[Column, Column]:
 
 
 # ---------------------------------------------------------------- long form
-def token_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _token_rows(id_col: str):
+    """Arrow batch function: documents (id, lead, pieces, tokens) → one row per token with offsets.
+
+    Vectorised over the whole batch: the list columns are flattened, piece
+    lengths (code points) are prefix-summed once, and each document's base is
+    subtracted — no per-row Python.
+    """
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def run(batches):
+        for rb in batches:
+            pieces, toks = rb.column("_p"), rb.column("_t")
+            offs = pieces.offsets.to_numpy()
+            offs = offs - offs[0]
+            counts = np.diff(offs)
+            flat_p, flat_t = pieces.flatten(), toks.flatten()
+            total = len(flat_p)
+            if total == 0:
+                continue
+            lp = pc.utf8_length(flat_p).to_numpy(zero_copy_only=False).astype(np.int64)
+            lt = pc.utf8_length(flat_t).to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(len(counts)), counts)
+            excl = np.cumsum(lp) - lp
+            first = offs[:-1]
+            base = np.where(counts > 0, excl[np.minimum(first, total - 1)], 0)
+            idx = np.arange(total) - first[row]
+            lead = rb.column("_lead").to_numpy(zero_copy_only=False).astype(np.int64)
+            start = lead[row] + excl - base[row]
+            last = idx == counts[row] - 1
+            yield pa.RecordBatch.from_arrays(
+                [rb.column(id_col).take(pa.array(row)), pa.array(idx.astype(np.int32)), flat_t,
+                 pc.if_else(pa.array(last), flat_t, flat_p), pa.array(start.astype(np.int32)),
+                 pa.array((start + lt).astype(np.int32))],
+                names=[id_col, "i", "token", "token_ws", "start", "end"])
+
+    return run
+
+
+def token_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", method: str = "arrow") -> DataFrame:
     """``id, i, token, token_ws, start, end`` — one row per token, ``[start, end)`` in code points.
 
     ``token_ws`` is the token with the whitespace up to the next token (the
-    last token has none).  Documents are partitioned by id first; the running
-    offset is a window inside that partitioning.
+    last token has none).  The default (``arrow``) needs no exchange: the JVM
+    extracts each document's token pieces, and an Arrow batch function turns
+    them into rows with prefix-summed offsets.  ``window`` is the all-JVM
+    alternative: documents hash-partitioned by id, ``posexplode``, and a
+    running sum over a per-document window (``Generate`` keeps the
+    partitioning, so the window adds no token-level exchange — but the text is
+    shuffled once).
     """
+    if method == "arrow":
+        d = spread(docs).select(F.col(id_col).cast("long").alias(id_col), leading_gap(text_col).cast("long").alias("_lead"),
+                                token_pieces(text_col).alias("_p"))
+        d = d.select(id_col, "_lead", "_p",
+                     F.transform("_p", lambda p: F.regexp_extract(p, "^(?:" + TOKEN + ")", 0)).alias("_t"))
+        schema = f"{id_col} long, i int, token string, token_ws string, start int, end int"
+        return d.mapInArrow(_token_rows(id_col), schema)
     d = (docs.select(id_col, text_col).repartition(id_col)
          .select(id_col, leading_gap(text_col).alias("_lead"), token_pieces(text_col).alias("_p")))
     d = d.select(id_col, "_lead", F.size("_p").alias("_n"), F.posexplode_outer("_p").alias("i", "_piece"))
@@ -200,6 +252,31 @@ def token_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return out.withColumn("end", (F.col("start") + F.length("token")).cast("int"))
 
 
+def untokenize_text(text, lo: int | None = None, hi: int | None = None) -> Column:
+    """Text of tokens ``[lo, hi)`` (Python slice bounds) with their inner whitespace, stripped — per row.
+
+    The joined pieces of a token range are a substring of the text: from the
+    first token's start to the last token's end.  Offsets come from sums over
+    piece lengths (``aggregate`` over a slice, linear in the document), so no
+    token rows are needed.  Null when the range is empty.
+    """
+    pieces = token_pieces(text)
+    lens = F.transform(pieces, lambda p: F.length(p))
+    n = F.size(pieces)
+    s = py_bound(lo, n) if lo is not None else F.lit(0)
+    e = py_bound(hi, n) if hi is not None else n
+
+    def upto(k):
+        return F.aggregate(F.slice(lens, 1, k), F.lit(0), lambda a, x: a + x)
+
+    lead = leading_gap(text)
+    start = lead + F.when(s > 0, upto(s)).otherwise(F.lit(0))
+    last_tok = F.regexp_extract(F.element_at(pieces, F.greatest(e, F.lit(1))), "^(?:" + TOKEN + ")", 0)
+    end = lead + F.when(e > 1, upto(e - 1)).otherwise(F.lit(0)) + F.length(last_tok)
+    txt = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+    return F.when(e > s, strip_py(F.substring(txt, start + 1, end - start)))
+
+
 def untokenize_rows(tokens: DataFrame, id_col: str = "doc_id", lo: int | None = None, hi: int | None = None) -> DataFrame:
     """``id, text``: the (optionally sliced ``[lo, hi)``) tokens joined with their whitespace, stripped."""
     t = tokens

@@ -313,11 +313,13 @@ def q_token_offsets(spark, sf):
 
 
 def q_untokenize(spark, sf):
-    return TX.untokenize_rows(TX.token_table(_docs(spark, sf)))
+    d = _docs(spark, sf).select("doc_id", TX.untokenize_text("text").alias("text"))
+    return d.filter(F.col("text").isNotNull())
 
 
 def q_token_slice(spark, sf):
-    return TX.untokenize_rows(TX.token_table(_docs(spark, sf)), lo=2, hi=-2)
+    d = _docs(spark, sf).select("doc_id", TX.untokenize_text("text", 2, -2).alias("text"))
+    return d.filter(F.col("text").isNotNull())
 
 
 def _punct_word(w):

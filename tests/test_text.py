@@ -27,8 +27,9 @@ def docs(spark):
     return spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
 
 
-def test_tokens_and_spans_match_python(docs):
-    toks = TX.token_table(docs).collect()
+@pytest.mark.parametrize("method", ["arrow", "window"])
+def test_tokens_and_spans_match_python(docs, method):
+    toks = TX.token_table(docs, method=method).collect()
     for did, text in enumerate(TEXTS):
         want = [(t, ws, s[0], s[1]) for t, ws, s in python_tokens(text)]
         got = sorted((r.i, r.token, r.token_ws, r.start, r.end) for r in toks if r.doc_id == did)
@@ -42,6 +43,16 @@ def test_untokenize_round_trip(docs):
             assert got[did] == "".join(ws for _, ws, _ in python_tokens(text)).strip()
 
 
+def test_untokenize_text_per_row(docs):
+    full = {r.doc_id: r.t for r in docs.select("doc_id", TX.untokenize_text("text").alias("t")).collect()}
+    sl = {r.doc_id: r.t for r in docs.select("doc_id", TX.untokenize_text("text", 1, -1).alias("t")).collect()}
+    for did, text in enumerate(TEXTS):
+        toks = python_tokens(text)
+        assert full[did] == ("".join(ws for _, ws, _ in toks).strip() if toks else None)
+        mid = toks[1:-1]
+        assert sl[did] == ("".join(ws for _, ws, _ in mid).strip() if mid else None)
+
+
 def test_words_count_slice(docs):
     rows = {r.doc_id: r for r in docs.select("doc_id", TF.words("text", True).alias("w"),
                                              TF.token_count("text").alias("n")).collect()}
