@@ -106,12 +106,22 @@ class ScoreCache:
         except Exception:  # noqa: BLE001 - an empty or missing cache
             return self.spark.createDataFrame([], self.SCHEMA)
 
+    def _done(self, path: str) -> bool:
+        jvm = self.spark.sparkContext._jvm
+        hpath = jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
+        return bool(hpath.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(hpath))
+
     def append_new(self, new: DataFrame, batch: str) -> DataFrame:
-        """Write the keys of ``new`` that the cache lacks as batch ``batch``; return them."""
-        fresh = new.select("qid", "pid", "score").dropDuplicates(["qid", "pid"]).join(
-            self.read().select("qid", "pid"), ["qid", "pid"], "left_anti")
+        """Write the keys of ``new`` that the cache lacks as batch ``batch``; return them.
+
+        Idempotent: a batch already written (a rerun after a failure) is
+        returned as it is, so a pair is never scored or stored twice.
+        """
         path = f"{self.root}/batch={batch}"
-        fresh.write.mode("errorifexists").parquet(path)
+        if not self._done(path):
+            fresh = new.select("qid", "pid", "score").dropDuplicates(["qid", "pid"]).join(
+                self.read().select("qid", "pid"), ["qid", "pid"], "left_anti")
+            fresh.write.mode("overwrite").parquet(path)
         return self.spark.read.parquet(path)
 
 

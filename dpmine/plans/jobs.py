@@ -74,3 +74,49 @@ def mining_round(spark: SparkSession, *, round_id: int, train_queries: DataFrame
                .select(F.lit(round_id).alias("round"), "*"))
     return {"run": run, "mined": mined, "new_scores": new, "scored": scored, "merged": merged,
             "dev_run": dev_run, "metrics": metrics, "summary": summary}
+
+
+def mining_rounds(spark: SparkSession, root: str, rounds: int, *, vectors_for_round, train_queries_text: DataFrame,
+                  qrels: DataFrame, dev_qrels: DataFrame, scorer_for_round, other: DataFrame | None = None,
+                  cfg: RoundConfig = RoundConfig()) -> DataFrame:
+    """P7, the loop: rounds 1..n, every output in ``root/round=<i>/…``, the score cache shared across rounds.
+
+    ``vectors_for_round(i)`` returns ``(train_queries, dev_queries, passages)``
+    as the model of round i encodes them; ``scorer_for_round(i)`` the teacher.
+    Stage outputs are written once (``Stage``) so a rerun resumes after the
+    last finished stage; each round appends only its new pairs to the cache.
+    Returns the union of the rounds' one-row summaries.
+    """
+    from dpmine.operators.scoring import ScoreCache
+    from dpmine.sources.io import Stage
+
+    cache = ScoreCache(spark, f"{root.rstrip('/')}/score_cache")
+    summaries = []
+    for i in range(1, rounds + 1):
+        base = f"{root.rstrip('/')}/round={i}"
+        train_q, dev_q, passages = vectors_for_round(i)
+        params = {"k": cfg.train_k, "depth": cfg.depth, "cap": cfg.cap, "gaussian": cfg.gaussian}
+        run = Stage(spark, base, "run", params).get(
+            lambda: retrieve(train_q, passages, cfg.train_k, cfg.gaussian, **cfg.search))
+        mined = Stage(spark, base, "mined", params).get(
+            lambda: G.hard_negatives(qrels, run, train_queries_text, depth=cfg.depth, max_rank=cfg.train_k))
+        capped = G.cap_candidates(mined, cfg.cap)
+        known = cache.read()
+        new_stage = Stage(spark, base, "new_scores", params)
+        if not new_stage.exists():
+            todo = SC.unscored_pairs(capped, known)
+            cache.append_new(SC.score_pairs(todo, scorer_for_round(i)), str(i))
+        new = new_stage.get(lambda: spark.read.parquet(f"{cache.root}/batch={i}").select("qid", "pid", "score"))
+        scored = Stage(spark, base, "scored", params).get(lambda: SC.attach_scores(capped, cache.read()))
+        merged = SC.merge_negatives(scored, other) if other is not None else scored
+        Stage(spark, base, "merged", params).get(lambda: merged)
+        dev_run = Stage(spark, base, "dev_run", {"k": cfg.dev_k}).get(
+            lambda: retrieve(dev_q, passages, cfg.dev_k, cfg.gaussian, **cfg.search))
+        metrics = M.evaluate(dev_run, dev_qrels)
+        stats = SC.cache_stats(capped, new)
+        summaries.append(metrics.withColumn("_k", F.lit(1)).join(stats.withColumn("_k", F.lit(1)), "_k")
+                         .drop("_k").select(F.lit(i).alias("round"), "*"))
+    out = summaries[0]
+    for s in summaries[1:]:
+        out = out.unionByName(s)
+    return out
