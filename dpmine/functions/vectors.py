@@ -47,17 +47,21 @@ def fold_query(mean) -> Column:
     return F.concat(F.array(F.lit(1.0)), F.transform(m, lambda x: x * x), m, F.array(F.lit(1.0)))
 
 
-def fold_passage(mean, var) -> Column:
+def fold_passage(mean, var, min_var: float | None = None) -> Column:
     """Diagonal Gaussian (m, v) → ``[-½Σln v] ++ (-½/v) ++ (m/v) ++ [-½Σm²/v]``.
 
     With ``fold_query`` the plain dot product equals the Gaussian log-density
-    up to a constant: ``-½ Σ (ln v + (m_q - m_p)² / v)``.
+    up to a constant: ``-½ Σ (ln v + (m_q - m_p)² / v)``.  ``min_var`` floors
+    the variances (off by default: an underflowed variance gives ln 0).
     """
     m, v = _c(mean), _c(var)
+    if min_var is not None:
+        v = F.transform(v, lambda x: F.greatest(x, F.lit(min_var)))
+    # try_divide: a zero variance gives null elements (flagged by non_finite), not a failed job
     first = F.lit(-0.5) * F.aggregate(v, F.lit(0.0), lambda acc, x: acc + F.ln(x))
-    second = F.transform(v, lambda x: F.lit(-0.5) / x)
-    third = F.zip_with(m, v, lambda a, b: a / b)
-    fourth = F.lit(-0.5) * F.aggregate(F.zip_with(m, v, lambda a, b: a * a / b), F.lit(0.0),
+    second = F.transform(v, lambda x: F.try_divide(F.lit(-0.5), x))
+    third = F.zip_with(m, v, lambda a, b: F.try_divide(a, b))
+    fourth = F.lit(-0.5) * F.aggregate(F.zip_with(m, v, lambda a, b: F.try_divide(a * a, b)), F.lit(0.0),
                                        lambda acc, x: acc + x)
     return F.concat(F.array(first), second, third, F.array(fourth))
 
@@ -72,3 +76,8 @@ def gaussian_log_density(q_mean, p_mean, p_var) -> Column:
 def squared_distance(a, b) -> Column:
     diff = F.zip_with(_c(a), _c(b), lambda x, y: (x - y) * (x - y))
     return vsum(diff)
+
+
+def non_finite(vec) -> Column:
+    """True when any element is null, NaN or infinite (rows to count before a search)."""
+    return F.exists(_c(vec), lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))

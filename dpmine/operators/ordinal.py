@@ -45,12 +45,22 @@ def shard_of(ordinal, total, num: int):
         extra + F.floor((o - boundary) / F.greatest(base, F.lit(1)))).cast("int")
 
 
-def contiguous_shard(df: DataFrame, num: int, order_cols: list[str], index: int | None = None) -> DataFrame:
-    """Tag rows with their contiguous shard (``shard``), or keep only shard ``index``."""
+def contiguous_shard(df: DataFrame, num: int, order_cols: list[str], index: int | None = None,
+                     rule: str = "balanced") -> DataFrame:
+    """Tag rows with their contiguous shard (``shard``), or keep only shard ``index``.
+
+    ``balanced``: the first ``n mod num`` shards get one row more (the
+    dataset-shard rule).  ``slice``: shards of ``n div num + 1`` rows, the last
+    one shorter (the query-slice rule of the search workers).
+    """
     o = with_ordinal(df, order_cols)
     total = o.agg(F.count(F.lit(1)).alias("_total")).withColumn("_k", F.lit(1))
     o = o.withColumn("_k", F.lit(1)).join(F.broadcast(total), "_k").drop("_k")
-    o = o.withColumn("shard", shard_of("ordinal", "_total", num)).drop("_total")
+    if rule == "slice":
+        size = F.floor(F.col("_total") / num) + 1
+        o = o.withColumn("shard", F.floor(F.col("ordinal") / size).cast("int")).drop("_total")
+    else:
+        o = o.withColumn("shard", shard_of("ordinal", "_total", num)).drop("_total")
     return o if index is None else o.filter(F.col("shard") == index)
 
 

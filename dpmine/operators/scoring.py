@@ -97,8 +97,9 @@ class ScoreCache:
 
     SCHEMA = "qid long, pid long, score double"
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, scorer_id: str | None = None):
+        """``scorer_id`` keys the cache by model as well (a new teacher starts an empty cache)."""
+        self.spark, self.root = spark, root.rstrip("/") + (f"/scorer={scorer_id}" if scorer_id else "")
 
     def read(self) -> DataFrame:
         try:
