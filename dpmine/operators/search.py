@@ -155,7 +155,8 @@ def _block_plan(queries: DataFrame, passages: DataFrame, *, qid: str, pid: str,
         qids, mat = _collect_block(block, qid, vec, d, block_bytes)
         payload = {"qids": qids, "mat": mat}
         if tau_of is not None:
-            payload["tau"] = tau_of(qids)
+            payload["tau"] = tau_of(qids, F.lit(True) if nblocks == 1 else
+                                    F.pmod(F.xxhash64(F.col("qid")), F.lit(nblocks)) == b)
         bc = spark.sparkContext.broadcast(payload)
         parts.append(pas.mapInArrow(_topk_task(bc, k, digits, score_bytes, pid, vec, emit_all), _CAND_SCHEMA))
     out = parts[0]
@@ -164,6 +165,10 @@ def _block_plan(queries: DataFrame, passages: DataFrame, *, qid: str, pid: str,
     return out
 
 
+def _has_checkpoint_dir(df: DataFrame) -> bool:
+    return df.sparkSession.sparkContext.getCheckpointDir() is not None
+
+
 def _final_topk(cands: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("qid").orderBy(F.col("skey").desc(), F.col("pid").asc())
     return (cands.withColumn("rank", F.row_number().over(w))
@@ -193,12 +198,12 @@ def mips_topk(queries: DataFrame, passages: DataFrame, k: int, *, qid: str = "qi
         tau_df = (first.groupBy("qid").agg(F.count(F.lit(1)).alias("n"),
                                            F.min(F.round("score", digits)).alias("tau"))
                   .filter(F.col("n") >= k).select("qid", "tau"))
-        tau_tab = tau_df.toArrow()  # |Q| rows of two numbers: bounded like the query blocks
-        tq = tau_tab.column("qid").to_numpy()
-        tv = tau_tab.column("tau").to_numpy()
-        lookup = dict(zip(tq.tolist(), tv.tolist()))
+        # τ is fetched per query block (inside _block_plan), so it is bounded like the block itself
+        tau_df = tau_df.checkpoint(eager=True) if _has_checkpoint_dir(queries) else tau_df.cache()
 
-        def tau_of(qids):
+        def tau_of(qids, block_filter):
+            tab = tau_df.filter(block_filter).toArrow()
+            lookup = dict(zip(tab.column("qid").to_numpy().tolist(), tab.column("tau").to_numpy().tolist()))
             # a margin of one rounding unit keeps the bound safe against numpy/JVM rounding
             return np.array([lookup.get(q, -np.inf) for q in qids.tolist()]) - 10.0 ** (-digits)
     cands = _block_plan(queries, passages, qid="qid", pid="pid", vec="vec", k=k, digits=digits,
