@@ -176,15 +176,23 @@ def _final_topk(cands: DataFrame, k: int) -> DataFrame:
             .select("qid", "pid", "rank", "score"))
 
 
-def mips_topk(queries: DataFrame, passages: DataFrame, k: int, *, qid: str = "qid", pid: str = "pid",
-              vec: str = "vec", digits: int = DEFAULT_DIGITS, block_bytes: int = DEFAULT_BLOCK_BYTES,
-              score_bytes: int = DEFAULT_SCORE_BYTES, prune: bool | None = None,
-              prune_buckets: int = 16) -> DataFrame:
+def mips_topk(queries: DataFrame, passages: DataFrame, k: int, **kw) -> DataFrame:
     """Exact top-k passages per query by inner product → ``qid, pid, rank, score``.
 
     ``rank`` is 1-based; a query sees ``min(k, |passages|)`` rows.
     ``queries``: ``qid, vec``; ``passages``: ``pid, vec`` (numeric arrays).
+    Keywords: ``qid, pid, vec`` column names, ``digits`` (tie rounding),
+    ``block_bytes`` (query block budget), ``score_bytes`` (score tile),
+    ``prune`` (None = automatic), ``prune_buckets`` (1/n sample for τ).
     """
+    return _final_topk(topk_candidates(queries, passages, k, **kw), k)
+
+
+def topk_candidates(queries: DataFrame, passages: DataFrame, k: int, *, qid: str = "qid", pid: str = "pid",
+                    vec: str = "vec", digits: int = DEFAULT_DIGITS, block_bytes: int = DEFAULT_BLOCK_BYTES,
+                    score_bytes: int = DEFAULT_SCORE_BYTES, prune: bool | None = None,
+                    prune_buckets: int = 16) -> DataFrame:
+    """The per-task partial top-k rows that reach the qid exchange (``qid, pid, score, skey``)."""
     queries = queries.select(F.col(qid).cast("long").alias("qid"), as_double_vector(vec).alias("vec"))
     passages = passages.select(F.col(pid).cast("long").alias("pid"), as_double_vector(vec).alias("vec"))
     if prune is None:
@@ -206,9 +214,8 @@ def mips_topk(queries: DataFrame, passages: DataFrame, k: int, *, qid: str = "qi
             lookup = dict(zip(tab.column("qid").to_numpy().tolist(), tab.column("tau").to_numpy().tolist()))
             # a margin of one rounding unit keeps the bound safe against numpy/JVM rounding
             return np.array([lookup.get(q, -np.inf) for q in qids.tolist()]) - 10.0 ** (-digits)
-    cands = _block_plan(queries, passages, qid="qid", pid="pid", vec="vec", k=k, digits=digits,
-                        block_bytes=block_bytes, score_bytes=score_bytes, tau_of=tau_of)
-    return _final_topk(cands, k)
+    return _block_plan(queries, passages, qid="qid", pid="pid", vec="vec", k=k, digits=digits,
+                       block_bytes=block_bytes, score_bytes=score_bytes, tau_of=tau_of)
 
 
 def score_matrix(queries: DataFrame, passages: DataFrame, *, qid: str = "qid", pid: str = "pid",
