@@ -165,10 +165,6 @@ def _block_plan(queries: DataFrame, passages: DataFrame, *, qid: str, pid: str,
     return out
 
 
-def _has_checkpoint_dir(df: DataFrame) -> bool:
-    return df.sparkSession.sparkContext.getCheckpointDir() is not None
-
-
 def _final_topk(cands: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("qid").orderBy(F.col("skey").desc(), F.col("pid").asc())
     return (cands.withColumn("rank", F.row_number().over(w))
@@ -207,7 +203,8 @@ def topk_candidates(queries: DataFrame, passages: DataFrame, k: int, *, qid: str
                                            F.min(F.round("score", digits)).alias("tau"))
                   .filter(F.col("n") >= k).select("qid", "tau"))
         # τ is fetched per query block (inside _block_plan), so it is bounded like the block itself
-        tau_df = tau_df.checkpoint(eager=True) if _has_checkpoint_dir(queries) else tau_df.cache()
+        from dpmine.session import materialize
+        tau_df = materialize(tau_df, "search-bounds")
 
         def tau_of(qids, block_filter):
             tab = tau_df.filter(block_filter).toArrow()

@@ -21,7 +21,7 @@ from dpmine.operators import encode as EN
 from dpmine.functions import vectors as V
 from dpmine.sources import io as IO
 from dpmine.plans import jobs as J
-from dpmine.session import checkpoint_root, scratch_path
+from dpmine.session import materialize, scratch_path
 from dpmine.functions import text as TF
 from dpmine.operators import search as S
 from dpmine.sources import testbed as T
@@ -49,11 +49,10 @@ SEQ_MASK_MOD = 5
 def stage(df: DataFrame) -> DataFrame:
     """Materialise a pipeline stage (run, mined groups, scores) and cut its lineage.
 
-    ``checkpoint`` writes to the shared folder named by ``spark.checkpoint.dir``,
+    Written as parquet under the shared folder named by ``spark.checkpoint.dir``,
     so a lost executor costs a re-read, not a re-run of the upstream search.
     """
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return materialize(df)
 
 
 def _r(col: str, name: str | None = None):

@@ -58,10 +58,8 @@ def mining_round(spark: SparkSession, *, round_id: int, train_queries: DataFrame
     (the vectors passed in are the model's).  Returns the round's tables and
     a one-row ``summary`` DataFrame.
     """
-    from dpmine.session import checkpoint_root
-    if checkpoint:
-        checkpoint_root(spark)
-    cut = (lambda d: d.checkpoint(eager=True)) if checkpoint else (lambda d: d)
+    from dpmine.session import materialize
+    cut = (lambda d: materialize(d, "round")) if checkpoint else (lambda d: d)
     run = cut(retrieve(train_queries, passages, cfg.train_k, cfg.gaussian, **cfg.search))
     mined = cut(G.hard_negatives(qrels, run, query_texts, depth=cfg.depth, max_rank=cfg.train_k))
     capped = G.cap_candidates(mined, cfg.cap)

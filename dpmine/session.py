@@ -67,3 +67,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique folder under the shared checkpoint root."""
     root = checkpoint_root(spark).rstrip("/")
     return f"{root}/dpmine-scratch/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df, name: str = "stage"):
+    """Cut lineage by writing ``df`` as a parquet table under the shared checkpoint root and reading it back.
+
+    Columnar and compressed (unlike RDD checkpoint files), and the re-read
+    plan carries file statistics for AQE.  A lost executor then costs a
+    re-read of this table, not a re-run of everything upstream.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)
