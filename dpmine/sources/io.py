@@ -59,6 +59,18 @@ def read_corpus(spark: SparkSession, path: str, id_col: str | None = None) -> Da
     return out.select("pid", "title", "contents")
 
 
+def save_bucketed_corpus(corpus: DataFrame, table: str, path: str, buckets: int) -> DataFrame:
+    """Store the corpus once as a table bucketed and sorted by ``pid`` (files under ``path``).
+
+    Every later lookup (training tables per epoch, scoring per round) joins
+    on ``pid`` against it without shuffling the corpus again: only the id side
+    is exchanged, into the table's buckets.
+    """
+    (corpus.select("pid", "title", "contents").write.mode("overwrite").bucketBy(buckets, "pid").sortBy("pid")
+     .option("path", path).saveAsTable(table))
+    return corpus.sparkSession.table(table)
+
+
 def write_corpus(corpus: DataFrame, path: str, order: str = "pid", compression: str = "gzip") -> None:
     """``title, contents`` as JSON lines in ``order`` (part files concatenate in order)."""
     corpus.orderBy(order).select("title", "contents").write.mode("errorifexists").option(

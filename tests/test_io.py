@@ -79,3 +79,19 @@ def test_stage_written_once(spark, tmp_path):
     assert st.get(build).count() == 3 and st.get(build).count() == 3
     assert len(calls) == 1
     assert IO.Stage(spark, str(tmp_path), "run", {"k": 20}).path != st.path
+
+
+def test_bucketed_corpus_lookup_shuffles_only_ids(spark, tmp_path):
+    from dpmine.operators.groups import lookup_passages
+    corpus = spark.createDataFrame([(i, f"t{i}", f"c{i}") for i in range(200)], "pid long, title string, contents string")
+    table = IO.save_bucketed_corpus(corpus, "corpus_bucketed_test", str(tmp_path / "corpus"), 8)
+    ids = spark.createDataFrame([(1, 0, 5), (1, 1, 7), (2, 0, 199)], "qid long, slot int, pid long")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = lookup_passages(ids, table)
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        rows = sorted((r.pid, r.title) for r in joined.collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert rows == [(5, "t5"), (7, "t7"), (199, "t199")]
+    assert plan.count("Exchange hashpartitioning") == 1
