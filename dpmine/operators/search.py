@@ -81,7 +81,6 @@ def _topk_task(bc, k: int, digits: int, score_bytes: int, pid: str, vec: str, em
         nq, d = Q.shape
         state = None
         floor = np.full(nq, -np.inf) if tau is None else tau.astype(np.float64).copy()
-        cols = {"qid": [], "pid": [], "score": [], "skey": []}
         step = max(1, score_bytes // (8 * max(nq, 1)))
         for rb in batches:
             if rb.num_rows == 0 or nq == 0:
@@ -93,9 +92,11 @@ def _topk_task(bc, k: int, digits: int, score_bytes: int, pid: str, vec: str, em
                 S = Q @ P[lo:lo + step].T
                 S[np.isnan(S)] = -np.inf
                 if emit_all:
-                    r, c = np.nonzero(np.ones_like(S, dtype=bool))
-                    cols["qid"].append(qids[r]); cols["pid"].append(ids[lo:lo + step][c])
-                    cols["score"].append(S[r, c]); cols["skey"].append(np.round(S[r, c], digits))
+                    # one Arrow batch per score tile: memory stays at one tile
+                    flat = S.ravel()
+                    yield pa.RecordBatch.from_pydict({
+                        "qid": np.repeat(qids, S.shape[1]), "pid": np.tile(ids[lo:lo + step], nq),
+                        "score": flat, "skey": np.round(flat, digits)})
                     continue
                 K = np.round(S, digits)
                 nb = K.shape[1]
@@ -113,8 +114,6 @@ def _topk_task(bc, k: int, digits: int, score_bytes: int, pid: str, vec: str, em
                     last = np.searchsorted(state[0], full, side="right") - 1
                     floor[full] = np.maximum(floor[full], state[2][last])
         if emit_all:
-            if cols["qid"]:
-                yield pa.RecordBatch.from_pydict({n: np.concatenate(v) for n, v in cols.items()})
             return
         if state is not None and len(state[0]):
             yield pa.RecordBatch.from_pydict({
