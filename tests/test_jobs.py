@@ -32,3 +32,16 @@ def test_two_rounds_reuse_cache(spark, tmp_path):
     assert calls == [] and again == s
     cache = spark.read.parquet(str(tmp_path / "score_cache"))
     assert cache.groupBy("qid", "pid").count().filter(F.col("count") > 1).count() == 0
+
+
+def test_training_table_has_text_for_every_slot(spark):
+    from dpmine.plans.jobs import training_table
+    long = spark.createDataFrame([(1, "pos", 0, 5, 1.0)] + [(1, "neg", i, 10 + i, 0.0) for i in range(4)],
+                                 "qid long, role string, pos int, pid long, score double")
+    corpus = spark.createDataFrame([(p, f"t{p}", f"c{p}") for p in [5, 10, 11, 12, 13]],
+                                   "pid long, title string, contents string")
+    queries = spark.createDataFrame([(1, "q one")], "qid long, query string")
+    rows = training_table(long, queries, corpus, n=3, seed=7).collect()
+    assert sorted(r.slot for r in rows) == [0, 1, 2, 3]
+    assert all(r.title == f"t{r.pid}" and r.query == "q one" for r in rows)
+    assert [r.pid for r in rows if r.slot == 0] == [5]
