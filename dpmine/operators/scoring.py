@@ -147,17 +147,29 @@ def cache_stats(capped: DataFrame, new_scores: DataFrame) -> DataFrame:
                                    F.col("total").cast("double")).alias("skip_rate"))
 
 
+def needed_scores(cache: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The cache rows a set of pairs needs: ``cache ⋉ pairs``.
+
+    The pairs of one round are the small side; as the right side of a semi
+    join AQE can broadcast them, and then the (large, growing) cache is only
+    scanned, not shuffled.
+    """
+    return cache.select("qid", "pid", "score").join(pairs.select("qid", "pid"), ["qid", "pid"], "left_semi")
+
+
 def score_groups(long: DataFrame, cache: DataFrame | None, scorer: Scorer, cap: int = 100):
     """Score capped groups through the cache.
 
     Returns ``(scored_long, new_scores, stats)``: the groups with teacher
     scores, the pairs that had to be scored (to append to the cache), and the
-    cache statistics row.
+    cache statistics row.  The cache is cut down to this round's pairs first
+    (``needed_scores``), so the later anti join and attach never touch the rest.
     """
     capped = cap_candidates(long, cap)
-    todo = unscored_pairs(capped, cache)
-    new = score_pairs(todo, scorer)
-    table = score_upsert(cache, new)
+    pairs = unscored_pairs(capped, None)
+    known = needed_scores(cache, pairs) if cache is not None else None
+    new = score_pairs(unscored_pairs(pairs, known), scorer)
+    table = new if known is None else known.unionByName(new)
     return attach_scores(capped, table), new, cache_stats(capped, new)
 
 
@@ -188,5 +200,5 @@ def merge_negatives(own: DataFrame, other: DataFrame, dedup: bool = False) -> Da
 
 
 __all__ = ["vector_teacher", "overlap_scorer", "batch_scorer", "text_pairs", "unscored_pairs", "score_pairs",
-           "score_upsert", "ScoreCache", "attach_scores", "missing_scores", "cache_stats", "score_groups",
+           "score_upsert", "needed_scores", "ScoreCache", "attach_scores", "missing_scores", "cache_stats", "score_groups",
            "merge_negatives", "POS", "NEG"]

@@ -63,8 +63,10 @@ def mining_round(spark: SparkSession, *, round_id: int, train_queries: DataFrame
     run = cut(retrieve(train_queries, passages, cfg.train_k, cfg.gaussian, **cfg.search))
     mined = cut(G.hard_negatives(qrels, run, query_texts, depth=cfg.depth, max_rank=cfg.train_k))
     capped = G.cap_candidates(mined, cfg.cap)
-    new = cut(SC.score_pairs(SC.unscored_pairs(capped, cache), scorer))
-    scored = cut(SC.attach_scores(capped, SC.score_upsert(cache, new)))
+    pairs = SC.unscored_pairs(capped, None)
+    known = cut(SC.needed_scores(cache, pairs)) if cache is not None else None
+    new = cut(SC.score_pairs(SC.unscored_pairs(pairs, known), scorer))
+    scored = cut(SC.attach_scores(capped, new if known is None else known.unionByName(new)))
     merged = SC.merge_negatives(scored, other) if other is not None else scored
     dev_run = cut(retrieve(dev_queries, passages, cfg.dev_k, cfg.gaussian, **cfg.search))
     metrics = M.evaluate(dev_run, dev_qrels)
@@ -102,13 +104,14 @@ def mining_rounds(spark: SparkSession, root: str, rounds: int, *, vectors_for_ro
         mined = Stage(spark, base, "mined", params).get(
             lambda: G.hard_negatives(qrels, run, train_queries_text, depth=cfg.depth, max_rank=cfg.train_k))
         capped = G.cap_candidates(mined, cfg.cap)
-        known = cache.read()
+        pairs = SC.unscored_pairs(capped, None)
         new_stage = Stage(spark, base, "new_scores", params)
         if not new_stage.exists():
-            todo = SC.unscored_pairs(capped, known)
-            cache.append_new(SC.score_pairs(todo, scorer_for_round(i)), str(i))
+            known = SC.needed_scores(cache.read(), pairs)
+            cache.append_new(SC.score_pairs(SC.unscored_pairs(pairs, known), scorer_for_round(i)), str(i))
         new = new_stage.get(lambda: spark.read.parquet(f"{cache.root}/batch={i}").select("qid", "pid", "score"))
-        scored = Stage(spark, base, "scored", params).get(lambda: SC.attach_scores(capped, cache.read()))
+        scored = Stage(spark, base, "scored", params).get(
+            lambda: SC.attach_scores(capped, SC.needed_scores(cache.read(), pairs)))
         merged = SC.merge_negatives(scored, other) if other is not None else scored
         Stage(spark, base, "merged", params).get(lambda: merged)
         dev_run = Stage(spark, base, "dev_run", {"k": cfg.dev_k}).get(
