@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dpmine.operators.groups import cap_candidates, explode_groups
-from dpmine.operators.scoring import ScoreCache, Scorer, attach_scores, score_pairs, unscored_pairs
+from dpmine.operators.scoring import (ScoreCache, Scorer, attach_scores, needed_scores, score_pairs,
+                                      unscored_pairs)
 from dpmine.sources.io import GROUP_SCHEMA
 
 
@@ -36,12 +37,12 @@ def score_group_stream(spark: SparkSession, groups_dir: str, cache_root: str, ou
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         long = cap_candidates(explode_groups(batch.withColumnRenamed("query_id", "qid")), cap)
+        pairs = unscored_pairs(long, None)
         new_path = f"{cache.root}/batch={batch_id}"
         if not _exists(spark, new_path):
-            known = cache.read()
-            todo = unscored_pairs(long, known)
-            score_pairs(todo, scorer).write.mode("overwrite").parquet(new_path)
-        table = cache.read()
+            known = needed_scores(cache.read(), pairs)
+            score_pairs(unscored_pairs(pairs, known), scorer).write.mode("overwrite").parquet(new_path)
+        table = needed_scores(cache.read(), pairs)
         out_path = f"{out_dir.rstrip('/')}/batch={batch_id}"
         if not _exists(spark, out_path):
             attach_scores(long, table).withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(out_path)
