@@ -33,6 +33,18 @@ def _strip(col):
     return F.regexp_replace(col, f"^{PY_SPACE}+|{PY_SPACE}+$", "")
 
 
+def _line_key():
+    """Orders rows by their place in the input: file name, block offset, position in the task."""
+    return F.struct(F.input_file_name().alias("f"), F.input_file_block_start().alias("b"),
+                    F.monotonically_increasing_id().alias("m"))
+
+
+def _keep_last(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
+    """Per key, the columns of the row read last (a dict-style overwrite) — one aggregation, no sort."""
+    g = df.groupBy(*keys).agg(*[F.max_by(c, "_line").alias(c) for c in cols])
+    return g
+
+
 def _fail_unless(ok, message: str, value):
     """Column that is ``value`` when ``ok`` holds, else fails the task with ``message``."""
     return F.when(ok, value).otherwise(F.raise_error(F.concat(F.lit(message + ": "), F.col("value"))))
@@ -78,12 +90,20 @@ def write_corpus(corpus: DataFrame, path: str, order: str = "pid", compression:
 
 
 # ---------------------------------------------------------------- queries
-def read_queries(spark: SparkSession, path: str) -> DataFrame:
-    """TSV ``qid \\t query`` lines (no header, no quoting) → ``qid, query``; a line must have two fields."""
-    lines = spark.read.text(path).select(_strip(F.col("value")).alias("value"))
+def read_queries(spark: SparkSession, path: str, keep: str = "all") -> DataFrame:
+    """TSV ``qid \\t query`` lines (no header, no quoting) → ``qid, query``; a line must have two fields.
+
+    ``keep="last"``: a repeated qid keeps the text of its last line (the
+    reference reads queries into a dict).
+    """
+    lines = spark.read.text(path).select(_strip(F.col("value")).alias("value"), _line_key().alias("_line"))
     parts = F.split(F.col("value"), "\t")
-    checked = lines.select(_fail_unless(F.size(parts) == 2, "query line needs two tab fields", parts).alias("p"))
-    return checked.select(F.col("p")[0].cast("long").alias("qid"), F.col("p")[1].alias("query"))
+    checked = lines.select("_line", _fail_unless(F.size(parts) == 2, "query line needs two tab fields", parts)
+                           .alias("p"))
+    out = checked.select(F.col("p")[0].cast("long").alias("qid"), F.col("p")[1].alias("query"), "_line")
+    if keep == "last":
+        return _keep_last(out, ["qid"], ["query"])
+    return out.drop("_line")
 
 
 def write_queries(queries: DataFrame, path: str) -> None:
@@ -118,22 +138,27 @@ def write_qrels(qrels: DataFrame, path: str) -> None:
 RUN_SCHEMA = "qid long, pid long, rank int"
 
 
-def read_run(spark: SparkSession, path: str, max_rank: int = 1000, over: str = "skip") -> DataFrame:
+def read_run(spark: SparkSession, path: str, max_rank: int = 1000, over: str = "skip", keep: str = "all") -> DataFrame:
     """TSV ``qid \\t pid \\t rank`` → ``qid, pid, rank``.
 
     Ranks below 1 fail.  Ranks above ``max_rank`` are skipped
     (``over="skip"``, the mining reader) or fail (``over="error"``, the
-    evaluation reader).
+    evaluation reader).  ``keep="last"``: a repeated ``(qid, rank)`` keeps
+    the pid of its last line (the reference's array-slot overwrite).
     """
-    lines = spark.read.text(path).select(_strip(F.col("value")).alias("value"))
+    lines = spark.read.text(path).select(_strip(F.col("value")).alias("value"), _line_key().alias("_line"))
     parts = F.split(F.col("value"), r"\s+")
-    checked = lines.select("value", _fail_unless(F.size(parts) == 3, "run line needs three fields", parts).alias("p"))
-    run = checked.select("value", F.col("p")[0].cast("long").alias("qid"), F.col("p")[1].cast("long").alias("pid"),
-                         F.col("p")[2].cast("int").alias("rank"))
+    checked = lines.select("value", "_line",
+                           _fail_unless(F.size(parts) == 3, "run line needs three fields", parts).alias("p"))
+    run = checked.select("value", "_line", F.col("p")[0].cast("long").alias("qid"),
+                         F.col("p")[1].cast("long").alias("pid"), F.col("p")[2].cast("int").alias("rank"))
     limit = F.lit(max_rank)
     ok = (F.col("rank") >= 1) & ((F.col("rank") <= limit) | F.lit(over == "skip"))
-    run = run.select("qid", "pid", _fail_unless(ok, "run rank out of range", F.col("rank")).alias("rank"))
-    return run.filter(F.col("rank") <= limit)
+    run = run.select("qid", "pid", "_line", _fail_unless(ok, "run rank out of range", F.col("rank")).alias("rank"))
+    run = run.filter(F.col("rank") <= limit)
+    if keep == "last":
+        return _keep_last(run, ["qid", "rank"], ["pid"]).select("qid", "pid", "rank")
+    return run.select("qid", "pid", "rank")
 
 
 def run_conflicts(run: DataFrame) -> DataFrame:

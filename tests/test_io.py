@@ -95,3 +95,11 @@ def test_bucketed_corpus_lookup_shuffles_only_ids(spark, tmp_path):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert rows == [(5, "t5"), (7, "t7"), (199, "t199")]
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_last_line_wins_when_asked(spark, tmp_path):
+    q = _write(tmp_path, "dup.tsv", "1\tfirst\n2\tx\n1\tsecond\n")
+    assert sorted(tuple(r) for r in IO.read_queries(spark, q, keep="last").collect()) == [(1, "second"), (2, "x")]
+    assert IO.read_queries(spark, q).count() == 3
+    r = _write(tmp_path, "dup_run.tsv", "1\t5\t2\n1\t6\t2\n1\t7\t1\n")
+    assert sorted(tuple(x) for x in IO.read_run(spark, r, keep="last").collect()) == [(1, 6, 2), (1, 7, 1)]
