@@ -154,11 +154,9 @@ def mining_report(qrels: DataFrame, run: DataFrame, queries: DataFrame, depth: i
         queries.agg(F.countDistinct("qid").alias("n_text_queries")),
         stats,
     ]
-    # one-row frames side by side: join on a constant key (a single-row equi-join)
-    out = counts[0].withColumn("_k", F.lit(1))
-    for c in counts[1:]:
-        out = out.join(c.withColumn("_k", F.lit(1)), "_k")
-    return out.drop("_k").select(*[F.col(c).cast("long") for c in out.columns if c != "_k"])
+    from dpmine.operators.rows import side_by_side
+    out = side_by_side(counts)
+    return out.select(*[F.col(c).cast("long") for c in out.columns])
 
 
 def short_queries(qrels: DataFrame, run: DataFrame, queries: DataFrame, depth: int = 100,

@@ -16,17 +16,23 @@ from pyspark.sql import functions as F
 _LOW_BITS = 33  # monotonically_increasing_id: partition index << 33 | row index
 
 
-def with_ordinal(df: DataFrame, order_cols: list[str], name: str = "ordinal") -> DataFrame:
-    """Add a dense 0-based ``ordinal`` in the order of ``order_cols`` (must be a total order)."""
+def with_ordinal(df: DataFrame, order_cols: list[str], name: str = "ordinal", total: str | None = None) -> DataFrame:
+    """Add a dense 0-based ``ordinal`` in the order of ``order_cols`` (must be a total order).
+
+    ``total`` also adds the row count as a column (taken from the same
+    per-partition counts, so it costs nothing extra).
+    """
     s = df.orderBy(*order_cols).withColumn("_mid", F.monotonically_increasing_id())
     s = s.withColumn("_part", F.shiftright("_mid", _LOW_BITS)).withColumn(
         "_idx", F.col("_mid").bitwiseAND(F.lit((1 << _LOW_BITS) - 1)))
     counts = s.groupBy("_part").agg(F.count(F.lit(1)).alias("_cnt"))
     offsets = counts.select("_part", (F.sum("_cnt").over(Window.orderBy("_part").rowsBetween(
-        Window.unboundedPreceding, -1))).alias("_off"))
+        Window.unboundedPreceding, -1))).alias("_off"), F.sum("_cnt").over(Window.partitionBy()).alias("_all"))
     out = s.join(F.broadcast(offsets), "_part").withColumn(
         name, (F.coalesce(F.col("_off"), F.lit(0)) + F.col("_idx")).cast("long"))
-    return out.drop("_mid", "_part", "_idx", "_off")
+    if total:
+        out = out.withColumn(total, F.col("_all").cast("long"))
+    return out.drop("_mid", "_part", "_idx", "_off", "_all")
 
 
 def head_sample(df: DataFrame, n: int, order_cols: list[str]) -> DataFrame:
@@ -53,9 +59,7 @@ def contiguous_shard(df: DataFrame, num: int, order_cols: list[str], index: int
     dataset-shard rule).  ``slice``: shards of ``n div num + 1`` rows, the last
     one shorter (the query-slice rule of the search workers).
     """
-    o = with_ordinal(df, order_cols)
-    total = o.agg(F.count(F.lit(1)).alias("_total")).withColumn("_k", F.lit(1))
-    o = o.withColumn("_k", F.lit(1)).join(F.broadcast(total), "_k").drop("_k")
+    o = with_ordinal(df, order_cols, total="_total")
     if rule == "slice":
         size = F.floor(F.col("_total") / num) + 1
         o = o.withColumn("shard", F.floor(F.col("ordinal") / size).cast("int")).drop("_total")

@@ -138,9 +138,9 @@ def missing_scores(scored: DataFrame) -> DataFrame:
 
 def cache_stats(capped: DataFrame, new_scores: DataFrame) -> DataFrame:
     """One row ``total, new, skip, skip_rate``: references, newly scored keys, the rest."""
-    total = capped.agg(F.count(F.lit(1)).alias("total")).withColumn("_k", F.lit(1))
-    new = new_scores.agg(F.count(F.lit(1)).alias("new")).withColumn("_k", F.lit(1))
-    out = total.join(new, "_k").drop("_k")
+    tagged = capped.select(F.lit(1).alias("_t"), F.lit(0).alias("_n")).unionByName(
+        new_scores.select(F.lit(0).alias("_t"), F.lit(1).alias("_n")))
+    out = tagged.agg(F.coalesce(F.sum("_t"), F.lit(0)).alias("total"), F.coalesce(F.sum("_n"), F.lit(0)).alias("new"))
     return out.select(F.col("total").cast("long"), F.col("new").cast("long"),
                       (F.col("total") - F.col("new")).cast("long").alias("skip"),
                       F.try_divide((F.col("total") - F.col("new")).cast("double"),

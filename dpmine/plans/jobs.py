@@ -70,11 +70,10 @@ def mining_round(spark: SparkSession, *, round_id: int, train_queries: DataFrame
     merged = SC.merge_negatives(scored, other) if other is not None else scored
     dev_run = cut(retrieve(dev_queries, passages, cfg.dev_k, cfg.gaussian, **cfg.search))
     metrics = M.evaluate(dev_run, dev_qrels)
+    from dpmine.operators.rows import side_by_side
     n_mined = mined.agg(F.countDistinct("qid").alias("mined_queries"))
-    summary = (n_mined.withColumn("_k", F.lit(1))
-               .join(SC.cache_stats(capped, new).withColumn("_k", F.lit(1)), "_k")
-               .join(metrics.withColumn("_k", F.lit(1)), "_k").drop("_k")
-               .select(F.lit(round_id).alias("round"), "*"))
+    summary = side_by_side([n_mined, SC.cache_stats(capped, new), metrics]).select(
+        F.lit(round_id).alias("round"), "*")
     return {"run": run, "mined": mined, "new_scores": new, "scored": scored, "merged": merged,
             "dev_run": dev_run, "metrics": metrics, "summary": summary}
 
@@ -118,8 +117,8 @@ def mining_rounds(spark: SparkSession, root: str, rounds: int, *, vectors_for_ro
             lambda: retrieve(dev_q, passages, cfg.dev_k, cfg.gaussian, **cfg.search))
         metrics = M.evaluate(dev_run, dev_qrels)
         stats = SC.cache_stats(capped, new)
-        summaries.append(metrics.withColumn("_k", F.lit(1)).join(stats.withColumn("_k", F.lit(1)), "_k")
-                         .drop("_k").select(F.lit(i).alias("round"), "*"))
+        from dpmine.operators.rows import side_by_side
+        summaries.append(side_by_side([metrics, stats]).select(F.lit(i).alias("round"), "*"))
     out = summaries[0]
     for s in summaries[1:]:
         out = out.unionByName(s)
