@@ -182,10 +182,15 @@ def sample_key(seed: int, epoch: int, *cols) -> Column:
 
 
 def sample_positive(long: DataFrame, seed: int = 42, epoch: int = 0) -> DataFrame:
-    """One uniformly drawn positive per query → ``qid, pid, score``."""
+    """One uniformly drawn positive per query → ``qid, pid, score``.
+
+    An aggregation (``min_by`` over the md5 key), so it combines map-side: a
+    query with a huge positive list costs one row per task, not a sort.
+    """
     p = long.filter(F.col("role") == POS).withColumn("copy", F.lit(0))
-    w = _wq(sample_key(seed, epoch, "qid", "pid", "pos", "copy"))
-    return p.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") == 1).select("qid", "pid", "score")
+    key = sample_key(seed, epoch, "qid", "pid", "pos", "copy")
+    best = p.groupBy("qid").agg(F.min_by(F.struct("pid", "score"), key).alias("_b"))
+    return best.select("qid", F.col("_b.pid").alias("pid"), F.col("_b.score").alias("score"))
 
 
 def replicate_pad(long: DataFrame, n: int) -> DataFrame:
