@@ -7,8 +7,6 @@ group-by, the softmax is a window over the sequence.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,7 +37,3 @@ def attention_pool(tokens: DataFrame, seq: str = "seq", pos: str = "pos", vec: s
     t = t.withColumn("_w", F.col("_e") / F.sum("_e").over(w))
     per_dim = t.select(seq, "_w", F.posexplode(value).alias("i", "_x"))
     return per_dim.groupBy(seq, "i").agg(F.sum(F.col("_w") * F.col("_x")).alias("x"))
-
-
-def scaled_dot_logits(q, k, h: int):
-    return dot(q, k) / math.sqrt(h)

@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -225,11 +224,3 @@ class Stage:
         if not self.exists():
             build().write.mode("overwrite").parquet(self.path)
         return self.spark.read.parquet(self.path)
-
-
-def local_path(path: str) -> str:
-    """Plain filesystem path of a ``file:`` URI (tests only)."""
-    return path[len("file:"):] if path.startswith("file:") else path
-
-
-__all__ = [n for n in dir() if not n.startswith("_") and n not in ("annotations", "hashlib", "json", "os")]

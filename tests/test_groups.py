@@ -66,7 +66,6 @@ def test_cache_skips_known_and_repeated_pairs(spark):
     rows = [(1, "pos", 0, 5, 1.0), (1, "neg", 0, 5, 0.0), (1, "neg", 1, 6, 0.0), (1, "neg", 2, 7, 0.0)]
     long = spark.createDataFrame(rows, LONG)
     cache = spark.createDataFrame([(1, 7, 0.25)], "qid long, pid long, score double")
-    calls = spark.sparkContext.accumulator(0)
 
     def scorer(pairs):
         return pairs.withColumn("score", (F.col("pid") * 10).cast("double"))
@@ -78,7 +77,6 @@ def test_cache_skips_known_and_repeated_pairs(spark):
     assert (s.total, s.new, s.skip) == (4, 2, 2)
     empty = spark.createDataFrame([], LONG)
     assert SC.score_groups(empty, None, scorer)[2].first().skip_rate is None
-    del calls
 
 
 def test_merge_keeps_duplicates_and_last_line(spark):

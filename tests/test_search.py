@@ -2,7 +2,6 @@
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from dpmine.operators.search import gaussian_topk, mips_topk, score_matrix
 

@@ -10,7 +10,6 @@ LONG = "qid long, role string, pos int, pid long, score double"
 
 def test_second_file_reuses_cache(spark, tmp_path):
     root = str(tmp_path)
-    scored_pairs = []
 
     def scorer(pairs):
         return pairs.withColumn("score", (F.col("qid") * 100 + F.col("pid")).cast("double"))
@@ -28,4 +27,3 @@ def test_second_file_reuses_cache(spark, tmp_path):
     assert sorted(per_batch.values()) == [1, 2]          # (1,5),(1,6) first; only (1,7) second
     out = {(r.pid, r.score) for r in read_scored(spark, f"{root}/out").collect()}
     assert out == {(5, 105.0), (6, 106.0), (7, 107.0)}
-    del scored_pairs
