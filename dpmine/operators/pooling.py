@@ -7,7 +7,7 @@ group-by, the softmax is a window over the sequence.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dpmine.functions.vectors import dot
@@ -26,14 +26,19 @@ def attention_pool(tokens: DataFrame, seq: str = "seq", pos: str = "pos", vec: s
     ``softmax(q · kᵢ / √h)`` over tokens with ``mask`` true; the output
     dimension ``i`` is ``Σ wᵢ vᵢ[i]``.  ``key``/``value`` name projected
     columns when present, else the token vector serves as both.
+
+    Only aggregations (combined map-side) and joins back on ``seq``, no
+    window: a very long sequence is never sorted or held by one task.  The
+    per-sequence sides (query vector, max logit, normaliser) are one row per
+    sequence; AQE broadcasts them when they are small.
     """
     key, value = key or vec, value or vec
     q = first_token_pool(tokens, seq, pos, vec).select(seq, F.col(vec).alias("_q"))
     t = tokens.filter(F.col(mask)).join(q, seq)
-    h = F.size("_q").cast("double")
-    t = t.withColumn("_a", dot("_q", key) / F.sqrt(h))
-    w = Window.partitionBy(seq)
-    t = t.withColumn("_e", F.exp(F.col("_a") - F.max("_a").over(w)))
-    t = t.withColumn("_w", F.col("_e") / F.sum("_e").over(w))
-    per_dim = t.select(seq, "_w", F.posexplode(value).alias("i", "_x"))
-    return per_dim.groupBy(seq, "i").agg(F.sum(F.col("_w") * F.col("_x")).alias("x"))
+    t = t.withColumn("_a", dot("_q", key) / F.sqrt(F.size("_q").cast("double")))
+    top = t.groupBy(seq).agg(F.max("_a").alias("_m"))
+    t = t.join(top, seq).withColumn("_e", F.exp(F.col("_a") - F.col("_m")))
+    norm = t.groupBy(seq).agg(F.sum("_e").alias("_z"))
+    per_dim = (t.select(seq, "_e", F.posexplode(value).alias("i", "_x"))
+               .groupBy(seq, "i").agg(F.sum(F.col("_e") * F.col("_x")).alias("_s")))
+    return per_dim.join(norm, seq).select(seq, "i", (F.col("_s") / F.col("_z")).alias("x"))
