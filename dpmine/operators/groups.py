@@ -118,25 +118,26 @@ def hard_negatives(qrels: DataFrame, run: DataFrame, queries: DataFrame, depth:
     survivors are dropped (see ``mining_report``).  Positives are all judged
     passages.  Scores are 1.0 for positives and 0.0 for negatives.
 
-    One pass: positives and surviving negatives are unioned and every
-    per-query window (list position, negative count) runs on the same
-    ``qid`` exchange.
+    Negatives are bounded per query by ``max_rank``: one window pass on the
+    ``qid`` exchange numbers and counts them (the kept-query list reuses that
+    exchange).  Positives are not bounded — one query may hold a large share of
+    the judgements — so their positions come from ``ordinal_within``, which
+    never gives a whole group to one task.
     """
+    from dpmine.operators.ordinal import ordinal_within
     r = run.filter(F.col("rank").between(1, max_rank)).select("qid", "pid", "rank")
     if zero_pad:
         r = pad_run(r, max_rank)
     mq = mining_queries(qrels, r, queries).select("qid")
-    negs = exclude_positives(r.join(mq, "qid", "left_semi"), qrels).select(
-        "qid", "pid", F.lit(NEG).alias("role"), F.col("rank").cast("long").alias("_o"))
-    pos = qrels.join(mq, "qid", "left_semi").select(
-        "qid", "pid", F.lit(POS).alias("role"), F.col(qrels_order).cast("long").alias("_o"))
-    u = pos.unionByName(negs)
-    u = (u.withColumn("pos", (F.row_number().over(Window.partitionBy("qid", "role").orderBy("_o", "pid")) - 1)
-                      .cast("int"))
-         .withColumn("_n_neg", F.count(F.when(F.col("role") == NEG, True)).over(_wq())))
-    kept = u.filter((F.col("_n_neg") >= depth) & ((F.col("role") == POS) | (F.col("pos") < depth)))
-    return kept.select("qid", "role", "pos", "pid",
-                       F.when(F.col("role") == POS, F.lit(1.0)).otherwise(F.lit(0.0)).alias("score"))
+    negs = exclude_positives(r.join(mq, "qid", "left_semi"), qrels).select("qid", "pid", "rank")
+    negs = (negs.withColumn("pos", (F.row_number().over(_wq("rank", "pid")) - 1).cast("int"))
+            .withColumn("_n_neg", F.count(F.lit(1)).over(_wq())))
+    neg_rows = negs.filter((F.col("_n_neg") >= depth) & (F.col("pos") < depth))
+    kept = neg_rows.filter(F.col("pos") == 0).select("qid")
+    pos = qrels.select("qid", "pid", F.col(qrels_order).alias("_o")).join(kept, "qid", "left_semi")
+    pos_rows = ordinal_within(pos, "qid", ["_o", "pid"], "pos")
+    return (pos_rows.select("qid", F.lit(POS).alias("role"), "pos", "pid", F.lit(1.0).alias("score"))
+            .unionByName(neg_rows.select("qid", F.lit(NEG).alias("role"), "pos", "pid", F.lit(0.0).alias("score"))))
 
 
 def mining_report(qrels: DataFrame, run: DataFrame, queries: DataFrame, depth: int = 100,

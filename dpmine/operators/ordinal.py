@@ -71,3 +71,22 @@ def contiguous_shard(df: DataFrame, num: int, order_cols: list[str], index: int
 def batches(df: DataFrame, size: int, order_cols: list[str], name: str = "batch") -> DataFrame:
     """Consecutive batches of ``size`` rows in order (the last one may be short)."""
     return with_ordinal(df, order_cols).withColumn(name, F.floor(F.col("ordinal") / size).cast("long"))
+
+
+def ordinal_within(df: DataFrame, key: str, order_cols: list[str], name: str = "pos") -> DataFrame:
+    """0-based position of each row inside its ``key`` group, in ``order_cols`` order (a total order).
+
+    Safe for hot keys: the range-partitioned sort on ``(key, order…)`` splits
+    a key that holds a large share of the rows over several partitions;
+    per (partition, key) counts — at most one row per key and partition —
+    give each piece its offset.  No task ever holds a whole group.
+    """
+    s = df.orderBy(key, *order_cols).withColumn("_mid", F.monotonically_increasing_id())
+    s = s.withColumn("_part", F.shiftright("_mid", _LOW_BITS)).withColumn(
+        "_idx", F.col("_mid").bitwiseAND(F.lit((1 << _LOW_BITS) - 1)))
+    pieces = s.groupBy("_part", key).agg(F.min("_idx").alias("_first"), F.count(F.lit(1)).alias("_cnt"))
+    w = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.select("_part", key, "_first", F.coalesce(F.sum("_cnt").over(w), F.lit(0)).alias("_off"))
+    out = s.join(pieces, ["_part", key])
+    return out.withColumn(name, (F.col("_off") + F.col("_idx") - F.col("_first")).cast("int")).drop(
+        "_mid", "_part", "_idx", "_first", "_off")

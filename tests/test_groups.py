@@ -102,3 +102,11 @@ def test_score_cache_appends_only_new_keys(spark, tmp_path):
     added = cache.append_new(second, "1")
     assert {(r.pid, r.score) for r in added.collect()} == {(4, 0.1)}
     assert {(r.pid, r.score) for r in cache.read().collect()} == {(2, 0.5), (3, 0.7), (4, 0.1)}
+
+
+def test_ordinal_within_splits_hot_key(spark):
+    from dpmine.operators.ordinal import ordinal_within
+    rows = [(1, p) for p in range(3000)] + [(2, p) for p in range(5)]
+    df = spark.createDataFrame(rows, "qid long, pid long").repartition(7)
+    got = {(r.qid, r.pid): r.pos for r in ordinal_within(df, "qid", ["pid"]).collect()}
+    assert got == {(q, p): p for q, p in rows}
