@@ -252,6 +252,33 @@ def token_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.withColumn("end", (F.col("start") + F.length("token")).cast("int"))
 
 
+def untokenize_docs(docs: DataFrame, lo: int | None = None, hi: int | None = None, id_col: str = "doc_id",
+                    text_col: str = "text") -> DataFrame:
+    """``id, text``: each document's tokens ``[lo, hi)`` re-joined with their whitespace (documents with an
+    empty range are left out).
+
+    The tokeniser runs once per document: pieces, their lengths and the
+    leading gap are columns before any sum refers to them.
+    """
+    d = spread(docs).select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("_x"))
+    d = d.select(id_col, "_x", token_pieces("_x").alias("_p"), leading_gap("_x").alias("_lead"))
+    d = d.select(id_col, "_x", "_p", "_lead", F.transform("_p", lambda p: F.length(p)).alias("_len"),
+                 F.size("_p").alias("_n"))
+    n = F.col("_n")
+    s = py_bound(lo, n) if lo is not None else F.lit(0)
+    e = py_bound(hi, n) if hi is not None else n
+    d = d.select(id_col, "_x", "_p", "_lead", "_len", s.alias("_s"), e.alias("_e"))
+
+    def upto(k):
+        return F.aggregate(F.slice("_len", 1, k), F.lit(0), lambda a, x: a + x)
+
+    start = F.col("_lead") + F.when(F.col("_s") > 0, upto(F.col("_s"))).otherwise(F.lit(0))
+    last_tok = F.regexp_extract(F.element_at("_p", F.greatest(F.col("_e"), F.lit(1))), "^(?:" + TOKEN + ")", 0)
+    end = F.col("_lead") + F.when(F.col("_e") > 1, upto(F.col("_e") - 1)).otherwise(F.lit(0)) + F.length(last_tok)
+    d = d.filter(F.col("_e") > F.col("_s")).select(id_col, "_x", start.alias("_a"), end.alias("_b"))
+    return d.select(id_col, strip_py(F.substring("_x", F.col("_a") + 1, F.col("_b") - F.col("_a"))).alias("text"))
+
+
 def untokenize_text(text, lo: int | None = None, hi: int | None = None) -> Column:
     """Text of tokens ``[lo, hi)`` (Python slice bounds) with their inner whitespace, stripped — per row.
 

@@ -313,13 +313,11 @@ def q_token_offsets(spark, sf):
 
 
 def q_untokenize(spark, sf):
-    d = _docs(spark, sf).select("doc_id", TX.untokenize_text("text").alias("text"))
-    return d.filter(F.col("text").isNotNull())
+    return TX.untokenize_docs(_docs(spark, sf))
 
 
 def q_token_slice(spark, sf):
-    d = _docs(spark, sf).select("doc_id", TX.untokenize_text("text", 2, -2).alias("text"))
-    return d.filter(F.col("text").isNotNull())
+    return TX.untokenize_docs(_docs(spark, sf), 2, -2)
 
 
 def _punct_word(w):

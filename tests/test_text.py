@@ -53,6 +53,16 @@ def test_untokenize_text_per_row(docs):
         assert sl[did] == ("".join(ws for _, ws, _ in mid).strip() if mid else None)
 
 
+def test_untokenize_docs(docs):
+    full = {r.doc_id: r.text for r in TX.untokenize_docs(docs).collect()}
+    sl = {r.doc_id: r.text for r in TX.untokenize_docs(docs, 1, -1).collect()}
+    for did, text in enumerate(TEXTS):
+        toks = python_tokens(text)
+        assert full.get(did) == ("".join(ws for _, ws, _ in toks).strip() if toks else None)
+        mid = toks[1:-1]
+        assert sl.get(did) == ("".join(ws for _, ws, _ in mid).strip() if mid else None)
+
+
 def test_words_count_slice(docs):
     rows = {r.doc_id: r for r in docs.select("doc_id", TF.words("text", True).alias("w"),
                                              TF.token_count("text").alias("n")).collect()}
