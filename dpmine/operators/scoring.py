@@ -102,10 +102,12 @@ class ScoreCache:
         self.spark, self.root = spark, root.rstrip("/") + (f"/scorer={scorer_id}" if scorer_id else "")
 
     def read(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(self.SCHEMA + ", batch string").parquet(self.root).select("qid", "pid", "score")
-        except Exception:  # noqa: BLE001 - an empty or missing cache
+        jvm = self.spark.sparkContext._jvm
+        hpath = jvm.org.apache.hadoop.fs.Path(self.root)
+        fs = hpath.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(hpath) or not any(st.getPath().getName().startswith("batch=") for st in fs.listStatus(hpath)):
             return self.spark.createDataFrame([], self.SCHEMA)
+        return self.spark.read.schema(self.SCHEMA + ", batch string").parquet(self.root).select("qid", "pid", "score")
 
     def _done(self, path: str) -> bool:
         jvm = self.spark.sparkContext._jvm
