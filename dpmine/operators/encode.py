@@ -42,7 +42,8 @@ def encode(df: DataFrame, id_col: str, text_cols: list[str], make_model: Callabl
                 vecs = np.asarray(model(texts), dtype=np.float64)
                 yield pd.DataFrame({id_col: part[id_col].values, out: list(vecs)})
 
-    return df.select(*cols).mapInPandas(run, f"{id_col} long, {out} array<double>")
+    from dpmine.operators.text import spread
+    return spread(df.select(*cols)).mapInPandas(run, f"{id_col} long, {out} array<double>")
 
 
 def bucket_of(token, dim: int):
