@@ -108,5 +108,8 @@ def ship_package(spark: SparkSession) -> None:
                 if name.endswith(".py"):
                     full = os.path.join(root, name)
                     zf.write(full, os.path.relpath(full, os.path.dirname(pkg)))
-    sc.addPyFile(archive)
+    try:
+        sc.addPyFile(archive)
+    except Exception:  # noqa: BLE001 - already registered in this context by another module instance
+        pass
     _SHIPPED.add(app)
