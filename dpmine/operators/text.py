@@ -338,3 +338,10 @@ def entity_groups(tagged: DataFrame, id_col: str = "doc_id", tag_col: str = "tag
 def capital_tags(tokens: DataFrame) -> DataFrame:
     """Rule tagger used as the annotation input: ``CAP`` when a token starts upper-case, else ``O``."""
     return tokens.withColumn("tag", F.when(F.col("token").rlike(r"^\p{Lu}"), F.lit("CAP")).otherwise(F.lit(NON_ENTITY)))
+
+
+def annotation(tokens: DataFrame, name: str, id_col: str = "doc_id") -> DataFrame | None:
+    """``id, i, <name>`` for an attached token annotation (``pos``, ``lemma``, ``ner``…); None when absent."""
+    if name not in tokens.columns:
+        return None
+    return tokens.select(id_col, "i", name)

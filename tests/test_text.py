@@ -106,3 +106,9 @@ def test_pair_truncation(spark, la, lb, n, want):
     a, b = TX.truncate_pair("a", "b", n)
     r = df.select(F.size(a).alias("x"), F.size(b).alias("y")).first()
     assert (r.x, r.y) == want
+
+
+def test_annotation_present_or_none(spark):
+    t = spark.createDataFrame([(0, 0, "A", "NNP")], "doc_id long, i int, token string, pos string")
+    assert TX.annotation(t, "lemma") is None
+    assert [tuple(r) for r in TX.annotation(t, "pos").collect()] == [(0, 0, "NNP")]
