@@ -110,3 +110,12 @@ def test_ordinal_within_splits_hot_key(spark):
     df = spark.createDataFrame(rows, "qid long, pid long").repartition(7)
     got = {(r.qid, r.pid): r.pos for r in ordinal_within(df, "qid", ["pid"]).collect()}
     assert got == {(q, p): p for q, p in rows}
+
+
+def test_preview_and_head_sample_are_repeatable(spark):
+    from dpmine.operators.ordinal import head_sample
+    df = spark.createDataFrame([(i, f"q{i}") for i in range(50)], "qid long, query string").repartition(5)
+    a = [r.qid for r in G.preview(df, 3, seed=1).collect()]
+    b = [r.qid for r in G.preview(df.repartition(3), 3, seed=1).collect()]
+    assert a == b and len(a) == 3
+    assert [r.qid for r in head_sample(df, 4, ["qid"]).collect()] == [0, 1, 2, 3]
