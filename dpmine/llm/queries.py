@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dpmine.llm import simhash
+from dpmine.llm import mixing, simhash, token_output
 from dpmine.llm.common import table
 
 
@@ -15,5 +15,17 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op8_simhash_near_dedup,)}
+def op9_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, start, n_tokens, ids_crc32`` of every document, from the files written for the whole table."""
+    import public_tokenizers
+    return token_output.token_output(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2)
+
+
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, size, source_size, target, taken`` of every document."""
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), F.array("source"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+QUERIES = {f.__name__: f for f in (op8_simhash_near_dedup, op9_token_id_output, op10_source_mixing)}
 SQL: dict[str, str] = {}
