@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dpmine.llm import mixing, simhash, token_output
+from dpmine.llm import langid, mixing, simhash, token_output
 from dpmine.llm.common import table
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, held_out, lang_pred, score`` (and ``cross_entropy, rejected``) of every document."""
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.train(docs))
+    return found.select("doc_id", langid.is_held_out().alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, fingerprint, component_id`` of every document."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -27,5 +34,5 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op8_simhash_near_dedup, op9_token_id_output, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op2_language_id, op8_simhash_near_dedup, op9_token_id_output, op10_source_mixing)}
 SQL: dict[str, str] = {}
