@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dpmine.llm import langid, mixing, simhash, token_output
+from dpmine.llm import decontam, langid, mixing, simhash, token_output
 from dpmine.llm.common import table
 
 
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a test item, with the item: ``doc_id, item_id, score`` and both overlaps."""
+    items = decontam.halves(table(spark, sf_dir, "benchmark"))
+    found = decontam.contaminated(table(spark, sf_dir, "documents"), items)
+    return found.select("doc_id", "item_id", "score", "question_overlap", "answer_overlap")
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` (and ``cross_entropy, rejected``) of every document."""
     docs = table(spark, sf_dir, "documents")
@@ -34,5 +41,5 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op8_simhash_near_dedup, op9_token_id_output, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_language_id, op8_simhash_near_dedup, op9_token_id_output, op10_source_mixing)}
 SQL: dict[str, str] = {}
