@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,3 +48,46 @@ def keep_rows(docs: DataFrame, kept: DataFrame, key: str = "doc_id", text: str =
     marked = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), a, b)
     return (marked.join(kept.select("_row_id", "_row_hash"), ["_row_id", "_row_hash"], "left_semi")
             .select("_row.*"))
+
+
+#: Bytes of a word that :func:`distinct_words` can tell from others.
+LONGEST_WORD = 4096
+_IN_WORD = np.ones(256, bool)
+_IN_WORD[[0x20, *range(0x09, 0x0E)]] = False
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(8)] + [(1 << 64) - 1], np.uint64)     # the first n of 8 bytes
+_MULTIPLIERS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)]
+
+
+def cut_words(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and past-the-last position of every word in UTF-8 bytes."""
+    edge = np.flatnonzero(np.diff(_IN_WORD[codes], prepend=False, append=False))
+    return edge[::2], edge[1::2]
+
+
+def distinct_words(data: bytes, starts: np.ndarray, stops: np.ndarray):
+    """The different words: (first occurrence, hash, second hash) by rising hash, and the group of every word.
+
+    Words are read eight bytes at a time and told apart by two 64-bit hashes; None where two have the same first one
+    (the caller then goes without this shortcut).
+    """
+    eights = np.ndarray(len(data) + 1, "<u8", data + bytes(8), strides=(1,))
+    sizes = stops - starts
+    hashed, check = (sizes.astype(np.uint64) * m for m in _MULTIPLIERS)
+    at = np.arange(len(starts))
+    for k in range(0, int(sizes.max()), 8):
+        if k:
+            at = at[sizes[at] > k]
+        chunk = eights[starts[at] + k] & _KEEP[np.minimum(sizes[at] - k, 8)]
+        for h, m in ((hashed, _MULTIPLIERS[0]), (check, _MULTIPLIERS[1])):
+            x = (h[at] ^ chunk) * m
+            h[at] = x ^ (x >> np.uint64(31))
+            chunk = chunk + m
+    order = np.argsort(hashed)
+    ranked = hashed[order]
+    fresh = np.diff(ranked, prepend=~ranked[:1]) != 0
+    group = np.empty(len(order), np.int64)
+    group[order] = np.cumsum(fresh) - 1
+    first = order[fresh]
+    if (check != check[first][group]).any():
+        return None
+    return first, ranked[fresh], check[first], group

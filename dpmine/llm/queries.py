@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dpmine.llm import decontam, langid, mixing, simhash, token_output
+from dpmine.llm import decontam, langid, mixing, simhash, token_counts, token_output, topk
 from dpmine.llm.common import table
 
 
@@ -23,6 +23,17 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.is_held_out().alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, n_words, n_tokens``: greedy longest-match pieces of every document."""
+    import public_tokenizers
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op4_exact_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 highest integer products of every vector with an id divisible by 50: ``query_id, rank, vec_id, score``."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, fingerprint, component_id`` of every document."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -41,5 +52,16 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_language_id, op8_simhash_near_dedup, op9_token_id_output, op10_source_mixing)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_language_id, op3_token_counts, op4_exact_topk_search, op8_simhash_near_dedup, op9_token_id_output, op10_source_mixing)}
+SQL: dict[str, str] = {
+    "op4_exact_topk_search": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+                   FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(embedding) > 0
+                     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+             s AS (SELECT q.vec_id AS query_id, p.vec_id AS vec_id,
+                          CAST(list_inner_product(CAST(q.e AS DOUBLE[]), CAST(p.e AS DOUBLE[])) AS BIGINT) AS score
+                   FROM v q JOIN v p ON q.vec_id % 50 = 0 AND p.vec_id <> q.vec_id),
+             r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+}
