@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dpmine.llm import decontam, langid, mixing, simhash, token_counts, token_output, topk
+from dpmine.llm import chat, decontam, langid, mixing, simhash, token_counts, token_output, topk
 from dpmine.llm.common import table
 
 
@@ -34,6 +34,21 @@ def op4_exact_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
 
+TOOLS = [
+    ("plan", [("query", "string", True), ("turn", "integer", True)], True),
+    ("lookup", [("query", "string", True), ("turn", "integer", True), ("limit", "integer", False)], True),
+    ("search", [("query", "string", True), ("turn", "integer", True), ("after", "string", True)], False),
+]
+
+
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every call and result of ``conversations`` linked, validated and written as JSON, a row a call id."""
+    calls, results = chat.calls_of_conversations(table(spark, sf_dir, "conversations"))
+    found = chat.format_tool_calls(calls, results, spark.createDataFrame(TOOLS, chat.SCHEMA_COLUMNS))
+    return found.select("conv_id", "call_id", "name", "level", "n_calls", "n_results",
+                        F.array_join("errors", ",").alias("errors"), "json")
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, fingerprint, component_id`` of every document."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -52,7 +67,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_language_id, op3_token_counts, op4_exact_topk_search, op8_simhash_near_dedup, op9_token_id_output, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_language_id, op3_token_counts, op4_exact_topk_search, op6_chat_formatting, op8_simhash_near_dedup, op9_token_id_output, op10_source_mixing)}
 SQL: dict[str, str] = {
     "op4_exact_topk_search": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
@@ -64,4 +79,30 @@ SQL: dict[str, str] = {
                    FROM v q JOIN v p ON q.vec_id % 50 = 0 AND p.vec_id <> q.vec_id),
              r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op6_chat_formatting": """
+        WITH c AS (SELECT conv_id, 'call_' || conv_id || '_' || turn AS call_id, turn, text,
+                          CASE WHEN turn = 0 THEN 'plan' WHEN length(text) <= 80 THEN 'lookup' ELSE 'search' END AS name,
+                          CASE WHEN turn >= 2 THEN 'call_' || conv_id || '_' || (turn - 2) END AS after
+                   FROM conversations WHERE role = 'user'),
+             r AS (SELECT conv_id, 'call_' || conv_id || '_' || (turn - 1) AS call_id, min(text) AS content, count(*) AS n
+                   FROM conversations WHERE role = 'assistant' GROUP BY ALL),
+             j AS (SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, name, turn AS level,
+                          CASE WHEN c.call_id IS NULL THEN 0 ELSE 1 END AS n_calls, coalesce(r.n, 0) AS n_results,
+                          list_filter([CASE WHEN c.call_id IS NULL THEN 'no_call' END, CASE WHEN r.n IS NULL THEN 'no_result' END,
+                                       CASE WHEN r.n > 1 THEN 'duplicate_result' END,
+                                       CASE WHEN c.call_id IS NOT NULL AND text IS NULL THEN 'missing:query' END,
+                                       CASE WHEN name = 'search' AND after IS NULL THEN 'missing:after' END,
+                                       CASE WHEN name = 'lookup' AND after IS NOT NULL THEN 'extra:after' END],
+                                      lambda x: x IS NOT NULL) AS e,
+                          CASE WHEN c.call_id IS NULL THEN 'null' ELSE '{' || array_to_string(list_filter(
+                              ['"after":"' || after || '"', '"query":' || CAST(to_json(text) AS VARCHAR), '"turn":' || turn],
+                              lambda x: x IS NOT NULL), ',') || '}' END AS arguments,
+                          CASE WHEN after IS NULL THEN '[]' ELSE '["' || after || '"]' END AS needs, content
+                   FROM c FULL JOIN r ON c.conv_id = r.conv_id AND c.call_id = r.call_id)
+        SELECT conv_id, call_id, name, level, n_calls, n_results, array_to_string(e, ',') AS errors,
+               '{"arguments":' || arguments || ',"call_id":"' || call_id || '","conv_id":' || conv_id || ',"depends_on":' || needs
+               || ',"errors":[' || array_to_string(list_transform(e, lambda x: '"' || x || '"'), ',') || '],"level":'
+               || coalesce(CAST(level AS VARCHAR), 'null') || ',"name":' || coalesce('"' || name || '"', 'null') || ',"result":'
+               || CASE WHEN content IS NULL THEN 'null' ELSE CAST(to_json(content) AS VARCHAR) END || '}' AS json
+        FROM j""",
 }
