@@ -9,7 +9,7 @@ expansion length of each rule) are little-endian binaries; ``doc_ids`` and ``doc
 from __future__ import annotations
 
 import json
-from array import array
+import zlib
 from itertools import chain
 
 import numpy as np
@@ -19,14 +19,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from dpmine.llm.common import pieces
+from dpmine.llm.common import LONGEST_WORD, cut_words, distinct_words, pieces, utf8
 from dpmine.session import scratch_path
 
 BLOCK_IDS = 1 << 20      # ids of a block, but for a document that is longer by itself
 MIN_COUNT = 64           # a pair is replaced while it occurs that often in its block
 PAIRS = 4096             # pairs replaced in one pass over a block
-CACHE_WORDS = 300_000    # distinct words (and pieces) a worker keeps encoded
-_HASH_BITS = 20
+CACHE_WORDS = 1_000_000  # distinct words that a worker keeps encoded
+MIN_GAIN = 0.005         # a pass that shortens its block by a smaller share is the last one
+_HASH_BITS = 18
+_MOST = 1 << 16          # counts of pairs are told apart up to here
 _SEPARATORS = "\x1c\x1d\x1e\x1f"     # white space to Python's str.split, not to the tokenizer
 _BLOCK_SCHEMA = ("shard int, block int, shard_ids long, n_ids long, base long, rules binary, symbols binary, "
                  "lengths binary, doc_ids array<long>, doc_lengths array<long>")
@@ -44,8 +46,11 @@ class TextEncoder:
     """Ids of whole texts by the tokenizers library, with every distinct word encoded once per worker.
 
     Words can be encoded apart when the file normalises by NFC, white-space folding and lower-casing and cuts at white
-    space without looking across it; a file of another shape, a text with one of the separators that only Python
-    takes for white space, and a word with an added token, a letter beyond U+024F or a dotted capital I go through the library as a whole.
+    space without looking across it; a file of another shape goes through the library text by text.  Words are cut at
+    ASCII white space and looked up by a 128-bit hash in a sorted table; new Latin words are normalised and cut by the
+    file's own pattern, and each distinct part goes through the library's model.  New words with an added token, a
+    letter beyond U+024F, a dotted capital I or a separator that only Python takes for white space go through the
+    library as a whole.
     """
 
     def __init__(self, path: str):
@@ -68,59 +73,125 @@ class TextEncoder:
             self._reset()
 
     def _reset(self):
-        self.slot, self.piece = {}, {}
-        self.pool, self.ends = array("I"), array("q", [0])
-
-    def _put(self, word: str, ids) -> None:
-        self.slot[word] = len(self.ends) - 1
-        self.pool.extend(ids)
-        self.ends.append(len(self.pool))
-
-    def _learn(self, words: set[str]) -> None:
-        plain, other = [], []
-        for w in words:
-            (plain if w.isascii() or (max(w) < "ɐ" and "İ" not in w) else other).append(w)
-        text = "\n".join(plain)
-        if any(a in text for a in self.added):
-            other += [w for w in plain if any(a in w for a in self.added)]
-            plain = [w for w in plain if not any(a in w for a in self.added)]
-            text = "\n".join(plain)
-        if plain:
-            known, tokenize, alphabet = self.piece, self.tokenize, self.alphabet
-            word, ids = iter(plain), []
-            for p in self.split.findall(text.lower()):
-                if p == "\n":
-                    self._put(next(word), ids)
-                    ids = []
-                    continue
-                found = known.get(p)
-                if found is None:
-                    found = known[p] = [t.id for t in tokenize(p.translate(alphabet))]
-                ids += found
-            self._put(next(word), ids)
-        if other:
-            for w, e in zip(other, self.whole.encode_batch(other, add_special_tokens=False)):
-                self._put(w, e.ids)
-
-    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of ``texts`` one after the other, and their number in each."""
-        apart = [self.by_word and not any(c in t for c in _SEPARATORS) for t in texts]
-        if not all(apart):
-            ids = [e.ids for e in self.whole.encode_batch(texts, add_special_tokens=False)]
-            return np.fromiter(chain.from_iterable(ids), np.uint32), np.array([len(x) for x in ids], np.int64)
-        words = [t.split() for t in texts]
-        if len(self.slot) > CACHE_WORDS or len(self.piece) > CACHE_WORDS:
-            self._reset()
-        flat = list(chain.from_iterable(words))
-        missing = set(flat).difference(self.slot)
-        if missing:
-            self._learn(missing)
-        at = np.fromiter(map(self.slot.__getitem__, flat), np.int64, len(flat))
-        pool, ends = np.array(self.pool, np.uint32), np.array(self.ends, np.int64)
-        ids, sizes = ragged(pool, ends[:-1][at], ends[1:][at] - ends[:-1][at])
-        counts = np.array([len(w) for w in words], np.int64)
-        upto = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)])]
-        return ids, np.diff(upto)
+        # number of a word: its row in the pool; the table is sorted by the first hash
+        self.hashes, self.checks, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.word_ids, self.part_ids = _Pool(), _Pool()
+        self.parts = _Numbers({"\n": 0})                # parts a word from the next, no id
+        self.part_ids.add(np.zeros(0, np.uint32), np.zeros(1, np.int64))
+
+    def _plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of Latin words: normalised and cut here, every distinct part through the library's model."""
+        cut = self.split.findall("\n".join(words).lower() + "\n")
+        at = np.fromiter(map(self.parts.__getitem__, cut), np.int64, len(cut))
+        tokenize, alphabet = self.tokenize, self.alphabet
+        self.part_ids.add(*_flat([[t.id for t in tokenize(p if p.isascii() else p.translate(alphabet))]
+                                  for p in self.parts.taken()]))
+        ids, sizes = self.part_ids.of(at)
+        return ids, np.diff(np.cumsum(sizes)[at == 0], prepend=0)
+
+    def _learn(self, words: list[str]) -> None:
+        """Give the next numbers of ``word_ids`` to ``words``."""
+        whole = np.array([not (w.isascii() or (max(w) < "ɐ" and "İ" not in w)) for w in words], bool)
+        text = "\n".join(words)
+        odd = [x for x in [*self.added, *_SEPARATORS] if x in text]
+        if odd:
+            whole |= np.array([any(x in w for x in odd) for w in words], bool)
+        plain = [w for w, x in zip(words, whole.tolist()) if not x]
+        other = [w for w, x in zip(words, whole.tolist()) if x]
+        a, n = self._plain(plain) if plain else _flat([])
+        b, m = _flat([e.ids for e in self.whole.encode_batch(other, add_special_tokens=False)])
+        sizes, starts = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        sizes[~whole], sizes[whole] = n, m
+        starts[~whole], starts[whole] = np.cumsum(n) - n, np.cumsum(m) - m + len(a)
+        self.word_ids.add(*ragged(np.concatenate([a, b]), starts, sizes))
+
+    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the UTF-8 ``texts`` one after the other, and their number in each."""
+        data = b" ".join(texts)
+        codes = np.frombuffer(data, np.uint8)
+        starts, stops = cut_words(codes)
+        if not len(starts):
+            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
+        found = None
+        if self.by_word and int((stops - starts).max()) <= LONGEST_WORD:
+            if len(self.numbers) > CACHE_WORDS:
+                self._reset()
+            found = self._look_up(data, starts, stops)
+        if found is None:
+            return _flat([e.ids for e in self.whole.encode_batch([t.decode("utf-8", "replace") for t in texts],
+                                                                 add_special_tokens=False)])
+        ids, sizes = self.word_ids.of(found)
+        bounds = np.cumsum([0] + [len(t) + 1 for t in texts])
+        return ids, np.diff(np.concatenate([[0], np.cumsum(sizes)])[np.searchsorted(starts, bounds)])
+
+    def _look_up(self, data: bytes, starts: np.ndarray, stops: np.ndarray) -> np.ndarray | None:
+        """The number of every word, new ones learnt; None where hashes can't tell the words apart."""
+        words = distinct_words(data, starts, stops)
+        if words is None:
+            return None
+        first, kinds, check, group = words
+        row = np.minimum(np.searchsorted(self.hashes, kinds), max(len(self.hashes) - 1, 0))
+        known = self.hashes[row] == kinds if len(self.hashes) else np.zeros(len(kinds), bool)
+        if (self.checks[row[known]] != check[known]).any():
+            return None
+        number = np.empty(len(kinds), np.int64)
+        number[known] = self.numbers[row[known]]
+        new = first[~known]
+        if len(new):
+            number[~known] = np.arange(len(self.numbers), len(self.numbers) + len(new))
+            self._learn([data[x:y].decode("utf-8", "replace") for x, y in zip(starts[new].tolist(), stops[new].tolist())])
+            keys = np.concatenate([self.hashes, kinds[~known]])
+            by_hash = np.argsort(keys, kind="stable")
+            self.hashes = keys[by_hash]
+            self.checks = np.concatenate([self.checks, check[~known]])[by_hash]
+            self.numbers = np.concatenate([self.numbers, number[~known]])[by_hash]
+        return number[group]
+
+
+class _Numbers(dict):
+    """Numbers keys in the order in which they are first looked up."""
+
+    fresh: list
+
+    def __init__(self, known: dict):
+        super().__init__(known)
+        self.fresh = []
+
+    def __missing__(self, key):
+        n = self[key] = len(self)
+        self.fresh.append(key)
+        return n
+
+    def taken(self) -> list[str]:
+        """Keys numbered since the last call."""
+        out, self.fresh = self.fresh, []
+        return out
+
+
+class _Pool:
+    """Sequences of ids by number, stored one after the other; the space doubles when it is full."""
+
+    def __init__(self):
+        self.ids, self.used = np.empty(1 << 16, np.uint32), 0
+        self.ends, self.count = np.zeros(1 << 14, np.int64), 0
+
+    def add(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+        while self.count + len(sizes) + 1 > len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        self.ids[self.used:self.used + len(ids)] = ids
+        self.ends[self.count + 1:self.count + 1 + len(sizes)] = self.used + np.cumsum(sizes)
+        self.used, self.count = self.used + len(ids), self.count + len(sizes)
+
+    def of(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        starts = self.ends[at]
+        return ragged(self.ids, starts, self.ends[at + 1] - starts)
+
+
+def _flat(found: list) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.fromiter(map(len, found), np.int64, len(found))
+    return np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes
 
 
 def ragged(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -144,46 +215,46 @@ def compress(ids: np.ndarray, base: int, min_count: int = MIN_COUNT, pairs: int
     """Re-Pair of one block: (rules (r, 2), symbols), both uint32; symbol ``base + r`` stands for the pair of rule r.
 
     A pass counts all neighbouring pairs, makes rules of up to ``pairs`` of the most frequent ones and replaces them
-    from left to right; passes go on until no pair occurs ``min_count`` times.
+    from left to right; passes go on until no pair occurs ``min_count`` times or one shortens the block by less
+    than ``MIN_GAIN``.
     """
-    s, rules, n_rules, mask = ids.astype(np.uint32), [], 0, (1 << _HASH_BITS) - 1
+    s, rules, n_rules = ids.astype(np.uint32), [], 0
+    owner = np.empty(1 << _HASH_BITS, np.uint64)
     while len(s) > min_count:
         slot = ((s[:-1] * np.uint32(2654435761)) ^ (s[1:] * np.uint32(2246822519))) >> np.uint32(32 - _HASH_BITS)
-        heat = np.bincount(slot, minlength=mask + 1)
-        top = np.partition(heat, -pairs)[-pairs] if pairs < len(heat) else 0
-        where = np.flatnonzero(heat[slot] >= max(min_count, int(top)))
-        if not len(where):
-            break
+        heat = np.bincount(slot, minlength=len(owner))
+        often = np.cumsum(np.bincount(np.minimum(heat, _MOST))[::-1])      # slots by falling count
+        least = max(min_count, len(often) - 1 - int(np.searchsorted(often, pairs, "right")))
+        where = np.flatnonzero((heat >= least)[slot])
+        # a slot stands for one of its pairs in this pass; others that fall into it wait for a later one
+        slot = slot[where]
         key = s[where].astype(np.uint64) << np.uint64(32) | s[where + 1]
-        order = np.argsort(key, kind="stable")
-        ranked = key[order]
-        first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-        count = np.diff(np.append(first, len(ranked)))
-        of = np.empty(len(key), np.int64)
-        of[order] = np.repeat(np.arange(len(first)), count)
-        good = count[of] >= min_count
-        where, of = where[good], of[good]
-        if not len(where):
-            break
+        owner[slot] = key
+        own = owner[slot] == key
+        where, slot = where[own], slot[own]
+        good = np.bincount(slot, minlength=len(owner))[slot] >= min_count
+        where, slot = where[good], slot[good]
         # a run of overlapping pairs gives every other one, from its left end
-        start = np.concatenate([[True], np.diff(where) != 1])
-        head = np.maximum.accumulate(np.where(start, np.arange(len(where)), 0))
-        pick = (np.arange(len(where)) - head) % 2 == 0
-        where, of = where[pick], of[pick]
-        used = np.bincount(of, minlength=len(first))
-        kept = used[of] >= 2
-        where, of = where[kept], of[kept]
+        n = np.arange(len(where))
+        head = np.maximum.accumulate(np.where(np.diff(where, prepend=-2) != 1, n, 0)) if len(where) else n
+        pick = (n - head) % 2 == 0
+        where, slot = where[pick], slot[pick]
+        used = np.bincount(slot, minlength=len(owner)) >= 2
+        kept = used[slot]
+        where, slot = where[kept], slot[kept]
         if not len(where):
             break
-        names = np.cumsum(used >= 2) - 1
-        made = ranked[first[used >= 2]]
+        made = owner[np.flatnonzero(used)]
+        names = (np.cumsum(used) + (base + n_rules - 1)).astype(np.uint32)
         rules.append(np.stack([made >> np.uint64(32), made & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32))
         s = s.copy()
-        s[where] = (base + n_rules + names[of]).astype(np.uint32)
+        s[where] = names[slot]
         n_rules += len(made)
         stay = np.ones(len(s), bool)
         stay[where + 1] = False
         s = s[stay]
+        if len(where) < MIN_GAIN * len(stay):
+            break
     return (np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)), s
 
 
@@ -238,7 +309,6 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2,
     block whenever ``block_ids`` ids are there, so it holds one block and one slice of texts.
     """
     def run(batches):
-        from tokenizers import Tokenizer  # noqa: F401  (fails early where the library is missing)
         enc, shard, block, before = encoder(tokenizer), TaskContext.get().partitionId(), 0, 0
         base = max(enc.whole.get_vocab_size(), end_id + 1)
         held, sizes, keys, n = [], [], [], 0
@@ -256,7 +326,7 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2,
                 names=[x.split()[0] for x in _BLOCK_SCHEMA.split(", ")])
 
         for part in pieces(batches):
-            ids, counts = enc([x or "" for x in part.column(1).to_pylist()])
+            ids, counts = enc(utf8(part.column(1)))
             ends = np.cumsum(counts)
             for doc, e, c in zip(part.column(0).to_pylist(), ends.tolist(), counts.tolist()):
                 held += [ids[e - c:e], np.array([end_id], np.uint32)]
@@ -274,8 +344,11 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2,
     rows.mapInArrow(run, _BLOCK_SCHEMA).write.parquet(path)
 
 
-def read_token_ids(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
-    """One row per stored document: ``key, start`` (ids of all documents before it), ``n_tokens, ids`` (binary uint32)."""
+def read_token_ids(spark: SparkSession, path: str, key: str = "doc_id", digest: bool = False) -> DataFrame:
+    """One row per stored document: ``key, start`` (ids of all documents before it), ``n_tokens`` and ``ids`` (binary
+    little-endian uint32) or, with ``digest``, their ``ids_crc32``."""
+    last, kind = ("ids_crc32", "long") if digest else ("ids", "binary")
+
     def run(batches):
         for batch in batches:
             for r in range(batch.num_rows):
@@ -284,20 +357,22 @@ def read_token_ids(spark: SparkSession, path: str, key: str = "doc_id") -> DataF
                              row["base"]).astype("<u4")
                 sizes = np.array(row["doc_lengths"], np.int64)
                 ends = np.cumsum(sizes)
-                raw = ids.tobytes()
+                raw = memoryview(ids.tobytes())
+                cut = zlib.crc32 if digest else bytes
                 for a in range(0, len(sizes), 512):
                     e, s = ends[a:a + 512], sizes[a:a + 512]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(row["doc_ids"][a:a + 512], pa.int64()), pa.array(e - s + row["start"]), pa.array(s),
-                         pa.array([raw[4 * (y - x):4 * y] for x, y in zip(s.tolist(), e.tolist())], pa.binary())],
-                        names=[key, "start", "n_tokens", "ids"])
+                         pa.array([cut(raw[4 * (y - x):4 * y]) for x, y in zip(s.tolist(), e.tolist())],
+                                  pa.int64() if digest else pa.binary())],
+                        names=[key, "start", "n_tokens", last])
     blocks = spark.read.schema(_BLOCK_SCHEMA).parquet(path)
     # one row per writing task
     shards = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n")).select(
         "shard", F.coalesce(F.sum("n").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("at"))
-    placed = blocks.join(shards, "shard").withColumn("start", F.col("at") + F.col("shard_ids"))
+    placed = blocks.join(F.broadcast(shards), "shard").withColumn("start", F.col("at") + F.col("shard_ids"))
     return placed.select("start", "base", "rules", "symbols", "doc_ids", "doc_lengths").mapInArrow(
-        run, f"{key} long, start long, n_tokens long, ids binary")
+        run, f"{key} long, start long, n_tokens long, {last} {kind}")
 
 
 def token_output(docs: DataFrame, tokenizer: str, end_id: int = 2, path: str | None = None) -> DataFrame:
@@ -309,4 +384,4 @@ def token_output(docs: DataFrame, tokenizer: str, end_id: int = 2, path: str | N
     spark = docs.sparkSession
     path = path or scratch_path(spark, "token-ids")
     write_token_ids(docs, path, tokenizer, end_id)
-    return read_token_ids(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return read_token_ids(spark, path, digest=True)
