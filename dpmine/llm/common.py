@@ -64,17 +64,13 @@ def cut_words(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
-def distinct_words(data: bytes, starts: np.ndarray, stops: np.ndarray):
-    """The different words: (first occurrence, hash, second hash) by rising hash, and the group of every word.
-
-    Words are read eight bytes at a time and told apart by two 64-bit hashes; None where two have the same first one
-    (the caller then goes without this shortcut).
-    """
+def word_hashes(data: bytes, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of every word, which is read eight bytes at a time."""
     eights = np.ndarray(len(data) + 1, "<u8", data + bytes(8), strides=(1,))
     sizes = stops - starts
     hashed, check = (sizes.astype(np.uint64) * m for m in _MULTIPLIERS)
     at = np.arange(len(starts))
-    for k in range(0, int(sizes.max()), 8):
+    for k in range(0, int(sizes.max(initial=0)), 8):
         if k:
             at = at[sizes[at] > k]
         chunk = eights[starts[at] + k] & _KEEP[np.minimum(sizes[at] - k, 8)]
@@ -82,6 +78,15 @@ def distinct_words(data: bytes, starts: np.ndarray, stops: np.ndarray):
             x = (h[at] ^ chunk) * m
             h[at] = x ^ (x >> np.uint64(31))
             chunk = chunk + m
+    return hashed, check
+
+
+def distinct_words(data: bytes, starts: np.ndarray, stops: np.ndarray):
+    """The different words: (first occurrence, hash, second hash) by rising hash, and the group of every word.
+
+    None where two words have the same first hash (the caller then goes without this shortcut).
+    """
+    hashed, check = word_hashes(data, starts, stops)
     order = np.argsort(hashed)
     ranked = hashed[order]
     fresh = np.diff(ranked, prepend=~ranked[:1]) != 0

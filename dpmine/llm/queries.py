@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dpmine.llm import chat, decontam, langid, mixing, simhash, token_counts, token_output, topk
+from dpmine.llm import chat, decontam, langid, mixing, simhash, substring_dedup, suffix_dedup, token_counts, \
+    token_output, topk
 from dpmine.llm.common import table
 
 
@@ -34,6 +35,11 @@ def op4_exact_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every document."""
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 TOOLS = [
     ("plan", [("query", "string", True), ("turn", "integer", True)], True),
     ("lookup", [("query", "string", True), ("turn", "integer", True), ("limit", "integer", False)], True),
@@ -49,6 +55,11 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.array_join("errors", ",").alias("errors"), "json")
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, n_words, n_removed, kept_sha256`` of every document."""
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, fingerprint, component_id`` of every document."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -67,7 +78,8 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_language_id, op3_token_counts, op4_exact_topk_search, op6_chat_formatting, op8_simhash_near_dedup, op9_token_id_output, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_language_id, op3_token_counts, op4_exact_topk_search, op5_suffix_array_dedup,
+                                  op6_chat_formatting, op7_substring_dedup, op8_simhash_near_dedup, op9_token_id_output, op10_source_mixing)}
 SQL: dict[str, str] = {
     "op4_exact_topk_search": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
