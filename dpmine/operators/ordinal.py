@@ -1,11 +1,10 @@
-"""Row ordinals, head samples, contiguous shards and batches.
-
-``with_ordinal`` is the DataFrame form of zipWithIndex: sort by explicit
-order columns (a range-partitioned, distributed sort), tag rows with
-``monotonically_increasing_id`` (partition index in the high bits), count
-rows per partition (one small aggregate: one row per partition), turn the
-counts into offsets, and add them back with a broadcast join whose size is
-the number of partitions.  Never a global, un-partitioned window.
+"""Row ordinals, head samples and batches.
+
+The sorted frame is written once; every row keeps the place (sorted partition,
+row in it) at which it was written.  Counts per partition become offsets, and
+the rows are numbered from the stored place, so a second read of the frame can
+never see other partition bounds.  Never a global, un-partitioned window over
+rows.
 """
 
 from __future__ import annotations
@@ -13,19 +12,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from dpmine.session import materialize
+
 _LOW_BITS = 33  # monotonically_increasing_id: partition index << 33 | row index
 
 
+def _placed(df: DataFrame, order: list[str]) -> DataFrame:
+    """``df`` sorted and stored, with its stored place in ``_part`` and ``_idx``."""
+    s = materialize(df.orderBy(*order).withColumn("_mid", F.monotonically_increasing_id()), "sorted")
+    return s.withColumn("_part", F.shiftright("_mid", _LOW_BITS)).withColumn(
+        "_idx", F.col("_mid").bitwiseAND(F.lit((1 << _LOW_BITS) - 1)))
+
+
 def with_ordinal(df: DataFrame, order_cols: list[str], name: str = "ordinal", total: str | None = None) -> DataFrame:
     """Add a dense 0-based ``ordinal`` in the order of ``order_cols`` (must be a total order).
 
     ``total`` also adds the row count as a column (taken from the same
     per-partition counts, so it costs nothing extra).
     """
-    s = df.orderBy(*order_cols).withColumn("_mid", F.monotonically_increasing_id())
-    s = s.withColumn("_part", F.shiftright("_mid", _LOW_BITS)).withColumn(
-        "_idx", F.col("_mid").bitwiseAND(F.lit((1 << _LOW_BITS) - 1)))
-    counts = s.groupBy("_part").agg(F.count(F.lit(1)).alias("_cnt"))
+    s = _placed(df, order_cols)
+    counts = s.groupBy("_part").agg(F.count(F.lit(1)).alias("_cnt"))     # a row per sorted partition
     offsets = counts.select("_part", (F.sum("_cnt").over(Window.orderBy("_part").rowsBetween(
         Window.unboundedPreceding, -1))).alias("_off"), F.sum("_cnt").over(Window.partitionBy()).alias("_all"))
     out = s.join(F.broadcast(offsets), "_part").withColumn(
@@ -40,34 +46,6 @@ def head_sample(df: DataFrame, n: int, order_cols: list[str]) -> DataFrame:
     return df.orderBy(*order_cols).limit(n)
 
 
-def shard_of(ordinal, total, num: int):
-    """Contiguous shard of an ordinal: ``num`` ranges, the first ``total mod num`` one longer."""
-    o = F.col(ordinal) if isinstance(ordinal, str) else ordinal
-    t = F.col(total) if isinstance(total, str) else total
-    base = F.floor(t / num)
-    extra = t - base * num
-    boundary = extra * (base + 1)
-    return F.when(o < boundary, F.floor(o / (base + 1))).otherwise(
-        extra + F.floor((o - boundary) / F.greatest(base, F.lit(1)))).cast("int")
-
-
-def contiguous_shard(df: DataFrame, num: int, order_cols: list[str], index: int | None = None,
-                     rule: str = "balanced") -> DataFrame:
-    """Tag rows with their contiguous shard (``shard``), or keep only shard ``index``.
-
-    ``balanced``: the first ``n mod num`` shards get one row more (the
-    dataset-shard rule).  ``slice``: shards of ``n div num + 1`` rows, the last
-    one shorter (the query-slice rule of the search workers).
-    """
-    o = with_ordinal(df, order_cols, total="_total")
-    if rule == "slice":
-        size = F.floor(F.col("_total") / num) + 1
-        o = o.withColumn("shard", F.floor(F.col("ordinal") / size).cast("int")).drop("_total")
-    else:
-        o = o.withColumn("shard", shard_of("ordinal", "_total", num)).drop("_total")
-    return o if index is None else o.filter(F.col("shard") == index)
-
-
 def batches(df: DataFrame, size: int, order_cols: list[str], name: str = "batch") -> DataFrame:
     """Consecutive batches of ``size`` rows in order (the last one may be short)."""
     return with_ordinal(df, order_cols).withColumn(name, F.floor(F.col("ordinal") / size).cast("long"))
@@ -81,9 +59,7 @@ def ordinal_within(df: DataFrame, key: str, order_cols: list[str], name: str = "
     per (partition, key) counts — at most one row per key and partition —
     give each piece its offset.  No task ever holds a whole group.
     """
-    s = df.orderBy(key, *order_cols).withColumn("_mid", F.monotonically_increasing_id())
-    s = s.withColumn("_part", F.shiftright("_mid", _LOW_BITS)).withColumn(
-        "_idx", F.col("_mid").bitwiseAND(F.lit((1 << _LOW_BITS) - 1)))
+    s = _placed(df, [key, *order_cols])
     pieces = s.groupBy("_part", key).agg(F.min("_idx").alias("_first"), F.count(F.lit(1)).alias("_cnt"))
     w = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     pieces = pieces.select("_part", key, "_first", F.coalesce(F.sum("_cnt").over(w), F.lit(0)).alias("_off"))

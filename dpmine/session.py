@@ -46,8 +46,9 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8,
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for lineage cuts and scratch tables.
 
-    Read from the session (``spark.checkpoint.dir``); set a private one only
-    when the session has none, which is the case in local tests.
+    Read from the session (``spark.checkpoint.dir``); a private one is set
+    only in local mode when the session has none, as in tests.  On a cluster
+    a missing setting is an error: a machine-local folder would not be shared.
     """
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir", None)
@@ -57,6 +58,8 @@ def checkpoint_root(spark: SparkSession) -> str:
         current = sc.getCheckpointDir()
         if current:
             return os.path.dirname(current.rstrip("/")) if current.startswith("/") else current
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="dpmine-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)
     if sc.getCheckpointDir() is None:
