@@ -2,24 +2,20 @@
 
 Plan shape
 ----------
-passages stay where they are (file splits / their partitioning); queries go to
-the tasks in *blocks*: each block is size-checked against ``block_bytes``
-before it is broadcast, and more queries simply mean more blocks.  Per block:
-
-    scan(passages: id, vec)  --mapInArrow(BLAS partial top-k)-->  ≤ |block|·k rows per task
-    union over blocks  --exchange by qid-->  row_number() ≤ k  (WindowGroupLimit partial+final)
-
-Inside a task the running top-k per query is kept across Arrow batches, so a
-task emits at most |block|·k rows however many passages it reads.  With
-``prune=True`` a first pass over a deterministic passage sample gives each
-query a lower bound τ of its final k-th score (the k-th best of any subset can
-only be beaten); the full pass then emits only candidates ≥ τ, which cuts the
-qid shuffle from |Q|·k·tasks rows to a small multiple of |Q|·k.  The result
-is exact either way.
-
-Order is ``round(score, digits) desc, pid asc`` both inside the tasks and in
-the final window, so that the answer does not depend on partitioning or on
-the summation order of the BLAS kernel.
+queries are dealt by hash into blocks, passages into lots; a *cell* is one
+block against one lot, and both sides meet in it by a shuffle:
+
+    queries × their cells ∪ passages × their cells --exchange by cell--> applyInArrow(BLAS, local top-k)
+    --exchange by qid--> row_number() ≤ k  (WindowGroupLimit partial+final)
+
+Neither side passes through the driver, a task holds one cell, and a cell
+returns at most k rows per query.  The sizes of blocks and lots are row counts
+derived from byte budgets that include the k results a query may have.
+
+Order is ``score desc, pid asc`` on exact scores: inside a cell BLAS only picks
+the rows that can be among the best (with a margin for its rounding), and their
+scores are then summed again one row at a time in a fixed order, so that equal
+vectors have equal scores wherever they are compared.
 """
 
 from __future__ import annotations
@@ -28,147 +24,86 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dpmine.functions.vectors import as_double_vector, fold_passage, fold_query
-
-DEFAULT_BLOCK_BYTES = 256 << 20     # query block broadcast to every task
-DEFAULT_SCORE_BYTES = 64 << 20      # one scores tile in a task
-DEFAULT_DIGITS = 6
-
-
-def _vector_dim(queries: DataFrame, vec: str) -> tuple[int, int]:
-    row = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec)).alias("d"),
-                      F.min(F.size(vec)).alias("dmin")).first()
-    n, d, dmin = int(row["n"]), int(row["d"] or 0), int(row["dmin"] or 0)
-    if n and d != dmin:
-        raise ValueError(f"query vectors have different lengths ({dmin}..{d})")
-    return n, d
-
-
-def _collect_block(block: DataFrame, qid: str, vec: str, d: int, limit_bytes: int):
-    """Fetch one size-checked query block as numpy (qids, matrix)."""
-    table = block.select(F.col(qid).cast("long").alias("qid"), as_double_vector(vec).alias("vec")).toArrow()
-    qids = table.column("qid").to_numpy()
-    flat = table.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    mat = np.ascontiguousarray(flat.reshape(len(qids), d), dtype=np.float64)
-    if mat.nbytes > limit_bytes:
-        raise RuntimeError(f"query block of {mat.nbytes} bytes exceeds the {limit_bytes} byte budget")
-    return qids, mat
-
-
-def _merge_state(state, rows, pids, keys, scores, k):
-    """Keep the k best (key desc, pid asc) per query row of state ∪ candidates."""
-    if state is not None:
-        rows = np.concatenate([state[0], rows])
-        pids = np.concatenate([state[1], pids])
-        keys = np.concatenate([state[2], keys])
-        scores = np.concatenate([state[3], scores])
-    order = np.lexsort((pids, -keys, rows))
-    rows_sorted = rows[order]
-    first = np.searchsorted(rows_sorted, rows_sorted, side="left")
-    keep = order[(np.arange(len(order)) - first) < k]
-    return rows[keep], pids[keep], keys[keep], scores[keep]
-
-
-def _topk_task(bc, k: int, digits: int, score_bytes: int, pid: str, vec: str, emit_all: bool = False):
-    """Build the per-partition function for ``mapInArrow``."""
-
-    def run(batches):
-        payload = bc.value
-        qids, Q, tau = payload["qids"], payload["mat"], payload.get("tau")
-        nq, d = Q.shape
-        state = None
-        floor = np.full(nq, -np.inf) if tau is None else tau.astype(np.float64).copy()
-        step = max(1, score_bytes // (8 * max(nq, 1)))
-        for rb in batches:
-            if rb.num_rows == 0 or nq == 0:
-                continue
-            ids = rb.column(pid).to_numpy(zero_copy_only=False).astype(np.int64)
-            flat = rb.column(vec).flatten().to_numpy(zero_copy_only=False)
-            P = flat.astype(np.float64, copy=False).reshape(len(ids), d)
-            for lo in range(0, len(ids), step):
-                S = Q @ P[lo:lo + step].T
-                S[np.isnan(S)] = -np.inf
-                if emit_all:
-                    # one Arrow batch per score tile: memory stays at one tile
-                    flat = S.ravel()
-                    yield pa.RecordBatch.from_pydict({
-                        "qid": np.repeat(qids, S.shape[1]), "pid": np.tile(ids[lo:lo + step], nq),
-                        "score": flat, "skey": np.round(flat, digits)})
-                    continue
-                K = np.round(S, digits)
-                nb = K.shape[1]
-                bar = floor
-                if nb > k:
-                    bar = np.maximum(bar, np.partition(K, nb - k, axis=1)[:, nb - k])
-                r, c = np.nonzero(K >= bar[:, None])
-                if len(r) == 0:
-                    continue
-                state = _merge_state(state, r, ids[lo:lo + step][c], K[r, c], S[r, c], k)
-                counts = np.bincount(state[0], minlength=nq)
-                full = np.nonzero(counts >= k)[0]
-                if len(full):
-                    # state is sorted by (row, key desc, pid): the k-th entry of a row is its last
-                    last = np.searchsorted(state[0], full, side="right") - 1
-                    floor[full] = np.maximum(floor[full], state[2][last])
-        if emit_all:
-            return
-        if state is not None and len(state[0]):
-            yield pa.RecordBatch.from_pydict({
-                "qid": qids[state[0]], "pid": state[1], "score": state[3], "skey": state[2]})
-
-    return run
-
-
-_CAND_SCHEMA = "qid long, pid long, score double, skey double"
-
-
-def _block_plan(queries: DataFrame, passages: DataFrame, *, qid: str, pid: str, vec: str,
-                k: int, digits: int, block_bytes: int, score_bytes: int, tau_of=None,
-                emit_all: bool = False) -> DataFrame:
-    """Union over query blocks of the per-task partial top-k (or all scores)."""
-    spark = queries.sparkSession
-    n, d = _vector_dim(queries, vec)
-    if n == 0:
-        return spark.createDataFrame([], _CAND_SCHEMA)
-    if d * 8 > block_bytes:
-        raise ValueError(f"one {d}-dim query vector does not fit the {block_bytes} byte block budget")
-    nblocks = max(1, math.ceil(n * d * 8 / block_bytes))
-    while nblocks > 1:
-        # one small job: rows per hash block; double the blocks until the largest fits the budget
-        sizes = (queries.groupBy(F.pmod(F.xxhash64(F.col(qid).cast("long")), F.lit(nblocks)).alias("b"))
-                 .agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0])
-        if sizes * d * 8 <= block_bytes:
-            break
-        if nblocks > 4 * n:
-            raise ValueError("query blocks cannot be split further: repeated query ids")
-        nblocks *= 2
-    pas = (passages.select(F.col(pid).cast("long").alias(pid), as_double_vector(vec).alias(vec))
-           .filter(F.size(vec) == d))
-    parts = []
-    for b in range(nblocks):
-        block = queries if nblocks == 1 else queries.filter(
-            F.pmod(F.xxhash64(F.col(qid).cast("long")), F.lit(nblocks)) == b)
-        qids, mat = _collect_block(block, qid, vec, d, block_bytes)
-        payload = {"qids": qids, "mat": mat}
-        if tau_of is not None:
-            payload["tau"] = tau_of(qids, F.lit(True) if nblocks == 1 else
-                                    F.pmod(F.xxhash64(F.col("qid")), F.lit(nblocks)) == b)
-        bc = spark.sparkContext.broadcast(payload)
-        parts.append(pas.mapInArrow(_topk_task(bc, k, digits, score_bytes, pid, vec, emit_all), _CAND_SCHEMA))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def _final_topk(cands: DataFrame, k: int) -> DataFrame:
-    w = Window.partitionBy("qid").orderBy(F.col("skey").desc(), F.col("pid").asc())
-    return (cands.withColumn("rank", F.row_number().over(w))
-            .filter(F.col("rank") <= k)
-            .select("qid", "pid", "rank", "score"))
+from dpmine.functions.vectors import as_double_vector, dot, fold_passage, fold_query
+
+DEFAULT_BLOCK_BYTES = 16 << 20      # one side of a cell (vectors, and for queries their results)
+DEFAULT_SCORE_BYTES = 32 << 20      # one tile of scores in a task
+
+
+def _checked(df: DataFrame, id_col: str, vec: str, name: str, unique: bool) -> tuple[DataFrame, int, int]:
+    """``id, vec`` rows, their number and length; bad rows are errors, never dropped."""
+    rows = df.select(F.col(id_col).cast("long").alias("id"), as_double_vector(vec).alias("vec"))
+    bad = F.col("id").isNull() | F.col("vec").isNull() | F.exists(
+        "vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    row = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("d"), F.min(F.size("vec")).alias("least"),
+                   F.count(F.when(bad, True)).alias("bad")).first()
+    if row["bad"]:
+        raise ValueError(f"{row['bad']} {name} rows have no id, no vector or a non-finite component")
+    if row["n"] and row["d"] != row["least"]:
+        raise ValueError(f"{name} vectors have different lengths ({row['least']}..{row['d']})")
+    if unique and not rows.groupBy("id").count().filter("count > 1").isEmpty():
+        raise ValueError(f"repeated {name} ids")
+    return rows, int(row["n"]), int(row["d"] or 0)
+
+
+def _matrix(part: pa.Table, d: int) -> tuple[np.ndarray, np.ndarray]:
+    flat = part.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return part.column("id").to_numpy(), np.ascontiguousarray(flat.reshape(-1, d), dtype=np.float64)
+
+
+def best_in_cell(Q: np.ndarray, pids: np.ndarray, P: np.ndarray, k: int, score_bytes: int):
+    """(query row, pid, score) of the k best passages of each query, in tiles of query rows."""
+    longest = np.sqrt((P * P).sum(axis=1).max(initial=0.0))
+    step, out = max(1, score_bytes // (8 * max(len(pids), 1))), []
+    for lo in range(0, len(Q), step):
+        part = Q[lo:lo + step]
+        S = part @ P.T
+        if len(pids) > k:
+            bar = np.partition(S, len(pids) - k, axis=1)[:, len(pids) - k]
+            margin = 8 * P.shape[1] * np.finfo(np.float64).eps * np.sqrt((part * part).sum(axis=1)) * longest
+            r, c = np.nonzero(S >= (bar - margin)[:, None])
+        else:
+            r, c = np.nonzero(np.ones(S.shape, bool))
+        score = np.einsum("ij,ij->i", part[r], P[c])
+        order = np.lexsort((pids[c], -score, r))
+        r, c, score = r[order], c[order], score[order]
+        keep = np.arange(len(r)) - np.searchsorted(r, r, side="left") < k
+        out.append((lo + r[keep], pids[c[keep]], score[keep]))
+    rows, ids, scores = (np.concatenate(x) for x in zip(*out))
+    return rows, ids, scores
+
+
+def topk_candidates(queries: DataFrame, passages: DataFrame, k: int, *, qid: str = "qid", pid: str = "pid",
+                    vec: str = "vec", block_bytes: int = DEFAULT_BLOCK_BYTES,
+                    score_bytes: int = DEFAULT_SCORE_BYTES) -> DataFrame:
+    """The best k rows of every query in every cell (``qid, pid, score``), which reach the qid exchange."""
+    q, n_q, d = _checked(queries, qid, vec, "query", True)
+    p, n_p, d_p = _checked(passages, pid, vec, "passage", False)
+    if not n_q or not n_p:
+        return queries.sparkSession.createDataFrame([], "qid long, pid long, score double")
+    if d != d_p:
+        raise ValueError(f"query vectors have length {d}, passage vectors {d_p}")
+    blocks = math.ceil(n_q / max(1, block_bytes // (8 * (d + 2 * k))))
+    lots = math.ceil(n_p / max(1, block_bytes // (8 * d)))
+
+    def dealt(rows, own, own_n, other, other_n, asks):
+        return rows.select(F.pmod(F.xxhash64("id"), F.lit(own_n)).cast("int").alias(own),
+                           F.explode(F.sequence(F.lit(0), F.lit(other_n - 1))).alias(other), "id", "vec", F.lit(asks).alias("asks"))
+    sides = dealt(q, "block", blocks, "lot", lots, True).unionByName(dealt(p, "lot", lots, "block", blocks, False))
+
+    def cell(data: pa.Table) -> pa.Table:
+        asks = data.column("asks")
+        ask, have = data.filter(asks), data.filter(pc.invert(asks))
+        if not ask.num_rows or not have.num_rows:
+            return pa.table({"qid": pa.array([], pa.int64()), "pid": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        qids, Q = _matrix(ask, d)
+        rows, ids, scores = best_in_cell(Q, *_matrix(have, d), k, score_bytes)
+        return pa.table({"qid": qids[rows], "pid": ids, "score": scores})
+    return sides.groupBy("block", "lot").applyInArrow(cell, "qid long, pid long, score double")
 
 
 def mips_topk(queries: DataFrame, passages: DataFrame, k: int, **kw) -> DataFrame:
@@ -176,65 +111,34 @@ def mips_topk(queries: DataFrame, passages: DataFrame, k: int, **kw) -> DataFram
 
     ``rank`` is 1-based; a query sees ``min(k, |passages|)`` rows.
     ``queries``: ``qid, vec``; ``passages``: ``pid, vec`` (numeric arrays).
-    Keywords: ``qid, pid, vec`` column names, ``digits`` (tie rounding),
-    ``block_bytes`` (query block budget), ``score_bytes`` (score tile),
-    ``prune`` (None = automatic), ``prune_buckets`` (1/n sample for τ).
+    Keywords: ``qid, pid, vec`` column names, ``block_bytes`` (one side of a
+    cell), ``score_bytes`` (score tile).  Missing or non-finite vectors,
+    vectors of other lengths and repeated query ids are errors.
     """
-    return _final_topk(topk_candidates(queries, passages, k, **kw), k)
+    w = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("pid").asc())
+    return (topk_candidates(queries, passages, k, **kw).withColumn("rank", F.row_number().over(w))
+            .filter(F.col("rank") <= k).select("qid", "pid", "rank", "score"))
 
 
-def topk_candidates(queries: DataFrame, passages: DataFrame, k: int, *, qid: str = "qid", pid: str = "pid",
-                    vec: str = "vec", digits: int = DEFAULT_DIGITS, block_bytes: int = DEFAULT_BLOCK_BYTES,
-                    score_bytes: int = DEFAULT_SCORE_BYTES, prune: bool | None = None,
-                    prune_buckets: int = 16) -> DataFrame:
-    """The per-task partial top-k rows that reach the qid exchange (``qid, pid, score, skey``)."""
-    queries = queries.select(F.col(qid).cast("long").alias("qid"), as_double_vector(vec).alias("vec"))
-    passages = passages.select(F.col(pid).cast("long").alias("pid"), as_double_vector(vec).alias("vec"))
-    if prune is None:
-        prune = passages.rdd.getNumPartitions() >= 16
-    tau_of = None
-    if prune:
-        sample = passages.filter(F.pmod(F.xxhash64("pid"), F.lit(prune_buckets)) == 0)
-        first = _final_topk(_block_plan(queries, sample, qid="qid", pid="pid", vec="vec", k=k, digits=digits,
-                                        block_bytes=block_bytes, score_bytes=score_bytes), k)
-        # τ = k-th best rounded score of the sample, only for queries whose sample had k hits
-        tau_df = (first.groupBy("qid").agg(F.count(F.lit(1)).alias("n"),
-                                           F.min(F.round("score", digits)).alias("tau"))
-                  .filter(F.col("n") >= k).select("qid", "tau"))
-        # τ is fetched per query block (inside _block_plan), so it is bounded like the block itself
-        from dpmine.session import materialize
-        tau_df = materialize(tau_df, "search-bounds")
-
-        def tau_of(qids, block_filter):
-            tab = tau_df.filter(block_filter).toArrow()
-            lookup = dict(zip(tab.column("qid").to_numpy().tolist(), tab.column("tau").to_numpy().tolist()))
-            # a margin of one rounding unit keeps the bound safe against numpy/JVM rounding
-            return np.array([lookup.get(q, -np.inf) for q in qids.tolist()]) - 10.0 ** (-digits)
-    return _block_plan(queries, passages, qid="qid", pid="pid", vec="vec", k=k, digits=digits,
-                       block_bytes=block_bytes, score_bytes=score_bytes, tau_of=tau_of)
-
-
-def score_matrix(queries: DataFrame, passages: DataFrame, *, qid: str = "qid", pid: str = "pid",
-                 vec: str = "vec", block_bytes: int = DEFAULT_BLOCK_BYTES,
-                 score_bytes: int = DEFAULT_SCORE_BYTES) -> DataFrame:
-    """Every (query, passage) inner product → ``qid, pid, score``.
-
-    The output is |Q|·|P| rows by definition; it is computed with the same
-    size-checked query blocks as ``mips_topk`` (never a cross join).
+def score_matrix(queries: DataFrame, passages: DataFrame, *, batch: str = "batch", vec: str = "vec") -> DataFrame:
+    """Every (query, passage) inner product inside a batch → ``batch, qid, pid, score``.
+
+    An equi-join on the batch, as a training step compares its own queries and
+    passages; the output is bounded by the batch size, not by |Q|·|P|.
     """
-    queries = queries.select(F.col(qid).cast("long").alias("qid"), as_double_vector(vec).alias("vec"))
-    passages = passages.select(F.col(pid).cast("long").alias("pid"), as_double_vector(vec).alias("vec"))
-    return _block_plan(queries, passages, qid="qid", pid="pid", vec="vec", k=0, digits=DEFAULT_DIGITS,
-                       block_bytes=block_bytes, score_bytes=score_bytes, emit_all=True).select("qid", "pid", "score")
+    q = queries.select(batch, "qid", as_double_vector(vec).alias("_q"))
+    p = passages.select(batch, "pid", as_double_vector(vec).alias("_p"))
+    return q.join(p, batch).select(batch, "qid", "pid", dot("_q", "_p").alias("score"))
 
 
 def gaussian_topk(queries: DataFrame, passages: DataFrame, k: int, *, qid: str = "qid", pid: str = "pid",
                   mean: str = "mean", var: str = "var", **kw) -> DataFrame:
     """Top-k passages by Gaussian log-density: fold both sides, then ``mips_topk``.
 
-    ``queries``: ``qid, mean``; ``passages``: ``pid, mean, var`` (var > 0).
+    ``queries``: ``qid, mean``; ``passages``: ``pid, mean, var``.  A variance
+    that is not positive makes the folded vector non-finite, which is an error.
     """
     q = queries.select(F.col(qid).alias("qid"), fold_query(as_double_vector(mean)).alias("vec"))
-    p = passages.select(F.col(pid).alias("pid"),
-                        fold_passage(as_double_vector(mean), as_double_vector(var)).alias("vec"))
+    v = F.transform(as_double_vector(var), lambda x: F.when(x > 0, x).otherwise(F.lit(float("nan"))))
+    p = passages.select(F.col(pid).alias("pid"), fold_passage(as_double_vector(mean), v).alias("vec"))
     return mips_topk(q, p, k, **kw)

@@ -13,25 +13,53 @@ def _vectors(spark, n, d, seed, id_name):
 
 
 def _brute(q, p, k):
-    qi, Q = zip(*q)
     pi, P = zip(*p)
-    S = np.array(Q) @ np.array(P).T
     out = set()
-    for r, qid in enumerate(qi):
-        order = sorted(range(len(pi)), key=lambda c: (-round(S[r, c], 6), pi[c]))[:k]
+    for qid, vec in q:
+        scores = [sum(a * b for a, b in zip(vec, v)) for v in P]
+        order = sorted(range(len(pi)), key=lambda c: (-scores[c], pi[c]))[:k]
         out |= {(qid, pi[c], rank + 1) for rank, c in enumerate(order)}
     return out
 
 
-@pytest.mark.parametrize("parts,block_bytes,score_bytes,prune", [
-    (1, 256 << 20, 64 << 20, False), (4, 2000, 4000, False), (17, 5000, 800, True), (4, 256 << 20, 64 << 20, True)])
-def test_topk_independent_of_partitioning_and_blocks(spark, parts, block_bytes, score_bytes, prune):
+@pytest.mark.parametrize("parts,block_bytes,score_bytes", [(1, 16 << 20, 32 << 20), (4, 600, 4000), (17, 3000, 800), (4, 1, 1)])
+def test_topk_independent_of_partitioning_and_cells(spark, parts, block_bytes, score_bytes):
     q = _vectors(spark, 23, 8, 1, "qid")
-    p = _vectors(spark, 300, 8, 2, "pid").repartition(parts)
-    got = {(r.qid, r.pid, r.rank) for r in mips_topk(q, p, 7, block_bytes=block_bytes, score_bytes=score_bytes,
-                                                      prune=prune, prune_buckets=3).collect()}
-    want = _brute([(r.qid, r.vec) for r in q.collect()], [(r.pid, r.vec) for r in p.collect()], 7)
-    assert got == want
+    p = _vectors(spark, 60 if block_bytes == 1 else 300, 8, 2, "pid").repartition(parts)
+    got = {(r.qid, r.pid, r.rank) for r in mips_topk(q, p, 7, block_bytes=block_bytes, score_bytes=score_bytes).collect()}
+    assert got == _brute([(r.qid, r.vec) for r in q.collect()], [(r.pid, r.vec) for r in p.collect()], 7)
+
+
+def test_small_scores_rank_exactly(spark):
+    q = spark.createDataFrame([(1, [1.0])], "qid long, vec array<double>")
+    p = spark.createDataFrame([(i, [i * 1e-8]) for i in range(1, 6)], "pid long, vec array<double>")
+    assert [r.pid for r in mips_topk(q, p, 3).orderBy("rank").collect()] == [5, 4, 3]
+
+
+def test_equal_vectors_rank_by_id_in_every_cell(spark):
+    rng = np.random.default_rng(9)
+    base = [float(x) for x in rng.normal(size=13)]
+    q = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=13)]) for i in range(9)], "qid long, vec array<double>")
+    p = spark.createDataFrame([(i, base) for i in range(200)], "pid long, vec array<double>")
+    for r in mips_topk(q, p, 4, block_bytes=13 * 8 * 30).collect():
+        assert r.pid == r["rank"] - 1
+
+
+@pytest.mark.parametrize("queries, passages", [
+    ([(1, [1.0]), (1, [2.0])], [(1, [1.0])]), ([(1, [1.0])], [(1, [1.0]), (2, [1.0, 2.0])]), ([(1, [1.0])], [(1, None)]),
+    ([(1, [float("nan")])], [(1, [1.0])]), ([(1, [1.0])], [(1, [float("inf")])]), ([(1, [1.0, 2.0])], [(1, [1.0])]),
+    ([(None, [1.0])], [(1, [1.0])])])
+def test_bad_input_is_an_error(spark, queries, passages):
+    with pytest.raises(ValueError):
+        mips_topk(spark.createDataFrame(queries, "qid long, vec array<double>"),
+                  spark.createDataFrame(passages, "pid long, vec array<double>"), 1)
+
+
+def test_variance_must_be_positive(spark):
+    q = spark.createDataFrame([(1, [1.0])], "qid long, mean array<double>")
+    p = spark.createDataFrame([(1, [1.0], [0.0])], "pid long, mean array<double>, var array<double>")
+    with pytest.raises(ValueError):
+        gaussian_topk(q, p, 1)
 
 
 def test_k_larger_than_corpus_and_ties(spark):
@@ -42,15 +70,14 @@ def test_k_larger_than_corpus_and_ties(spark):
     assert [(r.pid, r.rank) for r in got] == [(3, 1), (5, 2), (9, 3)]
 
 
-def test_score_matrix_is_all_pairs(spark):
-    q = _vectors(spark, 5, 4, 3, "qid")
-    p = _vectors(spark, 9, 4, 4, "pid")
-    sm = score_matrix(q, p, block_bytes=100)
-    assert sm.count() == 45
+def test_score_matrix_is_all_pairs_of_a_batch(spark):
+    q = _vectors(spark, 6, 4, 3, "qid").selectExpr("qid", "vec", "qid % 2 AS batch")
+    p = _vectors(spark, 9, 4, 4, "pid").selectExpr("pid", "vec", "pid % 3 AS batch")
+    sm = score_matrix(q, p).collect()
+    assert {(r.qid, r.pid) for r in sm} == {(a, b) for a in range(6) for b in range(9) if a % 2 == b % 3}
     Q = {r.qid: np.array(r.vec) for r in q.collect()}
     P = {r.pid: np.array(r.vec) for r in p.collect()}
-    for r in sm.collect():
-        assert abs(r.score - Q[r.qid] @ P[r.pid]) < 1e-9
+    assert all(abs(r.score - Q[r.qid] @ P[r.pid]) < 1e-9 for r in sm)
 
 
 def test_gaussian_fold_equals_closed_form(spark):
@@ -72,9 +99,9 @@ def test_gaussian_fold_equals_closed_form(spark):
         assert best[qid] == int(np.argmax(dens))
 
 
-def test_final_step_is_a_window_group_limit(spark):
+def test_plan(spark):
     q = _vectors(spark, 3, 4, 6, "qid")
     p = _vectors(spark, 20, 4, 7, "pid")
     plan = mips_topk(q, p, 2)._jdf.queryExecution().executedPlan().toString()
-    assert "MapInArrow" in plan or "PythonMapInArrow" in plan
+    assert "FlatMapGroupsInArrow" in plan and "WindowGroupLimit" in plan
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
