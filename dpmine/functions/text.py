@@ -45,32 +45,6 @@ def leading_gap(text) -> Column:
     return F.length(F.regexp_extract(F.coalesce(_c(text), F.lit("")), "^" + GAP, 0))
 
 
-def token_spans(text) -> Column:
-    """``ARRAY<STRUCT<token, token_ws, start, end>>`` with ``[start, end)`` character offsets.
-
-    ``start`` = leading gap + total length of the earlier pieces; the last
-    token's ``token_ws`` carries no trailing gap.
-    """
-    pieces = token_pieces(text)
-    lead = leading_gap(text)
-    n = F.size(pieces)
-    lens = F.transform(pieces, lambda p: F.length(p))
-
-    def one(p, i):
-        tok = F.regexp_extract(p, "^(?:" + TOKEN + ")", 0)
-        start = lead + F.aggregate(F.slice(lens, 1, i), F.lit(0), lambda a, x: a + x)
-        ws = F.when(i == n - 1, tok).otherwise(p)
-        return F.struct(tok.alias("token"), ws.alias("token_ws"), start.cast("int").alias("start"),
-                        (start + F.length(tok)).cast("int").alias("end"))
-
-    return F.transform(pieces, one)
-
-
-def untokenize(pieces) -> Column:
-    """Join ``token_ws`` values and trim surrounding whitespace."""
-    return F.trim(F.array_join(_c(pieces), ""))
-
-
 def passage_text(title, contents) -> Column:
     """Cross-encoder input: ``"{title}: {contents}"``."""
     return F.concat(F.coalesce(_c(title), F.lit("")), F.lit(": "), F.coalesce(_c(contents), F.lit("")))

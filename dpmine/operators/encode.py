@@ -20,21 +20,31 @@ from dpmine.functions.text import words
 _MODELS: dict = {}
 
 
+def worker_model(key: str, make_model: Callable[[], Callable]) -> Callable:
+    """The Python worker's model ``key``, built by ``make_model`` on first use.
+
+    A function of this module, so every task of a worker sees the same cache
+    (a batch function only carries a reference to it).
+    """
+    if key not in _MODELS:
+        _MODELS[key] = make_model()
+    return _MODELS[key]
+
+
 def encode(df: DataFrame, id_col: str, text_cols: list[str], make_model: Callable[[], Callable],
-           batch_size: int = 2048, out: str = "vec") -> DataFrame:
+           batch_size: int = 2048, out: str = "vec", model_key: str = "encoder") -> DataFrame:
     """``id, vec``: ``model(list_of_text_tuples) -> 2-D array`` over batches of ``batch_size`` rows.
 
     Passages are encoded from (title, contents) pairs, queries from the text
     alone — the caller picks ``text_cols``.  Select and filter before calling:
-    the batch function is opaque to the optimiser.
+    the batch function is opaque to the optimiser.  ``model_key`` names the
+    model: a worker builds it once and keeps it for all tasks (give each
+    version of a model its own key).
     """
     cols = [id_col] + list(text_cols)
 
     def run(it):
-        key = id(make_model)
-        if key not in _MODELS:
-            _MODELS[key] = make_model()
-        model = _MODELS[key]
+        model = worker_model(model_key, make_model)
         for pdf in it:
             for lo in range(0, len(pdf), batch_size):
                 part = pdf.iloc[lo:lo + batch_size]
@@ -42,8 +52,7 @@ def encode(df: DataFrame, id_col: str, text_cols: list[str], make_model: Callabl
                 vecs = np.asarray(model(texts), dtype=np.float64)
                 yield pd.DataFrame({id_col: part[id_col].values, out: list(vecs)})
 
-    from dpmine.operators.text import spread
-    return spread(df.select(*cols)).mapInPandas(run, f"{id_col} long, {out} array<double>")
+    return df.select(*cols).mapInPandas(run, f"{id_col} long, {out} array<double>")
 
 
 def bucket_of(token, dim: int):
@@ -54,8 +63,7 @@ def bucket_of(token, dim: int):
 def hashed_bag(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dim: int = 64) -> DataFrame:
     """Sparse hashed bag of words ``id, bucket, n`` (lower-cased tokens)."""
     # explode_outer: a plain explode makes Catalyst add a size() filter that re-runs the tokeniser
-    from dpmine.operators.text import spread
-    toks = spread(docs).select(id_col, F.explode_outer(words(text_col, True)).alias("_t")).filter(
+    toks = docs.select(id_col, F.explode_outer(words(text_col, True)).alias("_t")).filter(
         F.col("_t").isNotNull())
     return toks.groupBy(id_col, bucket_of(F.col("_t"), dim).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 

@@ -212,15 +212,18 @@ def sample_negatives(long: DataFrame, n: int, seed: int = 42, epoch: int = 0) ->
             .select("qid", F.col("slot").cast("int"), "pid", "score"))
 
 
-def assemble_groups(long: DataFrame, n: int, seed: int = 42, epoch: int = 0) -> DataFrame:
+def assemble_groups(long: DataFrame, n: int, seed: int = 42, epoch: int = 0, strict: bool = False) -> DataFrame:
     """Training groups in long form ``qid, slot, pid, score``: slot 0 the positive, 1..n negatives.
 
     Only complete groups (a positive and ``n`` negatives) are returned; the
-    rest are in ``rejected_groups``.
+    rest are in ``rejected_groups``, or an error with ``strict``.
     """
     pos = sample_positive(long, seed, epoch).select("qid", F.lit(0).alias("slot"), "pid", "score")
     rows = pos.unionByName(sample_negatives(long, n, seed, epoch))
     rows = rows.withColumn("size", F.count(F.lit(1)).over(_wq()))
+    if strict:
+        rows = rows.withColumn("size", F.when(F.col("size") == n + 1, F.col("size")).otherwise(
+            F.raise_error(F.concat(F.lit("incomplete group: qid "), F.col("qid").cast("string"))).cast("long")))
     return rows.filter(F.col("size") == n + 1).drop("size")
 
 
@@ -244,20 +247,31 @@ def train_groups(long: DataFrame, queries: DataFrame | None, n: int, seed: int =
 
 
 # ---------------------------------------------------------------- lookup
-def lookup_passages(ids: DataFrame, corpus: DataFrame) -> DataFrame:
+def lookup_passages(ids: DataFrame, corpus: DataFrame, strict: bool = True) -> DataFrame:
     """Attach ``title, contents`` to every row of ``ids`` (key ``pid``).
 
     A left join: AQE turns it into a broadcast join when the id side or the
-    corpus is small at run time, a sort-merge join otherwise.  Missing ids
-    keep null text; ``missing_passages`` lists them.
+    corpus is small at run time, a sort-merge join otherwise.  An id that the
+    corpus lacks is an error, or with ``strict=False`` keeps null text
+    (``missing_passages`` lists those).
     """
-    return ids.join(corpus.select("pid", "title", "contents"), "pid", "left")
+    found = ids.join(corpus.select("pid", "title", "contents", F.lit(True).alias("_known")), "pid", "left")
+    if strict:
+        unknown = F.raise_error(F.concat(F.lit("passage not in the corpus: "), F.col("pid").cast("string")))
+        found = found.withColumn("title", F.when(F.col("_known").isNull(), unknown.cast("string")).otherwise(F.col("title")))
+    return found.drop("_known")
 
 
 def missing_passages(ids: DataFrame, corpus: DataFrame) -> DataFrame:
     return ids.select("pid").distinct().join(corpus.select("pid"), "pid", "left_anti")
 
 
+def preview_groups(long: DataFrame, n: int = 3, seed: int = 42) -> DataFrame:
+    """Long rows of ``n`` randomly ordered queries: the keys are picked first, only those groups are kept."""
+    picked = preview(long.select("qid").distinct(), n, seed)
+    return long.join(picked, "qid", "left_semi")
+
+
 def preview(df: DataFrame, n: int = 3, seed: int = 42, key: str = "qid") -> DataFrame:
     """``n`` rows in a seeded pseudo-random order (a top-n, not a sort of everything)."""
     return df.orderBy(sample_key(seed, 0, key), F.col(key)).limit(n)

@@ -40,11 +40,12 @@ def first_hits(run: DataFrame, qrels: DataFrame, *, zero_pad: bool = False, min_
     if zero_pad:
         # padded reading: the first rank in 1..size without a run row holds passage 0
         w = Window.partitionBy("qid").orderBy("rank")
-        inner = (run.select("qid", "rank")
+        ranks = run.select("qid", "rank").distinct()
+        inner = (ranks
                  .withColumn("expect", F.row_number().over(w))
                  .filter(F.col("rank") != F.col("expect"))
                  .groupBy("qid").agg(F.min("expect").alias("inner_gap")))
-        counts = run.groupBy("qid").agg((F.count(F.lit(1)) + 1).alias("after_last"))
+        counts = ranks.groupBy("qid").agg((F.count(F.lit(1)) + 1).alias("after_last"))
         gaps = (counts.join(inner, "qid", "left")
                 .select("qid", F.coalesce("inner_gap", "after_last").alias("gap_rank"))
                 .filter(F.col("gap_rank") <= size))
@@ -98,7 +99,7 @@ def evaluate_checked(run: DataFrame, qrels: DataFrame, **kw) -> DataFrame:
     metrics = evaluate(run, qrels, **kw)
     row = metrics.first()
     if row is None or not row["queries_evaluated"]:
-        raise ValueError("No matching QIDs found: no ranked query has judgements")
+        raise ValueError("the run and the judgements have no query in common")
     return metrics.sparkSession.createDataFrame([row], metrics.schema)
 
 

@@ -1,8 +1,7 @@
 """Token-sequence pooling (F5, F6) on long token rows ``seq, pos, vec[, mask]``.
 
-A sequence is bounded (a passage's tokens), but sequences are many, so
-everything is keyed by ``seq``: per-dimension sums are a ``posexplode`` and a
-group-by, the softmax is a window over the sequence.
+A sequence may be long and sequences are many: both are reduced by
+aggregations that combine before the exchange.
 """
 
 from __future__ import annotations
@@ -10,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dpmine.functions.vectors import dot
-
 
 def first_token_pool(tokens: DataFrame, seq: str = "seq", pos: str = "pos", vec: str = "vec") -> DataFrame:
     """``seq, vec``: the vector at the first position of each sequence."""
@@ -27,18 +24,37 @@ def attention_pool(tokens: DataFrame, seq: str = "seq", pos: str = "pos", vec: s
     dimension ``i`` is ``Σ wᵢ vᵢ[i]``.  ``key``/``value`` name projected
     columns when present, else the token vector serves as both.
 
-    Only aggregations (combined map-side) and joins back on ``seq``, no
-    window: a very long sequence is never sorted or held by one task.  The
-    per-sequence sides (query vector, max logit, normaliser) are one row per
-    sequence; AQE broadcasts them when they are small.
+    One join with the query vectors and one pass: every Arrow batch folds its
+    tokens into a row per sequence (largest logit, sum of weights, weighted sum
+    of values), and these partial rows are merged per sequence by rescaling to
+    the largest logit.  A long sequence is never sorted or held by one task.
     """
+    import numpy as np
+    import pyarrow as pa
+
     key, value = key or vec, value or vec
-    q = first_token_pool(tokens, seq, pos, vec).select(seq, F.col(vec).alias("_q"))
-    t = tokens.filter(F.col(mask)).join(q, seq)
-    t = t.withColumn("_a", dot("_q", key) / F.sqrt(F.size("_q").cast("double")))
-    top = t.groupBy(seq).agg(F.max("_a").alias("_m"))
-    t = t.join(top, seq).withColumn("_e", F.exp(F.col("_a") - F.col("_m")))
-    norm = t.groupBy(seq).agg(F.sum("_e").alias("_z"))
-    per_dim = (t.select(seq, "_e", F.posexplode(value).alias("i", "_x"))
-               .groupBy(seq, "i").agg(F.sum(F.col("_e") * F.col("_x")).alias("_s")))
-    return per_dim.join(norm, seq).select(seq, "i", (F.col("_s") / F.col("_z")).alias("x"))
+    q = first_token_pool(tokens, seq, pos, vec).select(seq, F.col(vec).cast("array<double>").alias("_q"))
+    t = tokens.filter(F.col(mask)).select(F.col(seq).cast("long").alias("_seq"), F.col(key).cast("array<double>").alias("_k"),
+                                          F.col(value).cast("array<double>").alias("_v"))
+    t = t.join(q.select(F.col(seq).cast("long").alias("_seq"), "_q"), "_seq")
+
+    def fold(batches):
+        for rb in batches:
+            if not rb.num_rows:
+                continue
+            Q, K, V = (rb.column(c).flatten().to_numpy(zero_copy_only=False).reshape(rb.num_rows, -1) for c in ("_q", "_k", "_v"))
+            logit = np.einsum("ij,ij->i", Q, K) / np.sqrt(Q.shape[1])
+            names, at = np.unique(rb.column("_seq").to_numpy(zero_copy_only=False), return_inverse=True)
+            top = np.full(len(names), -np.inf)
+            np.maximum.at(top, at, logit)
+            weight = np.exp(logit - top[at])
+            total, sums = np.bincount(at, weight, len(names)), np.zeros((len(names), V.shape[1]))
+            np.add.at(sums, at, weight[:, None] * V)
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(top), pa.array(total), pa.array(list(sums), pa.list_(pa.float64()))],
+                                             names=["_seq", "m", "z", "s"])
+    part = t.mapInArrow(fold, "_seq long, m double, z double, s array<double>")
+    top = part.groupBy("_seq").agg(F.max("m").alias("top"))              # partial rows: one a sequence and batch
+    part = part.join(top, "_seq").withColumn("w", F.exp(F.col("m") - F.col("top")))
+    rows = part.select("_seq", "z", "w", F.posexplode("s").alias("i", "x"))
+    out = rows.groupBy("_seq", "i").agg((F.sum(F.col("w") * F.col("x")) / F.sum(F.col("w") * F.col("z"))).alias("x"))
+    return out.withColumnRenamed("_seq", seq)

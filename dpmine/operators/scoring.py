@@ -17,26 +17,40 @@ from pyspark.sql import functions as F
 
 from dpmine.functions.text import jaccard, passage_text, words
 from dpmine.functions.vectors import squared_distance
+from dpmine.operators.encode import worker_model
 from dpmine.operators.groups import NEG, POS, cap_candidates
+from dpmine.session import materialize
 
 Scorer = Callable[[DataFrame], DataFrame]   # pairs (qid, pid, …) -> pairs + score
 
 
 # ---------------------------------------------------------------- scorers
+def _absent(what: str):
+    """An error that names the pair for which ``what`` is missing (a double, to stand for a score)."""
+    return F.raise_error(F.concat(F.lit(what + " missing: qid "), F.col("qid").cast("string"), F.lit(", pid "),
+                                  F.col("pid").cast("string"))).cast("double")
+
+
 def vector_teacher(qvecs: DataFrame, pvecs: DataFrame) -> Scorer:
-    """Scorer ``-Σ (q - p)²`` from vector tables ``qid, vec`` / ``pid, vec`` (JVM-side)."""
+    """Scorer ``-Σ (q - p)²`` from vector tables ``qid, vec`` / ``pid, vec`` (JVM-side); a missing vector is an error."""
     def score(pairs: DataFrame) -> DataFrame:
         q = qvecs.select("qid", F.col("vec").alias("qv"))
         p = pvecs.select("pid", F.col("vec").alias("pv"))
-        return (pairs.join(q, "qid").join(p, "pid")
-                .withColumn("score", -squared_distance("qv", "pv")).drop("qv", "pv"))
+        both = pairs.join(q, "qid", "left").join(p, "pid", "left")
+        score = F.when(F.col("qv").isNull() | F.col("pv").isNull(), _absent("vector")).otherwise(
+            -squared_distance("qv", "pv"))
+        return both.withColumn("score", score).drop("qv", "pv")
     return score
 
 
 def text_pairs(pairs: DataFrame, queries: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Attach ``query`` and the cross-encoder passage text ``passage``."""
+    """Attach ``query`` and the cross-encoder passage text ``passage``; an unknown query or passage is an error."""
     c = corpus.select("pid", passage_text("title", "contents").alias("passage"))
-    return pairs.join(queries.select("qid", "query"), "qid").join(c, "pid")
+    q = queries.select("qid", F.coalesce("query", F.lit("")).alias("query"))
+    both = pairs.join(q, "qid", "left").join(c, "pid", "left")
+    return both.withColumns({
+        "query": F.when(F.col("query").isNull(), _absent("query text").cast("string")).otherwise(F.col("query")),
+        "passage": F.when(F.col("passage").isNull(), _absent("passage text").cast("string")).otherwise(F.col("passage"))})
 
 
 def overlap_scorer(queries: DataFrame, corpus: DataFrame) -> Scorer:
@@ -47,21 +61,23 @@ def overlap_scorer(queries: DataFrame, corpus: DataFrame) -> Scorer:
     return score
 
 
-def batch_scorer(fn: Callable[[list, list], list], queries: DataFrame, corpus: DataFrame,
-                 batch_size: int = 512) -> Scorer:
-    """Wrap a model ``fn(queries, passages) -> scores`` as an Arrow-batched scorer.
+def batch_scorer(make_model: Callable[[], Callable[[list, list], list]], queries: DataFrame, corpus: DataFrame,
+                 batch_size: int = 512, model_key: str = "scorer") -> Scorer:
+    """Wrap a model ``make_model()(queries, passages) -> scores`` as an Arrow-batched scorer.
 
-    Runs in ``mapInPandas``: the model is called once per batch of
-    ``batch_size`` pairs (the reference's scoring batch), never per row.
+    Runs in ``mapInPandas``: a Python worker builds the model once (by
+    ``model_key``) and calls it once per batch of ``batch_size`` pairs, never
+    per row.
     """
     def score(pairs: DataFrame) -> DataFrame:
         t = text_pairs(pairs.select("qid", "pid"), queries, corpus)
 
         def run(it):
+            model = worker_model(model_key, make_model)
             for pdf in it:
                 for lo in range(0, len(pdf), batch_size):
                     part = pdf.iloc[lo:lo + batch_size]
-                    s = fn(part["query"].tolist(), part["passage"].tolist())
+                    s = model(part["query"].tolist(), part["passage"].tolist())
                     yield pd.DataFrame({"qid": part["qid"].values, "pid": part["pid"].values,
                                         "score": pd.Series(s, dtype="float64").values})
 
@@ -128,10 +144,16 @@ class ScoreCache:
         return self.spark.read.parquet(path)
 
 
-def attach_scores(long: DataFrame, scores: DataFrame) -> DataFrame:
-    """Replace each group row's score by the table's score for ``(qid, pid)`` (null if absent)."""
-    return (long.drop("score").join(scores.select("qid", "pid", "score"), ["qid", "pid"], "left")
-            .select("qid", "role", "pos", "pid", "score"))
+def attach_scores(long: DataFrame, scores: DataFrame, strict: bool = True) -> DataFrame:
+    """Replace each group row's score by the table's score for ``(qid, pid)``.
+
+    A row without a score is an error, or with ``strict=False`` keeps a null
+    score (``missing_scores`` lists those).
+    """
+    out = long.drop("score").join(scores.select("qid", "pid", "score"), ["qid", "pid"], "left")
+    if strict:
+        out = out.withColumn("score", F.when(F.col("score").isNull(), _absent("score")).otherwise(F.col("score")))
+    return out.select("qid", "role", "pos", "pid", "score")
 
 
 def missing_scores(scored: DataFrame) -> DataFrame:
@@ -166,11 +188,12 @@ def score_groups(long: DataFrame, cache: DataFrame | None, scorer: Scorer, cap:
     scores, the pairs that had to be scored (to append to the cache), and the
     cache statistics row.  The cache is cut down to this round's pairs first
     (``needed_scores``), so the later anti join and attach never touch the rest.
+    The new scores are stored before anything reads them: a pair is scored once.
     """
     capped = cap_candidates(long, cap)
     pairs = unscored_pairs(capped, None)
     known = needed_scores(cache, pairs) if cache is not None else None
-    new = score_pairs(unscored_pairs(pairs, known), scorer)
+    new = materialize(score_pairs(unscored_pairs(pairs, known), scorer), "new-scores")
     table = new if known is None else known.unionByName(new)
     return attach_scores(capped, table), new, cache_stats(capped, new)
 

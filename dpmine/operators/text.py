@@ -25,17 +25,6 @@ PY_SPACE = r"[\t\n\x0B\f\r\x1C-\x1F\x85\p{Z}]"
 NON_ENTITY = "O"
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give CPU-heavy per-document work at least one input partition per core.
-
-    A scan of few large row groups yields fewer tasks than cores; then the
-    documents are spread round-robin (one exchange of the text).  A scan that
-    already has enough splits — any large input — is returned as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def strip_py(col: Column) -> Column:
     return F.regexp_replace(col, f"^{PY_SPACE}+|{PY_SPACE}+$", "")
 
@@ -43,7 +32,7 @@ def strip_py(col: Column) -> Column:
 # ---------------------------------------------------------------- array form
 def tokenize_docs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", uncased: bool = False) -> DataFrame:
     """``id, tokens`` (token texts in order)."""
-    return spread(docs).select(id_col, words(text_col, uncased).alias("tokens"))
+    return docs.select(id_col, words(text_col, uncased).alias("tokens"))
 
 
 def py_bound(i, n: Column) -> Column:
@@ -111,7 +100,7 @@ def ngram_rows(docs: DataFrame, n: int = 2, uncased: bool = True, drop=None, id_
     among the kept grams (by start, then length).
     """
     # tokens first, as a column: an expression referenced inside the lambdas would be re-run per start
-    toks = spread(docs).select(id_col, words(text_col, uncased).alias("_w"))
+    toks = docs.select(id_col, words(text_col, uncased).alias("_w"))
     if drop is None:
         d = _gram_strings(toks, id_col, n, drop_word)
         size = F.size("_w")
@@ -144,7 +133,7 @@ def ngram_counts(docs: DataFrame, n: int = 2, uncased: bool = True, drop=None, t
                  drop_word=None) -> DataFrame:
     """``gram, n``: corpus frequency of every kept gram (partial counts map-side, so hot grams do not skew)."""
     if drop is None:
-        toks = spread(docs).select(words(text_col, uncased).alias("_w"), F.lit(0).alias("_d"))
+        toks = docs.select(words(text_col, uncased).alias("_w"), F.lit(0).alias("_d"))
         d = _gram_strings(toks, "_d", n, drop_word)
         kept = [F.filter(F.arrays_zip(F.col(f"_g{L}").alias("g"), F.col(f"_f{L}").alias("f")), lambda x: ~x["f"])
                 for L in range(1, n + 1)]
@@ -233,7 +222,7 @@ def token_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shuffled once).
     """
     if method == "arrow":
-        d = spread(docs).select(F.col(id_col).cast("long").alias(id_col), leading_gap(text_col).cast("long").alias("_lead"),
+        d = docs.select(F.col(id_col).cast("long").alias(id_col), leading_gap(text_col).cast("long").alias("_lead"),
                                 token_pieces(text_col).alias("_p"))
         d = d.select(id_col, "_lead", "_p",
                      F.transform("_p", lambda p: F.regexp_extract(p, "^(?:" + TOKEN + ")", 0)).alias("_t"))
@@ -260,7 +249,7 @@ def untokenize_docs(docs: DataFrame, lo: int | None = None, hi: int | None = Non
     The tokeniser runs once per document: pieces, their lengths and the
     leading gap are columns before any sum refers to them.
     """
-    d = spread(docs).select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("_x"))
+    d = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("_x"))
     d = d.select(id_col, "_x", token_pieces("_x").alias("_p"), leading_gap("_x").alias("_lead"))
     d = d.select(id_col, "_x", "_p", "_lead", F.transform("_p", lambda p: F.length(p)).alias("_len"),
                  F.size("_p").alias("_n"))
@@ -335,9 +324,54 @@ def entity_groups(tagged: DataFrame, id_col: str = "doc_id", tag_col: str = "tag
                     F.col(tag_col).alias("tag"))
 
 
+def entity_runs(docs: DataFrame, tag, non_ent: str = NON_ENTITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id, first_i, last_i, text, tag`` of maximal runs, found where the document is (no exchange).
+
+    ``tag`` maps a token Column to its tag.  The JVM cuts and tags the tokens;
+    an Arrow batch function finds the runs of all documents of a batch at once.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        for rb in batches:
+            offs = rb.column("_p").offsets.to_numpy()
+            counts = np.diff(offs)
+            if not counts.sum():
+                continue
+            pieces, toks, tags = (rb.column(c).flatten() for c in ("_p", "_t", "_g"))
+            kind = tags.dictionary_encode()
+            code = kind.indices.to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(counts)), counts)
+            new = np.ones(len(row), bool)
+            new[1:] = (code[1:] != code[:-1]) | (row[1:] != row[:-1])
+            begin = np.flatnonzero(new)
+            end = np.append(begin[1:], len(row)) - 1
+            names = np.array(kind.dictionary.to_pylist(), dtype=object)
+            keep = names[code[begin]] != non_ent
+            begin, end = begin[keep], end[keep]
+            first = offs[:-1] - offs[0]
+            texts = ["".join(pieces.slice(a, b - a).to_pylist() + [toks[b].as_py()]).strip()
+                     for a, b in zip(begin.tolist(), end.tolist())]
+            yield pa.RecordBatch.from_arrays(
+                [rb.column(id_col).take(pa.array(row[begin])), pa.array((begin - first[row[begin]]).astype(np.int32)),
+                 pa.array((end - first[row[begin]]).astype(np.int32)), pa.array(texts, pa.string()),
+                 pa.array(names[code[begin]].tolist(), pa.string())],
+                names=[id_col, "first_i", "last_i", "text", "tag"])
+    d = docs.select(F.col(id_col).cast("long").alias(id_col), token_pieces(text_col).alias("_p"))
+    d = d.select(id_col, "_p", F.transform("_p", lambda p: F.regexp_extract(p, "^(?:" + TOKEN + ")", 0)).alias("_t"))
+    d = d.select(id_col, "_p", "_t", F.transform("_t", tag).alias("_g"))
+    return d.mapInArrow(run, f"{id_col} long, first_i int, last_i int, text string, tag string")
+
+
+def capital_tag(token) -> Column:
+    """Rule tag of a token: ``CAP`` when it starts upper-case, else ``O``."""
+    return F.when(token.rlike(r"^\p{Lu}"), F.lit("CAP")).otherwise(F.lit(NON_ENTITY))
+
+
 def capital_tags(tokens: DataFrame) -> DataFrame:
     """Rule tagger used as the annotation input: ``CAP`` when a token starts upper-case, else ``O``."""
-    return tokens.withColumn("tag", F.when(F.col("token").rlike(r"^\p{Lu}"), F.lit("CAP")).otherwise(F.lit(NON_ENTITY)))
+    return tokens.withColumn("tag", capital_tag(F.col("token")))
 
 
 def annotation(tokens: DataFrame, name: str, id_col: str = "doc_id") -> DataFrame | None:

@@ -7,7 +7,8 @@ folder, so a round can resume and lost executors cost a re-read.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,17 +26,41 @@ def retrieve(queries: DataFrame, passages: DataFrame, k: int, gaussian: bool = F
     return S.mips_topk(queries, passages, k, **kw)
 
 
-def evaluate(run: DataFrame, qrels: DataFrame) -> DataFrame:
-    """P5: duplicate check is separate (``duplicate_check``); this is the metrics row."""
-    return M.evaluate(run, qrels)
+def evaluate(run: DataFrame, qrels: DataFrame, **kw) -> tuple[DataFrame, DataFrame]:
+    """P5: the metrics row with the number of repeated ``(qid, pid)``, and those pairs.
+
+    Repeats are reported, not an error; a run that shares no query with the
+    judgements is one.
+    """
+    from dpmine.operators.rows import side_by_side
+    repeats = M.duplicate_check(run)
+    row = side_by_side([M.evaluate_checked(run, qrels, **kw), repeats.agg(F.count(F.lit(1)).alias("repeated_pairs"))])
+    return row, repeats
 
 
 def training_table(groups_long: DataFrame, queries: DataFrame, corpus: DataFrame, n: int, seed: int = 42,
-                   epoch: int = 0) -> DataFrame:
-    """Sampled groups with passage texts, one row per ``(qid, slot)``."""
-    g = G.assemble_groups(groups_long, n, seed, epoch)
-    g = G.lookup_passages(g, corpus)
-    return g.join(queries.select("qid", "query"), "qid", "left")
+                   epoch: int = 0, strict: bool = False, query_len: int | None = None,
+                   passage_len: int | None = None, reserve: int = 0) -> DataFrame:
+    """Sampled groups with texts, one row per ``(qid, slot)``.
+
+    Queries are cut to ``query_len`` tokens and (title, contents) pairs to
+    ``passage_len`` tokens together, less ``reserve`` for special tokens.  An
+    unknown passage or query is an error; groups that can't be completed are
+    left out (``rejected_groups``) or, with ``strict``, an error.
+    """
+    from dpmine.functions.text import words
+    from dpmine.operators.text import truncate_pair, truncate_tokens
+    g = G.assemble_groups(groups_long, n, seed, epoch, strict)
+    g = G.lookup_passages(g, corpus).join(queries.select("qid", "query"), "qid", "left")
+    g = g.withColumn("query", F.when(F.col("query").isNull(), F.raise_error(F.concat(
+        F.lit("query without a text: "), F.col("qid").cast("string"))).cast("string")).otherwise(F.col("query")))
+    if query_len is not None:
+        g = g.withColumn("query", F.array_join(truncate_tokens(words("query"), query_len), " "))
+    if passage_len is not None:
+        g = g.withColumn("_a", words("title")).withColumn("_b", words("contents"))
+        a, b = truncate_pair("_a", "_b", passage_len, reserve)
+        g = g.withColumn("title", F.array_join(a, " ")).withColumn("contents", F.array_join(b, " ")).drop("_a", "_b")
+    return g.select("qid", "slot", "pid", "score", "query", "title", "contents")
 
 
 @dataclass
@@ -45,81 +70,103 @@ class RoundConfig:
     depth: int = 100            # negatives kept per query
     cap: int = 100              # candidates scored per list
     gaussian: bool = False      # rank by Gaussian log-density (passages carry mean, var)
+    negatives: int = 8          # of a training group
+    seed: int = 42
+    query_len: int | None = 32  # tokens kept in the training table
+    passage_len: int | None = 144
     search: dict = field(default_factory=dict)
 
 
+def _searches(train_q: DataFrame, dev_q: DataFrame, passages: DataFrame, cfg: RoundConfig, cut) -> tuple:
+    """The train and dev runs; queries that are the same table are searched once, at the larger k."""
+    if dev_q is train_q:
+        run = cut(lambda: retrieve(train_q, passages, max(cfg.train_k, cfg.dev_k), cfg.gaussian, **cfg.search), "run")
+        return run.filter(F.col("rank") <= cfg.train_k), run.filter(F.col("rank") <= cfg.dev_k)
+    return (cut(lambda: retrieve(train_q, passages, cfg.train_k, cfg.gaussian, **cfg.search), "run"),
+            cut(lambda: retrieve(dev_q, passages, cfg.dev_k, cfg.gaussian, **cfg.search), "dev_run"))
+
+
+def _round(round_id: int, run: DataFrame, dev_run: DataFrame, qrels: DataFrame, dev_qrels: DataFrame, query_texts: DataFrame,
+           corpus: DataFrame | None, score_new, other: DataFrame | None, cfg: RoundConfig, cut) -> dict:
+    """Mine, score, merge, assemble and evaluate; ``cut(build, name)`` stores a stage, ``score_new(pairs)`` gives
+    (known, new) score tables."""
+    from dpmine.operators.rows import side_by_side
+    mined = cut(lambda: G.hard_negatives(qrels, run, query_texts, depth=cfg.depth, max_rank=cfg.train_k), "mined")
+    capped = G.cap_candidates(mined, cfg.cap)
+    known, new = score_new(SC.unscored_pairs(capped, None))
+    scored = cut(lambda: SC.attach_scores(capped, new if known is None else known.unionByName(new)), "scored")
+    merged = cut(lambda: SC.merge_negatives(scored, other), "merged") if other is not None else scored
+    training = cut(lambda: G.assemble_groups(merged, cfg.negatives, cfg.seed, round_id) if corpus is None else
+                   training_table(merged, query_texts, corpus, cfg.negatives, cfg.seed, round_id,
+                                  query_len=cfg.query_len, passage_len=cfg.passage_len), "training")
+    metrics, repeats = evaluate(dev_run, dev_qrels)
+    counts = [df.agg(F.count(F.lit(1)).alias(name)) for df, name in ((merged, "merged_rows"), (training, "training_rows"))]
+    n_mined = mined.agg(F.countDistinct("qid").alias("mined_queries"))
+    summary = side_by_side([n_mined, SC.cache_stats(capped, new), metrics, *counts]).select(F.lit(round_id).alias("round"), "*")
+    return {"run": run, "mined": mined, "new_scores": new, "scored": scored, "merged": merged, "training": training,
+            "dev_run": dev_run, "metrics": metrics, "repeats": repeats, "summary": summary}
+
+
 def mining_round(spark: SparkSession, *, round_id: int, train_queries: DataFrame, dev_queries: DataFrame,
                  passages: DataFrame, qrels: DataFrame, dev_qrels: DataFrame, query_texts: DataFrame,
-                 scorer: SC.Scorer, cache: DataFrame | None, other: DataFrame | None,
-                 cfg: RoundConfig = RoundConfig(), checkpoint: bool = True) -> dict:
-    """P7, one round: retrieve → mine → score through the cache → merge → retrieve dev → evaluate.
+                 scorer: SC.Scorer, cache: DataFrame | None, other: DataFrame | None, corpus: DataFrame | None = None,
+                 cfg: RoundConfig = RoundConfig()) -> dict:
+    """P7, one round: retrieve → mine → score through the cache → merge → training table → evaluate.
 
     The model update between mining and the dev retrieval happens outside
-    (the vectors passed in are the model's).  Returns the round's tables and
-    a one-row ``summary`` DataFrame.
+    (the vectors passed in are the model's).  Every stage is stored before the
+    next reads it.  Returns the round's tables and a one-row ``summary``.
     """
     from dpmine.session import materialize
-    cut = (lambda d: materialize(d, "round")) if checkpoint else (lambda d: d)
-    run = cut(retrieve(train_queries, passages, cfg.train_k, cfg.gaussian, **cfg.search))
-    mined = cut(G.hard_negatives(qrels, run, query_texts, depth=cfg.depth, max_rank=cfg.train_k))
-    capped = G.cap_candidates(mined, cfg.cap)
-    pairs = SC.unscored_pairs(capped, None)
-    known = cut(SC.needed_scores(cache, pairs)) if cache is not None else None
-    new = cut(SC.score_pairs(SC.unscored_pairs(pairs, known), scorer))
-    scored = cut(SC.attach_scores(capped, new if known is None else known.unionByName(new)))
-    merged = SC.merge_negatives(scored, other) if other is not None else scored
-    dev_run = cut(retrieve(dev_queries, passages, cfg.dev_k, cfg.gaussian, **cfg.search))
-    metrics = M.evaluate(dev_run, dev_qrels)
-    from dpmine.operators.rows import side_by_side
-    n_mined = mined.agg(F.countDistinct("qid").alias("mined_queries"))
-    summary = side_by_side([n_mined, SC.cache_stats(capped, new), metrics]).select(
-        F.lit(round_id).alias("round"), "*")
-    return {"run": run, "mined": mined, "new_scores": new, "scored": scored, "merged": merged,
-            "dev_run": dev_run, "metrics": metrics, "summary": summary}
+
+    def cut(build, name):
+        return materialize(build(), name)
+
+    def score_new(pairs):
+        known = cut(lambda: SC.needed_scores(cache, pairs), "known") if cache is not None else None
+        return known, cut(lambda: SC.score_pairs(SC.unscored_pairs(pairs, known), scorer), "new_scores")
+
+    run, dev_run = _searches(train_queries, dev_queries, passages, cfg, cut)
+    return _round(round_id, run, dev_run, qrels, dev_qrels, query_texts, corpus, score_new, other, cfg, cut)
 
 
 def mining_rounds(spark: SparkSession, root: str, rounds: int, *, vectors_for_round, train_queries_text: DataFrame,
                   qrels: DataFrame, dev_qrels: DataFrame, scorer_for_round, other: DataFrame | None = None,
-                  cfg: RoundConfig = RoundConfig()) -> DataFrame:
+                  corpus: DataFrame | None = None, cfg: RoundConfig = RoundConfig(), scorer_id: str = "teacher",
+                  input_version: str = "0") -> DataFrame:
     """P7, the loop: rounds 1..n, every output in ``root/round=<i>/…``, the score cache shared across rounds.
 
     ``vectors_for_round(i)`` returns ``(train_queries, dev_queries, passages)``
     as the model of round i encodes them; ``scorer_for_round(i)`` the teacher.
-    Stage outputs are written once (``Stage``) so a rerun resumes after the
-    last finished stage; each round appends only its new pairs to the cache.
+    Stage folders and cache batches are keyed by all parameters, ``scorer_id``
+    and ``input_version`` (name a new version when vectors, judgements, texts
+    or the other set change), so a rerun resumes after the last finished stage
+    and a run with other parameters never reads a stale one.  The score cache
+    itself is keyed by the teacher.  A missing score is an error.
     Returns the union of the rounds' one-row summaries.
     """
-    from dpmine.operators.scoring import ScoreCache
     from dpmine.sources.io import Stage
 
-    cache = ScoreCache(spark, f"{root.rstrip('/')}/score_cache")
+    cache = SC.ScoreCache(spark, f"{root.rstrip('/')}/score_cache", scorer_id)
     summaries = []
     for i in range(1, rounds + 1):
         base = f"{root.rstrip('/')}/round={i}"
         train_q, dev_q, passages = vectors_for_round(i)
-        params = {"k": cfg.train_k, "depth": cfg.depth, "cap": cfg.cap, "gaussian": cfg.gaussian}
-        run = Stage(spark, base, "run", params).get(
-            lambda: retrieve(train_q, passages, cfg.train_k, cfg.gaussian, **cfg.search))
-        mined = Stage(spark, base, "mined", params).get(
-            lambda: G.hard_negatives(qrels, run, train_queries_text, depth=cfg.depth, max_rank=cfg.train_k))
-        capped = G.cap_candidates(mined, cfg.cap)
-        pairs = SC.unscored_pairs(capped, None)
-        new_stage = Stage(spark, base, "new_scores", params)
-        if not new_stage.exists():
-            known = SC.needed_scores(cache.read(), pairs)
-            cache.append_new(SC.score_pairs(SC.unscored_pairs(pairs, known), scorer_for_round(i)), str(i))
-        new = new_stage.get(lambda: spark.read.parquet(f"{cache.root}/batch={i}").select("qid", "pid", "score"))
-        scored = Stage(spark, base, "scored", params).get(
-            lambda: SC.attach_scores(capped, SC.needed_scores(cache.read(), pairs)))
-        merged = SC.merge_negatives(scored, other) if other is not None else scored
-        Stage(spark, base, "merged", params).get(lambda: merged)
-        dev_run = Stage(spark, base, "dev_run", {"k": cfg.dev_k}).get(
-            lambda: retrieve(dev_q, passages, cfg.dev_k, cfg.gaussian, **cfg.search))
-        metrics = M.evaluate(dev_run, dev_qrels)
-        stats = SC.cache_stats(capped, new)
-        from dpmine.operators.rows import side_by_side
-        summaries.append(side_by_side([metrics, stats]).select(F.lit(i).alias("round"), "*"))
-    out = summaries[0]
-    for s in summaries[1:]:
-        out = out.unionByName(s)
-    return out
+        params = {**asdict(cfg), "scorer": scorer_id, "inputs": input_version, "other": other is not None}
+        batch = f"{i}-{Stage(spark, base, 'batch', params).path.rsplit('-', 1)[-1]}"
+
+        def cut(build, name, base=base, params=params):
+            return Stage(spark, base, name, params).get(build)
+
+        def score_new(pairs, i=i, batch=batch, cut=cut):
+            def build():
+                known = SC.needed_scores(cache.read(), pairs)
+                return cache.append_new(SC.score_pairs(SC.unscored_pairs(pairs, known), scorer_for_round(i)), batch)
+            new = cut(build, "new_scores").select("qid", "pid", "score")
+            known = SC.needed_scores(cache.read(), pairs).join(new.select("qid", "pid"), ["qid", "pid"], "left_anti")
+            return known, new
+
+        run, dev_run = _searches(train_q, dev_q, passages, cfg, cut)
+        out = _round(i, run, dev_run, qrels, dev_qrels, train_queries_text, corpus, score_new, other, cfg, cut)
+        summaries.append(out["summary"])
+    return reduce(DataFrame.unionByName, summaries)

@@ -1,4 +1,4 @@
-"""User model hooks (U1, U2), shard rules (B3), variance floor (E20), softplus edges."""
+"""User model hooks (U1, U2), variance floor (E20), softplus edges."""
 
 import math
 
@@ -7,7 +7,6 @@ import pytest
 
 from dpmine.functions import vectors as V
 from dpmine.operators import encode as EN
-from dpmine.operators import ordinal as O
 from dpmine.operators import scoring as SC
 
 
@@ -35,21 +34,13 @@ def test_batch_scorer(spark):
     c = spark.createDataFrame([(5, "t", "hello"), (6, "t", "zzz")], "pid long, title string, contents string")
     pairs = spark.createDataFrame([(1, 5), (1, 6)], "qid long, pid long")
 
-    def fn(queries, passages):
-        return [float(sum(w in p for w in qq.split())) for qq, p in zip(queries, passages)]
+    def make_model():
+        return lambda queries, passages: [float(sum(w in p for w in qq.split())) for qq, p in zip(queries, passages)]
 
-    got = {r.pid: r.score for r in SC.score_pairs(pairs, SC.batch_scorer(fn, q, c, batch_size=1)).collect()}
+    got = {r.pid: r.score for r in SC.score_pairs(pairs, SC.batch_scorer(make_model, q, c, batch_size=1, model_key='contained')).collect()}
     assert got == {5: 1.0, 6: 0.0}
 
 
-@pytest.mark.parametrize("rule,want", [("balanced", [0, 0, 0, 1, 1, 1, 2, 2, 3, 3]),
-                                       ("slice", [0, 0, 0, 1, 1, 1, 2, 2, 2, 3])])
-def test_shard_rules(spark, rule, want):
-    df = spark.range(10).withColumnRenamed("id", "k")
-    got = [r.shard for r in O.contiguous_shard(df, 4, ["k"], rule=rule).orderBy("k").collect()]
-    assert got == want
-
-
 def test_softplus_edges_and_variance_floor(spark):
     xs = [-50.0, 0.0, 9.999, 10.0, 800.0]
     df = spark.createDataFrame([(xs,)], "v array<double>")
@@ -60,3 +51,32 @@ def test_softplus_edges_and_variance_floor(spark):
     floored = z.select(V.fold_passage("m", "v", min_var=1e-12).alias("f")).first().f
     assert all(math.isfinite(x) for x in floored)
     assert z.select(V.non_finite(V.fold_passage("m", "v")).alias("bad")).first().bad
+
+
+def test_model_is_built_once_per_worker(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"t{i}") for i in range(200)], "pid long, title string").repartition(40)
+    place = str(tmp_path)
+
+    def make_model():
+        import os
+        import uuid
+        open(f"{place}/{os.getpid()}-{uuid.uuid4().hex}", "w").close()
+        return lambda rows: [[float(len(t))] for t, in rows]
+
+    out = EN.encode(docs, "pid", ["title"], make_model, model_key="counted")
+    assert out.count() == 200 and out.count() == 200
+    import os
+    built = [name.split("-")[0] for name in os.listdir(place)]
+    assert len(built) == len(set(built)) <= spark.sparkContext.defaultParallelism * 2
+
+
+def test_missing_text_or_vector_is_an_error(spark):
+    pairs = spark.createDataFrame([(1, 5), (2, 5)], "qid long, pid long")
+    q = spark.createDataFrame([(1, [1.0])], "qid long, vec array<double>")
+    p = spark.createDataFrame([(5, [1.0])], "pid long, vec array<double>")
+    with pytest.raises(Exception, match="missing"):
+        SC.score_pairs(pairs, SC.vector_teacher(q, p)).collect()
+    texts = spark.createDataFrame([(1, "a")], "qid long, query string")
+    corpus = spark.createDataFrame([(5, "t", "c")], "pid long, title string, contents string")
+    with pytest.raises(Exception, match="missing"):
+        SC.score_pairs(pairs, SC.overlap_scorer(texts, corpus)).collect()

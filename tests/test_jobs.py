@@ -30,7 +30,12 @@ def test_two_rounds_reuse_cache(spark, tmp_path):
     calls.clear()
     again = {r["round"]: r for r in mining_rounds(spark, str(tmp_path), 2, **args).collect()}
     assert calls == [] and again == s
-    cache = spark.read.parquet(str(tmp_path / "score_cache"))
+    cache = spark.read.parquet(str(tmp_path / "score_cache" / "scorer=teacher"))
+    # other parameters: other stages and cache batches, no stale score and no null
+    deeper = mining_rounds(spark, str(tmp_path), 1, **{**args, "cfg": RoundConfig(train_k=20, dev_k=10, depth=10, cap=100, negatives=3)})
+    row = deeper.first()
+    assert row["new"] == 30 and row["total"] == 66 and row["merged_rows"] == 66 and row["training_rows"] == 24
+    cache = spark.read.parquet(str(tmp_path / "score_cache" / "scorer=teacher"))
     assert cache.groupBy("qid", "pid").count().filter(F.col("count") > 1).count() == 0
 
 
@@ -45,3 +50,39 @@ def test_training_table_has_text_for_every_slot(spark):
     assert sorted(r.slot for r in rows) == [0, 1, 2, 3]
     assert all(r.title == f"t{r.pid}" and r.query == "q one" for r in rows)
     assert [r.pid for r in rows if r.slot == 0] == [5]
+
+
+def test_model_sees_each_pair_once(spark, tmp_path):
+    from dpmine.operators import scoring as SC
+    place = str(tmp_path)
+    long = spark.createDataFrame([(1, "pos", 0, 5, 1.0)] + [(1, "neg", i, 10 + i, 0.0) for i in range(4)],
+                                 "qid long, role string, pos int, pid long, score double")
+    texts = spark.createDataFrame([(1, "q")], "qid long, query string")
+    corpus = spark.createDataFrame([(p, "t", f"c{p}") for p in [5, 10, 11, 12, 13]], "pid long, title string, contents string")
+
+    def make_model():
+        def model(queries, passages):
+            import uuid
+            with open(f"{place}/{uuid.uuid4().hex}", "w") as f:
+                f.write("\n".join(passages))
+            return [1.0] * len(queries)
+        return model
+    scored, new, stats = SC.score_groups(long, None, SC.batch_scorer(make_model, texts, corpus, model_key="seen"))
+    assert scored.count() == 5 and new.count() == 5 and stats.first()["new"] == 5
+    import os
+    assert sum(len(open(f"{place}/{n}").read().split("\n")) for n in os.listdir(place)) == 5
+
+
+def test_training_table_is_strict(spark):
+    import pytest
+    from dpmine.plans.jobs import training_table
+    long = spark.createDataFrame([(1, "pos", 0, 5, 1.0), (1, "neg", 0, 6, 0.0), (2, "pos", 0, 5, 1.0)],
+                                 "qid long, role string, pos int, pid long, score double")
+    corpus = spark.createDataFrame([(5, "a b", "c d e f"), (6, "a", "b")], "pid long, title string, contents string")
+    queries = spark.createDataFrame([(1, "one two three")], "qid long, query string")
+    rows = training_table(long, queries, corpus, n=1, query_len=2, passage_len=4).collect()
+    assert {(r.slot, r.query, r.title, r.contents) for r in rows} == {(0, "one two", "a b", "c d"), (1, "one two", "a", "b")}
+    with pytest.raises(Exception, match="incomplete group"):
+        training_table(long, queries, corpus, n=1, strict=True).collect()
+    with pytest.raises(Exception, match="not in the corpus"):
+        training_table(long, queries, corpus.filter("pid = 5"), n=1).collect()

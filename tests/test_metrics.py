@@ -84,3 +84,11 @@ def test_in_batch_accuracy_uses_whole_batch(spark):
                                "pid long, vec array<double>")
     r = M.in_batch_accuracy(groups, qv, pv, 2).first()
     assert (r.n_queries, r.n_correct) == (2, 1)
+
+
+def test_zero_pad_counts_distinct_ranks(spark):
+    """A rank given twice is one slot of the padded array: ranks 1, 1, 2 leave the first gap at 3."""
+    from dpmine.operators.metrics import first_hits
+    run = spark.createDataFrame([(1, 8, 1), (1, 9, 1), (1, 7, 2)], "qid long, pid long, rank int")
+    qrels = spark.createDataFrame([(1, 0, 1)], "qid long, pid long, rel int")
+    assert [tuple(r) for r in first_hits(run, qrels, zero_pad=True).collect()] == [(1, 3)]
