@@ -40,12 +40,30 @@ OTHER_K = 20                        # second negative set: Gaussian top-20 minus
 BATCH_QUERIES = 5
 NGRAM_N = 2
 QUERY_LEN, PASSAGE_LEN, PAIR_RESERVE = 32, 144, 3
-SHARDS = 3
+SCORE_BATCH = 100
 HEAD_N = 10
 HASH_DIM = 64
 SEQ_MASK_MOD = 5
 
 
+_stages: dict = {}     # of the query that is being built: shared inputs are stored once per query, never across queries
+
+
+def _once(name: str, build):
+    if name not in _stages:
+        _stages[name] = build()
+    return _stages[name]
+
+
+def _fresh(fn):
+    """A registered query: starts with no stored stage."""
+    def run(spark, sf):
+        _stages.clear()
+        return fn(spark, sf)
+    run.__name__, run.__doc__ = fn.__name__, fn.__doc__
+    return run
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Materialise a pipeline stage (run, mined groups, scores) and cut its lineage.
 
@@ -60,13 +78,34 @@ def _r(col: str, name: str | None = None):
 
 
 # ---------------------------------------------------------------- search
+def q_vectors(spark, sf):
+    return _once("q", lambda: T.query_vectors(spark, sf))
+
+
 def run_k(spark, sf, k):
-    return stage(S.mips_topk(T.query_vectors(spark, sf), T.passage_vectors(spark, sf), k))
+    """The run's first ``k`` ranks; a query searches once, at the depth of its first use (mining is deepest)."""
+    deep = _once("run", lambda: (k, stage(S.mips_topk(q_vectors(spark, sf), T.passage_vectors(spark, sf), k))))
+    if k > deep[0]:
+        raise ValueError("ask for the deepest run first")
+    return deep[1].filter(F.col("rank") <= k)
+
+
+def gaussian_run(spark, sf, k):
+    def search():
+        q = T.query_vectors(spark, sf).select("qid", F.col("vec").alias("mean"))
+        return stage(S.gaussian_topk(q, T.passage_gaussians(spark, sf), max(k, OTHER_K)))
+    return _once("gaussian", search).filter(F.col("rank") <= k)
+
+
+def qrels(spark, sf):
+    return _once("qrels", lambda: stage(T.qrels(spark, sf)))
 
 
 def q_score_matrix(spark, sf):
-    sm = S.score_matrix(T.query_vectors(spark, sf), T.passage_vectors(spark, sf))
-    return sm.select("qid", "pid", _r("score"))
+    """All pairs of a batch: the queries and passages of a hundred neighbouring ids."""
+    batch = lambda df, c: df.withColumn("batch", F.floor(F.col(c) / SCORE_BATCH))
+    sm = S.score_matrix(batch(T.query_vectors(spark, sf), "qid"), batch(T.passage_vectors(spark, sf), "pid"))
+    return sm.select("batch", "qid", "pid", _r("score"))
 
 
 def q_mips_topk(spark, sf):
@@ -74,9 +113,7 @@ def q_mips_topk(spark, sf):
 
 
 def q_gaussian_topk(spark, sf):
-    q = T.query_vectors(spark, sf).select("qid", F.col("vec").alias("mean"))
-    p = T.passage_gaussians(spark, sf)
-    return S.gaussian_topk(q, p, TOPK).select("qid", "pid", "rank", _r("score"))
+    return gaussian_run(spark, sf, TOPK).select("qid", "pid", "rank", _r("score"))
 
 
 # ---------------------------------------------------------------- evaluation
@@ -97,6 +134,13 @@ def q_eval_all(spark, sf):
                                    _r("recall_at_all"), "queries_ranked", "queries_evaluated", "queries_judged")
 
 
+def q_evaluate_job(spark, sf):
+    """The evaluation job: metrics of the fused run, with the number of passages it ranks twice."""
+    row, _ = J.evaluate(fused_run(spark, sf), T.qrels_eval(spark, sf))
+    return row.select(_r("mrr_at_10"), _r("recall_at_1"), _r("recall_at_50"), _r("recall_at_all"), "queries_ranked",
+                      "queries_evaluated", "queries_judged", F.col("repeated_pairs").cast("long"))
+
+
 def q_metric_report(spark, sf):
     return M.metric_report(_eval(spark, sf)).select("metric", _r("value"))
 
@@ -104,9 +148,7 @@ def q_metric_report(spark, sf):
 def fused_run(spark, sf):
     """Two retrievers' top-10 lists appended naively (ranks 1-10, then 11-20): repeats appear."""
     a = run_k(spark, sf, TOPK).select("qid", "pid", "rank")
-    q = T.query_vectors(spark, sf).select("qid", F.col("vec").alias("mean"))
-    b = S.gaussian_topk(q, T.passage_gaussians(spark, sf), TOPK).select(
-        "qid", "pid", (F.col("rank") + TOPK).alias("rank"))
+    b = gaussian_run(spark, sf, TOPK).select("qid", "pid", (F.col("rank") + TOPK).alias("rank"))
     return a.unionByName(b)
 
 
@@ -120,16 +162,18 @@ def q_ranked_array(spark, sf):
 
 # ---------------------------------------------------------------- mining
 def _mining_inputs(spark, sf):
-    return T.qrels(spark, sf), run_k(spark, sf, MINING_RUN_K), T.query_texts(spark, sf)
+    return qrels(spark, sf), run_k(spark, sf, MINING_RUN_K), T.query_texts(spark, sf)
 
 
 def mined(spark, sf):
-    qr, run, qt = _mining_inputs(spark, sf)
-    return stage(G.hard_negatives(qr, run, qt, depth=DEPTH, max_rank=MINING_RUN_K))
+    def mine():
+        qr, run, qt = _mining_inputs(spark, sf)
+        return stage(G.hard_negatives(qr, run, qt, depth=DEPTH, max_rank=MINING_RUN_K))
+    return _once("mined", mine)
 
 
 def q_collect_positives(spark, sf):
-    return G.collect_positives(T.qrels(spark, sf))
+    return G.collect_positives(qrels(spark, sf))
 
 
 def q_mining_queries(spark, sf):
@@ -175,8 +219,27 @@ def q_lookup_passages(spark, sf):
     return G.lookup_passages(g, T.corpus(spark, sf)).select("qid", "slot", "pid", "title", "contents")
 
 
+def q_training_table(spark, sf):
+    """Training groups with truncated texts, as the trainer reads them."""
+    return J.training_table(mined(spark, sf), T.query_texts(spark, sf), T.corpus(spark, sf), N_NEG, SEED,
+                            query_len=QUERY_LEN, passage_len=PASSAGE_LEN, reserve=PAIR_RESERVE)
+
+
+def q_rejected_groups(spark, sf):
+    """Queries that cannot be sampled when only their ten nearest passages are candidates."""
+    g = G.hard_negatives(qrels(spark, sf), run_k(spark, sf, TOPK), T.query_texts(spark, sf), depth=1, max_rank=TOPK)
+    some = mined_or_all(g, qrels(spark, sf))
+    return G.rejected_groups(some)
+
+
+def mined_or_all(long, judged):
+    """Long rows with every judged query present (by its positives)."""
+    pos = judged.select("qid", F.lit(G.POS).alias("role"), F.lit(0).alias("pos"), "pid", F.lit(1.0).alias("score"))
+    return long.filter(F.col("role") == G.NEG).unionByName(pos)
+
+
 def q_preview(spark, sf):
-    nested = G.to_nested(mined(spark, sf), T.query_texts(spark, sf))
+    nested = G.to_nested(G.preview_groups(mined(spark, sf), 3, SEED), T.query_texts(spark, sf))
     flat = nested.select("qid", "query", F.col("positives.doc_id").alias("pos_ids"),
                          F.col("negatives.doc_id").alias("neg_ids"))
     return G.preview(flat, 3, SEED)
@@ -189,16 +252,16 @@ def teacher(spark, sf):
 
 def score_cache(spark, sf):
     """Teacher scores of the previous (shallower) round's mined pairs."""
-    qr, qt = T.qrels(spark, sf), T.query_texts(spark, sf)
-    prev = G.hard_negatives(qr, run_k(spark, sf, PREV_RUN_K), qt, depth=PREV_DEPTH, max_rank=PREV_RUN_K)
-    return stage(SC.score_pairs(SC.unscored_pairs(prev, None), teacher(spark, sf)))
+    def score():
+        run = run_k(spark, sf, MINING_RUN_K).filter(F.col("rank") <= PREV_RUN_K)
+        prev = G.hard_negatives(qrels(spark, sf), run, T.query_texts(spark, sf), depth=PREV_DEPTH, max_rank=PREV_RUN_K)
+        return stage(SC.score_pairs(SC.unscored_pairs(prev, None), teacher(spark, sf)))
+    return _once("cache", score)
 
 
 def other_negatives(spark, sf):
     """Second negative set in long form: Gaussian top-20 without the judged passages."""
-    q = T.query_vectors(spark, sf).select("qid", F.col("vec").alias("mean"))
-    g = S.gaussian_topk(q, T.passage_gaussians(spark, sf), OTHER_K)
-    g = G.exclude_positives(stage(g), T.qrels(spark, sf))
+    g = G.exclude_positives(gaussian_run(spark, sf, OTHER_K), qrels(spark, sf))
     from pyspark.sql import Window
     return g.select("qid", F.lit(G.NEG).alias("role"),
                     (F.row_number().over(Window.partitionBy("qid").orderBy("rank")) - 1).cast("int").alias("pos"),
@@ -237,8 +300,8 @@ def q_attach_scores(spark, sf):
 
 
 def scored_groups(spark, sf):
-    scored, _, _ = SC.score_groups(mined(spark, sf), score_cache(spark, sf), teacher(spark, sf), CAP)
-    return stage(scored)
+    return _once("scored", lambda: stage(SC.score_groups(
+        mined(spark, sf), score_cache(spark, sf), teacher(spark, sf), CAP)[0]))
 
 
 def q_score_groups(spark, sf):
@@ -334,7 +397,16 @@ def q_ngram_counts(spark, sf):
 
 
 def q_entity_groups(spark, sf):
-    return TX.entity_groups(TX.capital_tags(TX.token_table(_docs(spark, sf))))
+    return TX.entity_runs(_docs(spark, sf), TX.capital_tag)
+
+
+def q_annotations(spark, sf):
+    """The attached entity tags of every token."""
+    return TX.annotation(TX.capital_tags(TX.token_table(_docs(spark, sf))), "tag")
+
+
+def q_ngram_spans(spark, sf):
+    return TX.ngram_spans(_docs(spark, sf), NGRAM_N).select("doc_id", F.col("s").cast("int"), F.col("e").cast("int"))
 
 
 def q_truncate_query(spark, sf):
@@ -356,17 +428,13 @@ def q_passage_text(spark, sf):
 
 # ---------------------------------------------------------------- ordinals
 def q_with_ordinal(spark, sf):
-    return O.with_ordinal(_docs(spark, sf).select("doc_id"), ["doc_id"])
+    return O.with_ordinal(_docs(spark, sf), ["doc_id"]).select("doc_id", "text", "ordinal")
 
 
 def q_head_sample(spark, sf):
     return O.head_sample(_docs(spark, sf).select("doc_id", "text"), HEAD_N, ["doc_id"])
 
 
-def q_contiguous_shard(spark, sf):
-    return O.contiguous_shard(_docs(spark, sf).select("doc_id"), SHARDS, ["doc_id"])
-
-
 # ---------------------------------------------------------------- vectors
 def _explode_vec(df, id_col, vec_col):
     return df.select(id_col, F.posexplode(vec_col).alias("i", "x")).select(id_col, "i", _r("x"))
@@ -411,6 +479,42 @@ def q_encode_hashed(spark, sf):
     return EN.hashed_bag(_docs(spark, sf), dim=HASH_DIM).select("doc_id", F.col("bucket").cast("int"), "n")
 
 
+def make_length_model():
+    """A deterministic stand-in for an encoder: text lengths and numbers of spaces of every field."""
+    return lambda rows: [[float(f(x or "")) for x in row for f in (len, lambda t: t.count(" "))] for row in rows]
+
+
+def q_encode_passages(spark, sf):
+    """The encoder hook on (title, contents) pairs."""
+    out = EN.encode(T.corpus(spark, sf), "pid", ["title", "contents"], make_length_model, model_key="lengths")
+    return _explode_vec(out, "pid", "vec")
+
+
+def q_encode_queries(spark, sf):
+    """The encoder hook on single texts."""
+    out = EN.encode(T.query_texts(spark, sf), "qid", ["query"], make_length_model, model_key="lengths")
+    return _explode_vec(out, "qid", "vec")
+
+
+def make_overlap_model():
+    """A deterministic stand-in for a cross-encoder: difference of text lengths."""
+    return lambda queries, passages: [float(len(p) - len(q)) for q, p in zip(queries, passages)]
+
+
+def q_batch_scorer(spark, sf):
+    """The batched model scorer on the mined pairs."""
+    scorer = SC.batch_scorer(make_overlap_model, T.query_texts(spark, sf), T.corpus(spark, sf), model_key="length-gap")
+    return SC.score_pairs(SC.unscored_pairs(mined(spark, sf), None), scorer)
+
+
+def q_stage(spark, sf):
+    """A stored stage read twice: the second call finds the first one's output."""
+    root = scratch_path(spark, "stages")
+    first = IO.Stage(spark, root, "qrels", {"mod": T.QRELS_MOD}).get(lambda: T.qrels(spark, sf))
+    again = IO.Stage(spark, root, "qrels", {"mod": T.QRELS_MOD}).get(lambda: first.limit(0))
+    return again.select("qid", "pid", "rel")
+
+
 # ---------------------------------------------------------------- file formats
 def q_read_corpus(spark, sf):
     path = scratch_path(spark, "corpus")
@@ -433,7 +537,7 @@ def q_read_queries(spark, sf):
 def q_read_qrels(spark, sf):
     path = scratch_path(spark, "qrels")
     IO.write_qrels(T.qrels_eval(spark, sf), path)
-    return IO.read_qrels(spark, path)
+    return IO.read_qrels(spark, path).drop("line")
 
 
 def q_read_run(spark, sf):
@@ -466,22 +570,38 @@ def q_write_groups(spark, sf):
 
 # ---------------------------------------------------------------- the round
 def round_inputs(spark, sf):
-    qv = T.query_vectors(spark, sf)
-    return dict(train_queries=qv, dev_queries=qv, passages=T.passage_vectors(spark, sf), qrels=T.qrels(spark, sf),
-                dev_qrels=T.qrels_eval(spark, sf), query_texts=T.query_texts(spark, sf))
+    qv = q_vectors(spark, sf)
+    return dict(train_queries=qv, dev_queries=qv, passages=T.passage_vectors(spark, sf), qrels=qrels(spark, sf),
+                dev_qrels=T.qrels_eval(spark, sf), query_texts=T.query_texts(spark, sf), corpus=T.corpus(spark, sf))
+
+
+ROUND = J.RoundConfig(train_k=MINING_RUN_K, dev_k=EVAL_RUN_K, depth=DEPTH, cap=CAP, negatives=N_NEG, seed=SEED)
+
+
+def _summary(s):
+    return s.select("round", F.col("mined_queries").cast("long"), "total", "new", "skip", _r("skip_rate"),
+                    _r("mrr_at_10"), _r("recall_at_1"), _r("recall_at_50"), _r("recall_at_all"), "queries_ranked",
+                    F.col("merged_rows").cast("long"), F.col("training_rows").cast("long"))
+
+
+def q_mining_rounds(spark, sf):
+    """Two rounds of the loop over one score cache: the second finds every pair scored."""
+    i = round_inputs(spark, sf)
+    return _summary(J.mining_rounds(
+        spark, scratch_path(spark, "rounds"), 2, vectors_for_round=lambda _: (i["train_queries"], i["dev_queries"], i["passages"]),
+        train_queries_text=i["query_texts"], qrels=i["qrels"], dev_qrels=i["dev_qrels"], corpus=i["corpus"],
+        scorer_for_round=lambda _: teacher(spark, sf), other=other_negatives(spark, sf), cfg=ROUND))
 
 
 def q_mining_round(spark, sf):
-    cfg = J.RoundConfig(train_k=MINING_RUN_K, dev_k=EVAL_RUN_K, depth=DEPTH, cap=CAP)
+    cfg = ROUND
     out = J.mining_round(spark, round_id=1, scorer=teacher(spark, sf), cache=score_cache(spark, sf),
                          other=other_negatives(spark, sf), cfg=cfg, **round_inputs(spark, sf))
-    s = out["summary"]
-    return s.select("round", F.col("mined_queries").cast("long"), "total", "new", "skip", _r("skip_rate"),
-                    _r("mrr_at_10"), _r("recall_at_1"), _r("recall_at_50"), _r("recall_at_all"), "queries_ranked")
+    return _summary(out["summary"])
 
 
 def flagship(spark, sf):
-    return q_mining_round(spark, sf)
+    return _fresh(q_mining_round)(spark, sf)
 
 
 # ---------------------------------------------------------------- streaming
@@ -547,7 +667,6 @@ QUERIES = {
     "passage_text": q_passage_text,
     "with_ordinal": q_with_ordinal,
     "head_sample": q_head_sample,
-    "contiguous_shard": q_contiguous_shard,
     "fold_query": q_fold_query,
     "fold_passage": q_fold_passage,
     "softplus": q_softplus,
@@ -563,5 +682,16 @@ QUERIES = {
     "read_groups": q_read_groups,
     "write_groups": q_write_groups,
     "mining_round": q_mining_round,
+    "mining_rounds": q_mining_rounds,
     "score_stream": q_score_stream,
+    "training_table": q_training_table,
+    "rejected_groups": q_rejected_groups,
+    "annotations": q_annotations,
+    "ngram_spans": q_ngram_spans,
+    "encode_passages": q_encode_passages,
+    "encode_queries": q_encode_queries,
+    "batch_scorer": q_batch_scorer,
+    "evaluate_job": q_evaluate_job,
+    "stage": q_stage,
 }
+QUERIES = {name: _fresh(fn) for name, fn in QUERIES.items()}

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 def _run(k: int, src: str = "q, p", score: str = "list_dot_product(q.vec, p.vec)", ids: str = "q.qid, p.pid") -> str:
     return (f"SELECT qid, pid, CAST(rank AS INTEGER) AS rank, score FROM ("
-            f"SELECT {ids}, {score} AS score, row_number() OVER (PARTITION BY qid ORDER BY round({score}, 6) DESC, "
+            f"SELECT {ids}, {score} AS score, row_number() OVER (PARTITION BY qid ORDER BY {score} DESC, "
             f"pid) AS rank FROM {src}) WHERE rank <= {k}")
 
 
@@ -52,6 +52,7 @@ def _groups(src: str, n: int) -> str:
 
 
 TEACH = "-list_sum(list_transform(list_zip(q.vec, p.vec), lambda t: (t[1] - t[2]) * (t[1] - t[2])))"
+# fixed values: the token pattern and Python's white space, in this dialect
 TOKEN = r"[\p{L}\p{N}\p{M}]+|[^\p{Z}\p{C}]"
 PIECE = r"(?:[\p{L}\p{N}\p{M}]+|[^\p{Z}\p{C}])[\p{Z}\p{C}]*"
 PY_SPACE = r"[\t\n\x0B\f\r\x1C-\x1F\x85\p{Z}]"
@@ -87,14 +88,17 @@ def _explode(src: str, id_col: str, vec: str) -> str:
 
 # name -> (dependencies, body)
 CTES: dict[str, tuple[tuple[str, ...], str]] = {
-    "q": ((), "SELECT vec_id AS qid, CAST(embedding AS DOUBLE[]) AS vec, label FROM embeddings WHERE vec_id < 50"),
-    "p": ((), "SELECT vec_id AS pid, CAST(embedding AS DOUBLE[]) AS vec, label FROM embeddings WHERE vec_id >= 50"),
+    "q": ((), "SELECT vec_id AS qid, CAST(embedding AS DOUBLE[]) AS vec, label FROM embeddings WHERE vec_id % 10 = 0"),
+    "p": ((), "SELECT vec_id AS pid, CAST(embedding AS DOUBLE[]) AS vec, label FROM embeddings "
+          "WHERE vec_id % 10 <> 0 AND vec_id IN (SELECT doc_id FROM documents)"),
     "pg": (("p",), "SELECT pid, vec AS mean, list_transform(vec, lambda x: CASE WHEN x < 10 THEN ln(1 + exp(x)) "
                    "ELSE x END) AS var FROM p"),
-    "qr": (("q", "p"), "SELECT q.qid, p.pid, 1 AS rel FROM q JOIN p ON q.label = p.label AND q.qid % 7 = p.pid % 7"),
+    "qr": (("q", "p"), "SELECT q.qid, p.pid, 1 AS rel FROM q JOIN p ON q.label = p.label AND q.qid % 7 = p.pid % 7 "
+           "AND q.qid // 500 = p.pid // 500"),
     "qe": ((), "SELECT a.vec_id AS qid, b.vec_id AS pid, 1 AS rel FROM embeddings a, embeddings b "
-               "WHERE a.vec_id < 60 AND b.vec_id >= 60 AND (a.vec_id * 31 + b.vec_id) % 41 = 0"),
-    "qt": ((), "SELECT item_id AS qid, text AS query FROM benchmark"),
+               "WHERE (a.vec_id % 10 = 0 OR a.vec_id % 100 = 5) AND NOT (b.vec_id % 10 = 0 OR b.vec_id % 100 = 5) "
+               "AND a.vec_id // 500 = b.vec_id // 500 AND (a.vec_id * 31 + b.vec_id) % 41 = 0"),
+    "qt": ((), "SELECT item_id * 10 AS qid, text AS query FROM benchmark"),
     "corpus": ((), "SELECT doc_id AS pid, source AS title, text AS contents FROM documents"),
     "run10": (("q", "p"), _run(10)),
     "run100": (("q", "p"), _run(100)),
@@ -128,6 +132,8 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "other": (("grun20", "qr"), "SELECT qid, 'neg' AS role, CAST(row_number() OVER (PARTITION BY qid ORDER BY rank) - 1 "
                                 "AS INTEGER) AS pos, pid, score FROM grun20 g WHERE NOT EXISTS "
                                 "(SELECT 1 FROM qr WHERE qr.qid = g.qid AND qr.pid = g.pid)"),
+    "mg": (("scored", "other"), _merge("scored")),
+    "fused": (("run10", "grun"), "SELECT qid, pid, rank FROM run10 UNION ALL SELECT qid, pid, rank + 10 FROM grun"),
     "jac": (("hn", "qt", "corpus"), "SELECT x.qid, x.pid, " + _jac(_toks("qt.query", True),
                                     _toks("coalesce(c.title, '') || ': ' || coalesce(c.contents, '')", True)) +
             " AS score FROM (SELECT DISTINCT qid, pid FROM hn) x JOIN qt USING (qid) JOIN corpus c USING (pid)"),
@@ -185,7 +191,8 @@ R = "round({0}, 6) AS {0}".format
 
 SQL = {
     # search
-    "score_matrix": sql("SELECT q.qid, p.pid, round(list_dot_product(q.vec, p.vec), 6) AS score FROM q, p", "q", "p"),
+    "score_matrix": sql("SELECT q.qid // 100 AS batch, q.qid, p.pid, round(list_dot_product(q.vec, p.vec), 6) AS score "
+                        "FROM q JOIN p ON q.qid // 100 = p.pid // 100", "q", "p"),
     "mips_topk": sql(f"SELECT qid, pid, rank, {R('score')} FROM run10", "run10"),
     "gaussian_topk": sql(f"SELECT qid, pid, rank, {R('score')} FROM grun", "grun"),
     # evaluation
@@ -283,7 +290,7 @@ SQL = {
         "SELECT doc_id, i, token_ws, CASE WHEN regexp_matches(token, '^\\p{Lu}') THEN 'CAP' ELSE 'O' END AS tag "
         "FROM toks) WHERE tag <> 'O') GROUP BY doc_id, tag, grp", "toks"),
     "truncate_query": f"SELECT qid, CAST(len(t) AS INTEGER) AS n_tokens, array_to_string(t, ' ') AS text FROM ("
-                      f"SELECT item_id AS qid, list_slice({_toks('text')}, 1, 32) AS t FROM benchmark)",
+                      f"SELECT item_id * 10 AS qid, list_slice({_toks('text')}, 1, 32) AS t FROM benchmark)",
     "truncate_pair": (
         "SELECT pid, CAST(len(a2) AS INTEGER) AS len_a, CAST(len(b2) AS INTEGER) AS len_b, "
         "array_to_string(a2, ' ') AS text_a, array_to_string(b2, ' ') AS text_b FROM ("
@@ -294,13 +301,8 @@ SQL = {
         f"len({_toks('text')}) AS lb FROM documents))"),
     "passage_text": "SELECT doc_id AS pid, coalesce(source, '') || ': ' || coalesce(text, '') AS text FROM documents",
     # ordinals
-    "with_ordinal": "SELECT doc_id, CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS ordinal FROM documents",
+    "with_ordinal": "SELECT doc_id, text, CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS ordinal FROM documents",
     "head_sample": "SELECT doc_id, text FROM documents ORDER BY doc_id LIMIT 10",
-    "contiguous_shard": (
-        "SELECT doc_id, ordinal, CAST(CASE WHEN ordinal < extra * (base + 1) THEN ordinal // (base + 1) "
-        "ELSE extra + (ordinal - extra * (base + 1)) // greatest(base, 1) END AS INTEGER) AS shard FROM ("
-        "SELECT doc_id, CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS ordinal, "
-        "count(*) OVER () // 3 AS base, count(*) OVER () % 3 AS extra FROM documents)"),
     # vectors
     "fold_query": sql(_explode("(SELECT pid, [1.0] || list_transform(vec, lambda x: x * x) || vec || [1.0] AS v FROM p)",
                                "pid", "v"), "p"),
@@ -318,7 +320,7 @@ SQL = {
     # file formats
     "read_corpus": ("SELECT CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS pid, source AS title, "
                     "text AS contents FROM documents"),
-    "read_queries": ("SELECT item_id AS qid, " + _strip("regexp_replace(text, '[\\t\\r\\n]', ' ', 'g')") +
+    "read_queries": ("SELECT item_id * 10 AS qid, " + _strip("regexp_replace(text, '[\\t\\r\\n]', ' ', 'g')") +
                      " AS query FROM benchmark"),
     "read_qrels": sql("SELECT qid, pid, rel FROM qe", "qe"),
     "read_run": sql("SELECT qid, pid, rank FROM run100", "run100"),
@@ -335,8 +337,54 @@ SQL = {
         "CAST(t AS BIGINT) AS total, CAST(n AS BIGINT) AS new, CAST(t - n AS BIGINT) AS skip, "
         "round((t - n) / t, 6) AS skip_rate, round(m.mrr_at_10, 6) AS mrr_at_10, round(m.recall_at_1, 6) AS recall_at_1, "
         "round(m.recall_at_50, 6) AS recall_at_50, round(m.recall_at_all, 6) AS recall_at_all, "
-        "CAST(m.queries_ranked AS BIGINT) AS queries_ranked FROM (SELECT (SELECT count(*) FROM hn WHERE pos < 100) AS t, "
-        "(SELECT count(*) FROM newsc) AS n) x, m", "hn", "newsc", "m"),
+        "CAST(m.queries_ranked AS BIGINT) AS queries_ranked, (SELECT count(*) FROM mg) AS merged_rows, "
+        "(SELECT 9 * count(DISTINCT qid) FROM scored) AS training_rows FROM (SELECT (SELECT count(*) FROM hn WHERE pos < 100) AS t, "
+        "(SELECT count(*) FROM newsc) AS n) x, m", "hn", "newsc", "scored", "mg", "m"),
+    "mining_rounds": sql(
+        "SELECT CAST(r AS INTEGER) AS round, CAST((SELECT count(DISTINCT qid) FROM hn) AS BIGINT) AS mined_queries, "
+        "CAST(t AS BIGINT) AS total, CAST(CASE WHEN r = 1 THEN n ELSE 0 END AS BIGINT) AS new, "
+        "CAST(CASE WHEN r = 1 THEN t - n ELSE t END AS BIGINT) AS skip, "
+        "round(CASE WHEN r = 1 THEN (t - n) / t ELSE 1 END, 6) AS skip_rate, round(m.mrr_at_10, 6) AS mrr_at_10, "
+        "round(m.recall_at_1, 6) AS recall_at_1, round(m.recall_at_50, 6) AS recall_at_50, "
+        "round(m.recall_at_all, 6) AS recall_at_all, CAST(m.queries_ranked AS BIGINT) AS queries_ranked, "
+        "(SELECT count(*) FROM mg) AS merged_rows, (SELECT 9 * count(DISTINCT qid) FROM scored) AS training_rows "
+        "FROM (SELECT unnest([1, 2]) AS r), (SELECT (SELECT count(*) FROM hn WHERE pos < 100) AS t, "
+        "(SELECT count(*) FROM (SELECT DISTINCT qid, pid FROM hn WHERE pos < 100)) AS n) x, m", "hn", "scored", "mg", "m"),
+    "training_table": sql(
+        "SELECT qid, slot, pid, score, query, array_to_string(list_slice(a, 1, CASE WHEN la + lb <= 141 THEN la WHEN la <= lb "
+        "THEN least(la, 70) ELSE 141 - least(lb, 70) END), ' ') AS title, array_to_string(list_slice(b, 1, CASE WHEN la + lb <= 141 "
+        "THEN lb WHEN la <= lb THEN 141 - least(la, 70) ELSE least(lb, 70) END), ' ') AS contents FROM ("
+        f"SELECT g.qid, g.slot, g.pid, g.score, array_to_string(list_slice({_toks('qt.query')}, 1, 32), ' ') AS query, "
+        f"{_toks('c.title')} AS a, {_toks('c.contents')} AS b, len({_toks('c.title')}) AS la, len({_toks('c.contents')}) AS lb "
+        "FROM ga8 g JOIN qt USING (qid) JOIN corpus c USING (pid))", "ga8", "qt", "corpus"),
+    "rejected_groups": sql(
+        "SELECT qid, CAST(count(*) FILTER (WHERE role = 'pos') AS BIGINT) AS n_pos, "
+        "CAST(count(*) FILTER (WHERE role = 'neg') AS BIGINT) AS n_neg FROM (SELECT qid, 'pos' AS role FROM qr UNION ALL "
+        "SELECT r.qid, 'neg' FROM run10 r WHERE r.qid IN (SELECT qid FROM qt) AND r.qid IN (SELECT qid FROM qr) AND NOT EXISTS "
+        "(SELECT 1 FROM qr WHERE qr.qid = r.qid AND qr.pid = r.pid)) GROUP BY qid HAVING n_pos = 0 OR n_neg = 0",
+        "qr", "run10", "qt"),
+    "annotations": sql("SELECT doc_id, i, CASE WHEN regexp_matches(token, '^\\p{Lu}') THEN 'CAP' ELSE 'O' END AS tag FROM toks", "toks"),
+    "ngram_spans": sql("SELECT doc_id, CAST(s AS INTEGER) AS s, CAST(s + L AS INTEGER) AS e FROM grams", "grams"),
+    "encode_passages": ("SELECT doc_id AS pid, CAST(i AS INTEGER) AS i, x FROM (SELECT doc_id, unnest([0, 1, 2, 3]) AS i, unnest(["
+                        "CAST(length(s) AS DOUBLE), length(s) - length(replace(s, ' ', '')), length(t), "
+                        "length(t) - length(replace(t, ' ', ''))]) AS x FROM (SELECT doc_id, coalesce(source, '') AS s, "
+                        "coalesce(text, '') AS t FROM documents))"),
+    "encode_queries": ("SELECT item_id * 10 AS qid, CAST(i AS INTEGER) AS i, x FROM (SELECT item_id, unnest([0, 1]) AS i, unnest(["
+                       "CAST(length(t) AS DOUBLE), length(t) - length(replace(t, ' ', ''))]) AS x "
+                       "FROM (SELECT item_id, coalesce(text, '') AS t FROM benchmark))"),
+    "batch_scorer": sql("SELECT x.qid, x.pid, CAST(length(coalesce(c.title, '') || ': ' || coalesce(c.contents, '')) - "
+                        "length(qt.query) AS DOUBLE) AS score FROM (SELECT DISTINCT qid, pid FROM hn) x JOIN qt USING (qid) "
+                        "JOIN corpus c USING (pid)", "hn", "qt", "corpus"),
+    "evaluate_job": sql(
+        "SELECT round(coalesce(sum(CASE WHEN f <= 10 THEN 1.0 / f END), 0) / nj, 6) AS mrr_at_10, "
+        "round(count(*) FILTER (WHERE f <= 1) / nj, 6) AS recall_at_1, round(count(*) FILTER (WHERE f <= 50) / nj, 6) AS recall_at_50, "
+        "round(count(f) / nj, 6) AS recall_at_all, CAST((SELECT count(DISTINCT qid) FROM fused) AS BIGINT) AS queries_ranked, "
+        "CAST((SELECT count(DISTINCT qid) FROM fused WHERE qid IN (SELECT qid FROM qe)) AS BIGINT) AS queries_evaluated, "
+        "CAST(nj AS BIGINT) AS queries_judged, CAST((SELECT count(*) FROM (SELECT 1 FROM fused WHERE pid <> 0 GROUP BY qid, pid "
+        "HAVING count(*) > 1)) AS BIGINT) AS repeated_pairs FROM (SELECT count(DISTINCT qid) AS nj FROM qe) LEFT JOIN "
+        "(SELECT qid, min(rank) AS f FROM fused JOIN (SELECT DISTINCT qid, pid FROM qe) USING (qid, pid) GROUP BY qid) ON true "
+        "GROUP BY nj", "fused", "qe"),
+    "stage": sql("SELECT qid, pid, rel FROM qr", "qr"),
     "score_stream": sql(f"SELECT h.qid, h.role, h.pos, h.pid, round({TEACH}, 6) AS score FROM hn h "
                         "JOIN q USING (qid) JOIN p USING (pid) WHERE h.pos < 100", "hn", "q", "p"),
 }

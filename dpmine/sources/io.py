@@ -57,13 +57,13 @@ def read_corpus(spark: SparkSession, path: str, id_col: str | None = None) -> Da
     line ordinal over the files in name order: rows are ordered by
     (file name, block start, position in the task) and numbered by
     ``with_ordinal`` — a distributed sort, no single-partition window.
-    gzip files are not splittable: one task per file, hence the repartition
-    right after the read when ids come from the data.
+    gzip files are not splittable (one task per file); spread them with a
+    ``repartition`` where the next step does not shuffle anyway.
     """
     schema = "title string, contents string" + (f", {id_col} long" if id_col else "")
     df = spark.read.schema(schema).json(path)
     if id_col:
-        return df.select(F.col(id_col).alias("pid"), "title", "contents").repartition("pid")
+        return df.select(F.col(id_col).alias("pid"), "title", "contents")
     df = df.select("title", "contents", F.input_file_name().alias("_file"),
                    F.input_file_block_start().alias("_block"), F.monotonically_increasing_id().alias("_mid"))
     out = with_ordinal(df, ["_file", "_block", "_mid"], "pid")
@@ -119,12 +119,16 @@ def duplicate_qids(queries: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- qrels
 def read_qrels(spark: SparkSession, path: str) -> DataFrame:
-    """Whitespace-separated ``qid iter pid rel`` → ``qid, pid, rel`` (``rel`` parsed, not used by default)."""
-    lines = spark.read.text(path).select(_strip(F.col("value")).alias("value"))
+    """Whitespace-separated ``qid iter pid rel`` → ``qid, pid, rel, line`` (``rel`` parsed, not used by default).
+
+    ``line`` orders the judgements as in the file; ``hard_negatives(qrels_order="line")`` keeps that order, which
+    decides which positives survive a later cap.
+    """
+    lines = spark.read.text(path).select(_strip(F.col("value")).alias("value"), _line_key().alias("line"))
     parts = F.split(F.col("value"), r"\s+")
-    checked = lines.select(_fail_unless(F.size(parts) == 4, "qrels line needs four fields", parts).alias("p"))
+    checked = lines.select("line", _fail_unless(F.size(parts) == 4, "qrels line needs four fields", parts).alias("p"))
     return checked.select(F.col("p")[0].cast("long").alias("qid"), F.col("p")[2].cast("long").alias("pid"),
-                          F.col("p")[3].cast("int").alias("rel"))
+                          F.col("p")[3].cast("int").alias("rel"), "line")
 
 
 def write_qrels(qrels: DataFrame, path: str) -> None:

@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 from dpmine.functions.vectors import as_double_vector, softplus
 
 # fixed binding values
-QUERY_VEC_LIMIT = 50          # embeddings with vec_id < 50 are queries, the rest passages
+QUERY_MOD = 10                # embeddings with vec_id mod 10 = 0 are queries; the others with a document are passages
+SPAN = 500                    # judgements stay inside spans of 500 ids, so their number grows with the table
 QRELS_MOD = 7                 # qrels: equal label and equal vec_id mod 7
-EVAL_QID_LIMIT = 60           # evaluation qrels: qid < 60, pid >= 60,
-EVAL_MUL, EVAL_MOD = 31, 41   #   (qid * 31 + pid) mod 41 = 0
+EVAL_MUL, EVAL_MOD = 31, 41   # evaluation qrels: (31 · qid + pid) mod 41 = 0; qid a query or vec_id mod 100 = 5
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,14 +27,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``qid, vec, label``: the query side of the vector table."""
     e = table(spark, sf_dir, "embeddings")
-    return e.filter(F.col("vec_id") < QUERY_VEC_LIMIT).select(
+    return e.filter(F.col("vec_id") % QUERY_MOD == 0).select(
         F.col("vec_id").alias("qid"), as_double_vector("embedding").alias("vec"), "label")
 
 
 def passage_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``pid, vec, label``: the passage side of the vector table."""
-    e = table(spark, sf_dir, "embeddings")
-    return e.filter(F.col("vec_id") >= QUERY_VEC_LIMIT).select(
+    """``pid, vec, label``: the passage side of the vector table (every passage has a text)."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"))
+    e = table(spark, sf_dir, "embeddings").join(d, "vec_id", "left_semi")
+    return e.filter(F.col("vec_id") % QUERY_MOD != 0).select(
         F.col("vec_id").alias("pid"), as_double_vector("embedding").alias("vec"), "label")
 
 
@@ -45,25 +46,27 @@ def passage_gaussians(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Training judgements ``qid, pid, rel``: same label and same id mod 7 (an equi-join)."""
-    q = query_vectors(spark, sf_dir).select("qid", "label", (F.col("qid") % QRELS_MOD).alias("m"))
-    p = passage_vectors(spark, sf_dir).select("pid", "label", (F.col("pid") % QRELS_MOD).alias("m"))
-    return q.join(p, ["label", "m"]).select("qid", "pid", F.lit(1).alias("rel"))
+    """Training judgements ``qid, pid, rel``: same span, same label and same id mod 7 (an equi-join)."""
+    key = lambda c: [(F.col(c) % QRELS_MOD).alias("m"), F.floor(F.col(c) / SPAN).alias("g")]
+    q = query_vectors(spark, sf_dir).select("qid", "label", *key("qid"))
+    p = passage_vectors(spark, sf_dir).select("pid", "label", *key("pid"))
+    return q.join(p, ["label", "m", "g"]).select("qid", "pid", F.lit(1).alias("rel"))
 
 
 def qrels_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Evaluation judgements: qid < 60, pid >= 60, (31·qid + pid) mod 41 = 0.
+    """Evaluation judgements: same span and (31·qid + pid) mod 41 = 0, for queries and ids that are 5 mod 100.
 
-    Written as an equi-join on ``pid mod 41 = (-31·qid) mod 41``.  Ten of the
-    sixty judged queries (50..59) are passages, so they are never ranked.
+    Written as an equi-join on ``pid mod 41 = (-31·qid) mod 41``.  The judged
+    ids that are 5 mod 100 are passages, so they are never ranked.
     """
     e = table(spark, sf_dir, "embeddings").select("vec_id")
-    q = e.filter(F.col("vec_id") < EVAL_QID_LIMIT).select(
-        F.col("vec_id").alias("qid"),
-        F.pmod(-F.col("vec_id") * EVAL_MUL, F.lit(EVAL_MOD)).alias("m"))
-    p = e.filter(F.col("vec_id") >= EVAL_QID_LIMIT).select(
-        F.col("vec_id").alias("pid"), F.pmod(F.col("vec_id"), F.lit(EVAL_MOD)).alias("m"))
-    return q.join(p, "m").select("qid", "pid", F.lit(1).alias("rel"))
+    judged = (F.col("vec_id") % QUERY_MOD == 0) | (F.col("vec_id") % 100 == 5)
+    span = F.floor(F.col("vec_id") / SPAN).alias("g")
+    q = e.filter(judged).select(
+        F.col("vec_id").alias("qid"), F.pmod(-F.col("vec_id") * EVAL_MUL, F.lit(EVAL_MOD)).alias("m"), span)
+    p = e.filter(~judged).select(
+        F.col("vec_id").alias("pid"), F.pmod(F.col("vec_id"), F.lit(EVAL_MOD)).alias("m"), span)
+    return q.join(p, ["m", "g"]).select("qid", "pid", F.lit(1).alias("rel"))
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,9 +76,9 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def query_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``qid, query`` from ``benchmark``."""
+    """``qid, query`` from ``benchmark``: item i is the text of the query vector 10 · i."""
     b = table(spark, sf_dir, "benchmark")
-    return b.select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+    return b.select((F.col("item_id") * QUERY_MOD).alias("qid"), F.col("text").alias("query"))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
