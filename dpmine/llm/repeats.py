@@ -30,7 +30,7 @@ _MIX = np.uint64(0xD6E8FEB86659FD93)
 _POWERS = np.ones(1, np.uint64)
 _INVERSES = np.ones(1, np.uint64)
 MANY = 2000                              # different segments of a class that are compared in one task
-TASK_BYTES = 16 << 20                    # content of the segments that are compared in one task, about
+TASK_BYTES = 1 << 20                     # content of the segments that are compared in one task, about
 FILTER_BITS = 1 << 26                    # of the fixed-size filter of affected documents
 
 
@@ -122,7 +122,7 @@ def segment_rows(docs: DataFrame, read: Callable, anchors: Callable, window: int
                  key: str, text: str) -> DataFrame:
     """Rows of :data:`SEGMENT_SCHEMA`: ``read(list of UTF-8) -> Texts``, ``anchors(Texts, PrefixHash) -> places``."""
     def run(batches):
-        for batch in pieces(batches):
+        for batch in pieces(batches, 2 << 20):
             ids = [batch.column(c).to_numpy(zero_copy_only=False) for c in (1, 2)]
             for lot, doc, offset in bounded(read(utf8(batch.column(0))), window, most):
                 hashes = PrefixHash(lot.symbols)
