@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 POS, NEG = "pos", "neg"
 LONG_COLS = ["qid", "role", "pos", "pid", "score"]
+MAX_LIST = 1_000_000        # entries of one list in the nested form
 
 
 def _wq(*order: Column | str):
@@ -24,7 +25,14 @@ def _wq(*order: Column | str):
 
 # ---------------------------------------------------------------- nesting
 def to_nested(long: DataFrame, queries: DataFrame | None = None) -> DataFrame:
-    """Long rows → ``qid[, query], positives{doc_id[], score[]}, negatives{…}`` in ``pos`` order."""
+    """Long rows → ``qid[, query], positives{doc_id[], score[]}, negatives{…}`` in ``pos`` order.
+
+    One row holds a query's whole lists, as the file format has it; a list
+    longer than ``MAX_LIST`` is an error before any list is collected.
+    """
+    too_long = F.raise_error(F.concat(F.lit(f"more than {MAX_LIST} entries in a list of qid "), F.col("qid").cast("string")))
+    long = long.withColumn("pos", F.when(F.col("pos") >= MAX_LIST, too_long.cast("int")).otherwise(F.col("pos")))
+
     def side(role):
         items = F.sort_array(F.collect_list(F.when(F.col("role") == role, F.struct("pos", "pid", "score"))))
         return items.alias(role)

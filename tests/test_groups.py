@@ -119,3 +119,11 @@ def test_preview_and_head_sample_are_repeatable(spark):
     b = [r.qid for r in G.preview(df.repartition(3), 3, seed=1).collect()]
     assert a == b and len(a) == 3
     assert [r.qid for r in head_sample(df, 4, ["qid"]).collect()] == [0, 1, 2, 3]
+
+
+def test_a_list_too_long_for_one_row_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(G, "MAX_LIST", 3)
+    long = spark.createDataFrame([(1, "neg", i, i, 0.0) for i in range(4)], "qid long, role string, pos int, pid long, score double")
+    with pytest.raises(Exception, match="more than 3 entries"):
+        G.to_nested(long).collect()
+    assert G.to_nested(long.filter("pos < 3")).count() == 1

@@ -86,3 +86,14 @@ def test_training_table_is_strict(spark):
         training_table(long, queries, corpus, n=1, strict=True).collect()
     with pytest.raises(Exception, match="not in the corpus"):
         training_table(long, queries, corpus.filter("pid = 5"), n=1).collect()
+
+
+def test_clear_scratch_removes_this_applications_tables(spark):
+    import os
+    from dpmine.session import clear_scratch, materialize
+    materialize(spark.range(3), "gone")
+    root = os.path.join(spark.sparkContext.getCheckpointDir().split("file:")[-1], "..")
+    found = [d for d, _, _ in os.walk(root) if d.endswith(spark.sparkContext.applicationId)]
+    assert found
+    clear_scratch(spark)
+    assert not os.path.exists(found[0])
