@@ -145,24 +145,20 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, tile: int = TIL
     """Edges ``u, v`` whose components are those of all links of ``distinct`` (``fp`` unique, ``id``).
 
     Tiles hold one population count each; a large count is dealt by hash into ``ceil(n / tile)`` tiles.  Only the 65
-    counts reach the driver.  Cells are spread by their own key, and a cell holds two tiles.
+    counts reach the driver: a tile finds its cells (itself and every tile of a count within the radius) by itself.
     """
-    rows = distinct.select("fp", "id", F.bit_count("fp").alias("pop"))
+    rows = distinct.select("fp", "id", F.bit_count("fp").cast("int").alias("pop"))
     sizes = {r["pop"]: math.ceil(r["n"] / tile) for r in rows.groupBy("pop").agg(F.count("*").alias("n")).collect()}
-    cells = [(p, s, q, t) for p, m in sizes.items() for q in range(p, p + radius + 1) for s in range(m)
-             for t in range(sizes.get(q, 0)) if q > p or t >= s]
-    of_tile: dict[int, list] = {}
     parts = F.create_map(*[F.lit(x) for kv in sizes.items() for x in kv]) if sizes else F.lit(None).cast("map<int,int>")
-    for number, (p, s, q, t) in enumerate(cells):
-        of_tile.setdefault((p, s), []).append((number, False))
-        if (p, s) != (q, t):
-            of_tile.setdefault((q, t), []).append((number, True))
-    spark = distinct.sparkSession
-    places = spark.createDataFrame([(p, s, n, second) for (p, s), xs in of_tile.items() for n, second in xs],
-                                   "pop int, sub int, cell long, second boolean")
     tiles = (rows.withColumn("sub", F.pmod(F.xxhash64("fp"), parts[F.col("pop")]).cast("int"))
              .groupBy("pop", "sub").agg(F.collect_list("fp").alias("fps"), F.collect_list("id").alias("ids")))
-    dealt = tiles.join(places, ["pop", "sub"]).select("cell", "second", "fps", "ids")
+    met = (tiles.withColumn("q", F.explode(F.sequence(F.col("pop") - radius, F.col("pop") + radius)))
+           .filter(parts[F.col("q")].isNotNull())
+           .withColumn("t", F.explode(F.sequence(F.lit(0), parts[F.col("q")] - 1))))
+    first = (F.col("pop") < F.col("q")) | ((F.col("pop") == F.col("q")) & (F.col("sub") <= F.col("t")))
+    either = lambda a, b: F.when(first, F.col(a)).otherwise(F.col(b))
+    dealt = met.select(either("pop", "q").alias("p1"), either("sub", "t").alias("s1"), either("q", "pop").alias("p2"),
+                       either("t", "sub").alias("s2"), (~first).alias("second"), "fps", "ids")
 
     def compare(data: pa.Table) -> pa.Table:
         side = {}
@@ -172,7 +168,7 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, tile: int = TIL
             side[part.column("second")[0].as_py()] = (fps.astype(np.int64).view(np.uint64), ids.astype(np.int64))
         u, v = linked_forest(*side[False], *side.get(True, (None, None)), radius)
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
-    return dealt.groupBy("cell").applyInArrow(compare, "u long, v long")
+    return dealt.groupBy("p1", "s1", "p2", "s2").applyInArrow(compare, "u long, v long")
 
 
 def components(edges: DataFrame) -> DataFrame:
