@@ -57,4 +57,4 @@ def attention_pool(tokens: DataFrame, seq: str = "seq", pos: str = "pos", vec: s
     part = part.join(top, "_seq").withColumn("w", F.exp(F.col("m") - F.col("top")))
     rows = part.select("_seq", "z", "w", F.posexplode("s").alias("i", "x"))
     out = rows.groupBy("_seq", "i").agg((F.sum(F.col("w") * F.col("x")) / F.sum(F.col("w") * F.col("z"))).alias("x"))
-    return out.withColumnRenamed("_seq", seq)
+    return out.select(F.col("_seq").cast(tokens.schema[seq].dataType).alias(seq), "i", "x")
