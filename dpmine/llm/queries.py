@@ -99,7 +99,7 @@ SQL: dict[str, str] = {
              r AS (SELECT conv_id, 'call_' || conv_id || '_' || (turn - 1) AS call_id, min(text) AS content, count(*) AS n
                    FROM conversations WHERE role = 'assistant' GROUP BY ALL),
              j AS (SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, name, turn AS level,
-                          CASE WHEN c.call_id IS NULL THEN 0 ELSE 1 END AS n_calls, coalesce(r.n, 0) AS n_results,
+                          CAST(CASE WHEN c.call_id IS NULL THEN 0 ELSE 1 END AS BIGINT) AS n_calls, coalesce(r.n, 0) AS n_results,
                           list_filter([CASE WHEN c.call_id IS NULL THEN 'no_call' END, CASE WHEN r.n IS NULL THEN 'no_result' END,
                                        CASE WHEN r.n > 1 THEN 'duplicate_result' END,
                                        CASE WHEN c.call_id IS NOT NULL AND text IS NULL THEN 'missing:query' END,
