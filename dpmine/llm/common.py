@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def pieces(batches: Iterator[pa.RecordBatch], max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that one slice holds about ``max_bytes`` (a row is never cut); bounds a worker's memory."""
+    """Cut Arrow batches so that one slice holds about ``max_bytes`` (a row is never cut); bounds a worker's memory.
+
+    When the task ends, freed memory goes back to the system: workers live on between stages.
+    """
     for batch in batches:
         rows = batch.num_rows
         if not rows:
@@ -26,6 +30,15 @@ def pieces(batches: Iterator[pa.RecordBatch], max_bytes: int = 4 << 20) -> Itera
         step = max(1, min(rows, int(rows * max_bytes / max(batch.nbytes, 1))))
         for at in range(0, rows, step):
             yield batch.slice(at, step)
+    release_memory()
+
+
+def release_memory() -> None:
+    """Hand freed memory of Arrow and of the C library (where it can) back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def utf8(column: pa.Array) -> list[bytes]:

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dpmine.llm.common import pieces, row_key, utf8
+from dpmine.llm.common import pieces, release_memory, row_key, utf8
 from dpmine.session import materialize
 
 SHINGLE = 3          # words of a shingle
@@ -167,6 +167,7 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, tile: int = TIL
             fps, ids = (part.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("fps", "ids"))
             side[part.column("second")[0].as_py()] = (fps.astype(np.int64).view(np.uint64), ids.astype(np.int64))
         u, v = linked_forest(*side[False], *side.get(True, (None, None)), radius)
+        release_memory()
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
     return dealt.groupBy("p1", "s1", "p2", "s2").applyInArrow(compare, "u long, v long")
 

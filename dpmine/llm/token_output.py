@@ -25,7 +25,8 @@ from dpmine.session import scratch_path
 BLOCK_IDS = 1 << 20      # ids of a block, but for a document that is longer by itself
 MIN_COUNT = 64           # a pair is replaced while it occurs that often in its block
 PAIRS = 4096             # pairs replaced in one pass over a block
-CACHE_WORDS = 1_000_000  # distinct words that a worker keeps encoded
+CACHE_WORDS = 1_000_000  # distinct words that a worker keeps encoded (as numbers, some 50 bytes each)
+CACHE_PARTS = 150_000    # distinct parts of words that it keeps (as text, some 250 bytes each)
 MIN_GAIN = 0.005         # a pass that shortens its block by a smaller share is the last one
 _HASH_BITS = 18
 _MOST = 1 << 16          # counts of pairs are told apart up to here
@@ -75,12 +76,18 @@ class TextEncoder:
     def _reset(self):
         # number of a word: its row in the pool; the table is sorted by the first hash
         self.hashes, self.checks, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.word_ids, self.part_ids = _Pool(), _Pool()
+        self.word_ids = _Pool()
+        self._reset_parts()
+
+    def _reset_parts(self):
+        self.part_ids = _Pool()
         self.parts = _Numbers({"\n": 0})                # parts a word from the next, no id
         self.part_ids.add(np.zeros(0, np.uint32), np.zeros(1, np.int64))
 
     def _plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of Latin words: normalised and cut here, every distinct part through the library's model."""
+        if len(self.parts) > CACHE_PARTS:
+            self._reset_parts()
         cut = self.split.findall("\n".join(words).lower() + "\n")
         at = np.fromiter(map(self.parts.__getitem__, cut), np.int64, len(cut))
         tokenize, alphabet = self.tokenize, self.alphabet
