@@ -22,14 +22,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dpmine.llm.common import pieces, row_key, utf8
+from dpmine.llm.common import pieces, release_memory, row_key, utf8
 from dpmine.session import materialize
 
 _M = 0x9E3779B97F4A7C15                  # odd: has an inverse modulo 2**64
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _POWERS = np.ones(1, np.uint64)
 _INVERSES = np.ones(1, np.uint64)
-MANY = 2000                              # different segments of a class that are compared in one task
+MANY = 8000                              # different segments of a class that are compared in one task (about 100 MB)
 TASK_BYTES = 1 << 20                     # content of the segments that are compared in one task, about
 FILTER_BITS = 1 << 26                    # of the fixed-size filter of affected documents
 
@@ -98,7 +98,8 @@ def bounded(texts: Texts, window: int, most: int) -> Iterator[tuple[Texts, np.nd
 
 
 def segments(texts: Texts, hashes: PrefixHash, anchor: np.ndarray, window: int, gram: int):
-    """(part, first window, windows, class hash, segment hash) from ``anchor``, the anchor's place for each window start.
+    """(part, first window, windows, class hash, segment hash, anchor's distance from the first window) from ``anchor``,
+    the anchor's place for each window start.
 
     Window starts without a whole window in their part, or with anchor -1, are left out.
     """
@@ -112,10 +113,10 @@ def segments(texts: Texts, hashes: PrefixHash, anchor: np.ndarray, window: int,
     good = whole[begin]
     begin, stop = begin[good], stop[good]
     at = anchor[begin]
-    return part[begin], begin, stop - begin, hashes(at, at + gram), hashes(begin, stop - 1 + window)
+    return part[begin], begin, stop - begin, hashes(at, at + gram), hashes(begin, stop - 1 + window), at - begin
 
 
-SEGMENT_SCHEMA = "_row_id long, _row_hash long, cls long, seg long, start long, n int"
+SEGMENT_SCHEMA = "_row_id long, _row_hash long, cls long, seg long, start long, n int, off int"
 
 
 def segment_rows(docs: DataFrame, read: Callable, anchors: Callable, window: int, gram: int, most: int,
@@ -126,12 +127,12 @@ def segment_rows(docs: DataFrame, read: Callable, anchors: Callable, window: int
             ids = [batch.column(c).to_numpy(zero_copy_only=False) for c in (1, 2)]
             for lot, doc, offset in bounded(read(utf8(batch.column(0))), window, most):
                 hashes = PrefixHash(lot.symbols)
-                part, begin, n, cls, seg = segments(lot, hashes, anchors(lot, hashes), window, gram)
+                part, begin, n, cls, seg, off = segments(lot, hashes, anchors(lot, hashes), window, gram)
                 at = begin - lot.first[part] + offset[part]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids[0][doc[part]]), pa.array(ids[1][doc[part]]), pa.array(cls.view(np.int64)),
-                     pa.array(seg.view(np.int64)), pa.array(at), pa.array(n.astype(np.int32))],
-                    names=["_row_id", "_row_hash", "cls", "seg", "start", "n"])
+                     pa.array(seg.view(np.int64)), pa.array(at), pa.array(n.astype(np.int32)), pa.array(off.astype(np.int32))],
+                    names=["_row_id", "_row_hash", "cls", "seg", "start", "n", "off"])
     rows = docs.select(docs[text].cast("string").alias("_text"), *row_key(key, text))
     return rows.mapInArrow(run, SEGMENT_SCHEMA)
 
@@ -184,14 +185,15 @@ def repeated(rows: DataFrame, docs: DataFrame, read: Callable, window: int, comp
     """``_row_id, _row_hash, start, stop``: stretches of symbols covered by windows that occur elsewhere.
 
     ``earlier``: only windows that also occur in a document with a smaller id count (the id is ``_row_id``).
-    ``compare(classes, order, contents, windows, window, earlier)`` settles the windows of some classes in one task.
+    ``compare(classes, anchor distances, ids, symbols, first symbol and windows of each segment, window, earlier)``
+    settles the windows of some classes in one task.
     """
     rows = materialize(rows, "segments")
     good = rows.groupBy("cls").agg(F.count("*").alias("k"), F.min("_row_id").alias("lo"), F.max("_row_id").alias("hi"))
     good = good.filter("lo < hi" if earlier else "k > 1").select("cls")
     live = materialize(rows.join(good, "cls", "left_semi"), "live")
     kinds = live.groupBy("cls", "seg").agg(F.count("*").alias("k"),
-                                           F.min(F.struct("_row_id", "_row_hash", "start", "n")).alias("rep"))
+                                           F.min(F.struct("_row_id", "_row_hash", "start", "n", "off")).alias("rep"))
     kinds = materialize(kinds.select("cls", "seg", "k", "rep.*"), "kinds")
     if earlier:
         shared = live.join(kinds.select("cls", "seg", F.col("_row_id").alias("lo")), ["cls", "seg"]).filter("_row_id > lo")
@@ -200,7 +202,7 @@ def repeated(rows: DataFrame, docs: DataFrame, read: Callable, window: int, comp
     shared = shared.select("_row_id", "_row_hash", "start", (F.col("start") + F.col("n") - 1 + window).alias("stop"))
     several = kinds.groupBy("cls").agg(F.count("*").alias("kinds"), F.min("_row_id").alias("lo"), F.max("_row_id").alias("hi"))
     several = several.filter("kinds > 1 and lo < hi" if earlier else "kinds > 1").select("cls", "kinds")
-    asked = materialize(kinds.join(several, "cls").select("_row_id", "_row_hash", "start", "n", "cls", "kinds"), "asked")
+    asked = materialize(kinds.join(several, "cls").select("_row_id", "_row_hash", "start", "n", "off", "cls", "kinds"), "asked")
     size = asked.agg(F.sum(F.col("n") + window).alias("s")).first()["s"] or 0
     if not size:
         return shared
@@ -213,14 +215,14 @@ def repeated(rows: DataFrame, docs: DataFrame, read: Callable, window: int, comp
     def fetch(k, doc: pa.Table, ask: pa.Table) -> pa.Table:
         if not doc.num_rows or not ask.num_rows:
             return pa.table({c: pa.array([], t) for c, t in zip(
-                ("_row_id", "_row_hash", "start", "n", "cls", "kinds", "content"),
-                (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))})
+                ("_row_id", "_row_hash", "start", "n", "off", "cls", "kinds", "content"),
+                (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))})
         symbols = read(utf8(doc.column("_text").combine_chunks().slice(0, 1))).symbols
-        content = [symbols[s:s + n - 1 + window].astype(symbol).tobytes()
+        content = [symbols[s:s + n - 1 + window].astype(symbol, copy=False).tobytes()
                    for s, n in zip(ask.column("start").to_pylist(), ask.column("n").to_pylist())]
-        return ask.select(["_row_id", "_row_hash", "start", "n", "cls", "kinds"]).append_column("content", pa.array(content, pa.binary()))
+        return ask.select(["_row_id", "_row_hash", "start", "n", "off", "cls", "kinds"]).append_column("content", pa.array(content, pa.binary()))
     contents = (wanted.groupBy("_row_id", "_row_hash").cogroup(asked.groupBy("_row_id", "_row_hash"))
-                .applyInArrow(fetch, "_row_id long, _row_hash long, start long, n int, cls long, kinds long, content binary"))
+                .applyInArrow(fetch, "_row_id long, _row_hash long, start long, n int, off int, cls long, kinds long, content binary"))
     contents = materialize(contents, "contents")
 
     def settle(data: pa.Table) -> pa.Table:
@@ -229,7 +231,7 @@ def repeated(rows: DataFrame, docs: DataFrame, read: Callable, window: int, comp
         sizes = n + window - 1
         symbols = np.frombuffer(b"".join(data.column("content").to_pylist()), symbol)
         first = np.cumsum(sizes) - sizes
-        seg, at = compare(data.column("cls").to_numpy(), ids[0], symbols, first, n, window, earlier)
+        seg, at = compare(data.column("cls").to_numpy(), data.column("off").to_numpy(), ids[0], symbols, first, n, window, earlier)
         if len(seg):                                     # neighbouring windows of one segment make one stretch
             new = np.ones(len(seg), bool)
             new[1:] = (seg[1:] != seg[:-1]) | (at[1:] != at[:-1] + 1)
@@ -237,6 +239,7 @@ def repeated(rows: DataFrame, docs: DataFrame, read: Callable, window: int, comp
             seg, lo, hi = seg[begin], at[begin], at[end]
         else:
             lo = hi = at
+        release_memory()
         start = ids[2][seg] + lo
         return pa.table({"_row_id": ids[0][seg], "_row_hash": ids[1][seg], "start": start, "stop": start + hi - lo + window})
     out = "_row_id long, _row_hash long, start long, stop long"

@@ -62,7 +62,7 @@ def hits(index, window: int, block: int):
     return anchors
 
 
-def equal_windows(cls, ids, symbols, first, n, window, earlier):
+def equal_windows(cls, off, ids, symbols, first, n, window, earlier):
     """Windows (segment, place) of a class that also occur in a segment with a smaller id (or, not ``earlier``, elsewhere)."""
     seg = np.repeat(np.arange(len(n)), n)
     step = np.arange(len(seg)) - np.repeat(np.cumsum(n) - n, n)
