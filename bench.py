@@ -28,7 +28,7 @@ def main() -> None:
     from dpmine.session import get_spark
     from dpmine.plans.catalog import QUERIES
     spark = get_spark(f"local[{cpus}]", int(cpus) if cpus.isdigit() else 8, app="dpmine-bench",
-                      extra={"spark.driver.memory": "16g"})
+                      extra={"spark.driver.memory": "16g", "dpmine.text.partitions": cpus if cpus.isdigit() else "8"})
     warm_dir = os.environ.get("BENCH_WARM_DIR", "/root/testdata/sf0.001")
     if not os.path.isdir(warm_dir):
         warm_dir = sf_dir

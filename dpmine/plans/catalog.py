@@ -356,7 +356,13 @@ def q_in_batch_accuracy(spark, sf):
 
 # ---------------------------------------------------------------- text
 def _docs(spark, sf):
-    return T.documents(spark, sf)
+    """Documents as scanned, or dealt to ``dpmine.text.partitions`` partitions where the session names a number.
+
+    For files of one row group, which a scan can't split; leave it unset where a scan has enough splits.
+    """
+    parts = spark.conf.get("dpmine.text.partitions", None)
+    docs = T.documents(spark, sf)
+    return docs.repartition(int(parts)) if parts else docs
 
 
 def q_tokenize(spark, sf):
