@@ -7,7 +7,7 @@ can share windows:
 1. one row per segment: class hash, hash of the whole segment, document, place;
 2. classes that occur once end here; segments that are equal as a whole are settled by a count per (class, hash);
 3. of classes with several different segments one document per different segment sends its content, and the windows
-   are compared inside the class.  A class with very many different segments goes through rows, a window each.
+   are compared inside the class; what is found there holds wherever else the segment lies in rows of that document's id.  A class with very many different segments goes through rows, a window each.
 
 Counts combine map-side; joins are on hashes and can be split where a class is frequent; no pairs are formed.
 """
@@ -202,7 +202,7 @@ def repeated(rows: DataFrame, docs: DataFrame, read: Callable, window: int, comp
     shared = shared.select("_row_id", "_row_hash", "start", (F.col("start") + F.col("n") - 1 + window).alias("stop"))
     several = kinds.groupBy("cls").agg(F.count("*").alias("kinds"), F.min("_row_id").alias("lo"), F.max("_row_id").alias("hi"))
     several = several.filter("kinds > 1 and lo < hi" if earlier else "kinds > 1").select("cls", "kinds")
-    asked = materialize(kinds.join(several, "cls").select("_row_id", "_row_hash", "start", "n", "off", "cls", "kinds"), "asked")
+    asked = materialize(kinds.join(several, "cls").select("_row_id", "_row_hash", "start", "n", "off", "cls", "seg", "k", "kinds"), "asked")
     size = asked.agg(F.sum(F.col("n") + window).alias("s")).first()["s"] or 0
     if not size:
         return shared
@@ -215,14 +215,14 @@ def repeated(rows: DataFrame, docs: DataFrame, read: Callable, window: int, comp
     def fetch(k, doc: pa.Table, ask: pa.Table) -> pa.Table:
         if not doc.num_rows or not ask.num_rows:
             return pa.table({c: pa.array([], t) for c, t in zip(
-                ("_row_id", "_row_hash", "start", "n", "off", "cls", "kinds", "content"),
-                (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))})
+                ("_row_id", "_row_hash", "start", "n", "off", "cls", "seg", "kinds", "content"),
+                (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))})
         symbols = read(utf8(doc.column("_text").combine_chunks().slice(0, 1))).symbols
         content = [symbols[s:s + n - 1 + window].astype(symbol, copy=False).tobytes()
                    for s, n in zip(ask.column("start").to_pylist(), ask.column("n").to_pylist())]
-        return ask.select(["_row_id", "_row_hash", "start", "n", "off", "cls", "kinds"]).append_column("content", pa.array(content, pa.binary()))
+        return ask.select(["_row_id", "_row_hash", "start", "n", "off", "cls", "seg", "kinds"]).append_column("content", pa.array(content, pa.binary()))
     contents = (wanted.groupBy("_row_id", "_row_hash").cogroup(asked.groupBy("_row_id", "_row_hash"))
-                .applyInArrow(fetch, "_row_id long, _row_hash long, start long, n int, off int, cls long, kinds long, content binary"))
+                .applyInArrow(fetch, "_row_id long, _row_hash long, start long, n int, off int, cls long, seg long, kinds long, content binary"))
     contents = materialize(contents, "contents")
 
     def settle(data: pa.Table) -> pa.Table:
@@ -240,15 +240,27 @@ def repeated(rows: DataFrame, docs: DataFrame, read: Callable, window: int, comp
         else:
             lo = hi = at
         release_memory()
-        start = ids[2][seg] + lo
-        return pa.table({"_row_id": ids[0][seg], "_row_hash": ids[1][seg], "start": start, "stop": start + hi - lo + window})
-    out = "_row_id long, _row_hash long, start long, stop long"
+        return pa.table({"_row_id": ids[0][seg], "_row_hash": ids[1][seg], "cls": data.column("cls").to_numpy()[seg],
+                         "seg": data.column("seg").to_numpy()[seg], "first": ids[2][seg], "at": lo, "size": hi - lo + window})
+    out = "_row_id long, _row_hash long, cls long, seg long, first long, at long, size long"
     few = (contents.filter(F.col("kinds") <= many).withColumn("lot", F.pmod(F.xxhash64("cls"), F.lit(lots)))
            .groupBy("lot").applyInArrow(settle, out))
-    found = shared.union(few)
+
+    def placed(hits: DataFrame) -> DataFrame:
+        """``shared`` and the stretches ``hits``, each given as a place in its segment."""
+        if earlier:                                      # the segment may lie elsewhere in rows of its smallest id, too
+            hits = materialize(hits, "hits")
+            other = (F.col("start") != F.col("first")) | (F.col("twin_hash") != F.col("_row_hash"))
+            twins = live.select("_row_id", F.col("_row_hash").alias("twin_hash"), "cls", "seg", "start")
+            twins = twins.join(asked.filter("k > 1").select("cls", "seg", "_row_id"), ["cls", "seg", "_row_id"], "left_semi")
+            twins = hits.join(twins, ["cls", "seg", "_row_id"]).filter(other).select(
+                "_row_id", F.col("twin_hash").alias("_row_hash"), "cls", "seg", F.col("start").alias("first"), "at", "size")
+            hits = hits.union(twins.select(*hits.columns))
+        start = F.col("first") + F.col("at")
+        return shared.union(hits.select("_row_id", "_row_hash", start.alias("start"), (start + F.col("size")).alias("stop")))
     crowd = contents.filter(F.col("kinds") > many)
     if crowd.isEmpty():
-        return found
+        return placed(few)
 
     def windows(batches):                                # a row a window, for classes too large for one task
         for batch in pieces(batches, 1 << 20):
@@ -259,14 +271,14 @@ def repeated(rows: DataFrame, docs: DataFrame, read: Callable, window: int, comp
             step = np.arange(len(seg)) - np.repeat(np.cumsum(n) - n, n)
             at = (np.cumsum(sizes) - sizes)[seg] + step
             yield pa.RecordBatch.from_arrays(
-                [pa.array(batch.column(c).to_numpy()[seg]) for c in ("_row_id", "_row_hash", "cls")]
-                + [pa.array(batch.column("start").to_numpy()[seg] + step), pa.array(hashes(at, at + window).view(np.int64))],
-                names=["_row_id", "_row_hash", "cls", "start", "w"])
-    single = materialize(crowd.select("_row_id", "_row_hash", "start", "n", "cls", "content")
-                         .mapInArrow(windows, "_row_id long, _row_hash long, cls long, start long, w long"), "windows")
+                [pa.array(batch.column(c).to_numpy()[seg]) for c in ("_row_id", "_row_hash", "cls", "seg", "start")]
+                + [pa.array(step), pa.array(hashes(at, at + window).view(np.int64))],
+                names=["_row_id", "_row_hash", "cls", "seg", "first", "at", "w"])
+    single = materialize(crowd.select("_row_id", "_row_hash", "start", "n", "cls", "seg", "content")
+                         .mapInArrow(windows, "_row_id long, _row_hash long, cls long, seg long, first long, at long, w long"), "windows")
     counts = single.groupBy("cls", "w").agg(F.count("*").alias("k"), F.min("_row_id").alias("lo"))
     hits = single.join(counts, ["cls", "w"]).filter("_row_id > lo" if earlier else "k > 1")
-    return found.union(hits.select("_row_id", "_row_hash", "start", F.col("start") + window))
+    return placed(few.union(hits.select("_row_id", "_row_hash", "cls", "seg", "first", "at", F.lit(window).cast("long").alias("size"))))
 
 
 def covered(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

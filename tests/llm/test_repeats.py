@@ -81,6 +81,18 @@ def test_words_equal_brute_force(spark, seed, lot, many, bits):
     assert got == want and any(w[2] for w in want) and any(w[1] > w[2] for w in want)
 
 
+@pytest.mark.parametrize("many", [repeats.MANY, 0])
+def test_passage_repeated_inside_a_document(spark, many):
+    words = lambda name, n: [f"{name}{i}" for i in range(n)]
+    p = words("p", 100)
+    twice = words("y", 30) + p + words("z", 30) + p + words("v", 30)
+    rows = [(1, p[:60] + words("x", 40)), (2, twice), (2, words("u", 7) + p + words("t", 9)), (3, words("s", 5) + p)]
+    rows = [(k, " ".join(d)) for k, d in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(r) for r in substring_dedup.remove_repeats(docs, many=many).collect()), key=repr)
+    assert got == brute_words(rows) and [r[2] for r in got if r[0] == 2 and r[1] == 290] == [120]
+
+
 def test_suffix_sort():
     rng = np.random.default_rng(3)
     for _ in range(40):
