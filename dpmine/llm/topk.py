@@ -149,13 +149,15 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, key: str = "vec_id", vec
     """The ``k`` highest integer products of every query row with all other rows: ``query_id, rank, vec_id, score``.
 
     Ties go to the smaller id; fewer than ``k`` other rows give them all.  Vectors that are null, empty or hold a null,
-    NaN or infinite component and rows without an id take no part; of rows that share an id, all take part and none is
-    a candidate for a query of that id.  Vectors with different numbers of components are
-    an error.  An empty table gives no row.
+    NaN or infinite component and rows without an id take no part.  Rows with one id and equal integer vectors are one
+    row (a query if one of them is); of rows that share an id otherwise, all take part and none is a candidate for a
+    query of that id.  Vectors with different numbers of components are an error.  An empty table gives no row.
     """
     rows = vectors.filter(F.col(key).isNotNull() & is_whole(F.col(vector))).select(
         F.col(key).cast("long").alias("id"), integers(F.col(vector), scale).alias("vec"),
         F.coalesce(is_query, F.lit(False)).alias("is_query"))
+    # copies go before anything counts rows: a bound or a cell's best k must not be taken up by them
+    rows = rows.groupBy("id", "vec").agg(F.bool_or("is_query").alias("is_query"))
     rows = materialize(rows.withColumn("square", F.aggregate("vec", F.lit(0).cast("long"), lambda a, x: a + x * x)), "vectors")
     about = rows.agg(F.count("*").alias("n"), F.sum(F.col("is_query").cast("int")).alias("q"), F.min(F.size("vec")).alias("least"),
                      F.max(F.size("vec")).alias("most")).first()
@@ -178,7 +180,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, key: str = "vec_id", vec
     first_of, parts_of = table(first, "int"), table(parts, "int")
     rows = rows.withColumn("bucket", (first_of[F.col("class")] + F.pmod(F.xxhash64("id"), parts_of[F.col("class")])).cast("int"))
     queries = rows.filter("is_query").withColumn("block", F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(blocks)).cast("int"))
-    queries = queries.select("id", "vec", "square", "block").dropDuplicates(["id", "vec"])
+    queries = queries.select("id", "vec", "square", "block")
     longest = rows.orderBy(F.desc("square"), "id").limit(seeds).select("id", "vec", F.lit(0).alias("bucket"))
     first_pass = _cells(queries.withColumns({"bound": F.lit(None).cast("long"), "bucket": F.lit(0)}), longest, blocks, k)
     bounds = first_pass.groupBy("query_id").agg(F.min("score").alias("bound"), F.count("*").alias("n"))
@@ -191,5 +193,5 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, key: str = "vec_id", vec
             .filter(F.col("bound").isNull() | (F.sqrt("square") * F.sqrt("to.most") * (1 + 1e-9) >= F.col("bound")))
             .withColumn("bucket", F.explode(F.sequence(first_of[F.col("to.c")], first_of[F.col("to.c")] + parts_of[F.col("to.c")] - 1))))
     found = _cells(seen, rows.select("id", "vec", "bucket"), blocks, k)
-    return _best(found.dropDuplicates(["query_id", "vec_id", "score"]), k).select(
+    return _best(found, k).select(
         "query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -47,6 +47,19 @@ def test_query_equals_brute_force(spark):
     assert got == brute(ids, v, [i for i in ids if i % 50 == 0], 5)
 
 
+def test_repeated_rows_take_no_places(spark):
+    rng = np.random.default_rng(8)
+    x = np.floor(256 * rng.normal(size=(120, 6))) / 256
+    x[1:8] = x[0] * np.arange(8, 1, -1)[:, None]              # the best partners of 0 are in one bucket
+    rows = [(i, [float(c) for c in row]) for i, row in enumerate(x)]
+    rows = 2 * rows + 7 * rows[1:3] + 3 * rows[:1]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = brute(list(range(120)), np.floor(256 * x).astype(np.int64), range(0, 120, 10), 5)
+    for bucket, seeds in ((2048, 4096), (30, 12)):
+        got = sorted(tuple(r) for r in topk.top_k(frame, F.col("vec_id") % 10 == 0, 5, bucket=bucket, block=5, seeds=seeds).collect())
+        assert got == want
+
+
 def test_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.5]), (2, None), (3, [nan, 1.0]), (4, [inf, 0.0]), (50, [0.0, 0.0]), (5, [None, 1.0]),
