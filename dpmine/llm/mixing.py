@@ -22,6 +22,10 @@ MAX_REPEAT = 3         # a document is used that often at most
 SEED = 42
 BUCKETS = 1 << 16      # hash ranges of the seeded choice: only one of them per pattern is sorted
 MAX_PATTERNS = 100_000
+ROUNDS = 4             # passes in hash order; what they leave is filled by counts of sizes
+PLACE = ("_bucket", "_hash", "_row_id", "_row_hash", "_copy")
+_STEP = "struct<most:bigint,after:struct<{0}>,to:struct<{0}>>".format(
+    "_bucket:bigint,_hash:bigint,_row_id:bigint,_row_hash:bigint,_copy:int")
 
 
 def word_count(text: str | Column) -> Column:
@@ -98,6 +102,36 @@ def pattern(sources: Column) -> Column:
     return F.coalesce(F.to_json(F.array_sort(F.array_distinct(sources))), F.lit("[]"))
 
 
+def _place(bucket: Column | int, rest: int) -> Column:
+    """The place in a bucket before (``rest`` -1) or after (1) all its documents."""
+    end = F.lit(rest * ((1 << 63) - 1)).cast("long")
+    return F.struct((F.lit(bucket) if isinstance(bucket, int) else bucket).cast("long").alias("_bucket"), end.alias("_hash"),
+                    end.alias("_row_id"), end.alias("_row_hash"), F.lit(rest).cast("int").alias("_copy"))
+
+
+def _forward(rows: DataFrame, plan: DataFrame, by: list[str]) -> DataFrame:
+    """``*by, to, run``: the last place up to which documents after ``after`` fit into ``left`` words, and their words.
+
+    Documents without words or of more than ``left`` are passed over; the first other one that does not fit ends the run.
+    Sums by hash range find the range of that one, and only that range is sorted.  Groups without a fitting document have
+    no row.
+    """
+    known = rows.join(F.broadcast(plan), by).filter((F.col("size") > 0) & (F.col("size") <= F.col("left")) & (F.col("pos") > F.col("after")))
+    in_order = W.partitionBy(*by).orderBy("_bucket").rowsBetween(W.unboundedPreceding, 0)
+    sums = known.groupBy(*by, "_bucket", "left").agg(F.sum("size").alias("n")).withColumn("upto", F.sum("n").over(in_order))
+    full = F.col("upto") <= F.col("left")
+    whole = materialize(sums.groupBy(*by).agg(F.max(F.when(full, F.col("_bucket"))).alias("last"), F.max(F.when(full, F.col("upto"))).alias("got"),
+                                              F.min(F.when(~full, F.col("_bucket"))).alias("next")), "mix-cut")
+    ranked = W.partitionBy(*by).orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
+    inside = (known.join(F.broadcast(whole), by).filter(F.col("_bucket") == F.col("next"))
+              .withColumn("run", F.coalesce("got", F.lit(0)) + F.sum("size").over(ranked)).filter("run <= left")
+              .groupBy(*by).agg(F.max("pos").alias("at"), F.max("run").alias("run")))
+    ends = whole.join(F.broadcast(inside), by, "left").select(
+        *by, F.coalesce("at", F.when(F.col("last").isNotNull(), _place(F.col("last"), 1))).alias("to"),
+        F.coalesce("run", "got").alias("run"))
+    return materialize(ends.filter("to is not null"), "mix-cut")
+
+
 def mix(docs: DataFrame, sources: Column, key: str = "doc_id", text: str = "text", weights: dict | None = None,
         max_repeat: int = MAX_REPEAT, seed: int = SEED) -> DataFrame:
     """One row per input row: ``key, _row_id, _row_hash, _copy, members, size, times, taken``, and the plan's columns.
@@ -139,48 +173,46 @@ def mix(docs: DataFrame, sources: Column, key: str = "doc_id", text: str = "text
         plan.append((p, int(whole), int(flow - whole * n), sizes.get(first, 0), float(aim.get(first, 0.0))))
     plan_rows = spark.createDataFrame(plan, "members string, whole long, extra long, source_size long, target double")
 
-    # the extra words of a pattern: whole hash ranges, then the documents of the next range in hash order ...
-    rows = rows.withColumn("_bucket", F.pmod(F.shiftrightunsigned("_hash", 40), F.lit(BUCKETS)))
-    in_order = W.partitionBy("members").orderBy("_bucket").rowsBetween(W.unboundedPreceding, 0)
-    sums = (rows.groupBy("members", "_bucket").agg(F.sum("size").alias("n"))
-            .withColumn("upto", F.sum("n").over(in_order)).join(F.broadcast(plan_rows), "members"))
-    cut = (sums.filter("upto <= extra").groupBy("members").agg(F.max("_bucket").alias("last"), F.max("upto").alias("got")))
-    cut = materialize(plan_rows.join(cut, "members", "left")
-                      .select("members", "whole", "extra", "source_size", "target", F.coalesce("last", F.lit(-1)).alias("last"),
-                              F.coalesce("got", F.lit(0)).alias("got")), "mix-plan")     # a row per pattern
-    nexts = (sums.join(F.broadcast(cut.select("members", "last")), "members").filter("_bucket > last")
-             .groupBy("members").agg(F.min("_bucket").alias("next")))
-    cut = materialize(cut.join(nexts, "members", "left"), "mix-plan")
-    known = rows.join(F.broadcast(cut), "members")
-    ranked = W.partitionBy("members").orderBy("_hash", "_key", "size").rowsBetween(W.unboundedPreceding, 0)
-    inside = (known.filter((F.col("_bucket") == F.col("next")) & (F.col("got") < F.col("extra")))
-              .withColumn("run", F.col("got") + F.sum("size").over(ranked)))
-    inside = materialize(inside.select("members", "_row_id", "_row_hash", "_copy", "size", "run",
-                                       (F.col("run") <= F.col("extra")).alias("in_run")), "mix-cut")
-    reached = inside.filter("in_run").groupBy("members").agg(F.max("run").alias("run"))
-    cut = materialize(cut.join(reached, "members", "left").withColumn("got", F.coalesce("run", "got")).drop("run"), "mix-plan")
-    # ... and what is still missing (less than a document): one later document of each size, largest first while it fits,
-    # and at last the smallest of the others if the sum is nearer with it than without
-    known = rows.join(F.broadcast(cut), "members")
-    later = (known.filter((F.col("_bucket") > F.col("last")) & (F.col("size") > 0) & (F.col("size") < 2 * (F.col("extra") - F.col("got"))))
-             .join(inside.filter("in_run").select("_row_id", "_row_hash", "_copy"), ["_row_id", "_row_hash", "_copy"], "left_anti")
-             .groupBy("members", "size").agg(F.min(F.struct("_hash", "_row_id", "_row_hash", "_copy")).alias("doc"))
-             .groupBy("members").agg(F.sort_array(F.collect_list(F.struct("size", "doc")), asc=False).alias("docs"))
-             .join(F.broadcast(cut.select("members", "extra", "got")), "members"))
+    # the extra words of a pattern: documents in hash order as long as they fit; then those that still can fit, from there on
+    rows = rows.withColumn("_bucket", F.pmod(F.shiftrightunsigned("_hash", 40), F.lit(BUCKETS))).withColumn("pos", F.struct(*PLACE))
+    state = plan_rows.withColumns({"left": F.col("extra"), "after": _place(-1, -1), "steps": F.array().cast(f"array<{_STEP}>")})
+    state = materialize(state, "mix-plan")                # a row per pattern
+    for _ in range(ROUNDS):
+        ends = _forward(rows, state.select("members", "left", "after"), ["members"])
+        step = F.struct(F.col("left").alias("most"), "after", "to")
+        state = materialize(state.join(F.broadcast(ends), "members", "left").select(
+            *plan_rows.columns, (F.col("left") - F.coalesce("run", F.lit(0))).alias("left"),
+            F.coalesce("to", "after").alias("after"),
+            F.when(F.col("to").isNull(), F.col("steps")).otherwise(F.concat("steps", F.array(step))).alias("steps")), "mix-plan")
+        if state.filter(F.col("left") * 100 > F.col("extra")).isEmpty():
+            break
+    # ... and what is still missing: of each size, largest first, as many documents as fit ...
+    known = rows.filter("size > 0").join(F.broadcast(state), "members").withColumn(
+        "in_run", F.exists("steps", lambda s: (F.col("size") <= s["most"]) & (F.col("pos") > s["after"]) & (F.col("pos") <= s["to"])))
+    rest = known.filter(~F.col("in_run") & (F.col("size") < 2 * F.col("left")))
     fits = lambda acc, d: F.when(d["size"] <= acc["left"], F.struct(
-        (acc["left"] - d["size"]).alias("left"), F.concat(acc["docs"], F.array(d["doc"])).alias("docs"))).otherwise(acc)
-    none = F.array().cast("array<struct<_hash:bigint,_row_id:bigint,_row_hash:bigint,_copy:int>>")
-    later = later.withColumn("fit", F.aggregate("docs", F.struct((F.col("extra") - F.col("got")).alias("left"),
-                                                                 none.alias("docs")), fits))
-    over = F.filter("docs", lambda d: (d["size"] > F.col("fit.left")) & (d["size"] < 2 * F.col("fit.left"))
-                    & ~F.array_contains("fit.docs", d["doc"]))
-    last = F.transform(F.slice(F.reverse(over), 1, 1), lambda d: d["doc"])
-    fill = (later.select(F.explode(F.concat("fit.docs", last)).alias("d"))
-            .select("d._row_id", "d._row_hash", "d._copy"))
-    more = inside.filter("in_run").select("_row_id", "_row_hash", "_copy").union(fill).withColumn("one", F.lit(1))
-    out = known.join(more, ["_row_id", "_row_hash", "_copy"], "left").withColumn(
-        "times", F.when(F.col("size") == 0, 0).otherwise(
-            F.col("whole") + F.coalesce("one", F.when((F.col("_bucket") <= F.col("last")) & (F.col("extra") > 0), 1), F.lit(0))))
+        (acc["left"] - F.least(d["n"], F.floor(acc["left"] / d["size"])) * d["size"]).alias("left"),
+        F.concat(acc["fit"], F.array(F.struct(d["size"].alias("size"), (F.least(d["n"], F.floor(acc["left"] / d["size"]))
+                                                                        * d["size"]).alias("words")))).alias("fit"))).otherwise(acc)
+    fill = (rest.filter("size <= left").groupBy("members", "size").agg(F.count("*").alias("n"))
+            .groupBy("members").agg(F.sort_array(F.collect_list(F.struct("size", "n")), asc=False).alias("sizes"))
+            .join(F.broadcast(state.select("members", "left", "after")), "members")
+            .withColumn("fill", F.aggregate("sizes", F.struct("left", F.array().cast("array<struct<size:bigint,words:bigint>>").alias("fit")), fits)))
+    fill = materialize(fill.select("members", F.col("fill.left").alias("short"), "after", "fill.fit"), "mix-fill")
+    some = fill.select("members", "after", F.explode("fit").alias("f")).select("members", "f.size", F.col("f.words").alias("left"), "after")
+    some = _forward(rows, some, ["members", "size"]).select("members", "size", F.col("to").alias("fill_to"))
+    # ... and at last the smallest of the others if the sum is nearer with it than without
+    rest = (rest.join(F.broadcast(some), ["members", "size"], "left").join(F.broadcast(fill.select("members", "short")), "members", "left")
+            .filter(F.col("fill_to").isNull() | (F.col("pos") > F.col("fill_to"))))
+    over = (rest.filter(F.col("size") < 2 * F.coalesce("short", "left")).groupBy("members")
+            .agg(F.min(F.struct("size", "pos")).alias("over")).select("members", F.col("over.pos").alias("over")))
+    more = known.select("members", "in_run", *rows.drop("members").columns, "whole", "source_size", "target", "after")
+    more = (more.join(F.broadcast(some), ["members", "size"], "left").join(F.broadcast(over), "members", "left")
+            .withColumn("one", F.col("in_run") | F.coalesce((F.col("pos") > F.col("after")) & (F.col("pos") <= F.col("fill_to")), F.lit(False))
+                        | F.coalesce(F.col("pos") == F.col("over"), F.lit(False)))
+            .withColumn("times", F.col("whole") + F.col("one").cast("int")))
+    none = rows.filter("size = 0").join(F.broadcast(plan_rows), "members").withColumn("times", F.lit(0).cast("long"))
+    out = more.unionByName(none, allowMissingColumns=True)
     return out.select(F.col("_key").alias(key), "_row_id", "_row_hash", "_copy", "members", "size", "source_size", "target",
                       F.col("times").cast("int").alias("times"), (F.col("times") * F.col("size")).cast("long").alias("taken"))
 

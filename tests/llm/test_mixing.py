@@ -66,6 +66,19 @@ def test_odd_rows_and_repeats(spark, odd_docs):
     assert mixing.mix(odd_docs.limit(0), F.array("source")).count() == 0
 
 
+def test_many_of_one_size_and_a_long_one(spark):
+    rows = [(i, "word " * 100, "a") for i in range(1000)] + [(1000, "word " * 50000, "a"), (1001, "word " * 75000, "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    places = set()
+    for seed in range(4):                                    # the long one comes early or late
+        got = mixing.mix(docs, F.array("source"), weights={"a": 1, "b": 2}, seed=seed).collect()
+        a = [r for r in got if r["members"] == '["a"]']
+        assert len(got) == 1002 and a[0]["target"] == 75000
+        assert sum(r["taken"] for r in a) == 75000
+        places.add(max(a, key=lambda r: r["size"])["times"])
+    assert places == {0, 1}
+
+
 def test_overlapping_sources(spark):
     rows = [(i, "word " * 10, ["a", "b"] if i % 2 else ["a"] if i % 4 else []) for i in range(80)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, sources array<string>")
