@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dpmine.llm import chat, decontam, langid, mixing, simhash, substring_dedup, suffix_dedup, token_counts, \
-    token_output, topk
+from dpmine.llm import chat, decontam, langid, mixing, secret_scan, simhash, substring_dedup, suffix_dedup, token_counts, \
+    token_output, topk, vector_codes, whitening
 from dpmine.llm.common import table
 
 
@@ -78,8 +78,61 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``vec_id, component, n, deviation, whitened, explained, identity_error``: 32 components of every vector."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, n_assign, n_access, n_hex, base_sha256, spans`` (and ``n_learned``) of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return secret_scan.find_secrets(docs, secret_scan.train(docs))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``vec_id, code, error, label_error, codebooks_sha256`` of every vector."""
+    coded = vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+    return coded.select(F.col("id").alias("vec_id"), "code", "error", "label_error", "codebooks_sha256")
+
+
+def _vector_codes_sql() -> str:
+    """All rounds of the product codes: squared distances from exact products of whole numbers, ties by entry."""
+    near = """n{r} AS MATERIALIZED (
+            SELECT vec_id, part, arg_min(entry, (d, entry)) AS entry, min(d) AS d FROM (
+                SELECT p.vec_id, p.part, c.entry, list_inner_product(p.v, p.v) - 2 * list_inner_product(p.v, c.v)
+                       + list_inner_product(c.v, c.v) AS d
+                FROM p JOIN c{r} c ON p.part = c.part)
+            GROUP BY ALL)"""
+    update = """c{s} AS MATERIALIZED (
+            SELECT c.part, c.entry, coalesce(u.v, c.v) AS v FROM c{r} c LEFT JOIN (
+                SELECT part, entry, list(m ORDER BY i) AS v FROM (
+                    SELECT part, entry, i, CAST(sum(x) // count(*) - CASE WHEN sum(x) < 0 AND sum(x) % count(*) <> 0 THEN 1 ELSE 0 END
+                                                AS DOUBLE) AS m
+                    FROM (SELECT p.part, n.entry, unnest(range(len(p.v))) AS i, CAST(unnest(p.v) AS BIGINT) AS x
+                          FROM p JOIN n{r} n USING (vec_id, part)) GROUP BY ALL) GROUP BY ALL) u
+            ON u.part = c.part AND u.entry = c.entry)"""
+    steps = [s for r in range(4) for s in (near.format(r=r), update.format(r=r, s=r + 1))] + [near.format(r=4)]
+    return """
+        WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e
+                   FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(embedding) > 0
+                     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+             p AS MATERIALIZED (SELECT vec_id, part, e[part * len(e) // 4 + 1 : (part + 1) * len(e) // 4] AS v
+                                FROM v, (SELECT unnest(range(4)) AS part)),
+             c0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, v FROM p
+                                 WHERE vec_id IN (SELECT vec_id FROM v ORDER BY vec_id LIMIT 256)),
+             """ + ",\n             ".join(steps) + """,
+             r AS (SELECT vec_id, string_agg(printf('%02x', CAST(entry AS INTEGER)), '' ORDER BY part) AS code,
+                          CAST(sum(d) AS BIGINT) AS error FROM n4 GROUP BY vec_id),
+             h AS (SELECT sha256(coalesce(string_agg(x, ',' ORDER BY part, entry, i), '')) AS codebooks_sha256 FROM (
+                       SELECT part, entry, unnest(range(len(v))) AS i, CAST(CAST(unnest(v) AS BIGINT) AS VARCHAR) AS x FROM c4))
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+        FROM r JOIN v USING (vec_id), h"""
+
+
 QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_language_id, op3_token_counts, op4_exact_topk_search, op5_suffix_array_dedup,
-                                  op6_chat_formatting, op7_substring_dedup, op8_simhash_near_dedup, op9_token_id_output, op10_source_mixing)}
+                                  op6_chat_formatting, op7_substring_dedup, op8_simhash_near_dedup, op9_token_id_output, op10_source_mixing,
+                                  op11_embedding_whitening, op12_secret_scan, op13_vector_codes)}
 SQL: dict[str, str] = {
     "op4_exact_topk_search": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
@@ -91,6 +144,7 @@ SQL: dict[str, str] = {
                    FROM v q JOIN v p ON q.vec_id % 50 = 0 AND p.vec_id <> q.vec_id),
              r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op13_vector_codes": _vector_codes_sql(),
     "op6_chat_formatting": """
         WITH c AS (SELECT conv_id, 'call_' || conv_id || '_' || turn AS call_id, turn, text,
                           CASE WHEN turn = 0 THEN 'plan' WHEN length(text) <= 80 THEN 'lookup' ELSE 'search' END AS name,
