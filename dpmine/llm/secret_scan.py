@@ -3,8 +3,9 @@
 The patterns' matches are labelled credentials.  A bounded sample of each kind becomes a prefix tree; states of one depth
 whose continuations do not differ by a Hoeffding bound are merged, layer by layer, into an acyclic probabilistic
 automaton of the kind's format (its lengths, fixed prefixes and alphabets).  Every other run of credential characters in
-the corpus is a candidate: its likelihood under each format is held against a character model of all candidates, so that
-a bare key of a known format is found and an ordinary long word is not.
+the corpus is a candidate.  Its likelihood under a format has to be typical of the format (held against the entropies of
+the states on its path, as credentials kept out of the inference are) and well above its likelihood under a character
+model of all candidates, so that a bare key of a known format is found and an ordinary long word is not.
 """
 
 from __future__ import annotations
@@ -34,11 +35,14 @@ SAMPLE = 2048              # different labelled credentials of a kind that are l
 LABELLED = 32              # fewer than this give a kind no automaton
 LONGEST = 256              # longer labelled credentials are not learned from; automata have at most so many layers
 MERGE = 0.05               # confidence of the Hoeffding test that keeps two states apart
-SMOOTHING = 0.01           # of a count, for symbols that a state has not seen
+SMOOTHING = 0.01           # of a count, for ends where no credential ended and symbols that a kind has not seen
+PRIORS = (1, 2, 4, 8, 16, 32)   # tried counts, for each symbol a state has seen, of the kind's symbols as a whole
 SHORTEST = 8               # of a candidate
 FALSE_RATE = 1e-6          # a candidate's chance under the character model to look like a format
 HELD = 4                   # every fourth labelled credential is kept out of the automaton, to calibrate it
-HELD_QUANTILE = 0.01       # share of held credentials that may fall under the accepted likelihood
+HELD_QUANTILE = 0.01       # share of held credentials that may fall under the accepted typicality
+SLACK = 2.0                # and how far (nats) below that quantile a candidate may be
+SHRINK = 0.001             # weight of the single characters in the character model, as a share of all characters
 
 _CORE = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_"
 _SYMBOL = np.full(256, -1, np.int64)
@@ -159,22 +163,38 @@ class Automaton:
     step: np.ndarray
     log_p: np.ndarray
     layers: int
-    least: float = -math.inf      # accepted log-likelihood a symbol
+    least: float = -math.inf      # accepted typicality
 
-    def log_likelihood(self, strings: np.ndarray) -> np.ndarray:
-        """Of strings of one length, given as rows of symbols; -inf where a string is longer than the automaton."""
-        state, total = np.zeros(len(strings), np.int64), np.zeros(len(strings))
+    def __post_init__(self) -> None:
+        self.entropy = -(np.exp(self.log_p) * self.log_p).sum(axis=1)
+
+    def scores(self, strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(log-likelihood, typicality) of strings of one length, given as rows of symbols.
+
+        Typicality is the log-likelihood plus the entropies of the states passed: about zero for the format's own
+        strings of any length.  Both are -inf where a string is longer than the automaton.
+        """
+        state = np.zeros(len(strings), np.int64)
+        total, expected = np.zeros(len(strings)), np.zeros(len(strings))
         for k in range(strings.shape[1]):
             total += self.log_p[state, strings[:, k]]
+            expected += self.entropy[state]
             state = self.step[state, strings[:, k]]
             if (gone := state < 0).any():
                 total[gone], state[gone] = -np.inf, 0
-        return total + self.log_p[state, STOP]
+        total += self.log_p[state, STOP]
+        return total, total + expected + self.entropy[state]
 
+    def of(self, string: bytes) -> float:
+        return float(self.scores(_SYMBOL[list(string)][None, :])[0][0])
 
-def infer(strings: list[bytes], merge: float = MERGE) -> Automaton:
+
+def infer(strings: list[bytes], merge: float = MERGE, held: list[bytes] = ()) -> Automaton:
     """Merge the compatible states of the strings' prefix tree, from the root down, a layer at a time.
 
+    A state's frequencies shrink towards the kind's symbols as a whole, the more the more different symbols it has seen;
+    how far is what makes the ``held`` strings likeliest.
+
     A symbol that a state has not seen goes on to the state's most frequent successor, at a smoothed probability; a
     string that goes on below the last layer has none.
     """
@@ -208,8 +228,13 @@ def infer(strings: list[bytes], merge: float = MERGE) -> Automaton:
             counts[state, symbol] += 1
             state = step[state, symbol]
         counts[state, STOP] += 1
-    log_p = np.log((counts + SMOOTHING) / (counts.sum(axis=1, keepdims=True) + SMOOTHING * (SYMBOLS + 1)))
-    return Automaton(step, log_p, depth - 1)
+    overall = np.append(counts[:, :STOP].sum(axis=0), 0)
+    seen = (counts[:, :STOP] > 0).sum(axis=1, keepdims=True)
+    tried = []
+    for weight in PRIORS:
+        p = counts + weight * seen * overall / max(overall.sum(), 1) + SMOOTHING
+        tried.append(Automaton(step, np.log(p / p.sum(axis=1, keepdims=True)), depth - 1))
+    return max(tried, key=lambda a: sum(x for x in map(a.of, held) if math.isfinite(x))) if held else tried[0]
 
 
 @dataclass
@@ -235,9 +260,8 @@ class Model:
             for kind, name in enumerate(KINDS):
                 if name not in self.automata:
                     continue
-                automaton = self.automata[name]
-                score = automaton.log_likelihood(strings)
-                better = (score - ordinary >= -math.log(false_rate)) & (score / (size + 1) >= automaton.least) & (score > best)
+                score, typical = self.automata[name].scores(strings)
+                better = (score - ordinary >= -math.log(false_rate)) & (typical >= self.automata[name].least) & (score > best)
                 found[rows[better]], best[better] = kind, score[better]
         return found
 
@@ -249,14 +273,16 @@ def learn(labelled: dict[str, list[bytes]], cells: np.ndarray) -> Model:
         if len(strings) < LABELLED:
             continue
         held, own = strings[::HELD], [s for i, s in enumerate(strings) if i % HELD]
-        automaton = infer(own)
-        scores = np.sort([automaton.log_likelihood(_SYMBOL[list(s)][None, :])[0] / (len(s) + 1) for s in held])
-        scores = scores[np.isfinite(scores)]
-        if len(scores):
-            automaton.least = float(scores[int(HELD_QUANTILE * len(scores))])
+        automaton = infer(own, held=held)
+        typical = np.sort([automaton.scores(_SYMBOL[list(s)][None, :])[1][0] for s in held])
+        typical = typical[np.isfinite(typical)]
+        if len(typical):
+            automaton.least = float(typical[int(HELD_QUANTILE * len(typical))]) - SLACK
             automata[kind] = automaton
-    characters = np.log((cells + SMOOTHING) / (cells.sum(axis=1, keepdims=True) + SMOOTHING * (SYMBOLS + 1)))
-    return Model(automata, characters)
+    # pairs shrink towards single characters, so that the few pairs that only bare credentials have stay rare
+    single = (cells.sum(axis=0) + SMOOTHING) / (cells.sum() + SMOOTHING * (SYMBOLS + 1))
+    weight = SHRINK * cells.sum() + 1
+    return Model(automata, np.log((cells + weight * single) / (cells.sum(axis=1, keepdims=True) + weight)))
 
 
 # ---------------------------------------------------------------- jobs

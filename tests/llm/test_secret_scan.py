@@ -25,15 +25,18 @@ def written(spans):
 
 
 def likelihood(automaton, model, text):
-    """Log-likelihoods of one string, a symbol at a time: (format, character model)."""
-    state, p, ordinary, before = 0, 0.0, 0.0, SS.STOP
+    """(log-likelihood under the format, its typicality, log-likelihood under the characters), a symbol at a time."""
+    state, p, ordinary, before, entropy = 0, 0.0, 0.0, SS.STOP, 0.0
     for c in text.encode():
         symbol = int(SS._SYMBOL[c])
         p += automaton.log_p[state, symbol] if state >= 0 else -math.inf
+        entropy -= sum(math.exp(x) * x for x in automaton.log_p[state])
         state = automaton.step[state, symbol] if state >= 0 else -1
         ordinary += model.characters[before, symbol]
         before = symbol
-    return (p + automaton.log_p[state, SS.STOP] if state >= 0 else -math.inf), ordinary + model.characters[before, SS.STOP]
+    entropy -= sum(math.exp(x) * x for x in automaton.log_p[state])
+    p += automaton.log_p[state, SS.STOP] if state >= 0 else -math.inf
+    return p, p + entropy, ordinary + model.characters[before, SS.STOP]
 
 
 def brute(text, model):
@@ -47,8 +50,8 @@ def brute(text, model):
         best = None
         for kind, name in enumerate(SS.KINDS):
             if name in model.automata:
-                p, ordinary = likelihood(model.automata[name], model, m[0])
-                if p - ordinary >= -math.log(SS.FALSE_RATE) and p / (len(m[0]) + 1) >= model.automata[name].least and (not best or p > best[0]):
+                p, typical, ordinary = likelihood(model.automata[name], model, m[0])
+                if p - ordinary >= -math.log(SS.FALSE_RATE) and typical >= model.automata[name].least and (not best or p > best[0]):
                     best = (p, kind)
         if best:
             spans = spans + [(m.start(), len(SS.KINDS) + best[1], m.end())]
@@ -89,7 +92,7 @@ def test_states_merge_into_a_format():
     keys = [b"AB" + bytes(rng.choice(b"0123456789") for _ in range(rng.choice((6, 10)))) for _ in range(600)]
     automaton = SS.infer(keys)
     assert automaton.layers == 12 and len(automaton.step) < 60             # the prefix tree has thousands of states
-    score = lambda s: automaton.log_likelihood(SS._SYMBOL[list(s)][None, :])[0]
+    score = lambda s: automaton.scores(SS._SYMBOL[list(s)][None, :])[0][0]
     assert score(b"AB123456") > score(b"AB12345") + 3 and score(b"AB123456") > score(b"CD123456") + 8
     assert score(b"AB" + b"1" * 11) == -math.inf
     two = [b"x" + b"a" * 20] * 200 + [b"y" + b"b" * 20] * 200              # two formats stay apart: different continuations
@@ -103,7 +106,8 @@ def test_bare_keys_are_found(spark):
     model = SS.train(docs)
     assert set(model.automata) == {"assign"}
     got = {r["doc_id"]: r for r in SS.find_secrets(docs, model).collect()}
-    assert {i for i, r in got.items() if r["n_learned"]} == set(bare)
+    found = {i for i, r in got.items() if r["n_learned"]}
+    assert found <= set(bare) and len(found) >= 0.9 * len(bare)            # no number, no long word
     for i, text in enumerate(texts):
         assert got[i]["spans"] == brute(text, model)
         assert got[i]["base_sha256"] == hashlib.sha256(written(base(text)).encode()).hexdigest()
