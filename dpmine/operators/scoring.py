@@ -3,8 +3,9 @@
 Long form throughout (``qid, role, pos, pid, score``).  The expensive step —
 the scorer — sees only pairs that are neither repeated nor already in the
 cache: ``dropDuplicates`` + ``left_anti`` run *before* it.  The cache is a
-parquet table keyed ``(qid, pid)``; an upsert appends only the new keys as one
-more batch folder, so the cache is never rewritten.
+table bucketed by ``(qid, pid)`` with a commit log (``sources.score_table``); an
+upsert commits only the new keys as one more batch, so the cache is never
+rewritten.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dpmine.functions.text import jaccard, passage_text, words
@@ -20,6 +21,7 @@ from dpmine.functions.vectors import squared_distance
 from dpmine.operators.encode import worker_model
 from dpmine.operators.groups import NEG, POS, cap_candidates
 from dpmine.session import materialize
+from dpmine.sources.score_table import ScoreCache
 
 Scorer = Callable[[DataFrame], DataFrame]   # pairs (qid, pid, …) -> pairs + score
 
@@ -108,42 +110,6 @@ def score_upsert(cache: DataFrame | None, new: DataFrame) -> DataFrame:
     return cache.select("qid", "pid", "score").unionByName(fresh)
 
 
-class ScoreCache:
-    """A parquet score table ``qid, pid, score`` under one folder, one sub-folder per batch."""
-
-    SCHEMA = "qid long, pid long, score double"
-
-    def __init__(self, spark: SparkSession, root: str, scorer_id: str | None = None):
-        """``scorer_id`` keys the cache by model as well (a new teacher starts an empty cache)."""
-        self.spark, self.root = spark, root.rstrip("/") + (f"/scorer={scorer_id}" if scorer_id else "")
-
-    def read(self) -> DataFrame:
-        jvm = self.spark.sparkContext._jvm
-        hpath = jvm.org.apache.hadoop.fs.Path(self.root)
-        fs = hpath.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(hpath) or not any(st.getPath().getName().startswith("batch=") for st in fs.listStatus(hpath)):
-            return self.spark.createDataFrame([], self.SCHEMA)
-        return self.spark.read.schema(self.SCHEMA + ", batch string").parquet(self.root).select("qid", "pid", "score")
-
-    def _done(self, path: str) -> bool:
-        jvm = self.spark.sparkContext._jvm
-        hpath = jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
-        return bool(hpath.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(hpath))
-
-    def append_new(self, new: DataFrame, batch: str) -> DataFrame:
-        """Write the keys of ``new`` that the cache lacks as batch ``batch``; return them.
-
-        Idempotent: a batch already written (a rerun after a failure) is
-        returned as it is, so a pair is never scored or stored twice.
-        """
-        path = f"{self.root}/batch={batch}"
-        if not self._done(path):
-            fresh = new.select("qid", "pid", "score").dropDuplicates(["qid", "pid"]).join(
-                self.read().select("qid", "pid"), ["qid", "pid"], "left_anti")
-            fresh.write.mode("overwrite").parquet(path)
-        return self.spark.read.parquet(path)
-
-
 def attach_scores(long: DataFrame, scores: DataFrame, strict: bool = True) -> DataFrame:
     """Replace each group row's score by the table's score for ``(qid, pid)``.
 
@@ -174,9 +140,8 @@ def cache_stats(capped: DataFrame, new_scores: DataFrame) -> DataFrame:
 def needed_scores(cache: DataFrame, pairs: DataFrame) -> DataFrame:
     """The cache rows a set of pairs needs: ``cache ⋉ pairs``.
 
-    The pairs of one round are the small side; as the right side of a semi
-    join AQE can broadcast them, and then the (large, growing) cache is only
-    scanned, not shuffled.
+    The pairs of one round are the small side: they are broadcast where they are
+    small enough, else they alone are exchanged into the cache's buckets.
     """
     return cache.select("qid", "pid", "score").join(pairs.select("qid", "pid"), ["qid", "pid"], "left_semi")
 
