@@ -2,118 +2,287 @@
 
 Plan shape
 ----------
-queries are dealt by hash into blocks, passages into lots; a *cell* is one
-block against one lot, and both sides meet in it by a shuffle:
+Passages are scanned where they lie; queries are stored in blocks under the
+shared checkpoint folder, and every task reads the blocks from there:
 
-    queries × their cells ∪ passages × their cells --exchange by cell--> applyInArrow(BLAS, local top-k)
+    passages --mapInArrow(lots × query blocks: BLAS, running top-k)--> stored local results
     --exchange by qid--> row_number() ≤ k  (WindowGroupLimit partial+final)
 
-Neither side passes through the driver, a task holds one cell, and a cell
-returns at most k rows per query.  The sizes of blocks and lots are row counts
-derived from byte budgets that include the k results a query may have.
+The passage side is never exchanged, and neither side passes through the
+driver.  A task keeps the best k of every query over all its lots (compacted as
+it goes); a query's k-th best so far is the bar for what comes later.  With
+many lots two more bounds keep the exchange small: the k-th best score in a
+hash sample of the passages is every task's first bar, and the k-th best among
+the first few local results of all tasks is the bar to reach the exchange.
+Bounds are scores of real passages, so nothing that belongs to a result is cut.
 
-Order is ``score desc, pid asc`` on exact scores: inside a cell BLAS only picks
-the rows that can be among the best (with a margin for its rounding), and their
-scores are then summed again one row at a time in a fixed order, so that equal
-vectors have equal scores wherever they are compared.
+Order is ``score desc, pid asc`` on exact scores: BLAS only picks the rows that
+can be among the best (with a margin for its rounding), and their scores are
+then summed again one row at a time in a fixed order, so that equal vectors have
+equal scores wherever they are compared.
 """
 
 from __future__ import annotations
 
 import math
+import re
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from dpmine.functions.vectors import as_double_vector, dot, fold_passage, fold_query
+from dpmine.functions.vectors import as_double_vector, dot, fold_passage, fold_query, non_finite
+from dpmine.session import materialize, scratch_path
 
-DEFAULT_BLOCK_BYTES = 16 << 20      # one side of a cell (vectors, and for queries their results)
-DEFAULT_SCORE_BYTES = 32 << 20      # one tile of scores in a task
+BLOCK_BYTES = 256 << 20     # vectors of one query block: what a worker holds of the queries at a time
+LOT_BYTES = 64 << 20        # passage vectors compared at a time
+SCORE_BYTES = 32 << 20      # one tile of scores in a task
+STATE_BYTES = 256 << 20     # a task's running results; beyond them it hands out what it has
+FEW_LOTS = 16               # up to here the local results are exchanged without further bounds
+SAMPLE = 64                 # one passage in so many gives the first bounds
+BOUNDS_BYTES = 64 << 20     # bounds that are broadcast; more of them meet the local results by a shuffle
+CANDIDATES = "qid long, pid long, score double, place int"
 
 
-def _checked(df: DataFrame, id_col: str, vec: str, name: str, unique: bool) -> tuple[DataFrame, int, int]:
-    """``id, vec`` rows, their number and length; bad rows are errors, never dropped."""
-    rows = df.select(F.col(id_col).cast("long").alias("id"), as_double_vector(vec).alias("vec"))
-    bad = F.col("id").isNull() | F.col("vec").isNull() | F.exists(
-        "vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    row = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("d"), F.min(F.size("vec")).alias("least"),
-                   F.count(F.when(bad, True)).alias("bad")).first()
-    if row["bad"]:
-        raise ValueError(f"{row['bad']} {name} rows have no id, no vector or a non-finite component")
-    if row["n"] and row["d"] != row["least"]:
-        raise ValueError(f"{name} vectors have different lengths ({row['least']}..{row['d']})")
-    if unique and not rows.groupBy("id").count().filter("count > 1").isEmpty():
-        raise ValueError(f"repeated {name} ids")
-    return rows, int(row["n"]), int(row["d"] or 0)
+# ---------------------------------------------------------------- the query side
+def _stored_queries(queries: DataFrame, block_bytes: int) -> tuple[list[str], int, int]:
+    """Paths of the stored blocks (``id, vec, bound``), number of queries and vector length; the input runs once.
+
+    Bad rows are errors, never dropped.  Equal ids are in one block.
+    """
+    spark, seen = queries.sparkSession, Observation()
+    bad = F.col("id").isNull() | F.col("vec").isNull() | non_finite("vec")
+    path = scratch_path(spark, "queries")
+    queries.observe(seen, F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("d"), F.min(F.size("vec")).alias("least"),
+                    F.count(F.when(bad, True)).alias("bad")).write.parquet(path)
+    n, d, least = seen.get["n"], seen.get["d"], seen.get["least"]
+    if seen.get["bad"]:
+        raise ValueError(f"{seen.get['bad']} query rows have no id, no vector or a non-finite component")
+    if n and d != least:
+        raise ValueError(f"query vectors have different lengths ({least}..{d})")
+    blocks = min(n, math.ceil(n * 8 * ((d or 0) + 1) / max(block_bytes, 1)))
+    return ([path] if blocks == 1 else _in_blocks(spark.read.parquet(path), blocks)) if n else [], n, d or 0
+
+
+def _in_blocks(rows: DataFrame, blocks: int) -> list[str]:
+    path = scratch_path(rows.sparkSession, "query-blocks")
+    rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).repartition(blocks, "block") \
+        .write.partitionBy("block").parquet(path)
+    have = rows.sparkSession.read.parquet(path).select("block").distinct().collect()      # at most ``blocks`` rows
+    return [f"{path}/block={r['block']}" for r in sorted(have)]
 
 
-def _matrix(part: pa.Table, d: int) -> tuple[np.ndarray, np.ndarray]:
-    flat = part.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    return part.column("id").to_numpy(), np.ascontiguousarray(flat.reshape(-1, d), dtype=np.float64)
+_held: dict = {}            # the query block that this worker used last
+
+
+def _block(place) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, vectors, bounds) of a stored block: from the shared folder, or from a broadcast where Arrow can't open it."""
+    key, held = place if isinstance(place, tuple) else (place, None)
+    if key not in _held:
+        _held.clear()
+        if held is None:
+            from pyarrow import fs, parquet
+            files, path = fs.FileSystem.from_uri(place)
+            table = parquet.read_table(path, filesystem=files, partitioning=None)
+        else:
+            table = held.value
+        ids = table.column("id").to_numpy()
+        if len(np.unique(ids)) != len(ids):
+            raise ValueError("repeated query ids")
+        vectors = table.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+        bounds = pc.fill_null(table.column("bound"), -np.inf).to_numpy().copy()
+        _held[key] = ids, np.ascontiguousarray(vectors), bounds
+    return _held[key]
 
 
-def best_in_cell(Q: np.ndarray, pids: np.ndarray, P: np.ndarray, k: int, score_bytes: int):
-    """(query row, pid, score) of the k best passages of each query, in tiles of query rows."""
+def _opens(place: str) -> bool:
+    from pyarrow import fs
+    try:
+        return bool(fs.FileSystem.from_uri(place))
+    except (pa.ArrowException, OSError, ValueError):
+        return False
+
+
+# ---------------------------------------------------------------- the scan
+def best_of(Q: np.ndarray, bounds: np.ndarray, pids: np.ndarray, P: np.ndarray, k: int, score_bytes: int):
+    """(query row, pid, score) of the k best passages of each query that reach its bound, in tiles of query rows."""
     longest = np.sqrt((P * P).sum(axis=1).max(initial=0.0))
-    step, out = max(1, score_bytes // (8 * max(len(pids), 1))), []
+    step, d, out = max(1, score_bytes // (8 * max(len(pids), 1))), P.shape[1], []
     for lo in range(0, len(Q), step):
-        part = Q[lo:lo + step]
+        part, bar = Q[lo:lo + step], bounds[lo:lo + step].copy()
+        margin = 8 * d * np.finfo(np.float64).eps * np.sqrt((part * part).sum(axis=1)) * longest
         S = part @ P.T
-        if len(pids) > k:
-            bar = np.partition(S, len(pids) - k, axis=1)[:, len(pids) - k]
-            margin = 8 * P.shape[1] * np.finfo(np.float64).eps * np.sqrt((part * part).sum(axis=1)) * longest
-            r, c = np.nonzero(S >= (bar - margin)[:, None])
-        else:
-            r, c = np.nonzero(np.ones(S.shape, bool))
-        score = np.einsum("ij,ij->i", part[r], P[c])
+        over = np.flatnonzero((S >= (bar - margin)[:, None]).sum(axis=1) > k)
+        if len(over) and len(pids) > k:
+            bar[over] = np.partition(S[over], len(pids) - k, axis=1)[:, len(pids) - k]
+        r, c = np.nonzero(S >= (bar - margin)[:, None])
+        score, pairs = np.empty(len(r)), max(1, score_bytes // (16 * d))
+        for at in range(0, len(r), pairs):
+            one = slice(at, at + pairs)
+            score[one] = np.einsum("ij,ij->i", part[r[one]], P[c[one]])
+        good = score >= bounds[lo + r]
+        r, c, score = r[good], c[good], score[good]
         order = np.lexsort((pids[c], -score, r))
         r, c, score = r[order], c[order], score[order]
         keep = np.arange(len(r)) - np.searchsorted(r, r, side="left") < k
         out.append((lo + r[keep], pids[c[keep]], score[keep]))
-    rows, ids, scores = (np.concatenate(x) for x in zip(*out))
-    return rows, ids, scores
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+class _Running:
+    """The best ``k`` passages of every query so far, and each query's bound."""
+
+    def __init__(self, k: int, state_bytes: int):
+        self.k, self.most, self.parts, self.new, self.kept = k, max(1, state_bytes // 24), [], 0, 0
+        self.ids: list[np.ndarray] = []
+        self.bounds: list[np.ndarray] = []
+
+    def add(self, block: int, rows: np.ndarray, pids: np.ndarray, scores: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.parts.append((np.full(len(rows), block, np.int32), rows, pids, scores))
+        self.new += len(rows)
+        if self.new > self.kept + min(self.most, 1 << 20):
+            self.compact()
+            if self.kept > self.most:
+                yield from self.hand_out()
+
+    def compact(self) -> np.ndarray:
+        block, rows, pids, scores = (np.concatenate(x) for x in zip(*self.parts))
+        order = np.lexsort((pids, -scores, rows, block))
+        block, rows, pids, scores = block[order], rows[order], pids[order], scores[order]
+        fresh = np.flatnonzero((np.diff(block, prepend=-1) != 0) | (np.diff(rows, prepend=-1) != 0))
+        place = np.arange(len(rows)) - np.repeat(fresh, np.diff(np.append(fresh, len(rows))))
+        keep = place < self.k
+        self.parts = [tuple(x[keep] for x in (block, rows, pids, scores))]
+        self.new = self.kept = int(keep.sum())
+        for b in np.unique(block).tolist():
+            last = (place == self.k - 1) & (block == b)
+            self.bounds[b][rows[last]] = np.maximum(self.bounds[b][rows[last]], scores[last])
+        return place[keep]
+
+    def hand_out(self) -> Iterator[pa.RecordBatch]:
+        if self.new:
+            place = self.compact()
+            block, rows, pids, scores = self.parts[0]
+            qids = np.empty(len(rows), np.int64)
+            for b in np.unique(block).tolist():
+                qids[block == b] = self.ids[b][rows[block == b]]
+            for at in range(0, len(rows), 1 << 18):
+                yield pa.RecordBatch.from_arrays([pa.array(x[at:at + (1 << 18)]) for x in (
+                    qids, pids, scores, place.astype(np.int32) + 1)], names=["qid", "pid", "score", "place"])
+        self.parts, self.new, self.kept = [], 0, 0
+
+
+def _lots(batches: Iterator[pa.RecordBatch], d: int, lot_bytes: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, vectors) of the passages in lots; bad rows are errors."""
+    ids, vectors, size = [], [], 0
+    rows = max(1, lot_bytes // (8 * max(d, 1)))
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            piece = batch.slice(at, rows)
+            vec = piece.column("vec")
+            flat = vec.flatten().to_numpy(zero_copy_only=False)
+            if piece.column("id").null_count or vec.null_count or not np.isfinite(flat).all():
+                raise ValueError("passage rows have no id, no vector or a non-finite component")
+            if (pc.list_value_length(vec).to_numpy() != d).any():
+                raise ValueError(f"passage vectors have another length than the queries' ({d})")
+            ids.append(piece.column("id").to_numpy())
+            vectors.append(flat.reshape(-1, d))
+            size += len(ids[-1])
+            if size >= rows:
+                yield np.concatenate(ids), np.ascontiguousarray(np.concatenate(vectors), np.float64)
+                ids, vectors, size = [], [], 0
+    if size:
+        yield np.concatenate(ids), np.ascontiguousarray(np.concatenate(vectors), np.float64)
+
+
+def _scan(passages: DataFrame, places: list, d: int, k: int, lot_bytes: int, score_bytes: int, state_bytes: int) -> DataFrame:
+    """One pass over the passages; each task's best k per query with their place, stored: ``qid, pid, score, place``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        running = _Running(k, state_bytes)
+        for pids, P in _lots(batches, d, lot_bytes):
+            for b, place in enumerate(places):
+                ids, Q, bounds = _block(place)
+                if len(running.ids) <= b:
+                    running.ids.append(ids)
+                    running.bounds.append(bounds.copy())
+                yield from running.add(b, *best_of(Q, running.bounds[b], pids, P, k, score_bytes))
+        yield from running.hand_out()
+    try:
+        return materialize(passages.mapInArrow(run, CANDIDATES), "local-results")
+    except PySparkException as e:
+        if said := re.search(r"ValueError: ((?:passage|repeated query)[^\n]*)", str(e)):
+            raise ValueError(said[1]) from e
+        raise
+
+
+def _in_place(df: DataFrame) -> bool:
+    """The plan is a scan with projections and filters, so that reading it twice costs no model or join."""
+    nodes = re.findall(r"^[\s:+-]*(\w+)", df._jdf.queryExecution().optimizedPlan().toString(), re.MULTILINE)
+    return set(nodes) <= {"Project", "Filter", "Relation", "LocalRelation", "Range", "Union"}
 
 
 def topk_candidates(queries: DataFrame, passages: DataFrame, k: int, *, qid: str = "qid", pid: str = "pid",
-                    vec: str = "vec", block_bytes: int = DEFAULT_BLOCK_BYTES,
-                    score_bytes: int = DEFAULT_SCORE_BYTES) -> DataFrame:
-    """The best k rows of every query in every cell (``qid, pid, score``), which reach the qid exchange."""
-    q, n_q, d = _checked(queries, qid, vec, "query", True)
-    p, n_p, d_p = _checked(passages, pid, vec, "passage", False)
-    if not n_q or not n_p:
-        return queries.sparkSession.createDataFrame([], "qid long, pid long, score double")
-    if d != d_p:
-        raise ValueError(f"query vectors have length {d}, passage vectors {d_p}")
-    blocks = math.ceil(n_q / max(1, block_bytes // (8 * (d + 2 * k))))
-    lots = math.ceil(n_p / max(1, block_bytes // (8 * d)))
-
-    def dealt(rows, own, own_n, other, other_n, asks):
-        return rows.select(F.pmod(F.xxhash64("id"), F.lit(own_n)).cast("int").alias(own),
-                           F.explode(F.sequence(F.lit(0), F.lit(other_n - 1))).alias(other), "id", "vec", F.lit(asks).alias("asks"))
-    sides = dealt(q, "block", blocks, "lot", lots, True).unionByName(dealt(p, "lot", lots, "block", blocks, False))
-
-    def cell(data: pa.Table) -> pa.Table:
-        asks = data.column("asks")
-        ask, have = data.filter(asks), data.filter(pc.invert(asks))
-        if not ask.num_rows or not have.num_rows:
-            return pa.table({"qid": pa.array([], pa.int64()), "pid": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        qids, Q = _matrix(ask, d)
-        rows, ids, scores = best_in_cell(Q, *_matrix(have, d), k, score_bytes)
-        return pa.table({"qid": qids[rows], "pid": ids, "score": scores})
-    return sides.groupBy("block", "lot").applyInArrow(cell, "qid long, pid long, score double")
+                    vec: str = "vec", block_bytes: int = BLOCK_BYTES, lot_bytes: int = LOT_BYTES,
+                    score_bytes: int = SCORE_BYTES, state_bytes: int = STATE_BYTES) -> DataFrame:
+    """Stored passages (``qid, pid, score``) among which every query's best k are; they reach the qid exchange."""
+    spark = queries.sparkSession
+    q = queries.select(F.col(qid).cast("long").alias("id"), as_double_vector(vec).alias("vec"), F.lit(None).cast("double").alias("bound"))
+    p = passages.select(F.col(pid).cast("long").alias("id"), as_double_vector(vec).alias("vec"))
+    places, n, d = _stored_queries(q, block_bytes)
+    if not n:
+        return spark.createDataFrame([], "qid long, pid long, score double")
+    size = lambda df: int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size(p) > FEW_LOTS * lot_bytes and not _in_place(p):
+        p = materialize(p, "passages")                       # two passes follow
+    many = size(p) > FEW_LOTS * lot_bytes
+
+    def scan(rows: DataFrame, places: list) -> DataFrame:
+        if _opens(places[0]):
+            return _scan(rows, places, d, k, lot_bytes, score_bytes, state_bytes)
+        found = []
+        for place in places:                                 # a block at a time through the driver, never all
+            held = spark.sparkContext.broadcast(spark.read.parquet(place).toArrow())
+            found.append(_scan(rows, [(place, held)], d, k, lot_bytes, score_bytes, state_bytes))
+            held.destroy()
+        return reduce(DataFrame.unionByName, found)
+
+    by_query = Window.partitionBy("qid").orderBy(F.desc("score"))
+
+    def kth(found: DataFrame) -> DataFrame:
+        """``qid, bar``: the k-th best of some real scores of each query that has so many."""
+        ranked = found.select("qid", "score").withColumn("r", F.row_number().over(by_query)).filter(F.col("r") <= k)
+        return materialize(ranked.filter(F.col("r") == k).select("qid", F.col("score").alias("bar")), "bounds")
+
+    if many:
+        first = kth(scan(p.filter(F.pmod(F.xxhash64(F.lit(17), "id"), F.lit(SAMPLE)) == 0), places))
+        stored = reduce(DataFrame.unionByName, [spark.read.parquet(x) for x in places]).drop("bound")
+        stored = stored.join(first.select(F.col("qid").alias("id"), F.col("bar").alias("bound")), "id", "left")
+        places = _in_blocks(stored, len(places))
+    found = scan(p, places)
+    if many:
+        tasks = max(1, len(found.inputFiles()))
+        bars = kth(found.filter(F.col("place") <= math.ceil(2 * k / tasks)))
+        bars = F.broadcast(bars) if 16 * n <= BOUNDS_BYTES else bars
+        found = found.join(bars, "qid", "left").filter(F.col("bar").isNull() | (F.col("score") >= F.col("bar")))
+    return found.select("qid", "pid", "score")
 
 
 def mips_topk(queries: DataFrame, passages: DataFrame, k: int, **kw) -> DataFrame:
     """Exact top-k passages per query by inner product → ``qid, pid, rank, score``.
 
     ``rank`` is 1-based; a query sees ``min(k, |passages|)`` rows.
-    ``queries``: ``qid, vec``; ``passages``: ``pid, vec`` (numeric arrays).
-    Keywords: ``qid, pid, vec`` column names, ``block_bytes`` (one side of a
-    cell), ``score_bytes`` (score tile).  Missing or non-finite vectors,
-    vectors of other lengths and repeated query ids are errors.
+    ``queries``: ``qid, vec``; ``passages``: ``pid, vec`` (numeric arrays);
+    each side runs once (passages that are more than a scan are stored first
+    where a sample is read too).  Keywords: ``qid, pid, vec`` column names and
+    the byte budgets ``block_bytes`` (a query block), ``lot_bytes`` (passages
+    compared at a time), ``score_bytes`` (score tile), ``state_bytes`` (a
+    task's running results).  Missing or non-finite vectors, vectors of other
+    lengths and repeated query ids are errors.
     """
     w = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("pid").asc())
     return (topk_candidates(queries, passages, k, **kw).withColumn("rank", F.row_number().over(w))

@@ -41,7 +41,7 @@ def test_equal_vectors_rank_by_id_in_every_cell(spark):
     base = [float(x) for x in rng.normal(size=13)]
     q = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=13)]) for i in range(9)], "qid long, vec array<double>")
     p = spark.createDataFrame([(i, base) for i in range(200)], "pid long, vec array<double>")
-    for r in mips_topk(q, p, 4, block_bytes=13 * 8 * 30).collect():
+    for r in mips_topk(q, p, 4, block_bytes=13 * 8 * 3, lot_bytes=13 * 8 * 30).collect():
         assert r.pid == r["rank"] - 1
 
 
@@ -99,9 +99,75 @@ def test_gaussian_fold_equals_closed_form(spark):
         assert best[qid] == int(np.argmax(dens))
 
 
-def test_plan(spark):
-    q = _vectors(spark, 3, 4, 6, "qid")
-    p = _vectors(spark, 20, 4, 7, "pid")
-    plan = mips_topk(q, p, 2)._jdf.queryExecution().executedPlan().toString()
-    assert "FlatMapGroupsInArrow" in plan and "WindowGroupLimit" in plan
-    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+def _executed(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plan(spark, monkeypatch):
+    """The passages are mapped where they lie: the only exchange is of local results, by query."""
+    from dpmine.operators import search as S
+    plans, write = [], S.materialize
+    monkeypatch.setattr(S, "materialize", lambda df, name: plans.append((name, _executed(df))) or write(df, name))
+    run = mips_topk(_vectors(spark, 3, 4, 6, "qid"), _vectors(spark, 20, 4, 7, "pid").repartition(2), 2)
+    scans = [plan for name, plan in plans if name == "local-results"]
+    assert len(scans) == 1 and "MapInArrow" in scans[0]
+    final = _executed(run)
+    assert "WindowGroupLimit" in final and final.count("Exchange") == 1
+    stored = spark.read.parquet(_stored(spark, 30, 4, "pid"))
+    plans.clear()
+    mips_topk(_vectors(spark, 3, 4, 6, "qid"), stored, 2, lot_bytes=1)           # many lots: a sample, then the scan
+    assert [name for name, _ in plans] == ["local-results", "bounds", "local-results", "bounds"]
+    assert all("Exchange" not in plan for name, plan in plans if name == "local-results")
+    assert not any("CartesianProduct" in p or "BroadcastNestedLoopJoin" in p for _, p in plans + [("", final)])
+
+
+def _stored(spark, n, d, name, parts=3):
+    from dpmine.session import scratch_path
+    path = scratch_path(spark, "test-vectors")
+    _vectors(spark, n, d, 11, name).repartition(parts).write.parquet(path)
+    return path
+
+
+def _counting(spark, df, id_name, counter):
+    """The rows as a model would give them, each counted when it runs."""
+    def run(batches):
+        for batch in batches:
+            counter.add(batch.num_rows)
+            yield batch
+    return df.mapInArrow(run, f"{id_name} long, vec array<double>")
+
+
+@pytest.mark.parametrize("lot_bytes", [64 << 20, 200])
+def test_each_side_runs_once(spark, lot_bytes):
+    asked, seen = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+    q = _counting(spark, _vectors(spark, 20, 4, 1, "qid"), "qid", asked)
+    p = _counting(spark, _vectors(spark, 400, 4, 2, "pid").repartition(5), "pid", seen)
+    got = {(r.qid, r.pid, r.rank) for r in mips_topk(q, p, 3, lot_bytes=lot_bytes).collect()}
+    assert (asked.value, seen.value) == (20, 400)
+    assert got == _brute([(r.qid, r.vec) for r in _vectors(spark, 20, 4, 1, "qid").collect()],
+                         [(r.pid, r.vec) for r in _vectors(spark, 400, 4, 2, "pid").collect()], 3)
+
+
+def test_candidates_of_a_hundred_lots(spark):
+    """With k = 100 and a hundred lots of 200 passages, under 3 000 rows a query reach the exchange."""
+    from dpmine.operators.search import topk_candidates
+    q = _vectors(spark, 12, 8, 1, "qid")
+    p = spark.read.parquet(_stored(spark, 20_000, 8, "pid", parts=25))
+    found = topk_candidates(q, p, 100, lot_bytes=200 * 64)
+    assert found.groupBy("qid").count().agg({"count": "max"}).first()[0] < 3000
+    got = {(r.qid, r.pid, r.rank) for r in mips_topk(q, p, 100, lot_bytes=200 * 64, state_bytes=24 * 300).collect()}
+    P = p.collect()
+    V, ids = np.array([r.vec for r in P]), np.array([r.pid for r in P])
+    for r in q.collect():
+        scores = V @ np.array(r.vec)
+        order = np.lexsort((ids, -scores))[:100]
+        assert {x for x in got if x[0] == r.qid} == {(r.qid, int(ids[i]), n + 1) for n, i in enumerate(order)}
+
+
+def test_blocks_by_broadcast_where_the_folder_does_not_open(spark, monkeypatch):
+    from dpmine.operators import search as S
+    q, p = _vectors(spark, 23, 8, 1, "qid"), _vectors(spark, 90, 8, 2, "pid").repartition(3)
+    want = {tuple(r) for r in mips_topk(q, p, 4).collect()}
+    monkeypatch.setattr(S, "_opens", lambda place: False)
+    assert {tuple(r) for r in mips_topk(q, p, 4, block_bytes=600).collect()} == want
+    assert mips_topk(q, p.limit(0), 4).collect() == [] and mips_topk(q.limit(0), p, 4).collect() == []
