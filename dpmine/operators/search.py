@@ -33,10 +33,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dpmine.functions.vectors import as_double_vector, dot, fold_passage, fold_query, non_finite
+from dpmine.functions.vectors import as_double_vector, dot, fold_passage, fold_query
 from dpmine.session import materialize, scratch_path
 
 BLOCK_BYTES = 256 << 20     # vectors of one query block: what a worker holds of the queries at a time
@@ -46,27 +46,23 @@ STATE_BYTES = 256 << 20     # a task's running results; beyond them it hands out
 FEW_LOTS = 16               # up to here the local results are exchanged without further bounds
 SAMPLE = 64                 # one passage in so many gives the first bounds
 BOUNDS_BYTES = 64 << 20     # bounds that are broadcast; more of them meet the local results by a shuffle
+EXPAND = 3                  # vectors in memory over vectors in Parquet files, at most as a rule
 CANDIDATES = "qid long, pid long, score double, place int"
 
 
 # ---------------------------------------------------------------- the query side
-def _stored_queries(queries: DataFrame, block_bytes: int) -> tuple[list[str], int, int]:
-    """Paths of the stored blocks (``id, vec, bound``), number of queries and vector length; the input runs once.
+def _bytes(df: DataFrame) -> int:
+    """Size of a plan's result as Spark estimates it: of stored tables, that of their files."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
-    Bad rows are errors, never dropped.  Equal ids are in one block.
-    """
-    spark, seen = queries.sparkSession, Observation()
-    bad = F.col("id").isNull() | F.col("vec").isNull() | non_finite("vec")
-    path = scratch_path(spark, "queries")
-    queries.observe(seen, F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("d"), F.min(F.size("vec")).alias("least"),
-                    F.count(F.when(bad, True)).alias("bad")).write.parquet(path)
-    n, d, least = seen.get["n"], seen.get["d"], seen.get["least"]
-    if seen.get["bad"]:
-        raise ValueError(f"{seen.get['bad']} query rows have no id, no vector or a non-finite component")
-    if n and d != least:
-        raise ValueError(f"query vectors have different lengths ({least}..{d})")
-    blocks = min(n, math.ceil(n * 8 * ((d or 0) + 1) / max(block_bytes, 1)))
-    return ([path] if blocks == 1 else _in_blocks(spark.read.parquet(path), blocks)) if n else [], n, d or 0
+
+def _stored_queries(queries: DataFrame, block_bytes: int) -> list[str]:
+    """Paths of the stored blocks (``id, vec, bound``), as many as the size of the files asks for; the input runs once."""
+    path = scratch_path(queries.sparkSession, "queries")
+    queries.write.parquet(path)
+    stored = queries.sparkSession.read.schema(queries.schema).parquet(path)
+    blocks = math.ceil(EXPAND * _bytes(stored) / max(block_bytes, 1))
+    return [path] if blocks <= 1 else _in_blocks(stored, min(blocks, max(1, stored.count())))
 
 
 def _in_blocks(rows: DataFrame, blocks: int) -> list[str]:
@@ -81,7 +77,10 @@ _held: dict = {}            # the query block that this worker used last
 
 
 def _block(place) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ids, vectors, bounds) of a stored block: from the shared folder, or from a broadcast where Arrow can't open it."""
+    """(ids, vectors, bounds) of a stored block: from the shared folder, or from a broadcast where Arrow can't open it.
+
+    Bad rows are errors, never dropped; equal ids are always in one block.
+    """
     key, held = place if isinstance(place, tuple) else (place, None)
     if key not in _held:
         _held.clear()
@@ -91,15 +90,24 @@ def _block(place) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             table = parquet.read_table(path, filesystem=files, partitioning=None)
         else:
             table = held.value
-        ids = table.column("id").to_numpy()
+        ids, vectors = _checked(table.column("id"), table.column("vec").combine_chunks(), "query")
         if len(np.unique(ids)) != len(ids):
             raise ValueError("repeated query ids")
-        vectors = table.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
-        bounds = pc.fill_null(table.column("bound"), -np.inf).to_numpy().copy()
-        _held[key] = ids, np.ascontiguousarray(vectors), bounds
+        _held[key] = ids, vectors, pc.fill_null(table.column("bound"), -np.inf).to_numpy().copy()
     return _held[key]
 
 
+def _checked(ids, vec: pa.ListArray, side: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and the matrix of their vectors; what is missing, not finite or of another length is an error."""
+    flat = vec.flatten().to_numpy(zero_copy_only=False)
+    if ids.null_count or vec.null_count or not np.isfinite(flat).all():
+        raise ValueError(f"{side} rows have no id, no vector or a non-finite component")
+    lengths = pc.unique(pc.list_value_length(vec)).to_pylist()
+    if len(lengths) > 1:
+        raise ValueError(f"{side} vectors have different lengths ({min(lengths)}..{max(lengths)})")
+    return ids.to_numpy(), np.ascontiguousarray(flat.reshape(len(vec), lengths[0] if lengths else 0), np.float64)
+
+
 def _opens(place: str) -> bool:
     from pyarrow import fs
     try:
@@ -177,45 +185,46 @@ class _Running:
         self.parts, self.new, self.kept = [], 0, 0
 
 
-def _lots(batches: Iterator[pa.RecordBatch], d: int, lot_bytes: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, vectors) of the passages in lots; bad rows are errors."""
+def _lots(batches: Iterator[pa.RecordBatch], lot_bytes: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, vectors) of the passages in lots."""
     ids, vectors, size = [], [], 0
-    rows = max(1, lot_bytes // (8 * max(d, 1)))
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            piece = batch.slice(at, rows)
-            vec = piece.column("vec")
-            flat = vec.flatten().to_numpy(zero_copy_only=False)
-            if piece.column("id").null_count or vec.null_count or not np.isfinite(flat).all():
-                raise ValueError("passage rows have no id, no vector or a non-finite component")
-            if (pc.list_value_length(vec).to_numpy() != d).any():
-                raise ValueError(f"passage vectors have another length than the queries' ({d})")
-            ids.append(piece.column("id").to_numpy())
-            vectors.append(flat.reshape(-1, d))
-            size += len(ids[-1])
-            if size >= rows:
-                yield np.concatenate(ids), np.ascontiguousarray(np.concatenate(vectors), np.float64)
+        wide = max(1, batch.column("vec").nbytes // max(batch.num_rows, 1))
+        for at in range(0, batch.num_rows, max(1, lot_bytes // wide)):
+            piece = batch.slice(at, max(1, lot_bytes // wide))
+            i, v = _checked(piece.column("id"), piece.column("vec"), "passage")
+            if vectors and v.shape[1] != vectors[0].shape[1]:
+                raise ValueError("passage vectors have different lengths")
+            ids.append(i)
+            vectors.append(v)
+            size += v.nbytes
+            if size >= lot_bytes:
+                yield np.concatenate(ids), np.concatenate(vectors)
                 ids, vectors, size = [], [], 0
-    if size:
-        yield np.concatenate(ids), np.ascontiguousarray(np.concatenate(vectors), np.float64)
+    if ids:
+        yield np.concatenate(ids), np.concatenate(vectors)
 
 
-def _scan(passages: DataFrame, places: list, d: int, k: int, lot_bytes: int, score_bytes: int, state_bytes: int) -> DataFrame:
+def _scan(passages: DataFrame, places: list, k: int, lot_bytes: int, score_bytes: int, state_bytes: int) -> DataFrame:
     """One pass over the passages; each task's best k per query with their place, stored: ``qid, pid, score, place``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         running = _Running(k, state_bytes)
-        for pids, P in _lots(batches, d, lot_bytes):
+        for pids, P in _lots(batches, lot_bytes):
             for b, place in enumerate(places):
                 ids, Q, bounds = _block(place)
                 if len(running.ids) <= b:
                     running.ids.append(ids)
                     running.bounds.append(bounds.copy())
+                if not len(ids):
+                    continue
+                if P.shape[1] != Q.shape[1]:
+                    raise ValueError(f"passage vectors have length {P.shape[1]}, query vectors {Q.shape[1]}")
                 yield from running.add(b, *best_of(Q, running.bounds[b], pids, P, k, score_bytes))
         yield from running.hand_out()
     try:
         return materialize(passages.mapInArrow(run, CANDIDATES), "local-results")
     except PySparkException as e:
-        if said := re.search(r"ValueError: ((?:passage|repeated query)[^\n]*)", str(e)):
+        if said := re.search(r"ValueError: ((?:passage|query|repeated query)[^\n]*)", str(e)):
             raise ValueError(said[1]) from e
         raise
 
@@ -233,21 +242,18 @@ def topk_candidates(queries: DataFrame, passages: DataFrame, k: int, *, qid: str
     spark = queries.sparkSession
     q = queries.select(F.col(qid).cast("long").alias("id"), as_double_vector(vec).alias("vec"), F.lit(None).cast("double").alias("bound"))
     p = passages.select(F.col(pid).cast("long").alias("id"), as_double_vector(vec).alias("vec"))
-    places, n, d = _stored_queries(q, block_bytes)
-    if not n:
-        return spark.createDataFrame([], "qid long, pid long, score double")
-    size = lambda df: int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size(p) > FEW_LOTS * lot_bytes and not _in_place(p):
+    places = _stored_queries(q, block_bytes)
+    if EXPAND * _bytes(p) > FEW_LOTS * lot_bytes and not _in_place(p):
         p = materialize(p, "passages")                       # two passes follow
-    many = size(p) > FEW_LOTS * lot_bytes
+    many = EXPAND * _bytes(p) > FEW_LOTS * lot_bytes
 
     def scan(rows: DataFrame, places: list) -> DataFrame:
         if _opens(places[0]):
-            return _scan(rows, places, d, k, lot_bytes, score_bytes, state_bytes)
+            return _scan(rows, places, k, lot_bytes, score_bytes, state_bytes)
         found = []
         for place in places:                                 # a block at a time through the driver, never all
             held = spark.sparkContext.broadcast(spark.read.parquet(place).toArrow())
-            found.append(_scan(rows, [(place, held)], d, k, lot_bytes, score_bytes, state_bytes))
+            found.append(_scan(rows, [(place, held)], k, lot_bytes, score_bytes, state_bytes))
             held.destroy()
         return reduce(DataFrame.unionByName, found)
 
@@ -267,7 +273,7 @@ def topk_candidates(queries: DataFrame, passages: DataFrame, k: int, *, qid: str
     if many:
         tasks = max(1, len(found.inputFiles()))
         bars = kth(found.filter(F.col("place") <= math.ceil(2 * k / tasks)))
-        bars = F.broadcast(bars) if 16 * n <= BOUNDS_BYTES else bars
+        bars = F.broadcast(bars) if _bytes(bars) <= BOUNDS_BYTES else bars
         found = found.join(bars, "qid", "left").filter(F.col("bar").isNull() | (F.col("score") >= F.col("bar")))
     return found.select("qid", "pid", "score")
 

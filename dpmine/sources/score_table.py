@@ -14,7 +14,7 @@ import hashlib
 import re
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dpmine.sources.commits import CommitLog, delete, folders
@@ -78,12 +78,11 @@ class ScoreCache:
     # ---- writing
     def _write(self, rows: DataFrame, name: str, buckets: int) -> dict:
         """Write ``qid, pid, score, batch`` as one piece, one sorted file a bucket; returns its name and rows."""
-        piece, seen = f"{re.sub(r'[^A-Za-z0-9_.-]', '_', name)}-{uuid.uuid4().hex[:12]}", Observation()
-        held = f"{self._table}_{uuid.uuid4().hex[:12]}"
-        (rows.observe(seen, F.count(F.lit(1)).alias("n")).repartition(buckets, *KEYS)
-         .write.bucketBy(buckets, *KEYS).sortBy(*KEYS).option("path", f"{self.root}/data/piece={piece}").saveAsTable(held))
+        piece = f"{re.sub(r'[^A-Za-z0-9_.-]', '_', name)}-{uuid.uuid4().hex[:12]}"
+        held, path = f"{self._table}_{uuid.uuid4().hex[:12]}", f"{self.root}/data/piece={piece}"
+        (rows.repartition(buckets, *KEYS).write.bucketBy(buckets, *KEYS).sortBy(*KEYS).option("path", path).saveAsTable(held))
         self.spark.sql(f"DROP TABLE {held}")                     # the files stay: the table was external
-        return {"piece": piece, "rows": seen.get["n"]}
+        return {"piece": piece, "rows": self.spark.read.schema(self.SCHEMA).parquet(path).count()}
 
     def append_new(self, new: DataFrame, batch: str) -> DataFrame:
         """Write the keys of ``new`` that the table lacks as batch ``batch``; return that batch.
@@ -101,7 +100,7 @@ class ScoreCache:
             piece = self._write(rows.join(have, KEYS, "left_anti").withColumn("batch", F.lit(batch)), batch, buckets)
             if self.log.commit({"buckets": buckets, "add": [{**piece, "batches": [batch]}]}, last):
                 return self._batch(batch)
-            rows = self.spark.read.parquet(f"{self.root}/data/piece={piece['piece']}").select("qid", "pid", "score")
+            rows = self.spark.read.schema(self.SCHEMA).parquet(f"{self.root}/data/piece={piece['piece']}")
 
     def compact(self, small: int = 1_000_000, least: int = 2) -> int:
         """Merge the pieces of under ``small`` rows into one, if there are ``least`` of them; returns how many.
