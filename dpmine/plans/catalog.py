@@ -8,6 +8,9 @@ so that the DuckDB oracle compares equal regardless of summation order.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +47,7 @@ SCORE_BATCH = 100
 HEAD_N = 10
 HASH_DIM = 64
 SEQ_MASK_MOD = 5
+VECTOR_DIM = 64
 
 
 _stages: dict = {}     # of the query that is being built: shared inputs are stored once per query, never across queries
@@ -109,11 +113,14 @@ def q_score_matrix(spark, sf):
 
 
 def q_mips_topk(spark, sf):
-    return run_k(spark, sf, TOPK).select("qid", "pid", "rank", _r("score"))
+    run = S.mips_topk(T.query_vectors(spark, sf), T.searched_vectors(spark, sf), TOPK)
+    return run.select("qid", "pid", "rank", _r("score"))
 
 
 def q_gaussian_topk(spark, sf):
-    return gaussian_run(spark, sf, TOPK).select("qid", "pid", "rank", _r("score"))
+    q = T.query_vectors(spark, sf).select("qid", F.col("vec").alias("mean"))
+    run = S.gaussian_topk(q, T.gaussians(T.searched_vectors(spark, sf)), TOPK)
+    return run.select("qid", "pid", "rank", _r("score"))
 
 
 # ---------------------------------------------------------------- evaluation
@@ -447,22 +454,22 @@ def _explode_vec(df, id_col, vec_col):
 
 
 def q_fold_query(spark, sf):
-    p = T.passage_vectors(spark, sf)
+    p = T.all_vectors(spark, sf)
     return _explode_vec(p.select("pid", V.fold_query("vec").alias("v")), "pid", "v")
 
 
 def q_fold_passage(spark, sf):
-    g = T.passage_gaussians(spark, sf)
+    g = T.gaussians(T.all_vectors(spark, sf))
     return _explode_vec(g.select("pid", V.fold_passage("mean", "var").alias("v")), "pid", "v")
 
 
 def q_softplus(spark, sf):
-    return _explode_vec(T.passage_vectors(spark, sf).select("pid", V.softplus("vec").alias("v")), "pid", "v")
+    return _explode_vec(T.all_vectors(spark, sf).select("pid", V.softplus("vec").alias("v")), "pid", "v")
 
 
 def token_sequences(spark, sf):
-    """Passage vectors of one label, in id order, as one token sequence; every fifth id masked."""
-    p = T.passage_vectors(spark, sf)
+    """The vectors of one label, in id order, as one token sequence; every fifth id masked."""
+    p = T.all_vectors(spark, sf)
     return p.select(F.col("label").alias("seq"), F.col("pid").alias("pos"), "vec",
                     (F.col("pid") % SEQ_MASK_MOD != 0).alias("mask"))
 
@@ -472,12 +479,25 @@ def q_first_token_pool(spark, sf):
 
 
 def q_attention_pool(spark, sf):
-    return PL.attention_pool(token_sequences(spark, sf)).select("seq", "i", _r("x"))
+    return PL.attention_pool(token_sequences(spark, sf), projections=projections()).select("seq", "i", _r("x"))
+
+
+def projections():
+    """Three different matrices from the vectors' 64 components to 16, 16 and 8, with biases."""
+    m = lambda out, seed: np.array(T.projection(out, VECTOR_DIM, seed))
+    return PL.Projections(m(16, 1), m(16, 2), m(8, 5), np.arange(16) / 10, np.arange(8) / 10)
+
+
+def q_passage_model(spark, sf):
+    """Folded passage vectors from token rows: first token as mean, softplus of the attention pool as variance."""
+    m = np.array(T.projection(VECTOR_DIM, VECTOR_DIM, 4))
+    model = replace(projections(), value=m, value_bias=None)
+    return _explode_vec(PL.folded_passages(token_sequences(spark, sf), model), "seq", "vec")
 
 
 def q_embeddings_store(spark, sf):
     path = scratch_path(spark, "embeddings")
-    IO.write_embeddings(T.passage_vectors(spark, sf), path, "pid", "vec")
+    IO.write_embeddings(T.all_vectors(spark, sf), path, "pid", "vec")
     return _explode_vec(IO.read_embeddings(spark, path).withColumnRenamed("id", "pid"), "pid", "vec")
 
 
@@ -678,6 +698,7 @@ QUERIES = {
     "softplus": q_softplus,
     "first_token_pool": q_first_token_pool,
     "attention_pool": q_attention_pool,
+    "passage_model": q_passage_model,
     "embeddings_store": q_embeddings_store,
     "encode_hashed": q_encode_hashed,
     "read_corpus": q_read_corpus,

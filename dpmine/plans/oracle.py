@@ -51,6 +51,9 @@ def _groups(src: str, n: int) -> str:
             f"SELECT qid, 0 AS slot, pid, score FROM ({_pos(src)}) UNION ALL {_negs(src, n)})) WHERE size = {n + 1}")
 
 
+FOLD = ("[-0.5 * list_sum(list_transform(var, lambda x: ln(x)))] || list_transform(var, lambda x: -0.5 / x) || "
+        "list_transform(list_zip(mean, var), lambda t: t[1] / t[2]) || "
+        "[-0.5 * list_sum(list_transform(list_zip(mean, var), lambda t: t[1] * t[1] / t[2]))] AS v")
 TEACH = "-list_sum(list_transform(list_zip(q.vec, p.vec), lambda t: (t[1] - t[2]) * (t[1] - t[2])))"
 # fixed values: the token pattern and Python's white space, in this dialect
 TOKEN = r"[\p{L}\p{N}\p{M}]+|[^\p{Z}\p{C}]"
@@ -86,11 +89,22 @@ def _explode(src: str, id_col: str, vec: str) -> str:
             f"unnest(generate_series(0, len({vec}) - 1)) AS i, unnest({vec}) AS x FROM {src})")
 
 
+def _project(vec: str, out: int, seed: int, bias: bool) -> str:
+    """Product of a vector with the bindings' fixed matrix, and the bias i / 10."""
+    return (f"list_transform(range({out}), lambda i: list_sum(list_transform(range(len({vec})), lambda j: {vec}[j + 1] * "
+            f"((7 * i + 3 * j + {seed} * (i + 1) * (j + 1)) % 23 - 11) / 40.0))" + (" + i / 10.0)" if bias else ")"))
+
+
 # name -> (dependencies, body)
 CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "q": ((), "SELECT vec_id AS qid, CAST(embedding AS DOUBLE[]) AS vec, label FROM embeddings WHERE vec_id % 10 = 0"),
     "p": ((), "SELECT vec_id AS pid, CAST(embedding AS DOUBLE[]) AS vec, label FROM embeddings "
           "WHERE vec_id % 10 <> 0 AND vec_id IN (SELECT doc_id FROM documents)"),
+    "every": ((), "SELECT vec_id AS pid, CAST(embedding AS DOUBLE[]) AS vec, label FROM embeddings"),
+    "ps": (("every",), "SELECT * FROM every WHERE pid % 10 <> 0"),
+    "eg": (("every",), "SELECT pid, vec AS mean, list_transform(vec, lambda x: CASE WHEN x < 10 THEN ln(1 + exp(x)) "
+                       "ELSE x END) AS var FROM every"),
+    "pgs": (("eg",), "SELECT * FROM eg WHERE pid % 10 <> 0"),
     "pg": (("p",), "SELECT pid, vec AS mean, list_transform(vec, lambda x: CASE WHEN x < 10 THEN ln(1 + exp(x)) "
                    "ELSE x END) AS var FROM p"),
     "qr": (("q", "p"), "SELECT q.qid, p.pid, 1 AS rel FROM q JOIN p ON q.label = p.label AND q.qid % 7 = p.pid % 7 "
@@ -106,6 +120,10 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "grun": (("q", "pg"), _run(10, "q, pg", "-0.5 * list_sum(list_transform(list_zip(q.vec, pg.mean, pg.var), "
                                            "lambda t: ln(t[3]) + (t[1] - t[2]) * (t[1] - t[2]) / t[3]))",
                                "q.qid, pg.pid")),
+    "runs": (("q", "ps"), _run(10, "q, ps", "list_dot_product(q.vec, ps.vec)", "q.qid, ps.pid")),
+    "gruns": (("q", "pgs"), _run(10, "q, pgs", "-0.5 * list_sum(list_transform(list_zip(q.vec, pgs.mean, pgs.var), "
+                                               "lambda t: ln(t[3]) + (t[1] - t[2]) * (t[1] - t[2]) / t[3]))",
+                                 "q.qid, pgs.pid")),
     "hn": (("qt", "qr", "run200"), _hn("run200", 100)),
     "fh": (("run100", "qe"), "SELECT r.qid, min(r.rank) AS first_rank FROM run100 r "
                              "JOIN (SELECT DISTINCT qid, pid FROM qe) j USING (qid, pid) GROUP BY r.qid"),
@@ -162,11 +180,17 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
                   "CROSS JOIN (SELECT unnest([1, 2]) AS L) WHERE s + L <= len(w)"),
     "keptgrams": (("grams",), "SELECT * FROM grams WHERE NOT list_bool_or(list_transform(ws, lambda x: "
                               "NOT regexp_matches(x, '^[\\p{L}\\p{N}\\p{M}]')))"),
-    "seqs": (("p",), "SELECT label AS seq, pid AS pos, vec, pid % 5 <> 0 AS mask FROM p"),
-    "attn": (("seqs",), "SELECT seq, vec, w FROM (SELECT seq, vec, e / sum(e) OVER (PARTITION BY seq) AS w FROM ("
-                        "SELECT seq, vec, exp(a - max(a) OVER (PARTITION BY seq)) AS e FROM ("
-                        "SELECT t.seq, t.vec, list_dot_product(fq.q, t.vec) / sqrt(len(fq.q)) AS a FROM seqs t JOIN "
-                        "(SELECT seq, arg_min(vec, pos) AS q FROM seqs GROUP BY seq) fq USING (seq) WHERE t.mask)))"),
+    "seqs": (("every",), "SELECT label AS seq, pid AS pos, vec, pid % 5 <> 0 AS mask FROM every"),
+    "fq": (("seqs",), "SELECT seq, " + _project("first", 16, 1, True) + " AS q, first FROM "
+                      "(SELECT seq, arg_min(vec, pos) AS first FROM seqs GROUP BY seq)"),
+    "attn": (("seqs", "fq"), "SELECT seq, vec, e / sum(e) OVER (PARTITION BY seq) AS w FROM ("
+                             "SELECT seq, vec, exp(a - max(a) OVER (PARTITION BY seq)) AS e FROM ("
+                             "SELECT t.seq, t.vec, list_dot_product(fq.q, " + _project("t.vec", 16, 2, False) +
+                             ") / sqrt(len(t.vec)) AS a FROM seqs t JOIN fq USING (seq) WHERE t.mask))"),
+    "pooled": (("attn", "fq"), "SELECT seq, any_value(fq.first) AS mean, list(CASE WHEN x < 10 THEN ln(1 + exp(x)) ELSE x END "
+                               "ORDER BY i) AS var FROM (SELECT seq, i, sum(w * x) AS x FROM (SELECT seq, w, "
+                               "unnest(range(64)) AS i, unnest(" + _project("vec", 64, 4, False) + ") AS x FROM attn) "
+                               "GROUP BY seq, i) JOIN fq USING (seq) GROUP BY seq"),
 }
 
 
@@ -193,8 +217,8 @@ SQL = {
     # search
     "score_matrix": sql("SELECT q.qid // 100 AS batch, q.qid, p.pid, round(list_dot_product(q.vec, p.vec), 6) AS score "
                         "FROM q JOIN p ON q.qid // 100 = p.pid // 100", "q", "p"),
-    "mips_topk": sql(f"SELECT qid, pid, rank, {R('score')} FROM run10", "run10"),
-    "gaussian_topk": sql(f"SELECT qid, pid, rank, {R('score')} FROM grun", "grun"),
+    "mips_topk": sql(f"SELECT qid, pid, rank, {R('score')} FROM runs", "runs"),
+    "gaussian_topk": sql(f"SELECT qid, pid, rank, {R('score')} FROM gruns", "gruns"),
     # evaluation
     "eval_mrr": sql(f"SELECT {R('mrr_at_10')} FROM m", "m"),
     "eval_recall": sql(f"SELECT {R('recall_at_1')}, {R('recall_at_50')}, {R('recall_at_all')} FROM m", "m"),
@@ -304,16 +328,17 @@ SQL = {
     "with_ordinal": "SELECT doc_id, text, CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS ordinal FROM documents",
     "head_sample": "SELECT doc_id, text FROM documents ORDER BY doc_id LIMIT 10",
     # vectors
-    "fold_query": sql(_explode("(SELECT pid, [1.0] || list_transform(vec, lambda x: x * x) || vec || [1.0] AS v FROM p)",
-                               "pid", "v"), "p"),
-    "fold_passage": sql(_explode("(SELECT pid, [-0.5 * list_sum(list_transform(var, lambda x: ln(x)))] || list_transform(var, lambda x: -0.5 / x) || list_transform(list_zip(mean, var), lambda t: t[1] / t[2]) || [-0.5 * list_sum(list_transform(list_zip(mean, var), lambda t: t[1] * t[1] / t[2]))] AS v FROM pg)", "pid", "v"), "pg"),
-    "softplus": sql(_explode("pg", "pid", "var"), "pg"),
+    "fold_query": sql(_explode("(SELECT pid, [1.0] || list_transform(vec, lambda x: x * x) || vec || [1.0] AS v FROM every)",
+                               "pid", "v"), "every"),
+    "fold_passage": sql(_explode(f"(SELECT pid, {FOLD} FROM eg)", "pid", "v"), "eg"),
+    "softplus": sql(_explode("eg", "pid", "var"), "eg"),
     "first_token_pool": sql(_explode("(SELECT seq, arg_min(vec, pos) AS vec FROM seqs GROUP BY seq)", "seq", "vec"),
                             "seqs"),
     "attention_pool": sql("SELECT seq, CAST(i AS INTEGER) AS i, round(sum(w * x), 6) AS x FROM (SELECT seq, w, "
-                          "unnest(generate_series(0, len(vec) - 1)) AS i, unnest(vec) AS x FROM attn) GROUP BY seq, i",
+                          "unnest(range(8)) AS i, unnest(" + _project("vec", 8, 5, True) + ") AS x FROM attn) GROUP BY seq, i",
                           "attn"),
-    "embeddings_store": sql(_explode("p", "pid", "vec"), "p"),
+    "passage_model": sql(_explode(f"(SELECT seq, {FOLD} FROM pooled)", "seq", "v"), "pooled"),
+    "embeddings_store": sql(_explode("every", "pid", "vec"), "every"),
     "encode_hashed": (f"SELECT doc_id, CAST(bucket AS INTEGER) AS bucket, count(*) AS n FROM (SELECT doc_id, "
                       f"('0x' || substr(md5(t), 1, 8))::BIGINT % 64 AS bucket FROM (SELECT doc_id, "
                       f"unnest({_toks('text', True)}) AS t FROM documents)) GROUP BY doc_id, bucket"),

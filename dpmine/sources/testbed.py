@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from dpmine.functions.vectors import as_double_vector, softplus
 
 # fixed binding values
-QUERY_MOD = 10                # embeddings with vec_id mod 10 = 0 are queries; the others with a document are passages
+QUERY_MOD = 10                # embeddings with vec_id mod 10 = 0 are queries; mining takes the others with a document as passages
 SPAN = 500                    # judgements stay inside spans of 500 ids, so their number grows with the table
 QRELS_MOD = 7                 # qrels: equal label and equal vec_id mod 7
 EVAL_MUL, EVAL_MOD = 31, 41   # evaluation qrels: (31 · qid + pid) mod 41 = 0; qid a query or vec_id mod 100 = 5
@@ -31,8 +31,24 @@ def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("vec_id").alias("qid"), as_double_vector("embedding").alias("vec"), "label")
 
 
+def all_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pid, vec, label``: the whole vector table."""
+    return table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("pid"), as_double_vector("embedding").alias("vec"), "label")
+
+
+def searched_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pid, vec, label``: every vector that is not a query, with a text or without."""
+    return all_vectors(spark, sf_dir).filter(F.col("pid") % QUERY_MOD != 0)
+
+
+def gaussians(vectors: DataFrame) -> DataFrame:
+    """``pid, mean, var``: mean = the vector, var = softplus of it."""
+    return vectors.select("pid", F.col("vec").alias("mean"), softplus("vec").alias("var"))
+
+
 def passage_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``pid, vec, label``: the passage side of the vector table (every passage has a text)."""
+    """``pid, vec, label``: the passages of mining and scoring, which need a text."""
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"))
     e = table(spark, sf_dir, "embeddings").join(d, "vec_id", "left_semi")
     return e.filter(F.col("vec_id") % QUERY_MOD != 0).select(
@@ -40,9 +56,7 @@ def passage_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def passage_gaussians(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``pid, mean, var``: mean = the vector, var = softplus of it."""
-    p = passage_vectors(spark, sf_dir)
-    return p.select("pid", F.col("vec").alias("mean"), softplus("vec").alias("var"))
+    return gaussians(passage_vectors(spark, sf_dir))
 
 
 def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,3 +97,8 @@ def query_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+def projection(out: int, wide: int, seed: int) -> list[list[float]]:
+    """A fixed matrix for the model's projections: ``((7 i + 3 j + seed (i + 1) (j + 1)) mod 23 - 11) / 40``."""
+    return [[((7 * i + 3 * j + seed * (i + 1) * (j + 1)) % 23 - 11) / 40 for j in range(wide)] for i in range(out)]
