@@ -25,7 +25,9 @@ SAMPLE = 600             # labelled rows a language that the model is fitted on,
 CALIBRATION = 4          # every so many of them calibrate instead of being counted
 MAX_LANGUAGES = 256
 MAX_TYPES = 20_000_000   # n-grams of all languages together that the driver takes; more is an error
-REJECT_Z = 8.0           # deviations from a language's mean cross-entropy beyond which a text is rejected
+FALSE_REJECTION = 1e-3   # share of a language's own texts that may be rejected
+LONG = 200               # letters from which a text's cross-entropy shows the spread between texts
+LEAST = 8                # texts that give a language figures of its own
 UNKNOWN = "und"
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _LETTERS = None
@@ -98,6 +100,8 @@ class Model:
     mean: np.ndarray = None
     spread: np.ndarray = None
     noise: np.ndarray = None
+    limit: np.ndarray = None
+    foreign: np.ndarray = None
     sharpness: float = 1.0
 
     @property
@@ -197,22 +201,42 @@ def fit(counts: dict[str, dict[str, int]], order: int = ORDER) -> Model:
     return Model(order, languages, grams, logp, contexts, backoff, unseen)
 
 
-def calibrate(model: Model, texts: list[str], langs: list[str]) -> Model:
-    """Mean and spread of each language's cross-entropy, and the sharpness of the score, from labelled texts.
+def _tail(t: np.ndarray, rate: float) -> float:
+    """The value that a share ``rate`` exceeds, from an exponential tail above the ninth decile."""
+    ninth = float(np.quantile(t, 0.9))
+    above = t[t > ninth] - ninth
+    return ninth + (float(above.mean()) if len(above) else 0.0) * max(0.0, math.log(0.1 / rate))
 
-    ``spread`` is the deviation between long texts, ``noise`` that of a single character (short texts vary more).
+
+def calibrate(model: Model, texts: list[str], langs: list[str], rate: float = FALSE_REJECTION) -> Model:
+    """What cross-entropies each language's own texts have, and the sharpness of the score, from labelled texts.
+
+    ``mean`` and ``spread`` are the median and the scaled median deviation of a language's long texts, ``noise`` the
+    deviation of a single character (short texts vary more).  ``limit`` is how many such deviations above the mean a
+    text of the language is with probability ``rate``.  ``foreign`` is the median that the other languages' texts have.
+    A text is rejected above both.  Labelled texts that are likelier in another language are wrongly labelled and play
+    no part; a language with fewer than ``LEAST`` texts takes the figures of all together.
     """
     ce, n = model.cross_entropies(texts)
     at = np.array([model.languages.index(x) for x in langs], np.int64)
     own = ce[np.arange(len(at)), at]
-    model.mean, model.spread, model.noise = (np.zeros(len(model.languages)) for _ in range(3))
-    for i in range(len(model.languages)):
-        some = (at == i) & (n > 0)
-        mean = np.average(own[some], weights=n[some]) if some.any() else own[n > 0].mean() if (n > 0).any() else 0.0
-        long_ = some & (n >= 200)
-        model.mean[i] = mean
-        model.spread[i] = max(0.1, own[long_].std() if long_.sum() > 1 else 0.1)
-        model.noise[i] = max(2.0, math.sqrt(np.mean(n[some] * (own[some] - mean) ** 2)) if some.any() else 2.0)
+    good = (n > 0) & (ce.argmin(axis=1) == at) if len(at) else np.zeros(0, bool)
+    middle = lambda x, otherwise: float(np.median(x)) if len(x) >= LEAST else otherwise
+    by_lang = [good & (at == i) for i in range(len(model.languages))]
+    means = [middle(own[s & (n >= LONG)], middle(own[s], np.nan)) for s in by_lang]
+    known = [m for m in means if m == m]
+    everywhere = float(np.mean(known)) if known else float(own[n > 0].mean()) if (n > 0).any() else 0.0
+    model.mean = np.array([m if m == m else everywhere for m in means])
+    off = own - model.mean[at] if len(at) else own
+    spread = lambda s, otherwise: 1.4826 * middle(np.abs(off[s & (n >= LONG)]), otherwise / 1.4826)
+    noise = lambda s, otherwise: 1.4826 * middle((np.abs(off) * np.sqrt(n))[s & (n < LONG)], otherwise / 1.4826)
+    spread_all, noise_all = spread(good, 0.1), noise(good, 2.0)
+    model.spread = np.array([max(0.01, spread(s, spread_all)) for s in by_lang])
+    model.noise = np.array([max(0.1, noise(s, noise_all)) for s in by_lang])
+    t = off / np.sqrt(model.spread[at] ** 2 + model.noise[at] ** 2 / np.maximum(n, 1)) if len(at) else off
+    together = _tail(t[good], rate) if good.sum() >= LEAST else 8.0
+    model.foreign = np.array([middle(ce[good & ~s, i], 0.0) for i, s in enumerate(by_lang)])
+    model.limit = np.array([_tail(t[s], rate) if s.sum() >= LEAST else together for s in by_lang])
     best = None
     for sharpness in 2.0 ** np.arange(-3, 8):
         z = -(ce - ce.min(axis=1, keepdims=True))[n > 0] * sharpness
@@ -236,8 +260,8 @@ def predict(model: Model | None, texts: list) -> tuple[list, np.ndarray, np.ndar
     best = ce.argmin(axis=1)
     low = ce[np.arange(len(best)), best] if len(best) else np.zeros(0)
     score = 1.0 / np.exp(-(ce - low[:, None]) * model.sharpness).sum(axis=1)
-    limit = model.mean[best] + REJECT_Z * (model.spread[best] + model.noise[best] / np.sqrt(np.maximum(n, 1)))
-    empty = n == 0
+    limit = model.mean[best] + model.limit[best] * np.sqrt(model.spread[best] ** 2 + model.noise[best] ** 2 / np.maximum(n, 1))
+    limit, empty = np.maximum(limit, model.foreign[best]), n == 0
     return ([UNKNOWN if e else model.languages[b] for e, b in zip(empty, best)], np.where(empty, 0.0, score),
             np.where(empty, 0.0, low), empty | (low > limit))
 
@@ -251,15 +275,17 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
           sample: int = SAMPLE) -> Model | None:
     """Fit on a bounded sample: of each label the ``sample`` rows that are first by a hash of id and text, whole texts.
 
+    Rows of one label, id and text are one row.
+
     N-grams are counted in the executors and summed there; the driver gets one row per n-gram and the calibration
     texts, as many as the sample allows.  Without any labelled text the result is None.
     """
     rows = (docs.filter(~is_held_out(key) & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
             .select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"),
                     F.xxhash64(F.lit(17), F.col(key).cast("string"), text).alias("h")))
-    # ids and hashes are ranked (a row a label survives the map side limit); texts follow by a join on the hash
+    # copies of a row are one row, before anything is ranked; hashes are ranked, texts follow for those taken
     ranked = W.partitionBy("lang").orderBy("h")
-    chosen = rows.select("lang", "h").withColumn("n", F.row_number().over(ranked)).filter(F.col("n") <= sample)
+    chosen = rows.select("lang", "h").distinct().withColumn("n", F.row_number().over(ranked)).filter(F.col("n") <= sample)
     limits = chosen.groupBy("lang").agg(F.max("h").alias("top"), F.count("*").alias("rows")).collect()
     if not limits:
         return None
@@ -267,9 +293,10 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     top = F.create_map(*[F.lit(x) for r in limits for x in (r["lang"], r["top"])])
     few = {r["lang"] for r in limits if r["rows"] < 2 * CALIBRATION}
-    taken = rows.filter(F.col("h") <= top[F.col("lang")])
+    taken = rows.filter(F.col("h") <= top[F.col("lang")]).groupBy("lang", "h").agg(F.min("text").alias("text"))
     held = F.pmod(F.xxhash64("h"), F.lit(CALIBRATION)) == 0
-    counted = taken if few else taken.filter(~held)
+    scarce = F.col("lang").isin(sorted(few)) if few else F.lit(False)     # too few rows to keep some apart
+    counted = taken.filter(~held | scarce)
 
     def count(batches):
         for part in pieces(batches):
@@ -295,7 +322,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     for name, gram, n in zip(*(sums.column(c).to_pylist() for c in ("lang", "gram", "n"))):
         counts.setdefault(name, {})[gram] = n
     model = fit(counts, order)
-    spared = (taken.filter(held) if not few else taken).filter(F.col("lang").isin(model.languages)).select("lang", "text")
+    spared = taken.filter(held | scarce).filter(F.col("lang").isin(model.languages)).select("lang", "text")
     spared = spared.collect()            # at most ``sample`` rows a language
     return calibrate(model, [r["text"] for r in spared], [r["lang"] for r in spared])
 

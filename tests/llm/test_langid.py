@@ -85,8 +85,57 @@ def test_odd_rows(spark, odd_docs):
     assert langid.identify(odd_docs.limit(0), model).count() == 0
 
 
+SF = "/root/testdata/sf0.01"
+FOREIGN = ["xqzj wvkq zzxk qqjv pfgh xkcd bnmq wrtz " * 10, "Съешь же ещё этих мягких французских булок " * 5,
+           "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan " * 2,
+           "wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw " * 2,
+           "bütün insanlar hür haysiyet ve haklar bakımından eşit doğarlar akıl ve vicdana sahiptirler " * 2,
+           "minden emberi lény szabadon születik és egyenlő méltósága és joga van " * 2]
+
+
 def test_foreign_text_is_rejected(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.train(spark.read.parquet(f"{SF}/documents.parquet"))
+    assert langid.predict(model, FOREIGN)[3].tolist() == [True] * len(FOREIGN)
+
+
+def test_limits_of_each_language(spark):
+    """Own held-out texts pass at about the stated rate, for every language; the limit lies under unlearnt text."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = langid.train(docs)
-    noise = ["xqzj wvkq zzxk qqjv pfgh xkcd bnmq wrtz " * 10, "Съешь же ещё этих мягких французских булок " * 5]
-    assert langid.predict(model, noise)[3].tolist() == [True, True]
+    rows = [(r.lang, r.text) for r in docs.filter(langid.is_held_out() & F.col("lang").isNotNull() & F.col("text").rlike("[a-z]{3}")).collect()]
+    for lang in model.languages:
+        own = [t for x, t in rows if x == lang]
+        assert len(own) > 20 and np.mean(langid.predict(model, own)[3]) <= 0.02, lang
+    at100 = model.mean + model.limit * np.sqrt(model.spread ** 2 + model.noise ** 2 / 100)
+    ce, _ = model.cross_entropies(FOREIGN)
+    assert (ce.min(axis=0) > at100).all()
+
+
+def test_wrong_labels_do_not_widen_a_limit(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    wrong = docs.withColumn("lang", F.when((F.col("lang") == "de") & (F.col("doc_id") % 8 == 0), "fr").otherwise(F.col("lang")))
+    a, b = langid.train(docs), langid.train(wrong)
+    reach = lambda m: (m.mean + m.limit * np.sqrt(m.spread ** 2 + m.noise ** 2 / 100))[m.languages.index("fr")]
+    assert reach(b) < reach(a) + 0.5 and langid.predict(b, FOREIGN)[3].all()
+
+
+def test_copies_do_not_swamp_the_sample(spark, monkeypatch):
+    """The texts that calibrate are as many as the sample allows, however often a row is repeated."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").filter("text IS NOT NULL")
+    one = docs.filter(~langid.is_held_out() & (F.col("lang") == "en") & F.col("text").rlike("[a-z]{3}")).orderBy("doc_id").limit(1)
+    many = docs.unionByName(one.crossJoin(spark.range(4000)).drop("id"))
+    seen, own = [], langid.calibrate
+    monkeypatch.setattr(langid, "calibrate", lambda model, texts, langs: seen.append(len(texts)) or own(model, texts, langs))
+    a, b = langid.train(docs, sample=20), langid.train(many, sample=20)
+    assert seen[0] == seen[1] <= 20 * len(a.languages)
+    assert all((x == y).all() for x, y in zip(a.logp, b.logp))
+
+
+def test_a_scarce_label_leaves_the_others_apart(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    rare = spark.createDataFrame([(100_000 + i, f"zug zwölf boxkämpfer jagen viktor quer {i}", "xx") for i in range(4)], docs.schema)
+    counted, own = [], langid.calibrate
+    monkeypatch.setattr(langid, "calibrate", lambda model, texts, langs: counted.append(Counter(langs)) or own(model, texts, langs))
+    langid.train(docs)
+    langid.train(docs.unionByName(rare))
+    assert {k: v for k, v in counted[1].items() if k != "xx"} == dict(counted[0])
