@@ -64,9 +64,15 @@ def explode_groups(nested: DataFrame) -> DataFrame:
 
 
 def collect_positives(qrels: DataFrame, order: str = "pid") -> DataFrame:
-    """``qid, doc_ids``: every query's judged passages in order, duplicates kept."""
+    """``qid, doc_ids``: every query's judged passages in order, duplicates kept.
+
+    A list longer than ``MAX_LIST`` is an error before it is collected (the count shares the list's exchange).
+    """
+    too_long = F.raise_error(F.concat(F.lit(f"more than {MAX_LIST} entries in a list of qid "), F.col("qid").cast("string")))
+    n = F.count(F.lit(1)).over(_wq())
+    rows = qrels.withColumn("_n", n).withColumn("pid", F.when(F.col("_n") > MAX_LIST, too_long.cast("long")).otherwise(F.col("pid")))
     items = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col("pid"))))
-    return qrels.groupBy("qid").agg(F.transform(items, lambda x: x["pid"]).alias("doc_ids"))
+    return rows.groupBy("qid").agg(F.transform(items, lambda x: x["pid"]).alias("doc_ids"))
 
 
 def ranked_array(run: DataFrame, size: int, pad: int = 0, on_dup: str = "error") -> DataFrame:

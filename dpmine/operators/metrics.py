@@ -147,10 +147,23 @@ def distill_kl(scored: DataFrame, batch: str = "batch", student: str = "student"
     Per query ``Σ eᵗ (t − s)`` over its group, with ``s``/``t`` the
     log-softmaxed student/teacher scores; averaged over the batch's queries
     (``batchmean`` with log targets).
+
+    One exchange by query: the group's score pairs (a training group: n + 1 of
+    them; more than ``MAX_LIST`` are an error) meet in one array, whose two
+    largest scores, sums of exponentials and weighted difference give
+    ``Σ p (t − s) − lse(t) + lse(s)`` without a window or a sort.
     """
-    d = group_log_softmax(scored, student, ("qid",), "_s")
-    d = group_log_softmax(d, teacher, ("qid",), "_t")
-    per_q = d.groupBy(batch, "qid").agg(F.sum(F.exp("_t") * (F.col("_t") - F.col("_s"))).alias("kl_q"))
+    from dpmine.operators.groups import MAX_LIST
+    pair = F.struct(F.col(student).cast("double").alias("s"), F.col(teacher).cast("double").alias("t"))
+    g = scored.groupBy(batch, "qid").agg(F.collect_list(pair).alias("_g"))
+    many = F.raise_error(F.concat(F.lit("group too large: qid "), F.col("qid").cast("string"))).cast("double")
+    top = lambda c: F.array_max(F.transform("_g", lambda x: x[c]))
+    total = lambda f: F.aggregate("_g", F.lit(0.0), lambda acc, x: acc + f(x))
+    g = g.withColumns({"_ms": top("s"), "_mt": top("t")})
+    g = g.withColumns({"_zs": total(lambda x: F.exp(x["s"] - F.col("_ms"))), "_zt": total(lambda x: F.exp(x["t"] - F.col("_mt"))),
+                       "_d": total(lambda x: F.exp(x["t"] - F.col("_mt")) * ((x["t"] - F.col("_mt")) - (x["s"] - F.col("_ms"))))})
+    kl = F.col("_d") / F.col("_zt") - F.log("_zt") + F.log("_zs")
+    per_q = g.select(batch, "qid", F.when(F.size("_g") > MAX_LIST, many).otherwise(kl).alias("kl_q"))
     return per_q.groupBy(batch).agg(F.count(F.lit(1)).alias("n_queries"), F.avg("kl_q").alias("kl"))
 
 

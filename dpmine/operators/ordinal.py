@@ -9,7 +9,7 @@ rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dpmine.session import materialize
@@ -41,6 +41,32 @@ def with_ordinal(df: DataFrame, order_cols: list[str], name: str = "ordinal", to
     return out.drop("_mid", "_part", "_idx", "_off", "_all")
 
 
+MOST_SPLITS = 4_000_000     # whose offsets are broadcast (about 100 bytes each)
+
+
+def line_ordinals(spark: SparkSession, path: str, name: str = "ordinal") -> DataFrame:
+    """``value`` and the 0-based ordinal of every line that is not blank, over the files in name order.
+
+    The text is never sorted or exchanged.  A first pass counts the lines of each input split (file and block start) and
+    notes the row number at which the split begins in its task; running sums of the counts are the splits' offsets, and
+    a row's ordinal is its split's offset and its distance from there.  Both passes read the same splits; where they
+    differ (a setting that cuts the input was changed between the two) rows fail instead of getting another number.
+    """
+    lines = spark.read.text(path).filter(F.trim("value") != "").select(
+        "value", F.xxhash64(F.input_file_name()).alias("_file"), F.input_file_block_start().alias("_block"),
+        F.spark_partition_id().alias("_task"), F.monotonically_increasing_id().alias("_mid"), F.input_file_name().alias("_name"))
+    splits = materialize(lines.groupBy("_task", "_file", "_block").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"), F.min("_name").alias("_name")), "splits")
+    if splits.count() > MOST_SPLITS:
+        raise ValueError(f"more than {MOST_SPLITS} input splits: read with a larger spark.sql.files.maxPartitionBytes")
+    before = Window.orderBy("_name", "_block").rowsBetween(Window.unboundedPreceding, -1)       # a row a split
+    offsets = splits.select("_task", "_file", "_block", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    numbered = lines.drop("_name").join(F.broadcast(offsets), ["_task", "_file", "_block"], "left")
+    place = F.when(F.col("_first").isNull() | (F.col("_mid") < F.col("_first")), F.raise_error(F.lit(
+        "the input's splits changed between counting and reading")).cast("long")).otherwise(F.col("_off") + F.col("_mid") - F.col("_first"))
+    return numbered.select("value", place.cast("long").alias(name))
+
+
 def head_sample(df: DataFrame, n: int, order_cols: list[str]) -> DataFrame:
     """The first ``n`` rows in ``order_cols`` order (a top-n, not a full sort)."""
     return df.orderBy(*order_cols).limit(n)

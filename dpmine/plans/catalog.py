@@ -522,6 +522,19 @@ def q_encode_queries(spark, sf):
     return _explode_vec(out, "qid", "vec")
 
 
+def make_query_side_model():
+    """Stand-in for the query encoder: length and number of spaces, twice, to match the pairs' four numbers."""
+    return lambda rows: [2 * [float(len(x or "")), float((x or "").count(" "))] for (x,) in rows]
+
+
+def q_retrieve_texts(spark, sf):
+    """The whole retrieval job on texts: both sides encoded in shards, searched, and the run read from its file."""
+    root = scratch_path(spark, "retrieve")
+    J.retrieve_texts(spark, root, T.query_texts(spark, sf), T.corpus(spark, sf), make_query_side_model, make_length_model, TOPK,
+                     "lengths-1", run_path=f"{root}/run.tsv", shards=4)
+    return IO.read_run(spark, f"{root}/run.tsv", max_rank=TOPK, over="error")
+
+
 def make_overlap_model():
     """A deterministic stand-in for a cross-encoder: difference of text lengths."""
     return lambda queries, passages: [float(len(p) - len(q)) for q, p in zip(queries, passages)]
@@ -718,6 +731,7 @@ QUERIES = {
     "encode_passages": q_encode_passages,
     "encode_queries": q_encode_queries,
     "batch_scorer": q_batch_scorer,
+    "retrieve_texts": q_retrieve_texts,
     "evaluate_job": q_evaluate_job,
     "stage": q_stage,
 }

@@ -7,16 +7,20 @@ folder, so a round can resume and lost executors cost a re-read.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import asdict, dataclass, field
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dpmine.operators import encode as EN
 from dpmine.operators import groups as G
 from dpmine.operators import metrics as M
 from dpmine.operators import scoring as SC
 from dpmine.operators import search as S
+from dpmine.sources.commits import CommitLog, delete, exists, rename
+from dpmine.sources.io import Stage, write_run
 
 
 def retrieve(queries: DataFrame, passages: DataFrame, k: int, gaussian: bool = False, **kw) -> DataFrame:
@@ -26,6 +30,66 @@ def retrieve(queries: DataFrame, passages: DataFrame, k: int, gaussian: bool = F
     return S.mips_topk(queries, passages, k, **kw)
 
 
+def encode_shards(rows: DataFrame, root: str, id_col: str, text_cols: list[str], make_model, model_key: str, shards: int = 16,
+                  batch_size: int = 2048) -> DataFrame:
+    """U1 with a restart by shard: ``id, vec`` of all rows, encoded shard by shard into ``root``.
+
+    The texts are stored once, dealt by a hash of the id; every shard is encoded by a job of its own and then committed
+    to the folder's log, which is the manifest.  A restart encodes only the shards that are not in it.  The folder is
+    keyed by the input (plan and files) and ``model_key``: name a new version of a model anew.
+    """
+    spark, what = rows.sparkSession, {"model": model_key, "texts": text_cols, "shards": shards}
+    of = F.pmod(F.xxhash64(id_col), F.lit(shards)).cast("int")
+    keyed = Stage(spark, root, "encode", what, [rows])
+    texts = Stage(spark, keyed.path, "texts")
+    if not texts.exists():
+        held = f"{texts.path}.{uuid.uuid4().hex[:12]}.tmp"
+        rows.select(id_col, *text_cols, of.alias("shard")).repartition(shards, "shard").write.partitionBy("shard").parquet(held)
+        if not rename(spark, held, texts.path):
+            delete(spark, held)
+    log = CommitLog(spark, f"{keyed.path}/log")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(id_col, *text_cols).schema)
+    for shard in range(shards):
+        while shard not in (done := {e["shard"]: e["folder"] for e in log.entries()[1]}):
+            last, folder = log.entries()[0], f"{keyed.path}/vectors/shard={shard}-{uuid.uuid4().hex[:12]}"
+            place = f"{texts.path}/shard={shard}"
+            if exists(spark, place):                              # a shard without a row has no folder
+                own = spark.read.schema(schema).parquet(place)
+                EN.encode(spread(own), id_col, text_cols, make_model, batch_size, model_key=model_key).write.parquet(folder)
+            log.commit({"shard": shard, "folder": folder if exists(spark, folder) else None}, last)
+    folders = [f for _, f in sorted(done.items()) if f]
+    out = f"`{id_col}` long, vec array<double>"
+    return spark.read.schema(out).parquet(*folders) if folders else spark.createDataFrame([], out)
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """One stored file is one scan task: deal it over the cluster, so that every worker has a model at work."""
+    return rows.repartition(max(1, rows.sparkSession.sparkContext.defaultParallelism))
+
+
+def retrieve_texts(spark: SparkSession, root: str, queries: DataFrame, corpus: DataFrame, make_query_model,
+                   make_passage_model, k: int, model_key: str, gaussian: bool = False, run_path: str | None = None,
+                   shards: int = 16, batch_size: int = 2048, **search) -> DataFrame:
+    """P1 from texts to a run: encode both sides, fold, search, write → stored ``qid, pid, rank, score``.
+
+    ``make_query_model()(texts)`` and ``make_passage_model()((title, contents) pairs)`` give vectors; with ``gaussian``
+    a passage's is its mean followed by its variance.  Encoded shards and the run are stored under ``root``, keyed by
+    their inputs and ``model_key``: a restart goes on where the job stopped.  ``run_path`` also gets the run as a TSV file.
+    """
+    q = encode_shards(queries.select("qid", F.coalesce("query", F.lit("")).alias("query")), f"{root}/queries", "qid", ["query"],
+                      make_query_model, f"{model_key}-queries", max(1, shards // 8), batch_size)
+    p = encode_shards(corpus.select("pid", "title", "contents"), f"{root}/passages", "pid", ["title", "contents"],
+                      make_passage_model, f"{model_key}-passages", shards, batch_size)
+    if gaussian:
+        half = (F.size("vec") / 2).cast("int")
+        p = p.select("pid", F.slice("vec", F.lit(1), half).alias("mean"), F.slice("vec", half + 1, half).alias("var"))
+        q = q.select("qid", F.col("vec").alias("mean"))
+    run = Stage(spark, root, "run", {"k": k, "gaussian": gaussian}, [q, p]).get(lambda: retrieve(q, p, k, gaussian, **search))
+    if run_path:
+        write_run(run, run_path)
+    return run
+
+
 def evaluate(run: DataFrame, qrels: DataFrame, **kw) -> tuple[DataFrame, DataFrame]:
     """P5: the metrics row with the number of repeated ``(qid, pid)``, and those pairs.
 
@@ -145,8 +209,6 @@ def mining_rounds(spark: SparkSession, root: str, rounds: int, *, vectors_for_ro
     itself is keyed by the teacher.  A missing score is an error.
     Returns the union of the rounds' one-row summaries.
     """
-    from dpmine.sources.io import Stage
-
     cache = SC.ScoreCache(spark, f"{root.rstrip('/')}/score_cache", scorer_id)
     summaries = []
     for i in range(1, rounds + 1):

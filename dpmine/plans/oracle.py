@@ -400,6 +400,13 @@ SQL = {
     "batch_scorer": sql("SELECT x.qid, x.pid, CAST(length(coalesce(c.title, '') || ': ' || coalesce(c.contents, '')) - "
                         "length(qt.query) AS DOUBLE) AS score FROM (SELECT DISTINCT qid, pid FROM hn) x JOIN qt USING (qid) "
                         "JOIN corpus c USING (pid)", "hn", "qt", "corpus"),
+    "retrieve_texts": (
+        "SELECT qid, pid, CAST(rank AS INTEGER) AS rank FROM (SELECT q.qid, p.pid, row_number() OVER (PARTITION BY q.qid "
+        "ORDER BY list_dot_product(q.v, p.v) DESC, p.pid) AS rank FROM (SELECT item_id * 10 AS qid, [CAST(length(t) AS DOUBLE), "
+        "length(t) - length(replace(t, ' ', '')), length(t), length(t) - length(replace(t, ' ', ''))] AS v FROM "
+        "(SELECT item_id, coalesce(text, '') AS t FROM benchmark)) q, (SELECT doc_id AS pid, [CAST(length(s) AS DOUBLE), "
+        "length(s) - length(replace(s, ' ', '')), length(t), length(t) - length(replace(t, ' ', ''))] AS v FROM "
+        "(SELECT doc_id, coalesce(source, '') AS s, coalesce(text, '') AS t FROM documents)) p) WHERE rank <= 10"),
     "evaluate_job": sql(
         "SELECT round(coalesce(sum(CASE WHEN f <= 10 THEN 1.0 / f END), 0) / nj, 6) AS mrr_at_10, "
         "round(count(*) FILTER (WHERE f <= 1) / nj, 6) AS recall_at_1, round(count(*) FILTER (WHERE f <= 50) / nj, 6) AS recall_at_50, "

@@ -59,18 +59,28 @@ class CommitLog:
             stream.write(bytearray(json.dumps(entry, sort_keys=True).encode()))
         finally:
             stream.close()
-        files = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(held.getFileSystem(self._conf).getUri(), self._conf)
-        options = self.spark.sparkContext._gateway.new_array(getattr(self._jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
-        try:
-            files.rename(fs.makeQualified(held), fs.makeQualified(self._path(f"{after + 1:08d}.json")), options)
-        except (Py4JJavaError, PySparkException) as e:
+        if not rename(self.spark, held.toString(), f"{self.root}/{after + 1:08d}.json"):
             fs.delete(held, False)
-            if "FileAlreadyExistsException" in str(e):
-                return False
-            raise
+            return False
         return True
 
 
+def rename(spark: SparkSession, held: str, path: str) -> bool:
+    """Give a file or folder its name; False when the name is taken."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    hadoop = jvm.org.apache.hadoop.fs
+    a, b = hadoop.Path(held), hadoop.Path(path)
+    fs = a.getFileSystem(conf)
+    options = spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 0)
+    try:
+        hadoop.FileContext.getFileContext(fs.getUri(), conf).rename(fs.makeQualified(a), fs.makeQualified(b), options)
+    except (Py4JJavaError, PySparkException) as e:
+        if "FileAlreadyExistsException" in str(e):
+            return False
+        raise
+    return True
+
+
 def delete(spark: SparkSession, path: str) -> None:
     hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)

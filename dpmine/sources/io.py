@@ -11,13 +11,16 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dpmine.operators.groups import explode_groups, to_nested
-from dpmine.operators.ordinal import with_ordinal
+from dpmine.operators.ordinal import line_ordinals
+from dpmine.sources.commits import delete, exists, rename
 
 # fixed values: characters Python's str.strip() removes
 PY_SPACE = r"[\t\n\x0B\f\r\x1C-\x1F\x85\p{Z}]"
@@ -54,20 +57,18 @@ def read_corpus(spark: SparkSession, path: str, id_col: str | None = None) -> Da
     """JSON lines (optionally gzip) → ``pid, title, contents``.
 
     With ``id_col`` the id is read from the data.  Otherwise ``pid`` is the
-    line ordinal over the files in name order: rows are ordered by
-    (file name, block start, position in the task) and numbered by
-    ``with_ordinal`` — a distributed sort, no single-partition window.
-    gzip files are not splittable (one task per file); spread them with a
-    ``repartition`` where the next step does not shuffle anyway.
+    line ordinal over the files in name order (blank lines don't count), from
+    ``line_ordinals``: a counting pass over the input splits, no sort and no
+    exchange of the text.  gzip files are not splittable (one task per file);
+    spread them with a ``repartition`` where the next step does not shuffle
+    anyway.
     """
-    schema = "title string, contents string" + (f", {id_col} long" if id_col else "")
-    df = spark.read.schema(schema).json(path)
+    schema = "title string, contents string"
     if id_col:
+        df = spark.read.schema(f"{schema}, {id_col} long").json(path)
         return df.select(F.col(id_col).alias("pid"), "title", "contents")
-    df = df.select("title", "contents", F.input_file_name().alias("_file"),
-                   F.input_file_block_start().alias("_block"), F.monotonically_increasing_id().alias("_mid"))
-    out = with_ordinal(df, ["_file", "_block", "_mid"], "pid")
-    return out.select("pid", "title", "contents")
+    lines = line_ordinals(spark, path, "pid")
+    return lines.select("pid", F.from_json("value", schema).alias("row")).select("pid", "row.title", "row.contents")
 
 
 def save_bucketed_corpus(corpus: DataFrame, table: str, path: str, buckets: int) -> DataFrame:
@@ -206,25 +207,45 @@ def read_embeddings(spark: SparkSession, path: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- stages
+def fingerprint(df: DataFrame) -> str:
+    """What a frame reads: its plan and the path, size and time of every file under it.
+
+    Equal for equal plans over unchanged files, also in another session.  A frame without files (rows of the driver)
+    counts by its rows' plan.
+    """
+    spark = df.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    seen = []
+    for name in sorted(df.inputFiles()):
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        status = path.getFileSystem(conf).getFileStatus(path)
+        seen.append([name, status.getLen(), status.getModificationTime()])
+    plan = re.sub(r"#\d+L?|\[id=[^]]*\]|0x[0-9a-f]+|@[0-9a-f]+", "", df._jdf.queryExecution().optimizedPlan().toString())
+    return hashlib.sha1(json.dumps([plan, seen]).encode()).hexdigest()[:16]
+
+
 class Stage:
     """A stage output written once under ``root/name-<params hash>`` and reused while it exists.
 
-    ``get(build)`` reads the stored table when its ``_SUCCESS`` marker is
-    present, else writes ``build()`` as parquet first.  Changing a parameter
-    changes the folder, so a stale output is never picked up.
+    ``get(build)`` reads the stored table when it is there, else writes ``build()`` as parquet beside it and publishes it
+    by one rename, so a table that is there is whole.  A parameter, an input file (path, size, time) or an input's plan
+    that changes makes another folder: a stale output is never picked up.  ``inputs`` are frames; what a stage stored is
+    an input like any other, and as it is written once, a chain of stages is keyed from end to end.
     """
 
-    def __init__(self, spark: SparkSession, root: str, name: str, params: dict | None = None):
-        digest = hashlib.sha1(json.dumps(params or {}, sort_keys=True, default=str).encode()).hexdigest()[:10]
+    def __init__(self, spark: SparkSession, root: str, name: str, params: dict | None = None, inputs: list[DataFrame] = ()):
+        keyed = {**(params or {}), **({"inputs": [fingerprint(df) for df in inputs]} if inputs else {})}
+        digest = hashlib.sha1(json.dumps(keyed, sort_keys=True, default=str).encode()).hexdigest()[:10]
         self.spark, self.path = spark, f"{root.rstrip('/')}/{name}-{digest}"
 
     def exists(self) -> bool:
-        jvm = self.spark.sparkContext._jvm
-        hpath = jvm.org.apache.hadoop.fs.Path(self.path + "/_SUCCESS")
-        fs = hpath.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        return bool(fs.exists(hpath))
+        return exists(self.spark, self.path + "/_SUCCESS")
 
     def get(self, build) -> DataFrame:
         if not self.exists():
-            build().write.mode("overwrite").parquet(self.path)
+            held = f"{self.path}.{uuid.uuid4().hex[:12]}.tmp"
+            build().write.parquet(held)
+            delete(self.spark, self.path)                   # whole folders only: this one has no _SUCCESS
+            if not rename(self.spark, held, self.path):     # another writer was first
+                delete(self.spark, held)
         return self.spark.read.parquet(self.path)

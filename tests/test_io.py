@@ -104,3 +104,81 @@ def test_last_line_wins_when_asked(spark, tmp_path):
     assert IO.read_queries(spark, q).count() == 3
     r = _write(tmp_path, "dup_run.tsv", "1\t5\t2\n1\t6\t2\n1\t7\t1\n")
     assert sorted(tuple(x) for x in IO.read_run(spark, r, keep="last").collect()) == [(1, 6, 2), (1, 7, 1)]
+
+
+def _corpus_files(tmp_path, gz=False):
+    import gzip
+    import json
+    rows, folder = [], tmp_path / ("gz" if gz else "plain")
+    folder.mkdir()
+    for f in range(3):
+        part = [{"title": f"t{f}", "contents": f"line {i} of {f} " + "x" * (i % 50)} for i in range(150 + 40 * f)]
+        text = "\n\n".join(json.dumps(r) for r in part) + "\n  \n"                   # blank lines don't count
+        if gz:
+            (folder / f"part-{f}.json.gz").write_bytes(gzip.compress(text.encode()))
+        else:
+            (folder / f"part-{f}.json").write_text(text)
+        rows += [(r["title"], r["contents"]) for r in part]
+    return str(folder), {(i, *r) for i, r in enumerate(rows)}
+
+
+@pytest.mark.parametrize("gz", [False, True])
+@pytest.mark.parametrize("split", ["128m", "9k", "2k"])
+def test_corpus_ids_are_line_ordinals_without_an_exchange_of_text(spark, tmp_path, split, gz):
+    path, want = _corpus_files(tmp_path, gz)
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    old = {n: spark.conf.get(n) for n in names}
+    try:
+        for n in names:
+            spark.conf.set(n, split)
+        df = IO.read_corpus(spark, path)
+        assert {tuple(r) for r in df.collect()} == want and df.count() == len(want)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "Sort [value" not in plan
+        assert "Exchange" not in plan[plan.index("BroadcastHashJoin"):plan.index("FileScan text")]
+    finally:
+        for n, v in old.items():
+            spark.conf.set(n, v)
+
+
+def test_other_splits_fail_instead_of_renumbering(spark, tmp_path):
+    path, _ = _corpus_files(tmp_path)
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    old = {n: spark.conf.get(n) for n in names}
+    try:
+        df = IO.read_corpus(spark, path)
+        for n in names:
+            spark.conf.set(n, "2k")
+        with pytest.raises(Exception, match="splits changed"):
+            df.select("pid").collect()
+    finally:
+        for n, v in old.items():
+            spark.conf.set(n, v)
+
+
+def test_stage_is_keyed_by_its_inputs(spark, tmp_path):
+    import os
+    source, root, runs = str(tmp_path / "in"), str(tmp_path / "stages"), []
+    spark.range(5).write.parquet(source)
+
+    def chain():
+        read = spark.read.parquet(source).filter("id > 0")
+        a = IO.Stage(spark, root, "a", {"k": 1}, [read])
+        one = a.get(lambda: runs.append("a") or read.selectExpr("id * 2 AS x"))
+        b = IO.Stage(spark, root, "b", {}, [one])
+        return sorted(r.x for r in b.get(lambda: runs.append("b") or one).collect())
+
+    assert chain() == [2, 4, 6, 8] and chain() == [2, 4, 6, 8] and runs == ["a", "b"]
+    spark.range(5, 7).write.mode("append").parquet(source)              # an input changes: no version has to be named
+    assert chain() == [2, 4, 6, 8, 10, 12] and runs == ["a", "b", "a", "b"]
+    assert not [n for n in os.listdir(root) if n.endswith(".tmp")]
+    other = IO.Stage(spark, root, "a", {"k": 1}, [spark.read.parquet(source).filter("id > 1")])
+    assert not other.exists()                                           # another plan over the same files
+
+
+def test_interrupted_stage_is_built_anew(spark, tmp_path):
+    stage = IO.Stage(spark, str(tmp_path), "s")
+    with pytest.raises(Exception, match="model died"):
+        stage.get(lambda: spark.range(3).selectExpr("raise_error('model died') AS x"))
+    assert not stage.exists()
+    assert stage.get(lambda: spark.range(3)).count() == 3 and stage.exists()

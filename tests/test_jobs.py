@@ -30,12 +30,12 @@ def test_two_rounds_reuse_cache(spark, tmp_path):
     calls.clear()
     again = {r["round"]: r for r in mining_rounds(spark, str(tmp_path), 2, **args).collect()}
     assert calls == [] and again == s
-    cache = spark.read.parquet(str(tmp_path / "score_cache" / "scorer=teacher"))
+    cache = spark.read.parquet(str(tmp_path / "score_cache" / "scorer=teacher" / "data"))
     # other parameters: other stages and cache batches, no stale score and no null
     deeper = mining_rounds(spark, str(tmp_path), 1, **{**args, "cfg": RoundConfig(train_k=20, dev_k=10, depth=10, cap=100, negatives=3)})
     row = deeper.first()
     assert row["new"] == 30 and row["total"] == 66 and row["merged_rows"] == 66 and row["training_rows"] == 24
-    cache = spark.read.parquet(str(tmp_path / "score_cache" / "scorer=teacher"))
+    cache = spark.read.parquet(str(tmp_path / "score_cache" / "scorer=teacher" / "data"))
     assert cache.groupBy("qid", "pid").count().filter(F.col("count") > 1).count() == 0
 
 
@@ -97,3 +97,89 @@ def test_clear_scratch_removes_this_applications_tables(spark):
     assert found
     clear_scratch(spark)
     assert not os.path.exists(found[0])
+
+
+def _texts(spark, tmp_path):
+    corpus = spark.createDataFrame([(i, f"t{i % 7}", "word " * (i % 23) + "end" * (i % 5)) for i in range(120)],
+                                   "pid long, title string, contents string")
+    queries = spark.createDataFrame([(i, "ask " * (i + 1)) for i in range(6)], "qid long, query string")
+    corpus.write.parquet(str(tmp_path / "corpus"))
+    queries.write.parquet(str(tmp_path / "queries"))
+    return spark.read.parquet(str(tmp_path / "queries")), spark.read.parquet(str(tmp_path / "corpus"))
+
+
+def test_retrieve_resumes_by_shard(spark, tmp_path):
+    """Killed half way, the job encodes only the missing shards; the run is the one of an undisturbed job."""
+    import pytest
+    from dpmine.plans.jobs import retrieve_texts
+    queries, corpus = _texts(spark, tmp_path)
+    root, flag = str(tmp_path / "job"), tmp_path / "broken"
+    flag.write_text("x")
+    where, log = str(flag), str(tmp_path / "calls-")      # models live on in the workers: they count in files
+
+    def calls(side):
+        return sum(len(f.read_bytes()) for f in tmp_path.glob(f"calls-{side}-*"))
+
+    def count(side, n):
+        import os
+        with open(f"{log}{side}-{os.getpid()}", "ab") as f:
+            f.write(b"x" * n)
+
+    def _numbers(*parts):                      # local, so that it travels to the workers with the models
+        return [float(f(x or "")) for x in parts for f in (len, lambda t: t.count(" "))]
+
+    def query_model():
+        def run(rows):
+            count("queries", len(rows))
+            return [2 * _numbers(x) for (x,) in rows]
+        return run
+
+    def passage_model():
+        import os
+
+        def run(rows):
+            if os.path.exists(where) and any(c.startswith("word " * 17 + "end") for _, c in rows):
+                raise RuntimeError("model died")
+            count("passages", len(rows))
+            return [_numbers(*pair) for pair in rows]
+        return run
+
+    args = (root, queries, corpus, query_model, passage_model, 5, "v1")
+    with pytest.raises(Exception, match="model died"):
+        retrieve_texts(spark, *args, shards=24)
+    before = calls("passages")
+    assert calls("queries") == 6
+    from dpmine.sources.commits import CommitLog, folders
+    stage, = [f"{root}/passages/{n}" for n in folders(spark, f"{root}/passages") if n.startswith("encode-")]
+    committed = [e for e in CommitLog(spark, f"{stage}/log").entries()[1]]
+    kept = sum(spark.read.parquet(e["folder"]).count() for e in committed if e["folder"])
+    assert 0 < kept <= before < 120                                    # some shards are done
+    flag.unlink()
+    run = retrieve_texts(spark, *args, shards=24, run_path=f"{root}/run.tsv")
+    assert calls("queries") == 6 and calls("passages") - before == 120 - kept      # only what is missing
+    P = {r.pid: _numbers(r.title, r.contents) for r in corpus.collect()}
+    for r in queries.collect():
+        q = 2 * _numbers(r.query)
+        best = sorted(P, key=lambda p: (-sum(a * b for a, b in zip(q, P[p])), p))[:5]
+        assert [x.pid for x in run.filter(F.col("qid") == r.qid).orderBy("rank").collect()] == best
+    again = retrieve_texts(spark, *args, shards=24)
+    assert (calls("queries"), calls("passages") - before) == (6, 120 - kept) and again.count() == 30
+    from dpmine.sources import io as IO
+    assert IO.read_run(spark, f"{root}/run.tsv").count() == 30
+
+
+def test_retrieve_gaussian_texts(spark, tmp_path):
+    from dpmine.plans.jobs import retrieve_texts
+    queries, corpus = _texts(spark, tmp_path)
+    gauss = lambda: lambda rows: [[len(c) / 10, c.count(" ") / 10, 1.0 + len(t), 2.0] for t, c in rows]
+    point = lambda: lambda rows: [[len(x) / 10, x.count(" ") / 10] for (x,) in rows]
+    run = retrieve_texts(spark, str(tmp_path / "g"), queries, corpus, point, gauss, 3, "g1", gaussian=True, shards=2).collect()
+    P = {r.pid: (r.title, r.contents) for r in corpus.collect()}
+    for r in queries.collect():
+        m = point()([(r.query,)])[0]
+
+        def density(p):
+            a, b, v, w = gauss()([P[p]])[0]
+            return -0.5 * (np.log(v) + np.log(w) + (m[0] - a) ** 2 / v + (m[1] - b) ** 2 / w)
+        best = sorted((x for x in run if x.qid == r.qid), key=lambda x: x["rank"])
+        assert np.allclose([density(x.pid) for x in best], sorted((density(p) for p in P), reverse=True)[:3])
