@@ -31,7 +31,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that hold no item of ``benchmark``."""
-    return decontam.decontaminate(docs, decontam.halves(table(spark, sf_dir, "benchmark")))
+    return decontam.decontaminate(docs, decontam.halves(table(spark, sf_dir, "benchmark")), whole=True)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -73,18 +73,21 @@ class Index:
     common_max: np.ndarray
     item_of: list
     parts: dict            # item -> (runs of the question, runs of the answer)
+    wholes: dict           # item -> runs of the whole text, where question and answer are halves of one
 
 
 def build_index(items: list[tuple], weight: dict[bytes, float], average: float,
-                threshold: float = THRESHOLD) -> Index:
+                threshold: float = THRESHOLD, whole: bool = False) -> Index:
     """``items``: (id, question words, answer words); ``weight``: inverse document frequencies; ``average``: segment words."""
-    postings, item_of, parts = defaultdict(list), [], {}
+    postings, item_of, parts, wholes = defaultdict(list), [], {}, {}
     for item, question, answer in items:
         parts[item] = (runs_of(question), runs_of(answer))
-        whole = question + answer
-        count = max(1, math.ceil(len(whole) / SEGMENT))
-        for part in range(count if whole else 0):
-            words = whole[part * len(whole) // count:(part + 1) * len(whole) // count]
+        text = question + answer
+        if whole:
+            wholes[item] = runs_of(text)
+        count = max(1, math.ceil(len(text) / SEGMENT))
+        for part in range(count if text else 0):
+            words = text[part * len(text) // count:(part + 1) * len(text) // count]
             tf: dict = defaultdict(int)
             for w in words:
                 tf[w] += 1
@@ -117,7 +120,7 @@ def build_index(items: list[tuple], weight: dict[bytes, float], average: float,
         np.array([max(x for _, x in b) for bs in blocks for b in bs]),
         np.cumsum([0] + [len(m) for m in by_range]), np.array([r for m in by_range for r in m], np.int64),
         np.array([x for m in by_range for x in m.values()]),
-        np.maximum.reduceat(together, np.arange(0, len(item_of), RANGE)) if n_ranges else np.zeros(0), item_of, parts)
+        np.maximum.reduceat(together, np.arange(0, len(item_of), RANGE)) if n_ranges else np.zeros(0), item_of, parts, wholes)
 
 
 def block_max_wand(index: Index, terms: list[int], threshold: float) -> dict[int, float]:
@@ -227,20 +230,25 @@ def search(index: Index, docs: list[list[bytes]], threshold: float) -> list[tupl
 
 
 def verify(index: Index, words: list[bytes], items) -> list[tuple]:
-    """(item, question overlap, answer overlap) of those ``items`` whose runs are in the text; a part without a word counts as there."""
+    """(item, question overlap, answer overlap) of those ``items`` whose runs are in the text.
+
+    Enough of both parts have to be there (a part without a word counts as there); of an item whose parts are halves of
+    one text, enough of the whole will do.
+    """
     runs, out = runs_of(words), []
-    lengths = {len(next(iter(part))) for i in items for part in index.parts[i] if part}
+    lengths = {len(next(iter(part))) for i in items for part in (*index.parts[i], index.wholes.get(i)) if part}
     for n in lengths - {RUN}:                              # parts shorter than a run are looked for as a whole
         runs |= set(zip(*(words[k:] for k in range(n))))
     for item in items:
         share = [len(part & runs) / len(part) if part else 1.0 for part in index.parts[item]]
-        if min(share) >= OVERLAP:
+        own = index.wholes.get(item)
+        if min(share) >= OVERLAP or own and len(own & runs) >= OVERLAP * len(own):
             out.append((item, *share))
     return out
 
 
 def index_shards(items: DataFrame, key: str, question: str, answer: str, shard_words: int = SHARD_WORDS,
-                 threshold: float = THRESHOLD):
+                 threshold: float = THRESHOLD, whole: bool = False):
     """Yield an :class:`Index` for each shard of ``items``; statistics are those of all items."""
     def split(batches):
         for part in pieces(batches):
@@ -248,7 +256,7 @@ def index_shards(items: DataFrame, key: str, question: str, answer: str, shard_w
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array(q, pa.list_(pa.binary())), pa.array(a, pa.list_(pa.binary()))],
                 names=["item", "question", "answer"])
-    rows = items.filter(F.col(key).isNotNull()).select(
+    rows = items.select(
         F.col(key).cast("long").alias("item"), F.col(question).cast("string").alias("q"), F.col(answer).cast("string").alias("a"))
     rows = rows.dropDuplicates(["item", "q", "a"]).mapInArrow(
         split, "item long, question array<binary>, answer array<binary>")
@@ -268,25 +276,28 @@ def index_shards(items: DataFrame, key: str, question: str, answer: str, shard_w
         weight = {w: math.log(1 + (max(total, n) - n + 0.5) / (n + 0.5))
                   for w, n in zip(seen.column("w").to_pylist(), seen.column("df").to_pylist())}
         got = own.select("item", "question", "answer").orderBy("item", "question").toArrow().to_pylist()
-        # rows with the same id but other texts are items of their own
-        yield build_index([((r["item"], i), r["question"], r["answer"]) for i, r in enumerate(got)], weight, average,
-                          threshold)
+        # rows with the same id (or none) but other texts are items of their own
+        yield build_index([((i, r["item"]), r["question"], r["answer"]) for i, r in enumerate(got)], weight, average,
+                          threshold, whole)
 
 
 def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id",
                  question: str = "question", answer: str = "answer", threshold: float = THRESHOLD,
-                 shard_words: int = SHARD_WORDS) -> DataFrame:
+                 shard_words: int = SHARD_WORDS, whole: bool = False) -> DataFrame:
     """One row per input row and test item that its text holds: ``key, _row_id, _row_hash, item_id, score,
     question_overlap, answer_overlap``.
 
-    Null and empty texts and items hold nothing and are not held; repeated items count once, repeated documents each;
-    an empty table gives no row.  Whole texts of any length are searched.
+    A text holds an item when four fifths of the five-word runs of its question and of its answer are in it; with
+    ``whole`` (question and answer are halves of one text) four fifths of the whole item's runs will do as well.
+    Null and empty texts and items hold nothing and are not held; an item without an id is searched like any other and
+    reported with a null id; repeated items count once, repeated documents each; an empty table gives no row.  Whole
+    texts of any length are searched.
     """
     spark = docs.sparkSession
     schema = f"{key} long, _row_id long, _row_hash long, item_id long, score double, question_overlap double, answer_overlap double"
     rows = docs.select(docs[text].cast("string").alias("_text"), docs[key].cast("long").alias("_key"), *row_key(key, text))
     found = []
-    for index in index_shards(items, item_key, question, answer, shard_words, threshold):
+    for index in index_shards(items, item_key, question, answer, shard_words, threshold, whole):
         shared = spark.sparkContext.broadcast(index)      # at most ``shard_words`` words
 
         def run(batches, shared=shared):
@@ -297,7 +308,7 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
                 for d, s, x in search(own, words, threshold):
                     item = own.item_of[s]
                     by_doc[d][item] = max(by_doc[d].get(item, 0.0), x)
-                hits = [(d, i[0], by_doc[d][i], q, a) for d in sorted(by_doc)
+                hits = [(d, i[1], by_doc[d][i], q, a) for d in sorted(by_doc)
                         for i, q, a in verify(own, words[d], sorted(by_doc[d]))]
                 at = pa.array([h[0] for h in hits], pa.int64())
                 yield pa.RecordBatch.from_arrays(

@@ -13,7 +13,7 @@ from dpmine.llm.common import table
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that holds a test item, with the item: ``doc_id, item_id, score`` and both overlaps."""
     items = decontam.halves(table(spark, sf_dir, "benchmark"))
-    found = decontam.contaminated(table(spark, sf_dir, "documents"), items)
+    found = decontam.contaminated(table(spark, sf_dir, "documents"), items, whole=True)
     return found.select("doc_id", "item_id", "score", "question_overlap", "answer_overlap")
 
 
@@ -135,9 +135,9 @@ QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_language_i
                                   op11_embedding_whitening, op12_secret_scan, op13_vector_codes)}
 SQL: dict[str, str] = {
     "op4_exact_topk_search": """
-        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+        WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
                    FROM embeddings
-                   WHERE embedding IS NOT NULL AND len(embedding) > 0
+                   WHERE embedding IS NOT NULL AND len(embedding) > 0 AND vec_id IS NOT NULL
                      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
              s AS (SELECT q.vec_id AS query_id, p.vec_id AS vec_id,
                           CAST(list_inner_product(CAST(q.e AS DOUBLE[]), CAST(p.e AS DOUBLE[])) AS BIGINT) AS score

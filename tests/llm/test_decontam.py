@@ -61,11 +61,11 @@ def test_long_items_shards_and_odd_rows(spark, odd_docs):
          (3, None, None), (4, "", "one two"), (5, "never seen anywhere in text", "at all"), (None, "one", "two"),
          (1, "The QUICK brown fox jumps over", "the lazy dog and runs far away!"), (6, "the quick brown", "cat sleeps all day")],
         "item_id long, question string, answer string")
-    want = {(1, 1), (2, 1), (3, 1), (7, 2), (8, 2), (10, 4)}
+    want = {(1, 1), (2, 1), (3, 1), (7, 2), (8, 2), (10, 4), (10, None)}
     for shard_words in (10**6, 300):
         rows = decontam.contaminated(odd_docs, items, shard_words=shard_words).collect()
         assert {(r.doc_id, r.item_id) for r in rows} == want
-        assert len(rows) == 7                        # the repeated document counts twice
+        assert len(rows) == 8                        # the repeated document counts twice
     kept = decontam.decontaminate(odd_docs, items)
     assert kept.columns == odd_docs.columns and kept.count() == odd_docs.count() - 7
     assert kept.filter("doc_id is null").count() == 1
@@ -77,3 +77,14 @@ def test_halves(spark):
     rows = spark.createDataFrame([(1, " a b\n c "), (2, None), (3, ""), (4, "x")], "item_id long, text string")
     got = {r.item_id: (r.question, r.answer) for r in decontam.halves(rows).collect()}
     assert got == {1: ("a b", "c"), 2: ("", ""), 3: ("", ""), 4: ("x", "")}
+
+
+def test_most_of_a_one_text_item(spark):
+    """The first 85 of 100 words hold the item as a whole, though not four fifths of its second half."""
+    words = [f"w{i}" for i in range(100)]
+    items = decontam.halves(spark.createDataFrame([(1, " ".join(words)), (None, " ".join(f"v{i}" for i in range(40)))], "item_id long, text string"))
+    docs = spark.createDataFrame([(1, "x y " + " ".join(words[:85]) + " z"), (2, " ".join(words[:75])), (3, " ".join(f"v{i}" for i in range(36))),
+                                  (4, "w1 w2 clean text")], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, items, whole=True).collect()} == {(1, 1), (3, None)}
+    assert {r.doc_id for r in decontam.contaminated(docs, items).collect()} == set()
+    assert sorted(r.doc_id for r in decontam.decontaminate(docs, items, whole=True).collect()) == [2, 4]

@@ -71,3 +71,18 @@ def test_odd_rows(spark):
     assert topk.top_k(frame.limit(0), F.col("vec_id") % 50 == 0, 5).count() == 0
     with pytest.raises(ValueError):
         topk.top_k(spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "vec_id long, embedding array<double>"), F.lit(True), 1)
+
+
+def test_repeated_rows_are_one_row_in_the_sql_too(spark, tmp_path):
+    """Rows of one id and vector count once on both sides; a vector under other ids counts for each."""
+    import duckdb
+    rng = np.random.default_rng(4)
+    vecs = [[float(x) for x in rng.normal(0, 0.2, 6)] for _ in range(30)]
+    rows = [(i, vecs[i % 30]) for i in range(120)] + [(i, vecs[i % 30]) for i in range(0, 120, 3) for _ in range(7)] + [
+        (None, vecs[0]), (200, None), (201, [float("nan")] * 6), (202, [])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4).write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = sorted(con.execute("SELECT query_id, rank, vec_id, score FROM (" + queries.SQL["op4_exact_topk_search"] + ")").fetchall())
+    got = sorted(tuple(r) for r in queries.op4_exact_topk_search(spark, str(tmp_path)).select("query_id", "rank", "vec_id", "score").collect())
+    assert got == want and len(got) == 15
