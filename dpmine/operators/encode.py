@@ -31,28 +31,38 @@ def worker_model(key: str, make_model: Callable[[], Callable]) -> Callable:
     return _MODELS[key]
 
 
+def batches_by_length(lengths: np.ndarray, batch_size: int) -> list[np.ndarray]:
+    """Row numbers in batches of about equal text lengths (longest first, so that a batch too large shows at once)."""
+    order = np.argsort(-lengths, kind="stable")
+    return [order[at:at + batch_size] for at in range(0, len(order), batch_size)]
+
+
 def encode(df: DataFrame, id_col: str, text_cols: list[str], make_model: Callable[[], Callable],
-           batch_size: int = 2048, out: str = "vec", model_key: str = "encoder") -> DataFrame:
+           batch_size: int = 2048, out: str = "vec", model_key: str = "encoder", profile=None) -> DataFrame:
     """``id, vec``: ``model(list_of_text_tuples) -> 2-D array`` over batches of ``batch_size`` rows.
 
     Passages are encoded from (title, contents) pairs, queries from the text
     alone — the caller picks ``text_cols``.  Select and filter before calling:
     the batch function is opaque to the optimiser.  ``model_key`` names the
     model: a worker builds it once and keeps it for all tasks (give each
-    version of a model its own key).
+    version of a model its own key).  The texts of an Arrow batch are dealt to
+    model batches by length, so that a model that pads to the longest text of
+    a batch pads little; rows come back in that order.  ``profile`` is the
+    ``ResourceProfile`` of the stage (GPUs, memory), where the model needs one.
     """
     cols = [id_col] + list(text_cols)
 
     def run(it):
         model = worker_model(model_key, make_model)
         for pdf in it:
-            for lo in range(0, len(pdf), batch_size):
-                part = pdf.iloc[lo:lo + batch_size]
+            lengths = sum(pdf[c].fillna("").str.len().to_numpy(np.int64) for c in text_cols)
+            for rows in batches_by_length(lengths, batch_size):
+                part = pdf.iloc[rows]
                 texts = list(zip(*[part[c].tolist() for c in text_cols]))
                 vecs = np.asarray(model(texts), dtype=np.float64)
                 yield pd.DataFrame({id_col: part[id_col].values, out: list(vecs)})
 
-    return df.select(*cols).mapInPandas(run, f"{id_col} long, {out} array<double>")
+    return df.select(*cols).mapInPandas(run, f"{id_col} long, {out} array<double>", profile=profile)
 
 
 def bucket_of(token, dim: int):

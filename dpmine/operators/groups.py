@@ -232,13 +232,18 @@ def assemble_groups(long: DataFrame, n: int, seed: int = 42, epoch: int = 0, str
     Only complete groups (a positive and ``n`` negatives) are returned; the
     rest are in ``rejected_groups``, or an error with ``strict``.
     """
-    pos = sample_positive(long, seed, epoch).select("qid", F.lit(0).alias("slot"), "pid", "score")
-    rows = pos.unionByName(sample_negatives(long, n, seed, epoch))
-    rows = rows.withColumn("size", F.count(F.lit(1)).over(_wq()))
+    pos = sample_positive(long, seed, epoch).select("qid", F.struct(F.lit(0).alias("slot"), "pid", "score").alias("_p"))
+    if n == 0:
+        return pos.select("qid", "_p.*")
+    neg = sample_negatives(long, n, seed, epoch).select("qid", F.struct("slot", "pid", "score").alias("_n"))
+    # a list that is not empty always yields n negatives, so a query that both sides have is complete; the positive
+    # comes along with the first negative (a union would lose the partitioning by query that both sides have)
+    rows = neg.join(pos, "qid", "full" if strict else "inner")
+    items = F.when(F.col("_n.slot") == 1, F.array("_p", "_n")).otherwise(F.array("_n"))
     if strict:
-        rows = rows.withColumn("size", F.when(F.col("size") == n + 1, F.col("size")).otherwise(
-            F.raise_error(F.concat(F.lit("incomplete group: qid "), F.col("qid").cast("string"))).cast("long")))
-    return rows.filter(F.col("size") == n + 1).drop("size")
+        items = F.when(F.col("_p").isNull() | F.col("_n").isNull(), F.raise_error(F.concat(
+            F.lit("incomplete group: qid "), F.col("qid").cast("string"))).cast("array<struct<slot:int,pid:bigint,score:double>>")).otherwise(items)
+    return rows.select("qid", F.inline(items))
 
 
 def rejected_groups(long: DataFrame) -> DataFrame:

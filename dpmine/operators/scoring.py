@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from dpmine.functions.text import jaccard, passage_text, words
 from dpmine.functions.vectors import squared_distance
-from dpmine.operators.encode import worker_model
+from dpmine.operators.encode import batches_by_length, worker_model
 from dpmine.operators.groups import NEG, POS, cap_candidates
 from dpmine.session import materialize
 from dpmine.sources.score_table import ScoreCache
@@ -64,12 +64,12 @@ def overlap_scorer(queries: DataFrame, corpus: DataFrame) -> Scorer:
 
 
 def batch_scorer(make_model: Callable[[], Callable[[list, list], list]], queries: DataFrame, corpus: DataFrame,
-                 batch_size: int = 512, model_key: str = "scorer") -> Scorer:
+                 batch_size: int = 512, model_key: str = "scorer", profile=None) -> Scorer:
     """Wrap a model ``make_model()(queries, passages) -> scores`` as an Arrow-batched scorer.
 
     Runs in ``mapInPandas``: a Python worker builds the model once (by
-    ``model_key``) and calls it once per batch of ``batch_size`` pairs, never
-    per row.
+    ``model_key``) and calls it once per batch of ``batch_size`` pairs of about
+    equal length, never per row.  ``profile``: the stage's ``ResourceProfile``.
     """
     def score(pairs: DataFrame) -> DataFrame:
         t = text_pairs(pairs.select("qid", "pid"), queries, corpus)
@@ -77,13 +77,14 @@ def batch_scorer(make_model: Callable[[], Callable[[list, list], list]], queries
         def run(it):
             model = worker_model(model_key, make_model)
             for pdf in it:
-                for lo in range(0, len(pdf), batch_size):
-                    part = pdf.iloc[lo:lo + batch_size]
+                lengths = (pdf["query"].str.len() + pdf["passage"].str.len()).to_numpy(int)
+                for rows in batches_by_length(lengths, batch_size):
+                    part = pdf.iloc[rows]
                     s = model(part["query"].tolist(), part["passage"].tolist())
                     yield pd.DataFrame({"qid": part["qid"].values, "pid": part["pid"].values,
                                         "score": pd.Series(s, dtype="float64").values})
 
-        return t.mapInPandas(run, "qid long, pid long, score double")
+        return t.mapInPandas(run, "qid long, pid long, score double", profile=profile)
     return score
 
 

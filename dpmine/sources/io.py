@@ -196,6 +196,17 @@ def write_groups(long: DataFrame, queries: DataFrame | None, path: str) -> None:
     nested.select(*cols).write.mode("errorifexists").json(path)
 
 
+def save_bucketed_groups(long: DataFrame, table: str, path: str, buckets: int) -> DataFrame:
+    """Store long groups once as a table bucketed and sorted by ``qid`` (files under ``path``).
+
+    Every epoch's draw (``assemble_groups`` with another ``epoch``) then reads the buckets as they are: drawing needs a
+    query's rows together, and they are, so no epoch shuffles the groups again.
+    """
+    rows = long.select("qid", "role", "pos", "pid", "score").repartition(buckets, "qid")
+    rows.write.mode("overwrite").bucketBy(buckets, "qid").sortBy("qid").option("path", path).saveAsTable(table)
+    return long.sparkSession.table(table)
+
+
 # ---------------------------------------------------------------- embeddings and scores
 def write_embeddings(vectors: DataFrame, path: str, id_col: str = "id", vec_col: str = "vec") -> None:
     vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec")) \

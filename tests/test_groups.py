@@ -127,3 +127,34 @@ def test_a_list_too_long_for_one_row_is_an_error(spark, monkeypatch):
     with pytest.raises(Exception, match="more than 3 entries"):
         G.to_nested(long).collect()
     assert G.to_nested(long.filter("pos < 3")).count() == 1
+
+
+def test_epochs_draw_from_buckets_without_an_exchange(spark, tmp_path):
+    """Groups stored once by query: the draw of the second epoch has no exchange, and is the draw of the plain rows."""
+    from dpmine.sources.io import save_bucketed_groups
+    rows = [(q, G.POS, i, 1000 + i, 1.0) for q in range(12) for i in range(1 + q % 3)] + [
+        (q, G.NEG, i, 2000 + i, 0.0) for q in range(12) for i in range(3 + q)]
+    long = spark.createDataFrame(rows, "qid long, role string, pos int, pid long, score double")
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        stored = save_bucketed_groups(long, "groups_by_query", str(tmp_path / "g"), 3)
+        draws = []
+        for epoch in (1, 2):
+            drawn = G.assemble_groups(stored, 4, 7, epoch)
+            draws.append(sorted(tuple(r) for r in drawn.collect()))
+            assert draws[-1] == sorted(tuple(r) for r in G.assemble_groups(long, 4, 7, epoch).collect())
+            plan = drawn._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange" not in plan and "Bucketed: true" in plan
+        assert draws[0] != draws[1]
+    finally:
+        spark.sql("DROP TABLE IF EXISTS groups_by_query")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
+def test_too_long_a_list_of_positives_is_an_error(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, i) for i in range(5)] + [(2, 1)], "qid long, pid long")
+    assert [tuple(r) for r in G.collect_positives(rows).orderBy("qid").collect()] == [(1, list(range(5))), (2, [1])]
+    monkeypatch.setattr(G, "MAX_LIST", 4)
+    with pytest.raises(Exception, match="more than 4 entries"):
+        G.collect_positives(rows).collect()

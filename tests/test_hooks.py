@@ -80,3 +80,36 @@ def test_missing_text_or_vector_is_an_error(spark):
     corpus = spark.createDataFrame([(5, "t", "c")], "pid long, title string, contents string")
     with pytest.raises(Exception, match="missing"):
         SC.score_pairs(pairs, SC.overlap_scorer(texts, corpus)).collect()
+
+
+def test_batches_by_length_waste_little_padding():
+    """Padding to the longest text of a batch: far less than with batches in the order of the rows."""
+    import numpy as np
+    from dpmine.operators.encode import batches_by_length
+    rng = np.random.default_rng(0)
+    lengths = rng.geometric(0.01, 5000)
+    padded = lambda parts: sum(len(p) * lengths[p].max() for p in parts) / lengths.sum()
+    sorted_parts = batches_by_length(lengths, 64)
+    assert sorted(np.concatenate(sorted_parts).tolist()) == list(range(5000))
+    assert padded(sorted_parts) < 1.1 and padded(np.array_split(np.arange(5000), 79)) > 3
+
+
+def test_model_stages_carry_their_resources(spark):
+    from pyspark.resource import ResourceProfileBuilder, TaskResourceRequests
+    from dpmine.operators.encode import encode
+    from dpmine.operators.scoring import batch_scorer
+    profile = ResourceProfileBuilder().require(TaskResourceRequests().cpus(2)).build
+    docs = spark.createDataFrame([(1, "a")], "pid long, contents string")
+    model = lambda: lambda rows: [[1.0] for _ in rows]
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan()
+
+    def profile_of(node):
+        while node.getClass().getSimpleName() != "MapInPandas":
+            node = node.children().apply(0)
+        return node.profile().isDefined()
+    assert profile_of(plan(encode(docs, "pid", ["contents"], model, profile=profile)))
+    assert not profile_of(plan(encode(docs, "pid", ["contents"], model)))
+    queries = spark.createDataFrame([(1, "q")], "qid long, query string")
+    pairs = spark.createDataFrame([(1, 1)], "qid long, pid long")
+    scorer = batch_scorer(lambda: lambda q, p: [1.0] * len(q), queries, docs.withColumn("title", docs.contents), profile=profile)
+    assert profile_of(plan(scorer(pairs)))
