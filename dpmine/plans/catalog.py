@@ -8,6 +8,7 @@ so that the DuckDB oracle compares equal regardless of summation order.
 
 from __future__ import annotations
 
+from contextvars import ContextVar
 from dataclasses import replace
 
 import numpy as np
@@ -50,20 +51,25 @@ SEQ_MASK_MOD = 5
 VECTOR_DIM = 64
 
 
-_stages: dict = {}     # of the query that is being built: shared inputs are stored once per query, never across queries
+#: Of the query that is being built: shared inputs are stored once per query, never across queries or threads.
+_stages: ContextVar[dict] = ContextVar("stages")
 
 
 def _once(name: str, build):
-    if name not in _stages:
-        _stages[name] = build()
-    return _stages[name]
+    held = _stages.get()
+    if name not in held:
+        held[name] = build()
+    return held[name]
 
 
 def _fresh(fn):
     """A registered query: starts with no stored stage."""
     def run(spark, sf):
-        _stages.clear()
-        return fn(spark, sf)
+        token = _stages.set({})
+        try:
+            return fn(spark, sf)
+        finally:
+            _stages.reset(token)
     run.__name__, run.__doc__ = fn.__name__, fn.__doc__
     return run
 
