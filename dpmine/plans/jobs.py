@@ -20,7 +20,7 @@ from dpmine.operators import metrics as M
 from dpmine.operators import scoring as SC
 from dpmine.operators import search as S
 from dpmine.sources.commits import CommitLog, delete, exists, rename
-from dpmine.sources.io import Stage, write_run
+from dpmine.sources.io import Stage, fingerprint, write_run
 
 
 def retrieve(queries: DataFrame, passages: DataFrame, k: int, gaussian: bool = False, **kw) -> DataFrame:
@@ -203,9 +203,11 @@ def mining_rounds(spark: SparkSession, root: str, rounds: int, *, vectors_for_ro
     ``vectors_for_round(i)`` returns ``(train_queries, dev_queries, passages)``
     as the model of round i encodes them; ``scorer_for_round(i)`` the teacher.
     Stage folders and cache batches are keyed by all parameters, ``scorer_id``
-    and ``input_version`` (name a new version when vectors, judgements, texts
-    or the other set change), so a rerun resumes after the last finished stage
-    and a run with other parameters never reads a stale one.  The score cache
+    and the fingerprints of all input frames (plan, file paths, sizes, times),
+    so a rerun resumes after the last finished stage and a run with other
+    parameters or changed files never reads a stale one.  Only frames made from
+    rows of the driver look alike whatever they hold: name a new
+    ``input_version`` when those change.  The score cache
     itself is keyed by the teacher.  A missing score is an error.
     Returns the union of the rounds' one-row summaries.
     """
@@ -214,7 +216,9 @@ def mining_rounds(spark: SparkSession, root: str, rounds: int, *, vectors_for_ro
     for i in range(1, rounds + 1):
         base = f"{root.rstrip('/')}/round={i}"
         train_q, dev_q, passages = vectors_for_round(i)
-        params = {**asdict(cfg), "scorer": scorer_id, "inputs": input_version, "other": other is not None}
+        frames = [train_q, dev_q, passages, qrels, dev_qrels, train_queries_text, corpus, other]
+        params = {**asdict(cfg), "scorer": scorer_id, "inputs": input_version, "other": other is not None,
+                  "reads": [fingerprint(f) for f in frames if f is not None]}
         batch = f"{i}-{Stage(spark, base, 'batch', params).path.rsplit('-', 1)[-1]}"
 
         def cut(build, name, base=base, params=params):

@@ -221,8 +221,8 @@ def read_embeddings(spark: SparkSession, path: str) -> DataFrame:
 def fingerprint(df: DataFrame) -> str:
     """What a frame reads: its plan and the path, size and time of every file under it.
 
-    Equal for equal plans over unchanged files, also in another session.  A frame without files (rows of the driver)
-    counts by its rows' plan.
+    Equal for equal plans over unchanged files, also in another session.  Of rows that come from the driver only the plan
+    is known, not what they hold.
     """
     spark = df.sparkSession
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()

@@ -183,3 +183,23 @@ def test_retrieve_gaussian_texts(spark, tmp_path):
             return -0.5 * (np.log(v) + np.log(w) + (m[0] - a) ** 2 / v + (m[1] - b) ** 2 / w)
         best = sorted((x for x in run if x.qid == r.qid), key=lambda x: x["rank"])
         assert np.allclose([density(x.pid) for x in best], sorted((density(p) for p in P), reverse=True)[:3])
+
+
+def test_changed_judgements_rebuild_a_round(spark, tmp_path):
+    """An input file changes: the round is mined anew without a version being named; unchanged, it is read."""
+    rng = np.random.default_rng(2)
+    q = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=4)]) for i in range(4)], "qid long, vec array<double>")
+    p = spark.createDataFrame([(100 + i, [float(x) for x in rng.normal(size=4)]) for i in range(30)], "pid long, vec array<double>")
+    texts = spark.createDataFrame([(i, f"q{i}") for i in range(4)], "qid long, query string")
+    judged, calls = str(tmp_path / "qrels"), []
+    spark.createDataFrame([(0, 100, 1), (1, 101, 1)], "qid long, pid long, rel int").write.parquet(judged)
+
+    def mine():
+        qrels = spark.read.parquet(judged)
+        out = mining_rounds(spark, str(tmp_path / "rounds"), 1, vectors_for_round=lambda i: (q, q, p), train_queries_text=texts,
+                            qrels=qrels, dev_qrels=qrels, scorer_for_round=lambda i: calls.append(i) or vector_teacher(q, p),
+                            cfg=RoundConfig(train_k=15, dev_k=10, depth=5, negatives=2))
+        return out.first()["mined_queries"]
+    assert mine() == 2 and mine() == 2 and calls == [1]
+    spark.createDataFrame([(2, 102, 1)], "qid long, pid long, rel int").write.mode("append").parquet(judged)
+    assert mine() == 3 and calls == [1, 1]
