@@ -7,9 +7,11 @@ can share windows:
 1. one row per segment: class hash, hash of the whole segment, document, place;
 2. classes that occur once end here; segments that are equal as a whole are settled by a count per (class, hash);
 3. of classes with several different segments one document per different segment sends its content, and the windows
-   are compared inside the class; what is found there holds wherever else the segment lies in rows of that document's id.  A class with very many different segments goes through rows, a window each.
+   are compared inside the class; what is found there holds wherever else the segment lies in rows of that document's id;
+4. a class with very many different segments is dealt into parts that are compared in the same way, and then one window of
+   each run of equal ones is compared with those of the other parts.
 
-Counts combine map-side; joins are on hashes and can be split where a class is frequent; no pairs are formed.
+Counts combine map-side; joins are on hashes with stored tables and can be split where a class is frequent; no pairs are formed.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ _M = 0x9E3779B97F4A7C15                  # odd: has an inverse modulo 2**64
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _POWERS = np.ones(1, np.uint64)
 _INVERSES = np.ones(1, np.uint64)
-MANY = 8000                              # different segments of a class that are compared in one task (about 100 MB)
+MANY = 4000                              # different segments of a class that are compared in one task, about
 TASK_BYTES = 1 << 20                     # content of the segments that are compared in one task, about
 FILTER_BITS = 1 << 26                    # of the fixed-size filter of affected documents
 
@@ -180,17 +182,32 @@ def affected(docs: DataFrame, ids: DataFrame, key: str, text: str) -> tuple[Data
     return marked, may_be(F.xxhash64("_row_id", "_row_hash"))
 
 
+def in_runs(run: np.ndarray, ids: np.ndarray, earlier: bool) -> np.ndarray:
+    """Which windows are not alone in their run of equal windows (``earlier``: not of the smallest id in it)."""
+    if not len(run):
+        return np.zeros(0, bool)
+    return ids > smallest(run, ids)[run] if earlier else np.bincount(run)[run] > 1
+
+
+def smallest(run: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The smallest id of each run."""
+    low = np.full(int(run.max()) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(low, run, ids)
+    return low
+
+
 def repeated(rows: DataFrame, docs: DataFrame, read: Callable, window: int, compare: Callable, symbol: str,
              earlier: bool, key: str, text: str, many: int = MANY) -> DataFrame:
     """``_row_id, _row_hash, start, stop``: stretches of symbols covered by windows that occur elsewhere.
 
     ``earlier``: only windows that also occur in a document with a smaller id count (the id is ``_row_id``).
-    ``compare(classes, anchor distances, ids, symbols, first symbol and windows of each segment, window, earlier)``
-    settles the windows of some classes in one task.
+    ``compare(classes, anchor distances, symbols, first symbol and windows of each segment, window)`` compares the
+    windows of some segments in one task and returns (segment, place, run) of each: equal windows have one run number.
+    Tables that a frequent class is joined with are stored first, so that the join can be split.
     """
     rows = materialize(rows, "segments")
     good = rows.groupBy("cls").agg(F.count("*").alias("k"), F.min("_row_id").alias("lo"), F.max("_row_id").alias("hi"))
-    good = good.filter("lo < hi" if earlier else "k > 1").select("cls")
+    good = materialize(good.filter("lo < hi" if earlier else "k > 1").select("cls"), "classes")
     live = materialize(rows.join(good, "cls", "left_semi"), "live")
     kinds = live.groupBy("cls", "seg").agg(F.count("*").alias("k"),
                                            F.min(F.struct("_row_id", "_row_hash", "start", "n", "off")).alias("rep"))
@@ -201,7 +218,7 @@ def repeated(rows: DataFrame, docs: DataFrame, read: Callable, window: int, comp
         shared = live.join(kinds.filter("k > 1").select("cls", "seg"), ["cls", "seg"], "left_semi")
     shared = shared.select("_row_id", "_row_hash", "start", (F.col("start") + F.col("n") - 1 + window).alias("stop"))
     several = kinds.groupBy("cls").agg(F.count("*").alias("kinds"), F.min("_row_id").alias("lo"), F.max("_row_id").alias("hi"))
-    several = several.filter("kinds > 1 and lo < hi" if earlier else "kinds > 1").select("cls", "kinds")
+    several = materialize(several.filter("kinds > 1 and lo < hi" if earlier else "kinds > 1").select("cls", "kinds"), "several")
     asked = materialize(kinds.join(several, "cls").select("_row_id", "_row_hash", "start", "n", "off", "cls", "seg", "k", "kinds"), "asked")
     size = asked.agg(F.sum(F.col("n") + window).alias("s")).first()["s"] or 0
     if not size:
@@ -225,13 +242,20 @@ def repeated(rows: DataFrame, docs: DataFrame, read: Callable, window: int, comp
                 .applyInArrow(fetch, "_row_id long, _row_hash long, start long, n int, off int, cls long, seg long, kinds long, content binary"))
     contents = materialize(contents, "contents")
 
-    def settle(data: pa.Table) -> pa.Table:
-        ids = [data.column(c).to_numpy() for c in ("_row_id", "_row_hash", "start")]
+    def windows(data: pa.Table):
+        """Symbols of the segments in ``data``, their first ones, and (segment, place, run) of all windows."""
         n = data.column("n").to_numpy().astype(np.int64)
         sizes = n + window - 1
         symbols = np.frombuffer(b"".join(data.column("content").to_pylist()), symbol)
         first = np.cumsum(sizes) - sizes
-        seg, at = compare(data.column("cls").to_numpy(), data.column("off").to_numpy(), ids[0], symbols, first, n, window, earlier)
+        return symbols, first, *compare(data.column("cls").to_numpy(), data.column("off").to_numpy(), symbols, first, n, window)
+
+    def settle(data: pa.Table) -> pa.Table:
+        ids = [data.column(c).to_numpy() for c in ("_row_id", "_row_hash", "start")]
+        _, _, seg, at, run = windows(data)
+        hit = np.flatnonzero(in_runs(run, ids[0][seg], earlier))
+        hit = hit[np.lexsort((at[hit], seg[hit]))]
+        seg, at = seg[hit], at[hit]
         if len(seg):                                     # neighbouring windows of one segment make one stretch
             new = np.ones(len(seg), bool)
             new[1:] = (seg[1:] != seg[:-1]) | (at[1:] != at[:-1] + 1)
@@ -262,23 +286,45 @@ def repeated(rows: DataFrame, docs: DataFrame, read: Callable, window: int, comp
     if crowd.isEmpty():
         return placed(few)
 
-    def windows(batches):                                # a row a window, for classes too large for one task
-        for batch in pieces(batches, 1 << 20):
-            n = batch.column("n").to_numpy().astype(np.int64)
-            sizes = n + window - 1
-            hashes = PrefixHash(np.frombuffer(b"".join(batch.column("content").to_pylist()), symbol))
-            seg = np.repeat(np.arange(len(n)), n)
-            step = np.arange(len(seg)) - np.repeat(np.cumsum(n) - n, n)
-            at = (np.cumsum(sizes) - sizes)[seg] + step
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(batch.column(c).to_numpy()[seg]) for c in ("_row_id", "_row_hash", "cls", "seg", "start")]
-                + [pa.array(step), pa.array(hashes(at, at + window).view(np.int64))],
-                names=["_row_id", "_row_hash", "cls", "seg", "first", "at", "w"])
-    single = materialize(crowd.select("_row_id", "_row_hash", "start", "n", "cls", "seg", "content")
-                         .mapInArrow(windows, "_row_id long, _row_hash long, cls long, seg long, first long, at long, w long"), "windows")
-    counts = single.groupBy("cls", "w").agg(F.count("*").alias("k"), F.min("_row_id").alias("lo"))
-    hits = single.join(counts, ["cls", "w"]).filter("_row_id > lo" if earlier else "k > 1")
-    return placed(few.union(hits.select("_row_id", "_row_hash", "cls", "seg", "first", "at", F.lit(window).cast("long").alias("size"))))
+    # A class too large for one task: its segments are dealt into parts, each part is compared like a small class, and
+    # one window of every run meets the equal-looking ones of the other parts.
+    def part(data: pa.Table) -> pa.Table:
+        symbols, first, seg, at, run = windows(data)
+        start, ids = first[seg] + at, data.column("_row_id").to_numpy()[seg]
+        count, (_, one) = np.bincount(run), np.unique(run, return_index=True)
+        one_of = np.zeros(len(run), bool)
+        one_of[one] = True
+        columns = {c: data.column(c).to_numpy()[seg] for c in ("_row_id", "_row_hash", "cls", "seg", "part", "start")}
+        table = pa.table({**columns, "at": at, "w": PrefixHash(symbols)(start, start + window).view(np.int64), "run": run,
+                          "lo": smallest(run, ids)[run], "k": count[run], "one": one_of})
+        release_memory()
+        return table
+    parts = crowd.withColumn("part", F.pmod("seg", F.ceil(F.col("kinds") / F.lit(max(many, 1)))))
+    single = materialize(parts.groupBy("cls", "part").applyInArrow(
+        part, "_row_id long, _row_hash long, cls long, seg long, part long, start long, at long, w long, run long, lo long, "
+              "k long, one boolean"), "windows")
+    ones = single.filter("one").select("cls", "part", "run", "w", "seg", "at", "lo", "k")
+    again = materialize(ones.groupBy("cls", "w").agg(F.count("*").alias("parts")).filter("parts > 1").select("cls", "w"), "again")
+    content = F.expr(f"substring(content, cast(at as int) * {width} + 1, {window * width})")
+    met = materialize(ones.join(again, ["cls", "w"], "left_semi").join(crowd.select("cls", "seg", "content"), ["cls", "seg"])
+                      .select("cls", "part", "run", "w", "lo", "k", content.alias("content"),
+                              F.lit(1).alias("n"), F.lit(0).alias("off")), "met")
+    lots = int(max(1, -(-met.count() * window * width // TASK_BYTES)))
+
+    def meet(data: pa.Table) -> pa.Table:
+        _, _, seg, _, run = windows(data)
+        lo, k = (data.column(c).to_numpy()[seg] for c in ("lo", "k"))
+        total = np.zeros(int(run.max()) + 1, np.int64)
+        np.add.at(total, run, k)
+        return pa.table({**{c: data.column(c).to_numpy()[seg] for c in ("cls", "part", "run")},
+                         "all_lo": smallest(run, lo)[run], "all_k": total[run]})
+    known = (met.withColumn("lot", F.pmod(F.xxhash64("cls", "w"), F.lit(lots))).groupBy("lot")
+             .applyInArrow(meet, "cls long, part long, run long, all_lo long, all_k long"))
+    known = materialize(known, "runs")
+    hit = F.col("_row_id") > F.coalesce("all_lo", "lo") if earlier else F.coalesce("all_k", "k") > 1
+    hits = single.join(known, ["cls", "part", "run"], "left").filter(hit)
+    return placed(few.union(hits.select("_row_id", "_row_hash", "cls", "seg", F.col("start").alias("first"), "at",
+                                        F.lit(window).cast("long").alias("size"))))
 
 
 def covered(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

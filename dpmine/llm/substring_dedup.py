@@ -5,26 +5,32 @@ rolling window of a block's length probes it, and a hit anchors the windows of `
 that also occurs in another document holds one of that document's blocks as a whole.  Hits are extended to maximal
 repeats by comparing the stretches around equal anchors.
 
-The index is kept as a bitmap of fixed size; it never misses a block, and the probes it lets through by chance only
-make more anchors (a chance hit depends on the words alone, so equal windows still agree on their anchor).
+The index is kept as bitmaps, 16 bits and more a block, of up to ``INDEX_BITS`` each: a bitmap holds the blocks of one
+range of hashes and is probed by the windows of that range.  It never misses a block, and the probes it lets through by
+chance only make more anchors (a chance hit depends on the words alone, so equal windows still agree on their anchors).
+A window has an anchor for each range that it hits; a repeated one holds a whole block, so it has one in that block's range.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from dpmine.llm import repeats
 from dpmine.llm.common import cut_words, pieces, utf8, word_hashes
 from dpmine.llm.repeats import PrefixHash, Texts
+from dpmine.session import materialize
 
 WINDOW = 50
 BLOCK = 25               # any window holds at least one whole block of a document that it occurs in
 LOT = 1 << 18            # words that are hashed at once
-INDEX_BITS = 1 << 27     # 16 MB
+BLOCK_BITS = 16          # of the index for each block, at least: about 1.4 % of windows hit by chance
+INDEX_BITS = 1 << 29     # of the index that are broadcast at a time (64 MB)
 PROBES = 2
 
 
@@ -49,36 +55,39 @@ def block_hashes(docs: DataFrame, text: str, block: int) -> DataFrame:
     return docs.select(docs[text].cast("string").alias("_text")).mapInArrow(run, "h long")
 
 
-def hits(index, window: int, block: int):
-    """Anchors: for each window start the first rolling window in it that is in the index; none: -1."""
+def index_size(blocks: int, most: int = INDEX_BITS, least: int = 1 << 15) -> tuple[int, int]:
+    """(bits of one bitmap, number of hash ranges) for so many blocks; both are powers of two, at most 128 ranges."""
+    bits = max(least, 1 << max(0, blocks * BLOCK_BITS - 1).bit_length())
+    return min(bits, most), min(128, max(1, bits // most))
+
+
+def hits(index, window: int, block: int, part: int = 0, ranges: int = 1):
+    """Anchors: for each window start the first rolling window in it that is in the index of hash range ``part``; none: -1."""
     def anchors(texts: Texts, hashes: PrefixHash) -> np.ndarray:
         n = len(texts.symbols) - window + 1
         if n <= 0:
             return np.zeros(0, np.int64)
         at = np.arange(len(texts.symbols) - block + 1)
-        places = np.append(np.flatnonzero(repeats.in_filter(index.value, hashes(at, at + block), PROBES)), 1 << 62)
+        h = hashes(at, at + block)
+        inside = np.flatnonzero(h >> np.uint64(65 - ranges.bit_length()) == part) if ranges > 1 else at
+        places = np.append(inside[repeats.in_filter(index.value, h[inside], PROBES)], 1 << 62)
         place = places[np.searchsorted(places, np.arange(n))]
         return np.where(place <= np.arange(n) + window - block, place, -1)
     return anchors
 
 
-def equal_windows(cls, off, ids, symbols, first, n, window, earlier):
-    """Windows (segment, place) of a class that also occur in a segment with a smaller id (or, not ``earlier``, elsewhere)."""
+def equal_windows(cls, off, symbols, first, n, window):
+    """(segment, place, run) of all windows of the segments; equal ones of a class (by hash) have one run number."""
     seg = np.repeat(np.arange(len(n)), n)
     step = np.arange(len(seg)) - np.repeat(np.cumsum(n) - n, n)
     starts = first[seg] + step
     h = PrefixHash(symbols)(starts, starts + window)
-    order = np.lexsort((ids[seg], h, cls[seg]))
+    order = np.lexsort((h, cls[seg]))
     new = np.ones(len(order), bool)
     new[1:] = (h[order[1:]] != h[order[:-1]]) | (cls[seg[order[1:]]] != cls[seg[order[:-1]]])
-    head = np.flatnonzero(new)
-    of = np.cumsum(new) - 1
-    if earlier:
-        hit = ids[seg[order]] > ids[seg[order[head]]][of]
-    else:
-        hit = np.diff(np.append(head, len(order)))[of] > 1
-    hit = np.sort(order[hit])
-    return seg[hit], step[hit]
+    run = np.empty(len(order), np.int64)
+    run[order] = np.cumsum(new) - 1
+    return seg, step, run
 
 
 def cut_words_out(text: bytes, starts: np.ndarray, stops: np.ndarray) -> tuple:
@@ -98,9 +107,15 @@ def repeated_words(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     """``_row_id, _row_hash, start, stop``: stretches of words covered by windows that occur in a row with a smaller id."""
     if 2 * block > window + 1:
         raise ValueError("a window must hold a whole block wherever it starts")
-    index = docs.sparkSession.sparkContext.broadcast(      # a fixed size
-        repeats.bit_filter(block_hashes(docs, text, block), "h", bits, PROBES))
-    rows = repeats.segment_rows(docs, read_words, hits(index, window, block), window, block, lot, key, text)
+    blocks = materialize(block_hashes(docs, text, block), "blocks")
+    size, ranges = index_size(blocks.count(), bits)
+    rows = []
+    for part in range(ranges):
+        # ranges are told by up to seven upper bits; the places of both probes are bits 0 to 56 at most
+        own = blocks.filter(F.shiftrightunsigned("h", 65 - ranges.bit_length()) == part) if ranges > 1 else blocks
+        index = docs.sparkSession.sparkContext.broadcast(repeats.bit_filter(own, "h", size, PROBES))     # at most ``bits``
+        rows.append(repeats.segment_rows(docs, read_words, hits(index, window, block, part, ranges), window, block, lot, key, text))
+    rows = reduce(DataFrame.union, rows)
     return repeats.repeated(rows, docs, read_words, window, equal_windows, "u8", True, key, text, many)
 
 

@@ -102,8 +102,8 @@ def sort_suffixes(symbols: np.ndarray, hashes: PrefixHash, starts: np.ndarray, g
     return order
 
 
-def equal_windows(cls, off, ids, symbols, first, n, window, earlier):
-    """Windows (segment, place) that occur elsewhere among the segments of their class, by suffix sorting.
+def equal_windows(cls, off, symbols, first, n, window):
+    """(segment, place, run) of all windows of the segments; equal ones of a class have one run number, by suffix sorting.
 
     Equal windows have their anchor at the same distance, so suffixes are sorted apart by class and distance.
     """
@@ -122,13 +122,11 @@ def equal_windows(cls, off, ids, symbols, first, n, window, earlier):
     eights = np.ndarray(max(0, len(symbols) - 7), "<u8", symbols.tobytes(), strides=(1,))
     for at in [*range(0, window - 8, 8), window - 8]:    # collision verification, eight bytes at a time
         equal &= eights[x + at] == eights[y + at]
-    same = np.zeros(len(a), bool)
-    same[near[equal]] = True
-    hit = np.zeros(len(seg), bool)
-    hit[a[same]] = hit[b[same]] = True
-    hit = np.flatnonzero(hit)
-    hit = hit[np.lexsort((step[hit], seg[hit]))]
-    return seg[hit], step[hit]
+    fresh = np.ones(len(order), bool)
+    fresh[near[equal] + 1] = False
+    run = np.empty(len(order), np.int64)
+    run[order] = np.cumsum(fresh) - 1
+    return seg, step, run
 
 
 def cut_bytes(text: bytes, starts: np.ndarray, stops: np.ndarray) -> tuple:

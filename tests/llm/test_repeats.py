@@ -81,6 +81,30 @@ def test_words_equal_brute_force(spark, seed, lot, many, bits):
     assert got == want and any(w[2] for w in want) and any(w[1] > w[2] for w in want)
 
 
+def test_index_grows_with_the_blocks(spark, monkeypatch):
+    assert substring_dedup.index_size(0) == (1 << 15, 1) and substring_dedup.index_size(3_000_000) == (1 << 26, 1)
+    assert substring_dedup.index_size(200_000_000) == (1 << 29, 8) and substring_dedup.index_size(1 << 60) == (1 << 29, 128)
+    monkeypatch.setattr(substring_dedup, "BLOCK_BITS", 128)      # several ranges for few blocks
+    sizes = []
+    size = substring_dedup.index_size
+    monkeypatch.setattr(substring_dedup, "index_size", lambda *a: sizes.append(size(*a)) or sizes[-1])
+    rows = [(k, " ".join(d)) for k, d in tangled(6, letters="abcdef", unit=3, length=200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(r) for r in substring_dedup.remove_repeats(docs, window=20, block=10, bits=1 << 15).collect()), key=repr)
+    assert got == brute_words(rows, 20) and sizes[0][1] > 1
+
+
+def test_class_of_thousands_of_segments_is_sorted_in_parts(spark):
+    rng = random.Random(5)
+    passage = "".join(rng.choices("abcdefgh", k=260))
+    mark = lambda: "".join(rng.choices("xyz", k=3))
+    rows = [(i, mark() * rng.randint(0, 4) + passage[rng.choice([0, 0, 30]):rng.choice([240, 260, 260])] + mark() + str(i))
+            for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = sorted((tuple(r) for r in suffix_dedup.remove_repeats(docs, many=400).collect()), key=repr)
+    assert got == brute_bytes(rows)
+
+
 @pytest.mark.parametrize("many", [repeats.MANY, 0])
 def test_passage_repeated_inside_a_document(spark, many):
     words = lambda name, n: [f"{name}{i}" for i in range(n)]
