@@ -226,20 +226,28 @@ def repeated(rows: DataFrame, docs: DataFrame, read: Callable, window: int, comp
     width = np.dtype(symbol).itemsize
     lots = int(max(1, -(-size * width // TASK_BYTES)))
 
+    # every document that is asked meets its text once, with the list of its segments (no longer than the document)
     marked, may_be = affected(docs, asked, key, text)
-    wanted = marked.filter(may_be).select("_text", "_row_id", "_row_hash")
-
-    def fetch(k, doc: pa.Table, ask: pa.Table) -> pa.Table:
-        if not doc.num_rows or not ask.num_rows:
-            return pa.table({c: pa.array([], t) for c, t in zip(
-                ("_row_id", "_row_hash", "start", "n", "off", "cls", "seg", "kinds", "content"),
-                (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))})
-        symbols = read(utf8(doc.column("_text").combine_chunks().slice(0, 1))).symbols
-        content = [symbols[s:s + n - 1 + window].astype(symbol, copy=False).tobytes()
-                   for s, n in zip(ask.column("start").to_pylist(), ask.column("n").to_pylist())]
-        return ask.select(["_row_id", "_row_hash", "start", "n", "off", "cls", "seg", "kinds"]).append_column("content", pa.array(content, pa.binary()))
-    contents = (wanted.groupBy("_row_id", "_row_hash").cogroup(asked.groupBy("_row_id", "_row_hash"))
-                .applyInArrow(fetch, "_row_id long, _row_hash long, start long, n int, off int, cls long, seg long, kinds long, content binary"))
+    wanted = marked.filter(may_be).select("_text", "_row_id", "_row_hash").dropDuplicates(["_row_id", "_row_hash"])
+    asks = asked.groupBy("_row_id", "_row_hash").agg(F.collect_list(F.struct("start", "n", "off", "cls", "seg", "kinds")).alias("asks"))
+    asks = materialize(asks, "asks")
+
+    def fetch(batches):
+        for batch in pieces(batches, 1 << 20):
+            lists = batch.column(3)
+            ask = lists.flatten()
+            of = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+            texts = read(utf8(batch.column(0)))
+            n = ask.field("n").to_numpy().astype(np.int64)
+            start = texts.first[of] + ask.field("start").to_numpy()
+            symbols = texts.symbols.astype(symbol, copy=False)
+            content = [symbols[a:b].tobytes() for a, b in zip(start.tolist(), (start + n - 1 + window).tolist())]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(batch.column(c).to_numpy()[of]) for c in (1, 2)]
+                + [ask.field(c) for c in ("start", "n", "off", "cls", "seg", "kinds")] + [pa.array(content, pa.binary())],
+                names=["_row_id", "_row_hash", "start", "n", "off", "cls", "seg", "kinds", "content"])
+    contents = wanted.join(asks, ["_row_id", "_row_hash"]).select("_text", "_row_id", "_row_hash", "asks").mapInArrow(
+        fetch, "_row_id long, _row_hash long, start long, n int, off int, cls long, seg long, kinds long, content binary")
     contents = materialize(contents, "contents")
 
     def windows(data: pa.Table):
