@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dpmine.session import release_memory
+
 #: A word is a maximal run of characters that are not ASCII white space; ``bytes.split()`` cuts at the same six bytes.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -33,14 +34,6 @@ def pieces(batches: Iterator[pa.RecordBatch], max_bytes: int = 4 << 20) -> Itera
     release_memory()
 
 
-def release_memory() -> None:
-    """Hand freed memory of Arrow and of the C library (where it can) back to the system."""
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:
-        trim(0)
-
-
 def utf8(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of a text column; null counts as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -5,12 +5,15 @@ Plan shape
 Passages are scanned where they lie; queries are stored in blocks under the
 shared checkpoint folder, and every task reads the blocks from there:
 
-    passages --mapInArrow(lots × query blocks: BLAS, running top-k)--> stored local results
+    passages --mapInArrow(lots × one query block: BLAS, running top-k)--> stored local results
     --exchange by qid--> row_number() ≤ k  (WindowGroupLimit partial+final)
 
 The passage side is never exchanged, and neither side passes through the
-driver.  A task keeps the best k of every query over all its lots (compacted as
-it goes); a query's k-th best so far is the bar for what comes later.  With
+driver.  A task compares its passages with one block of queries, small enough
+for the best k of its queries to fit the task's state, so a worker's memory
+does not grow with the queries: more queries are more blocks, each with a scan
+of its own.  A task keeps the best k of its queries over all its lots (compacted
+as it goes); a query's k-th best so far is the bar for what comes later.  With
 many lots two more bounds keep the exchange small: the k-th best score in a
 hash sample of the passages is every task's first bar, and the k-th best among
 the first few local results of all tasks is the bar to reach the exchange.
@@ -37,13 +40,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dpmine.functions.vectors import as_double_vector, dot, fold_passage, fold_query
-from dpmine.session import materialize, scratch_path
-
-BLOCK_BYTES = 256 << 20     # vectors of one query block: what a worker holds of the queries at a time
-LOT_BYTES = 64 << 20        # passage vectors compared at a time
-SCORE_BYTES = 32 << 20      # one tile of scores in a task
-STATE_BYTES = 256 << 20     # a task's running results; beyond them it hands out what it has
-FEW_LOTS = 16               # up to here the local results are exchanged without further bounds
+from dpmine.session import materialize, release_memory, scratch_path
+
+BLOCK_BYTES = 32 << 20      # vectors of one query block: what a worker holds of the queries at a time
+LOT_BYTES = 16 << 20        # passage vectors compared at a time
+SCORE_BYTES = 16 << 20      # one tile of scores in a task
+STATE_BYTES = 32 << 20      # a task's running results; beyond them it hands out what it has
+RESULT_BYTES = 24           # one running result: query row, passage, score
+SCANS = 64                  # blocks that one job scans for
+FEW_LOTS = 64               # up to here the local results are exchanged without further bounds
 SAMPLE = 64                 # one passage in so many gives the first bounds
 BOUNDS_BYTES = 64 << 20     # bounds that are broadcast; more of them meet the local results by a shuffle
 EXPAND = 3                  # vectors in memory over vectors in Parquet files, at most as a rule
@@ -56,13 +61,18 @@ def _bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def _stored_queries(queries: DataFrame, block_bytes: int) -> list[str]:
-    """Paths of the stored blocks (``id, vec, bound``), as many as the size of the files asks for; the input runs once."""
+def _stored_queries(queries: DataFrame, k: int, block_bytes: int, state_bytes: int) -> list[str]:
+    """Paths of the stored blocks (``id, vec, bound``); the input runs once.
+
+    As many as the size of the files asks for, and so many that the results of a block fill half of a task's state.
+    """
     path = scratch_path(queries.sparkSession, "queries")
     queries.write.parquet(path)
     stored = queries.sparkSession.read.schema(queries.schema).parquet(path)
-    blocks = math.ceil(EXPAND * _bytes(stored) / max(block_bytes, 1))
-    return [path] if blocks <= 1 else _in_blocks(stored, min(blocks, max(1, stored.count())))
+    rows = stored.count()
+    blocks = max(math.ceil(EXPAND * _bytes(stored) / max(block_bytes, 1)),
+                 math.ceil(2 * RESULT_BYTES * rows * k / max(state_bytes, 1)))
+    return [path] if blocks <= 1 else _in_blocks(stored, min(blocks, max(1, rows)))
 
 
 def _in_blocks(rows: DataFrame, blocks: int) -> list[str]:
@@ -97,6 +107,12 @@ def _block(place) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return _held[key]
 
 
+def _forget() -> None:
+    """Let go of the block when its task ends: the worker lives on."""
+    _held.clear()
+    release_memory()
+
+
 def _checked(ids, vec: pa.ListArray, side: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids and the matrix of their vectors; what is missing, not finite or of another length is an error."""
     flat = vec.flatten().to_numpy(zero_copy_only=False)
@@ -127,7 +143,10 @@ def best_of(Q: np.ndarray, bounds: np.ndarray, pids: np.ndarray, P: np.ndarray,
         S = part @ P.T
         over = np.flatnonzero((S >= (bar - margin)[:, None]).sum(axis=1) > k)
         if len(over) and len(pids) > k:
-            bar[over] = np.partition(S[over], len(pids) - k, axis=1)[:, len(pids) - k]
+            ranked = S[over]
+            ranked.partition(len(pids) - k, axis=1)
+            bar[over] = ranked[:, len(pids) - k]
+            del ranked
         r, c = np.nonzero(S >= (bar - margin)[:, None])
         score, pairs = np.empty(len(r)), max(1, score_bytes // (16 * d))
         for at in range(0, len(r), pairs):
@@ -143,15 +162,14 @@ def best_of(Q: np.ndarray, bounds: np.ndarray, pids: np.ndarray, P: np.ndarray,
 
 
 class _Running:
-    """The best ``k`` passages of every query so far, and each query's bound."""
+    """The best ``k`` passages of every query of a block so far, and each query's bound."""
 
-    def __init__(self, k: int, state_bytes: int):
-        self.k, self.most, self.parts, self.new, self.kept = k, max(1, state_bytes // 24), [], 0, 0
-        self.ids: list[np.ndarray] = []
-        self.bounds: list[np.ndarray] = []
+    def __init__(self, ids: np.ndarray, bounds: np.ndarray, k: int, state_bytes: int):
+        self.ids, self.bounds, self.k, self.most = ids, bounds.copy(), k, max(1, state_bytes // RESULT_BYTES)
+        self.parts, self.new, self.kept = [], 0, 0
 
-    def add(self, block: int, rows: np.ndarray, pids: np.ndarray, scores: np.ndarray) -> Iterator[pa.RecordBatch]:
-        self.parts.append((np.full(len(rows), block, np.int32), rows, pids, scores))
+    def add(self, rows: np.ndarray, pids: np.ndarray, scores: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.parts.append((rows, pids, scores))
         self.new += len(rows)
         if self.new > self.kept + min(self.most, 1 << 20):
             self.compact()
@@ -159,29 +177,30 @@ class _Running:
                 yield from self.hand_out()
 
     def compact(self) -> np.ndarray:
-        block, rows, pids, scores = (np.concatenate(x) for x in zip(*self.parts))
-        order = np.lexsort((pids, -scores, rows, block))
-        block, rows, pids, scores = block[order], rows[order], pids[order], scores[order]
-        fresh = np.flatnonzero((np.diff(block, prepend=-1) != 0) | (np.diff(rows, prepend=-1) != 0))
+        rows, pids, scores = (np.concatenate(x) for x in zip(*self.parts))
+        self.parts = []
+        order = np.lexsort((pids, -scores, rows))
+        rows = rows[order]
+        fresh = np.flatnonzero(np.diff(rows, prepend=-1) != 0)
         place = np.arange(len(rows)) - np.repeat(fresh, np.diff(np.append(fresh, len(rows))))
         keep = place < self.k
-        self.parts = [tuple(x[keep] for x in (block, rows, pids, scores))]
-        self.new = self.kept = int(keep.sum())
-        for b in np.unique(block).tolist():
-            last = (place == self.k - 1) & (block == b)
-            self.bounds[b][rows[last]] = np.maximum(self.bounds[b][rows[last]], scores[last])
-        return place[keep]
+        rows, place, order = rows[keep], place[keep], order[keep]
+        pids, scores = pids[order], scores[order]
+        self.parts = [(rows, pids, scores)]
+        self.new = self.kept = len(rows)
+        last = place == self.k - 1
+        self.bounds[rows[last]] = np.maximum(self.bounds[rows[last]], scores[last])
+        return place
 
     def hand_out(self) -> Iterator[pa.RecordBatch]:
         if self.new:
             place = self.compact()
-            block, rows, pids, scores = self.parts[0]
-            qids = np.empty(len(rows), np.int64)
-            for b in np.unique(block).tolist():
-                qids[block == b] = self.ids[b][rows[block == b]]
-            for at in range(0, len(rows), 1 << 18):
-                yield pa.RecordBatch.from_arrays([pa.array(x[at:at + (1 << 18)]) for x in (
-                    qids, pids, scores, place.astype(np.int32) + 1)], names=["qid", "pid", "score", "place"])
+            rows, pids, scores = self.parts[0]
+            for at in range(0, len(rows), 1 << 16):
+                part = slice(at, at + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (
+                    self.ids[rows[part]], pids[part], scores[part], place[part].astype(np.int32) + 1)],
+                    names=["qid", "pid", "score", "place"])
         self.parts, self.new, self.kept = [], 0, 0
 
 
@@ -206,23 +225,26 @@ def _lots(batches: Iterator[pa.RecordBatch], lot_bytes: int) -> Iterator[tuple[n
 
 
 def _scan(passages: DataFrame, places: list, k: int, lot_bytes: int, score_bytes: int, state_bytes: int) -> DataFrame:
-    """One pass over the passages; each task's best k per query with their place, stored: ``qid, pid, score, place``."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        running = _Running(k, state_bytes)
-        for pids, P in _lots(batches, lot_bytes):
-            for b, place in enumerate(places):
+    """A pass over the passages for each query block, in one job; each task's best k per query of its block with their
+    place, stored: ``qid, pid, score, place``."""
+    def against(place):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            running = None
+            for pids, P in _lots(batches, lot_bytes):
                 ids, Q, bounds = _block(place)
-                if len(running.ids) <= b:
-                    running.ids.append(ids)
-                    running.bounds.append(bounds.copy())
                 if not len(ids):
                     continue
                 if P.shape[1] != Q.shape[1]:
                     raise ValueError(f"passage vectors have length {P.shape[1]}, query vectors {Q.shape[1]}")
-                yield from running.add(b, *best_of(Q, running.bounds[b], pids, P, k, score_bytes))
-        yield from running.hand_out()
+                running = running or _Running(ids, bounds, k, state_bytes)
+                yield from running.add(*best_of(Q, running.bounds, pids, P, k, score_bytes))
+            if running:
+                yield from running.hand_out()
+            running = None
+            _forget()
+        return passages.mapInArrow(run, CANDIDATES)
     try:
-        return materialize(passages.mapInArrow(run, CANDIDATES), "local-results")
+        return materialize(reduce(DataFrame.unionByName, [against(place) for place in places]), "local-results")
     except PySparkException as e:
         if said := re.search(r"ValueError: ((?:passage|query|repeated query)[^\n]*)", str(e)):
             raise ValueError(said[1]) from e
@@ -242,15 +264,17 @@ def topk_candidates(queries: DataFrame, passages: DataFrame, k: int, *, qid: str
     spark = queries.sparkSession
     q = queries.select(F.col(qid).cast("long").alias("id"), as_double_vector(vec).alias("vec"), F.lit(None).cast("double").alias("bound"))
     p = passages.select(F.col(pid).cast("long").alias("id"), as_double_vector(vec).alias("vec"))
-    places = _stored_queries(q, block_bytes)
-    if EXPAND * _bytes(p) > FEW_LOTS * lot_bytes and not _in_place(p):
-        p = materialize(p, "passages")                       # two passes follow
+    places = _stored_queries(q, k, block_bytes, state_bytes)
+    if (len(places) > 1 or EXPAND * _bytes(p) > FEW_LOTS * lot_bytes) and not _in_place(p):
+        p = materialize(p, "passages")                       # several passes follow
     many = EXPAND * _bytes(p) > FEW_LOTS * lot_bytes
 
     def scan(rows: DataFrame, places: list) -> DataFrame:
-        if _opens(places[0]):
-            return _scan(rows, places, k, lot_bytes, score_bytes, state_bytes)
         found = []
+        if _opens(places[0]):
+            for at in range(0, len(places), SCANS):
+                found.append(_scan(rows, places[at:at + SCANS], k, lot_bytes, score_bytes, state_bytes))
+            return reduce(DataFrame.unionByName, found)
         for place in places:                                 # a block at a time through the driver, never all
             held = spark.sparkContext.broadcast(spark.read.parquet(place).toArrow())
             found.append(_scan(rows, [(place, held)], k, lot_bytes, score_bytes, state_bytes))
@@ -271,7 +295,7 @@ def topk_candidates(queries: DataFrame, passages: DataFrame, k: int, *, qid: str
         places = _in_blocks(stored, len(places))
     found = scan(p, places)
     if many:
-        tasks = max(1, len(found.inputFiles()))
+        tasks = max(1, len(found.inputFiles()) // len(places))        # that scanned for a query
         bars = kth(found.filter(F.col("place") <= math.ceil(2 * k / tasks)))
         bars = F.broadcast(bars) if _bytes(bars) <= BOUNDS_BYTES else bars
         found = found.join(bars, "qid", "left").filter(F.col("bar").isNull() | (F.col("score") >= F.col("bar")))
@@ -284,7 +308,7 @@ def mips_topk(queries: DataFrame, passages: DataFrame, k: int, **kw) -> DataFram
     ``rank`` is 1-based; a query sees ``min(k, |passages|)`` rows.
     ``queries``: ``qid, vec``; ``passages``: ``pid, vec`` (numeric arrays);
     each side runs once (passages that are more than a scan are stored first
-    where a sample is read too).  Keywords: ``qid, pid, vec`` column names and
+    where they are read more than once).  Keywords: ``qid, pid, vec`` column names and
     the byte budgets ``block_bytes`` (a query block), ``lot_bytes`` (passages
     compared at a time), ``score_bytes`` (score tile), ``state_bytes`` (a
     task's running results).  Missing or non-finite vectors, vectors of other

@@ -9,6 +9,7 @@ one ourselves.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -100,6 +101,15 @@ def materialize(df, name: str = "stage"):
     return spark.read.parquet(path)
 
 
+def release_memory() -> None:
+    """Hand freed memory of Arrow and of the C library (where it can) back to the system: workers live on between stages."""
+    import pyarrow as pa
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 _SHIPPED: set = set()
 
 

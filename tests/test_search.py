@@ -171,3 +171,20 @@ def test_blocks_by_broadcast_where_the_folder_does_not_open(spark, monkeypatch):
     monkeypatch.setattr(S, "_opens", lambda place: False)
     assert {tuple(r) for r in mips_topk(q, p, 4, block_bytes=600).collect()} == want
     assert mips_topk(q, p.limit(0), 4).collect() == [] and mips_topk(q.limit(0), p, 4).collect() == []
+
+
+def test_a_task_holds_the_results_of_one_query_block(spark, monkeypatch):
+    """However many queries there are, the results that one task keeps fit its state."""
+    from dpmine.operators import search as S
+    from pyspark.sql import functions as F
+    stored, write = [], S.materialize
+
+    def keep(df, name):
+        stored.append((name, write(df, name)))
+        return stored[-1][1]
+    monkeypatch.setattr(S, "materialize", keep)
+    q, p = _vectors(spark, 40, 8, 1, "qid"), _vectors(spark, 300, 8, 2, "pid").repartition(2)
+    got = {(r.qid, r.pid, r.rank) for r in mips_topk(q, p, 10, state_bytes=S.RESULT_BYTES * 100).collect()}
+    assert got == _brute([(r.qid, r.vec) for r in q.collect()], [(r.pid, r.vec) for r in p.collect()], 10)
+    local = next(df for name, df in stored if name == "local-results")
+    assert max(r["count"] for r in local.groupBy(F.input_file_name().alias("task")).count().collect()) <= 100
