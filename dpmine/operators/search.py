@@ -56,7 +56,7 @@ CANDIDATES = "qid long, pid long, score double, place int"
 
 
 # ---------------------------------------------------------------- the query side
-def _bytes(df: DataFrame) -> int:
+def stored_bytes(df: DataFrame) -> int:
     """Size of a plan's result as Spark estimates it: of stored tables, that of their files."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
@@ -70,7 +70,7 @@ def _stored_queries(queries: DataFrame, k: int, block_bytes: int, state_bytes: i
     queries.write.parquet(path)
     stored = queries.sparkSession.read.schema(queries.schema).parquet(path)
     rows = stored.count()
-    blocks = max(math.ceil(EXPAND * _bytes(stored) / max(block_bytes, 1)),
+    blocks = max(math.ceil(EXPAND * stored_bytes(stored) / max(block_bytes, 1)),
                  math.ceil(2 * RESULT_BYTES * rows * k / max(state_bytes, 1)))
     return [path] if blocks <= 1 else _in_blocks(stored, min(blocks, max(1, rows)))
 
@@ -265,9 +265,9 @@ def topk_candidates(queries: DataFrame, passages: DataFrame, k: int, *, qid: str
     q = queries.select(F.col(qid).cast("long").alias("id"), as_double_vector(vec).alias("vec"), F.lit(None).cast("double").alias("bound"))
     p = passages.select(F.col(pid).cast("long").alias("id"), as_double_vector(vec).alias("vec"))
     places = _stored_queries(q, k, block_bytes, state_bytes)
-    if (len(places) > 1 or EXPAND * _bytes(p) > FEW_LOTS * lot_bytes) and not _in_place(p):
+    if (len(places) > 1 or EXPAND * stored_bytes(p) > FEW_LOTS * lot_bytes) and not _in_place(p):
         p = materialize(p, "passages")                       # several passes follow
-    many = EXPAND * _bytes(p) > FEW_LOTS * lot_bytes
+    many = EXPAND * stored_bytes(p) > FEW_LOTS * lot_bytes
 
     def scan(rows: DataFrame, places: list) -> DataFrame:
         found = []
@@ -297,7 +297,7 @@ def topk_candidates(queries: DataFrame, passages: DataFrame, k: int, *, qid: str
     if many:
         tasks = max(1, len(found.inputFiles()) // len(places))        # that scanned for a query
         bars = kth(found.filter(F.col("place") <= math.ceil(2 * k / tasks)))
-        bars = F.broadcast(bars) if _bytes(bars) <= BOUNDS_BYTES else bars
+        bars = F.broadcast(bars) if stored_bytes(bars) <= BOUNDS_BYTES else bars
         found = found.join(bars, "qid", "left").filter(F.col("bar").isNull() | (F.col("score") >= F.col("bar")))
     return found.select("qid", "pid", "score")
 

@@ -7,6 +7,7 @@ folder, so a round can resume and lost executors cost a re-read.
 
 from __future__ import annotations
 
+import math
 import uuid
 from dataclasses import asdict, dataclass, field
 from functools import reduce
@@ -23,6 +24,9 @@ from dpmine.sources.commits import CommitLog, delete, exists, rename
 from dpmine.sources.io import Stage, fingerprint, write_run
 
 
+SPREAD_BYTES = 32 << 20     # of a shard's files that one task encodes
+
+
 def retrieve(queries: DataFrame, passages: DataFrame, k: int, gaussian: bool = False, **kw) -> DataFrame:
     """Top-k run ``qid, pid, rank, score``; ``gaussian`` ranks passages ``pid, mean, var`` by log-density."""
     if gaussian:
@@ -44,7 +48,8 @@ def encode_shards(rows: DataFrame, root: str, id_col: str, text_cols: list[str],
     texts = Stage(spark, keyed.path, "texts")
     if not texts.exists():
         held = f"{texts.path}.{uuid.uuid4().hex[:12]}.tmp"
-        rows.select(id_col, *text_cols, of.alias("shard")).repartition(shards, "shard").write.partitionBy("shard").parquet(held)
+        dealt = rows.select(id_col, *text_cols, of.alias("shard")).hint("rebalance", "shard")     # a large shard: several tasks
+        dealt.write.partitionBy("shard").parquet(held)
         if not rename(spark, held, texts.path):
             delete(spark, held)
     log = CommitLog(spark, f"{keyed.path}/log")
@@ -63,8 +68,12 @@ def encode_shards(rows: DataFrame, root: str, id_col: str, text_cols: list[str],
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """One stored file is one scan task: deal it over the cluster, so that every worker has a model at work."""
-    return rows.repartition(max(1, rows.sparkSession.sparkContext.defaultParallelism))
+    """One stored file is one scan task: deal it over the cluster, so that every worker has a model at work.
+
+    Tasks grow with the stored size, so that none reads more than some ``SPREAD_BYTES`` of files.
+    """
+    tasks = math.ceil(S.stored_bytes(rows) / SPREAD_BYTES)
+    return rows.repartition(max(1, tasks, rows.sparkSession.sparkContext.defaultParallelism))
 
 
 def retrieve_texts(spark: SparkSession, root: str, queries: DataFrame, corpus: DataFrame, make_query_model,

@@ -7,6 +7,19 @@ from dpmine.operators.scoring import vector_teacher
 from dpmine.plans.jobs import RoundConfig, mining_rounds
 
 
+def test_texts_of_a_shard_are_dealt_to_several_tasks(spark, tmp_path):
+    from dpmine.plans.jobs import encode_shards
+    rows = spark.range(600).select("id", F.repeat(F.md5(F.col("id").cast("string")), 40).alias("text")).repartition(6)
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "4KB")
+    try:
+        out = encode_shards(rows, str(tmp_path), "id", ["text"], lambda: lambda texts: [[float(len(t))] for t, in texts], "m", shards=2)
+        assert {(r.id, tuple(r.vec)) for r in out.collect()} == {(i, (1280.0,)) for i in range(600)}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    files = [len(list(tmp_path.glob(f"*/texts-*/shard={s}/*.parquet"))) for s in range(2)]
+    assert min(files) > 1, files
+
+
 def test_two_rounds_reuse_cache(spark, tmp_path):
     rng = np.random.default_rng(0)
     q = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=4)]) for i in range(6)], "qid long, vec array<double>")
