@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dpmine.operators.rows import pieces
 from dpmine.session import release_memory
 
 #: A word is a maximal run of characters that are not ASCII white space; ``bytes.split()`` cuts at the same six bytes.
@@ -19,21 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def pieces(batches: Iterator[pa.RecordBatch], max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that one slice holds about ``max_bytes`` (a row is never cut); bounds a worker's memory.
-
-    When the task ends, freed memory goes back to the system: workers live on between stages.
-    """
-    for batch in batches:
-        rows = batch.num_rows
-        if not rows:
-            continue
-        step = max(1, min(rows, int(rows * max_bytes / max(batch.nbytes, 1))))
-        for at in range(0, rows, step):
-            yield batch.slice(at, step)
-    release_memory()
-
-
 def utf8(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of a text column; null counts as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -1,10 +1,15 @@
-"""Combining one-row results without joins."""
+"""Combining one-row results without joins, and cutting Arrow batches."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dpmine.session import release_memory
+
 
 def side_by_side(frames: list[DataFrame], key: str | None = None) -> DataFrame:
     """Frames of one row (per ``key``) with disjoint columns → one row with all columns.
@@ -28,3 +33,18 @@ def side_by_side(frames: list[DataFrame], key: str | None = None) -> DataFrame:
         u = u.unionByName(p)
     aggs = [F.first(c, ignorenulls=True).alias(c) for c, _ in cols]
     return u.groupBy(key).agg(*aggs) if key else u.agg(*aggs)
+
+
+def pieces(batches: Iterator[pa.RecordBatch], max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches so that one slice holds about ``max_bytes`` (a row is never cut); bounds a worker's memory.
+
+    When the task ends, freed memory goes back to the system: workers live on between stages.
+    """
+    for batch in batches:
+        rows = batch.num_rows
+        if not rows:
+            continue
+        step = max(1, min(rows, int(rows * max_bytes / max(batch.nbytes, 1))))
+        for at in range(0, rows, step):
+            yield batch.slice(at, step)
+    release_memory()

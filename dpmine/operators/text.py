@@ -6,9 +6,10 @@ Long form (one row per token) where a running sum is needed: character
 offsets and entity runs.  For the long form the documents are
 hash-partitioned by id *before* the explode, so the per-document window
 needs no second (token-level) exchange: ``Generate`` keeps the partitioning.
-All of it is JVM-side; n-grams use ``explode_outer`` (a plain ``explode``
-makes Catalyst push an inferred ``size(..) > 0`` filter that inlines the
-regex into every lambda).
+Tokens are cut JVM-side; Arrow batch functions make rows of them, in slices of
+bounded size.  N-grams with a predicate on whole grams use ``explode_outer`` (a
+plain ``explode`` makes Catalyst push an inferred ``size(..) > 0`` filter that
+inlines the regex into every lambda).
 """
 
 from __future__ import annotations
@@ -19,10 +20,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dpmine.functions.text import TOKEN, leading_gap, token_pieces, words
+from dpmine.operators.rows import pieces as slices
 
 # fixed values: characters Python's str.strip() removes (isspace)
 PY_SPACE = r"[\t\n\x0B\f\r\x1C-\x1F\x85\p{Z}]"
 NON_ENTITY = "O"
+TOKEN_BYTES = 4 << 20       # of an Arrow batch whose tokens become rows at a time
 
 
 def strip_py(col: Column) -> Column:
@@ -90,6 +93,42 @@ def _gram_strings(toks: DataFrame, id_col: str, n: int, drop_word) -> DataFrame:
     return d
 
 
+def _gram_rows(n: int, id_col: str):
+    """Arrow batch function: documents (id, words, drop flags) → one row per kept n-gram, by start, then length.
+
+    All documents of a slice at once: per length, the places at which a whole gram of kept words starts, and one join of
+    the words there; a sort of the places puts the lengths in turn.
+    """
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def run(batches):
+        for rb in slices(batches, TOKEN_BYTES):
+            words_, flags = rb.column("_w"), pc.fill_null(rb.column("_f").flatten(), True).to_numpy(zero_copy_only=False)
+            counts = np.diff(words_.offsets.to_numpy())
+            flat, total = words_.flatten(), len(flags)
+            row = np.repeat(np.arange(len(counts)), counts)
+            left = np.repeat(np.cumsum(counts), counts) - np.arange(total)       # words from here to the document's end
+            places, grams, ok = [], [], np.ones(total, bool)
+            for L in range(1, n + 1):
+                ok &= left >= L
+                ok[:max(total - L + 1, 0)] &= ~flags[L - 1:]
+                at = np.flatnonzero(ok)
+                places.append(at * n + L - 1)
+                parts = [flat.take(pa.array(at + i)) for i in range(L)]
+                grams.append(pc.binary_join_element_wise(*parts, " ") if L > 1 else parts[0])
+            place = np.concatenate(places)
+            order = np.argsort(place, kind="stable")
+            doc = row[place[order] // n]
+            g = np.arange(len(doc)) - np.searchsorted(doc, doc, side="left")
+            if len(doc):
+                yield pa.RecordBatch.from_arrays([rb.column(id_col).take(pa.array(doc)), pa.array(g.astype(np.int32)),
+                                                  pa.concat_arrays(grams).take(pa.array(order))], names=[id_col, "g", "gram"])
+
+    return run
+
+
 def ngram_rows(docs: DataFrame, n: int = 2, uncased: bool = True, drop=None, id_col: str = "doc_id",
                text_col: str = "text", drop_word=None) -> DataFrame:
     """``id, g, gram`` — every kept n-gram of every document as a space-joined string.
@@ -102,18 +141,10 @@ def ngram_rows(docs: DataFrame, n: int = 2, uncased: bool = True, drop=None, id_
     # tokens first, as a column: an expression referenced inside the lambdas would be re-run per start
     toks = docs.select(id_col, words(text_col, uncased).alias("_w"))
     if drop is None:
-        d = _gram_strings(toks, id_col, n, drop_word)
-        size = F.size("_w")
-
-        def at(s):
-            return F.transform(F.sequence(F.lit(1), F.least(F.lit(n), size - s)), lambda L: F.struct(
-                F.element_at(F.array(*[F.col(f"_g{i}") for i in range(1, n + 1)]), L)[s].alias("gram"),
-                F.element_at(F.array(*[F.col(f"_f{i}") for i in range(1, n + 1)]), L)[s].alias("drop")))
-
-        items = F.filter(F.flatten(F.transform(F.sequence(F.lit(0), size - 1), at)), lambda x: ~x["drop"])
-        items = F.when(size > 0, items)
-        out = d.select(id_col, F.posexplode_outer(items).alias("g", "it"))
-        return out.filter(F.col("it").isNotNull()).select(id_col, "g", F.col("it.gram").alias("gram"))
+        flag = (lambda x: drop_word(x)) if drop_word is not None else (lambda x: F.lit(False))
+        flagged = toks.select(id_col, "_w", F.transform("_w", flag).alias("_f"))
+        kind = toks.schema[id_col].dataType.simpleString()
+        return flagged.mapInArrow(_gram_rows(n, id_col), f"`{id_col}` {kind}, g int, gram string")
     out = toks.select(id_col, F.posexplode_outer(ngrams("_w", n, drop)).alias("g", "words"))
     return out.filter(F.col("words").isNotNull()).select(id_col, "g", F.array_join("words", " ").alias("gram"))
 
@@ -181,7 +212,7 @@ def _token_rows(id_col: str):
     import pyarrow.compute as pc
 
     def run(batches):
-        for rb in batches:
+        for rb in slices(batches, TOKEN_BYTES):
             pieces, toks = rb.column("_p"), rb.column("_t")
             offs = pieces.offsets.to_numpy()
             offs = offs - offs[0]
@@ -334,7 +365,7 @@ def entity_runs(docs: DataFrame, tag, non_ent: str = NON_ENTITY, id_col: str = "
     import pyarrow as pa
 
     def run(batches):
-        for rb in batches:
+        for rb in slices(batches, TOKEN_BYTES):
             offs = rb.column("_p").offsets.to_numpy()
             counts = np.diff(offs)
             if not counts.sum():

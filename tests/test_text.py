@@ -123,3 +123,34 @@ def test_annotation_present_or_none(spark):
     t = spark.createDataFrame([(0, 0, "A", "NNP")], "doc_id long, i int, token string, pos string")
     assert TX.annotation(t, "lemma") is None
     assert [tuple(r) for r in TX.annotation(t, "pos").collect()] == [(0, 0, "NNP")]
+
+
+def test_token_rows_come_in_bounded_batches():
+    """A worker makes rows of a slice of the documents, however many an Arrow batch holds."""
+    import pyarrow as pa
+    from dpmine.operators import text as T
+    n, words = 10_000, [f"word{i}" for i in range(100)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array([0] * n, pa.int64()),
+                                        pa.array([[w + " " for w in words]] * n), pa.array([words] * n)],
+                                       names=["doc_id", "_lead", "_p", "_t"])
+    out = list(T._token_rows("doc_id")([batch]))
+    assert sum(b.num_rows for b in out) == 100 * n
+    assert max(b.num_rows for b in out) < 100 * n / 2
+
+
+def test_ngram_rows_run_in_batches_and_match_brute_force(spark):
+    from pyspark.sql import functions as F
+    from dpmine.operators.text import ngram_rows
+    texts = ["A b, c d", "", None, "x", "! a ! b c", "one two three four five", ". , ;"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    for n in (1, 2, 3):
+        got = ngram_rows(docs, n, True, drop_word=lambda w: ~w.rlike("^[a-z]"))
+        assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString()
+        want = set()
+        for i, t in enumerate(texts):
+            w = "".join(f" {c} " if c in "!,.;" else c for c in (t or "").lower()).split()
+            grams = [w[s:s + L] for s in range(len(w)) for L in range(1, n + 1) if s + L <= len(w)]
+            want |= {(i, g, " ".join(x)) for g, x in enumerate([x for x in grams if all(y.isalpha() for y in x)])}
+        assert {(r.doc_id, r.g, r.gram) for r in got.collect()} == want
+    empty = ngram_rows(docs.select(F.lit("k").alias("doc_id"), "text").limit(0), 2)
+    assert empty.collect() == [] and dict(empty.dtypes)["doc_id"] == "string"
