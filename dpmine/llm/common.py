@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def forget_garbage() -> None:
+    """Free what earlier tasks of this worker left in cycles, and hand freed memory back to the system."""
+    gc.collect()
+    release_memory()
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of a text column; null counts as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from dpmine.llm.common import LONGEST_WORD, cut_words, distinct_words, pieces, utf8
+from dpmine.llm.common import LONGEST_WORD, cut_words, distinct_words, forget_garbage, pieces, utf8
 from dpmine.session import scratch_path
 
 BLOCK_IDS = 1 << 20      # ids of a block, but for a document that is longer by itself
@@ -316,6 +316,7 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2,
     block whenever ``block_ids`` ids are there, so it holds one block and one slice of texts.
     """
     def run(batches):
+        forget_garbage()                # of the stages that this worker served before
         enc, shard, block, before = encoder(tokenizer), TaskContext.get().partitionId(), 0, 0
         base = max(enc.whole.get_vocab_size(), end_id + 1)
         held, sizes, keys, n = [], [], [], 0
